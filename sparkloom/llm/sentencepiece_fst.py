@@ -35,7 +35,8 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Penalty of an unknown character in a unigram model, below the lowest score.
 UNKNOWN_PENALTY = 10.0
-CACHE_CHUNKS = 400_000
+#: Chunks remembered by a worker, twice: about 250 bytes each.
+CACHE_CHUNKS = 500_000
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, object]]:
@@ -92,13 +93,14 @@ class Transducer:
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.unknown = next((i for i, (_, _, kind) in enumerate(self.pieces) if kind == UNKNOWN), 0)
         self.score = [s for _, s, _ in self.pieces]
-        self.longest = max(map(len, self.ids), default=1)
-        self.chars = {c for p in self.ids for c in p}
         self.chunked = not any(MARK in p.lstrip(MARK) for p in self.ids)
         self.lowest = min((s for p, s, k in self.pieces if k == NORMAL), default=0.0) - UNKNOWN_PENALTY
-        self.heads = {p[:i] for p in self.ids for i in range(1, len(p) + 1)}
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.cache: dict[str, tuple[int, ...]] = {}
+        #: Arcs of the piece transducer: what a string leads to is a piece's id, or -1 within pieces.
+        self.arcs = {p[:i]: -1 for p in self.ids for i in range(1, len(p) + 1)} | self.ids
+        self.pairs: dict[int, bool] = {}
+        self.recent: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
+        self.raw = [bytes([self.byte_of[i]]) if k == BYTE else " ⁇ ".encode() if k == UNKNOWN else b"" if k == CONTROL else p.encode() for i, (p, _, k) in enumerate(self.pieces)]
 
     def normalise(self, text: str) -> str:
         if not text:
@@ -122,57 +124,79 @@ class Transducer:
                 return part
             part[best[1] : best[1] + 2] = [part[best[1]] + part[best[1] + 1]]
 
-    def _follows(self, left: str, right: str) -> bool:
-        key = left, right
+    def _follows(self, left: int, right: int) -> bool:
+        """Merging keeps the two pieces apart as they are; a left of -1 is the beginning."""
+        key = (left + 1) * len(self.pieces) + right
         known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) > 2_000_000:
                 self.pairs.clear()
-            known = self.pairs[key] = self._merge(left + right) == [left, right]
+            parts = [self.pieces[right][0]] if left < 0 else [self.pieces[left][0], self.pieces[right][0]]
+            known = self.pairs[key] = self._merge("".join(parts)) == parts
         return known
 
-    def _path(self, chunk: str) -> list[str]:
-        """The shortest path's pieces. A character that no piece has is an arc of its own."""
-        n = len(chunk)
-        weight = [0.0] + [float("inf")] * n
-        back: list[str] = [""] * (n + 1)
-        bpe = self.kind == BPE
+    def _bpe_path(self, chunk: str) -> list[int]:
+        """Ids along the only path of finite weight. A character without a piece is an arc of its own, -1 minus its code point."""
+        n, arcs, pairs, width = len(chunk), self.arcs, self.pairs, len(self.pieces)
+        begin = [-1] * (n + 1)
+        last = [-1] * (n + 1)
+        begin[0] = 0
         for lo in range(n):
-            if weight[lo] == float("inf"):
+            if begin[lo] < 0:
                 continue
-            for hi in range(lo + 1, min(n, lo + self.longest) + 1):
-                piece = chunk[lo:hi]
-                if hi > lo + 1 and piece not in self.heads:
+            left = last[lo] if last[lo] >= 0 else -1  # nothing merges across a character without a piece
+            for hi in range(lo + 1, n + 1):
+                at = arcs.get(chunk[lo:hi])
+                if at is None:
+                    if hi == lo + 1:
+                        begin[hi], last[hi] = lo, -1 - ord(chunk[lo])
                     break
-                at = self.ids.get(piece)
+                if at >= 0 and begin[hi] < 0:
+                    fits = pairs.get((left + 1) * width + at)
+                    if fits if fits is not None else self._follows(left, at):
+                        begin[hi], last[hi] = lo, at
+        out = []
+        while n:
+            out.append(last[n])
+            n = begin[n]
+        return out[::-1]
+
+    def _unigram_path(self, chunk: str) -> list[int]:
+        """Ids along the path of least weight."""
+        n, arcs = len(chunk), self.arcs
+        weight = [0.0] + [float("inf")] * n
+        begin, last = [0] * (n + 1), [-1] * (n + 1)
+        for lo in range(n):
+            for hi in range(lo + 1, n + 1):
+                at = arcs.get(chunk[lo:hi])
+                known = at is not None and at >= 0
+                if known or hi == lo + 1:
+                    total = weight[lo] - (self.score[at] if known else self.lowest)
+                    if total < weight[hi]:
+                        weight[hi], begin[hi], last[hi] = total, lo, at if known else -1 - ord(chunk[lo])
                 if at is None:
-                    if hi > lo + 1:
-                        continue
-                    arc = 0.0 if bpe else -self.lowest
-                else:
-                    arc = 0.0 if bpe else -self.score[at]
-                if weight[lo] + arc < weight[hi] and not (bpe and lo and not self._follows(back[lo], piece)):
-                    weight[hi], back[hi] = weight[lo] + arc, piece
+                    break
         out = []
         while n:
-            out.append(back[n])
-            n -= len(back[n])
+            out.append(last[n])
+            n = begin[n]
         return out[::-1]
 
-    def _ids(self, piece: str) -> list[int]:
-        at = self.ids.get(piece)
-        if at is not None:
-            return [at]
+    def _fallback(self, code: int) -> list[int]:
+        """Ids for a character without a piece."""
         if self.bytes:
-            return [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]
+            return [self.bytes[b] for b in chr(code).encode("utf-8", "surrogatepass")]
         return [self.unknown]
 
     def _chunk(self, chunk: str) -> tuple[int, ...]:
-        out = tuple(i for p in self._path(chunk) for i in self._ids(p))
+        out = self.older.get(chunk)
+        if out is None:
+            path = self._bpe_path(chunk) if self.kind == BPE else self._unigram_path(chunk)
+            out = tuple(path) if min(path) >= 0 else tuple(i for p in path for i in ([p] if p >= 0 else self._fallback(-1 - p)))
         if len(chunk) <= 64:
-            if len(self.cache) >= CACHE_CHUNKS:
-                self.cache.clear()
-            self.cache[chunk] = out
+            if len(self.recent) >= CACHE_CHUNKS:
+                self.older, self.recent = self.recent, {}
+            self.recent[chunk] = out
         return out
 
     def encode(self, text: str) -> list[int]:
@@ -183,33 +207,24 @@ class Transducer:
         if not self.chunked:
             return list(self._chunk(text))
         out: list[int] = []
-        get, extend = self.cache.get, out.extend
+        extend = out.extend
         words = text.split(MARK)
         marks = 0
         if words[0]:
-            extend(get(words[0]) or self._chunk(words[0]))
+            extend(self.recent.get(words[0]) or self._chunk(words[0]))
         for w in words[1:]:
             marks += 1
             if w:
-                chunk = MARK * marks + w
-                extend(get(chunk) or self._chunk(chunk))
+                chunk = MARK * marks + w if marks > 1 else MARK + w
+                extend(self.recent.get(chunk) or self._chunk(chunk))
                 marks = 0
         if marks:
-            extend(get(MARK * marks) or self._chunk(MARK * marks))
+            extend(self.recent.get(MARK * marks) or self._chunk(MARK * marks))
         return out
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; runs of byte pieces are UTF-8, invalid ones become U+FFFD."""
-        out: list[bytes] = []
-        for i in ids:
-            kind = self.pieces[i][2]
-            if kind == BYTE:
-                out.append(bytes([self.byte_of[i]]))
-            elif kind == UNKNOWN:
-                out.append(" ⁇ ".encode())
-            elif kind != CONTROL:
-                out.append(self.pieces[i][0].encode())
-        text = b"".join(out).decode("utf-8", "replace")
+        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
         if self.escape:
             text = text.replace(MARK, " ")
         return text[1:] if self.add_prefix and text.startswith(" ") else text
@@ -278,13 +293,14 @@ def encode_digest(docs: DataFrame, model: str | None = None, id_col: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = _transducer(key, raw.value)
+        written = [str(i) for i in range(len(t.pieces))]
         for b in batches:
             n, digests, same = [], [], []
             for v in b.column(1):
                 text = v.as_py() or ""
                 ids = t.encode(text)
                 n.append(len(ids))
-                digests.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+                digests.append(hashlib.sha256(",".join(map(written.__getitem__, ids)).encode()).hexdigest())
                 same.append(t.decode(ids) == text)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids_sha256", "round_trip"])
 
