@@ -17,7 +17,7 @@ models have not seen, turns it into a score.
 Counts are gathered over all labelled training rows.  Events are hashed to
 2**22 buckets, which bounds what the driver holds and what is broadcast,
 whatever the corpus.  Only the calibration is fitted on a bounded sample
-(`calibration_rows`).
+(about `calibration_rows` rows, chosen by a hash of their id).
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm.scratch import materialize
+
 BITS = 5
 ORDER = 5
 EVENT_BITS = 22
@@ -100,23 +102,27 @@ def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Events with the event before, the code, and how often each class has them, summed up per task."""
+
     def merged(parts: list[tuple]) -> tuple:
-        event, parent, code, n = (np.concatenate(x) for x in zip(*parts))
+        event, parent, code, n0, n1 = (np.concatenate(x) for x in zip(*parts))
         keys, first, at = np.unique(event, return_index=True, return_inverse=True)
-        return keys, parent[first], code[first], np.bincount(at, n, len(keys)).astype(np.int64)
+        return keys, parent[first], code[first], *(np.bincount(at, n, len(keys)).astype(np.int64) for n in (n0, n1))
 
-    parts = [(np.empty(0, np.int64),) * 4]
+    parts = [(np.empty(0, np.int64),) * 5]
     for b in batches:
         toxic = b.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
-        event, parent, code, begin = encode([t or "" for t in b.column("text").to_pylist()])
-        label = np.repeat(toxic, np.diff(np.r_[begin, len(code)]))
-        keys, first, n = np.unique(event | label << EVENT_BITS, return_index=True, return_counts=True)
-        parts.append((keys, parent[first], code[first], n))
-        if sum(len(x[0]) for x in parts) > 4_000_000:
+        texts = [t or "" for t in b.column("text").to_pylist()]
+        for i in range(0, len(texts), 256):
+            event, parent, code, begin = encode(texts[i : i + 256])
+            label = np.repeat(toxic[i : i + 256], np.diff(np.r_[begin, len(code)]))
+            keys, first, at = np.unique(event, return_index=True, return_inverse=True)
+            parts.append((keys, parent[first], code[first], np.bincount(at, 1 - label, len(keys)).astype(np.int64), np.bincount(at, label, len(keys)).astype(np.int64)))
+        if sum(len(x[0]) for x in parts) > 2_000_000:
             parts = [merged(parts)]
     columns = merged(parts)
     for i in range(0, len(columns[0]), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in columns], ["event", "parent", "code", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in columns], ["event", "parent", "code", "n0", "n1"])
 
 
 def _discount(counts: np.ndarray) -> float:
@@ -136,22 +142,31 @@ def _shared(codes: np.ndarray, counts: np.ndarray, order: int = ORDER) -> np.nda
     return np.maximum(counts - d, 0) / total[at] + d * types[at] / total[at] * below
 
 
-def _ratio(event: np.ndarray, parent: np.ndarray, code: np.ndarray, n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    """By event, then by event before: log p_1 - log p_0 of seen events, and of anything not seen after an event."""
-    codes, at = np.unique(code, return_inverse=True)
-    shared = _shared(codes, np.bincount(at, n0 + n1, len(codes)))[at]
-    context, at = np.unique(parent, return_inverse=True)
-    logs, rest = [], []
-    for n in (n0, n1):
-        total, freed = np.bincount(at, n, len(context)), np.bincount(at, np.minimum(n, CLASS_DISCOUNT), len(context))
-        weight = np.where(total > 0, freed / np.maximum(total, 1), 1.0)
-        own = np.maximum(n - CLASS_DISCOUNT, 0) / np.maximum(total[at], 1)
-        logs.append(np.log(own + weight[at] * shared))
-        rest.append(np.log(weight))
+def _ratio(events: DataFrame) -> np.ndarray:
+    """By event, then by event before: log p_1 - log p_0 of counted events (NaN for others), and of anything else after an event.
+
+    What both classes have seen no more often than the discount has the same
+    ratio as what they haven't seen.  So only the other events, their contexts
+    and the shared model's counts (at most 2**25 codes) come to the driver.
+    """
+    d = F.lit(CLASS_DISCOUNT)
+    often = (F.col("n0") > d) | (F.col("n1") > d)
+    fetch = lambda df: [c.to_numpy() for c in df.toArrow().columns]
+    code, n = fetch(events.groupBy("code").agg(F.sum(F.col("n0") + F.col("n1")).alias("n")).orderBy("code"))
+    shared = _shared(code, n)
+    sums = [f(c).cast("double").alias(f"{k}{c[1]}") for c in ("n0", "n1") for k, f in (("t", F.sum), ("f", lambda c: F.sum(F.least(F.col(c), d))))]
+    context, t0, f0, t1, f1 = fetch(events.groupBy("parent").agg(*sums).where("t0 > f0 OR t1 > f1"))
     table = np.zeros((2, EVENTS), np.float32)
     table[0] = np.nan
+    logs, total, weight = [], np.ones(EVENTS), np.ones(EVENTS)
+    event, parent, own_code, n0, n1 = fetch(events.where(often).select("event", "parent", "code", "n0", "n1"))
+    p = shared[np.searchsorted(code, own_code)]
+    for n, t, f in ((n0, t0, f0), (n1, t1, f1)):
+        total[context], weight[context] = np.maximum(t, 1), np.where(t > 0, f / np.maximum(t, 1), 1.0)
+        own = np.maximum(n - CLASS_DISCOUNT, 0) / total[parent]
+        logs.append(np.log(own + weight[parent] * p))
+        table[1] += np.log(weight) if len(logs) == 2 else -np.log(weight)
     table[0, event] = logs[1] - logs[0]
-    table[1, context] = rest[1] - rest[0]
     return table.astype(np.float16)
 
 
@@ -183,6 +198,11 @@ def features(texts: list[str], table: np.ndarray) -> np.ndarray:
     return out
 
 
+def _in_blocks(texts: list[str], table: np.ndarray) -> np.ndarray:
+    """Features of many texts, a few at a time so that the arrays stay small."""
+    return np.concatenate([np.zeros((0, 3)), *(features(texts[i : i + 64], table) for i in range(0, len(texts), 64))])
+
+
 def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 60) -> tuple[np.ndarray, np.ndarray]:
     """Logistic regression by Newton steps: scale of the features and weights, the last of which is the offset."""
     scale = np.maximum(x.std(axis=0), 1e-6)
@@ -211,22 +231,23 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     small = labels.count() <= BROADCAST_LABELS
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text"))
     rows = texts.join(F.broadcast(marked) if small else marked, "__id").withColumn("part", remainder("__id"))
-    counted = rows.where("part < 4").select("text", "toxic").mapInArrow(_counts, "event long, parent long, code long, n long")
-    seen = counted.groupBy("event").agg(F.min("parent").alias("parent"), F.min("code").alias("code"), F.sum("n").alias("n")).toPandas()
-    key = seen["event"].to_numpy(np.int64)
-    event, first, at = np.unique(key & (EVENTS - 1), return_index=True, return_inverse=True)
-    n0, n1 = (np.bincount(at, np.where(key >> EVENT_BITS == c, seen["n"], 0), len(event)) for c in (0, 1))
-    table = _ratio(event, seen["parent"].to_numpy(np.int64)[first], seen["code"].to_numpy(np.int64)[first], n0, n1)
-    chosen = rows.where("part = 4").orderBy(F.xxhash64("__id"), "__id").limit(calibration_rows).select("text", "toxic").toLocalIterator(prefetchPartitions=True)
-    x, y, held = [], [], []
-    for row in chosen:
-        held.append(row["text"] or "")
-        y.append(row["toxic"])
-        if len(held) == 500:
-            x.append(features(held, table))
-            held = []
-    x.append(features(held, table) if held else np.zeros((0, 3)))
-    x, y = np.concatenate(x), np.array(y, float)
+    counted = rows.where("part < 4").select("text", "toxic").mapInArrow(_counts, "event long, parent long, code long, n0 long, n1 long")
+    events = counted.groupBy("event").agg(F.min("parent").alias("parent"), F.min("code").alias("code"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    table = _ratio(materialize(events, "toxicity-events"))
+    # evidence is measured where the texts are; the driver gets three numbers and a label for each chosen row
+    sent = docs.sparkSession.sparkContext.broadcast({"table": table})
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = _in_blocks([t or "" for t in b.column("text").to_pylist()], sent.value["table"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in x.T), b.column("toxic")], ["x0", "x1", "x2", "toxic"])
+
+    held = rows.where("part = 4")
+    n = held.count()
+    share = min(1.0, calibration_rows / max(n, 1))
+    chosen = held.where(F.pmod(F.xxhash64("__id"), F.lit(1 << 20)) < int(share * (1 << 20))).select("text", "toxic")
+    found = chosen.mapInArrow(measure, "x0 double, x1 double, x2 double, toxic int").toPandas().to_numpy(float).reshape(-1, 4)
+    x, y = found[:, :3], found[:, 3]
     if 0 < y.sum() < len(y):
         scale, w = _fit(x, y)
     else:  # nothing to calibrate on: the evidence speaks for itself
@@ -246,13 +267,9 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for b in batches:
-            scores = []
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            for i in range(0, len(texts), 256):
-                x = features(texts[i : i + 256], m["table"])
-                z = np.c_[x / m["scale"], np.ones(len(x))] @ m["w"]
-                scores.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
-            got = np.concatenate(scores) if scores else np.empty(0)
+            x = _in_blocks([t or "" for t in b.column("text").to_pylist()], m["table"])
+            z = np.c_[x / m["scale"], np.ones(len(x))] @ m["w"]
+            got = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(got)], ["doc_id", "held_out", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(remainder(id_col) == 0, F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
