@@ -15,6 +15,11 @@ def keyword_hits(c: Column, words: list[str]) -> Column:
     return sum((F.contains(low, F.lit(w)).cast("int") for w in words[1:]), F.contains(low, F.lit(words[0])).cast("int"))
 
 
+def contains_any(c: Column, words: list[str]) -> Column:
+    """The lower-cased text contains one of the words."""
+    return keyword_hits(c, words) > 0
+
+
 def _best(scores: dict[str, Column]) -> tuple[Column, Column, Column]:
     """Name (first listed among equals), best and second best score."""
     ordered = F.sort_array(F.array(*scores.values()), asc=False)
@@ -94,7 +99,7 @@ def is_out_of_domain(query: Column, history: Column) -> Column:
 def unsupported_type(query: Column) -> Column:
     """Asks about a type other than 1 and 2."""
     number = F.regexp_extract(F.lower(query), r"\btype\s*([0-9]+)\b", 1)
-    return (number != "") & ~number.isin("1", "2")
+    return (number != "") & ~number.isin("1", "2") | contains_any(query, L.OTHER_TYPES)
 
 
 def is_follow_up(query: Column) -> Column:
@@ -104,8 +109,62 @@ def is_follow_up(query: Column) -> Column:
     return found
 
 
+def hints(query: Column) -> Column:
+    """Wordings to search instead, for questions in either language that ask for known figures."""
+
+    def found(rules: list[tuple[list[list[str]], str]]) -> Column:
+        out = []
+        for groups, hint in rules:
+            met = F.lit(True)
+            for words in groups:
+                met = met & contains_any(query, words)
+            out.append(F.when(met, hint))
+        return F.array_compact(F.array(*out))
+
+    return F.when(T.is_arabic(query), found(L.HINTS["ar"])).otherwise(found(L.HINTS["en"]))
+
+
+def evidence_groups(query: Column) -> Column:
+    """Groups of terms; evidence must contain one of each: the first condition that the question names, risk factors, cardiology."""
+    q = T.sanitize(F.regexp_replace(F.lower(query), "–", "-"))
+    words = lambda ws: F.array(*map(F.lit, ws))
+    condition = F.lit(None).cast("array<string>")
+    for asked, wanted in reversed(L.CONDITIONS):
+        condition = F.when(contains_any(q, asked), words(wanted)).otherwise(condition)
+    risk = F.when(contains_any(q, L.CONDITIONS[1][0]) & contains_any(q, L.RISK_QUESTIONS), words(L.TYPE_2_RISK_EVIDENCE)).when(contains_any(q, L.RISK_QUESTIONS), words(L.RISK_EVIDENCE))
+    cardiology = F.when(contains_any(q, L.CARDIOLOGY_QUESTIONS), words(L.CARDIOLOGY_EVIDENCE))
+    return F.array_compact(F.array(condition, risk, cardiology))
+
+
+def matches_directly(groups: Column, evidence: Column) -> Column:
+    text = T.sanitize(F.lower(evidence))
+    return F.forall(groups, lambda g: F.exists(g, lambda w: F.contains(text, w)))
+
+
+def disclaimer(level: Column, arabic: Column) -> Column:
+    out = F.lit("")
+    for name, (english, other) in L.DISCLAIMERS.items():
+        out = F.when(level == name, F.when(arabic, other).otherwise(english)).otherwise(out)
+    return out
+
+
+def language(c: Column) -> Column:
+    """The language whose frequent words the text has most of; texts under 20 characters and ties go to the one listed first."""
+    words = T.tokens(F.substring(c, 1, 3000))
+
+    def frequent(own: list[str]) -> Column:
+        return F.size(F.filter(words, lambda w: w.isin(own)))
+
+    scores = {k: frequent(own) for k, own in L.LANGUAGE_WORDS.items()}
+    top = F.greatest(*scores.values())
+    out = F.lit("en")
+    for name in reversed(scores):
+        out = F.when(scores[name] == top, name).otherwise(out)
+    return F.when(F.length(T.strip(F.coalesce(c, F.lit("")))) < 20, "en").otherwise(out)
+
+
 def rewrite(query: Column, last_user: Column, has_history: Column) -> Column:
-    """Follow-ups get the last user turn in front, short questions without history a context suffix."""
+    """Follow-ups get the last user turn in front, short questions without history a context suffix; hints replace all of it."""
     own = T.strip(query)
     longer = F.when(T.is_arabic(own), F.concat(own, F.lit(L.CONTEXT_SUFFIX_AR))).otherwise(F.concat(own, F.lit(L.CONTEXT_SUFFIX)))
     out = (
@@ -114,7 +173,8 @@ def rewrite(query: Column, last_user: Column, has_history: Column) -> Column:
         .when((F.length(own) < L.MIN_STANDALONE) & ~has_history, longer)
         .otherwise(own)
     )
-    return T.sanitize(out)
+    found = hints(own)
+    return F.when((own != "") & (F.size(found) > 0), F.array_join(found, "; ")).otherwise(T.sanitize(out))
 
 
 def is_reference_only(section: Column, body: Column) -> Column:

@@ -106,3 +106,64 @@ FILE_TYPES = {"pdf": "application/pdf", "docx": "application/vnd.openxmlformats-
 CHUNK_PROFILES = {"small": (1200, 0), "balanced": (2000, 200), "large": (3000, 300)}
 CATEGORIES = ["treatment", "prevention", "nutrition"]
 OPERATIONAL_FAILURES = ["infrastructure_failure", "generation_error", "http_error", "timeout"]
+
+# --- fixed values: notes below answers by safety level (English, Arabic), and the answer to emergencies ---
+_RULE = "\n\n---\n"
+DISCLAIMERS = {
+    "high_risk": (
+        _RULE + "⚠️ **Important**: The information above is general and sourced directly from the referenced documents. It is **not a personalised medical prescription**. Medication dosages must always be determined by a qualified physician or pharmacist based on your individual health condition.",
+        _RULE + "⚠️ **ملاحظة مهمة**: المعلومات أعلاه عامة ومستخرجة من المصادر المُستشهد بها. إنها **ليست وصفة طبية شخصية**. يجب دائماً تحديد جرعات الأدوية من قِبَل طبيب أو صيدلاني مؤهل بناءً على حالتك الصحية الفردية.",
+    ),
+    "diagnosis": (
+        _RULE + "ℹ️ **Note**: This application provides general educational information about diabetes. It cannot diagnose any medical condition. Please consult a qualified healthcare professional for diagnosis and personalised medical advice.",
+        _RULE + "ℹ️ **ملاحظة**: يوفر هذا التطبيق معلومات تعليمية عامة حول مرض السكري. لا يمكنه تشخيص أي حالة طبية. يرجى استشارة متخصص رعاية صحية مؤهل للحصول على تشخيص ونصيحة طبية شخصية.",
+    ),
+    "informational": (
+        _RULE + "*This information is sourced from the referenced documents and is for educational purposes only. Always consult a healthcare professional for medical decisions.*",
+        _RULE + "*هذه المعلومات مستخرجة من المصادر المُستشهد بها وهي لأغراض تعليمية فقط. استشر دائماً أخصائي رعاية صحية لاتخاذ أي قرار طبي.*",
+    ),
+    "emergency": ("", ""),
+}
+EMERGENCY_RESPONSES = (
+    "🚨 **This sounds like a medical emergency.**\n\nPlease **call emergency services immediately** (in Egypt: 123 for ambulance) or go to the nearest hospital emergency department.\n\nDo not rely on this application in an emergency situation.",
+    "🚨 **يبدو أن هذه حالة طوارئ طبية.**\n\nيرجى **الاتصال بالإسعاف فوراً** (في مصر: 123) أو التوجه إلى أقرب طوارئ مستشفى.\n\nلا تعتمد على هذا التطبيق في حالات الطوارئ.",
+)
+
+# --- fixed values: what questions must contain (one of each group) for a hint to be searched instead ---
+HINTS: dict[str, list[tuple[list[list[str]], str]]] = {
+    "ar": [
+        ([["2024"], ["البالغ", "بالغ"]], "589 million adults aged 20 79 living with diabetes in 2024"),
+        ([["لا يعلمون", "غير المشخص", "غير المشخّص", "252"]], "adults living with diabetes unaware undiagnosed 252 million"),
+        ([["2050", "المتوقع", "المتوقعة"]], "adults living with diabetes projected 853 million by 2050"),
+        ([["الإنفاق", "أُنفق", "انفق"]], "Over USD 1 trillion was spent on diabetes in 2024; 12% of global health expenditure"),
+        ([["نسبة"], ["589"], ["252"]], "589 million adults 252 million unaware percentage"),
+        ([["نسبة"], ["589"], ["853"]], "589 million 2024 853 million 2050 percentage increase"),
+        ([["الحمل"], ["توصية", "توصيات"]], "The GDG issued 27 recommendations; six on glucose monitoring during pregnancy"),
+        ([["فردي", "فردية", "الجوانب"], ["سكر الدم", "الغلوكوز", "الجلوكوز", "التحكم"]], "individualized approach is encouraged when setting the target level for glycaemic control; comorbidities medication side-effects life expectancy"),
+    ],
+    "en": [
+        ([["2024"], ["spending", "expenditure", "spent"]], "Over USD 1 trillion was spent on diabetes in 2024; 12% of global health expenditure"),
+        ([["pregnan"], ["recommendation"]], "The GDG issued 27 recommendations; six on glucose monitoring during pregnancy"),
+        ([["2050"], ["increase", "rise", "project"]], "589 million adults in 2024; projected 853 million by 2050; percentage increase"),
+    ],
+}
+
+# --- fixed values: conditions that evidence must name if the question does (terms of the question, terms of the evidence) ---
+CONDITIONS = [
+    (["type 1", "type i", "النوع الأول", "النوع الاول"], ["type 1", "type i"]),
+    (["type 2", "type ii", "النوع الثاني"], ["type 2", "type ii"]),
+    (["gestational", "pregnan", "الحمل", "الحوامل", "سكر الحمل"], ["gestational", "pregnan"]),
+]
+RISK_QUESTIONS, RISK_EVIDENCE = ["risk factor", "عوامل الخطر"], ["risk factor"]
+TYPE_2_RISK_EVIDENCE = ["risk factors for type 2 diabetes", "type 2 diabetes risk factors"]
+CARDIOLOGY_QUESTIONS, CARDIOLOGY_EVIDENCE = ["preventive cardiolog", "طبيب القلب الوقائي"], ["preventive cardiolog"]
+OTHER_TYPES = ["النوع الثالث", "النوع الرابع", "النوع الخامس", "النوع السادس", "النوع السابع", "النوع الثامن", "النوع التاسع", "النوع العاشر"]
+
+# --- frequent words that tell languages apart ---
+LANGUAGE_WORDS = {
+    "en": ["the", "and", "of", "to", "in", "is", "that", "for", "with", "was", "are", "this", "by", "from", "be"],
+    "fr": ["le", "la", "les", "et", "des", "un", "une", "est", "du", "que", "dans", "pour", "sur", "pas", "avec"],
+    "de": ["der", "die", "das", "und", "ist", "den", "von", "zu", "mit", "sich", "auf", "nicht", "ein", "eine", "dem"],
+    "es": ["el", "los", "las", "de", "que", "y", "en", "por", "una", "con", "para", "su", "al", "lo", "del"],
+    "ar": ["في", "من", "على", "إلى", "هذا", "التي", "عن", "أن", "مع", "هو", "ما", "لا", "كان", "هل", "كيف"],
+}

@@ -43,13 +43,24 @@ def trim_excerpt(c: Column, limit: int = EXCERPT_CHARS) -> Column:
     return F.when(F.length(c) <= limit, c).otherwise(F.concat(short, F.lit("…")))
 
 
+def table_excerpt(text: Column, terms: Column) -> Column:
+    """The table cell that shares most terms, with the cell after it; null if the text has no table, no cell fits or the excerpt is short."""
+    cells = F.filter(F.transform(F.split(text, r"\|"), clean_sentence), lambda c: (c != "") & ~c.rlike("^[-: ]+$") & ~F.lower(c).isin("subdomain", "indicator"))
+    shared = lambda c: F.size(F.array_intersect(F.array_distinct(T.tokens(c)), terms))
+    best = F.array_max(F.transform(cells, lambda c, i: F.struct(shared(c).alias("n"), (-i).alias("i"))))
+    head, detail = F.get(cells, -best["i"]), F.coalesce(F.get(cells, 1 - best["i"]), F.lit(""))
+    detail = F.regexp_replace(F.regexp_replace(detail, r"\b[0-9]+\.\s*", ""), r"\s+(?=[A-Z][a-z]+(?:\s+[a-z]+){0,3}\s+(?:prevalence|control)\b)", "; ")
+    joined = F.concat(F.regexp_replace(F.when(detail != "", F.concat(head, F.lit(": "), detail)).otherwise(head), r"[ ;:,.!]+$", ""), F.lit("."))
+    return F.when(F.contains(text, F.lit("|")) & (best["n"] > 0) & (F.length(joined) >= 70), trim_excerpt(joined))
+
+
 def best_excerpts(evidence: DataFrame) -> DataFrame:
-    """The best sentence of each evidence row, with its overlap with the query: most shared terms, then closest to 240 characters, then first."""
+    """The best excerpt of each evidence row: of a table if one fits, else the sentence with most shared terms, then closest to 240 characters, then first."""
     parts = evidence.select("*", query_terms(F.col("query")).alias("__terms"), F.posexplode_outer(F.filter(sentences(F.col("text")), is_usable)).alias("__pos", "sentence"))
     overlap = F.size(F.array_intersect(F.array_distinct(T.tokens(F.col("sentence"))), F.col("__terms")))
     order = Window.partitionBy("query_id", "rank").orderBy(F.desc("overlap"), F.abs(F.length("sentence") - 240), "__pos")
     ranked = parts.withColumn("overlap", overlap).withColumn("__n", F.row_number().over(order)).where("__n = 1")
-    return ranked.withColumn("excerpt", trim_excerpt(F.col("sentence"))).drop("__terms", "__pos", "__n", "sentence")
+    return ranked.withColumn("excerpt", F.coalesce(table_excerpt(F.col("text"), F.col("__terms")), trim_excerpt(F.col("sentence")))).drop("__terms", "__pos", "__n", "sentence")
 
 
 def extractive_bullets(evidence: DataFrame, most: int = 3) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.functions import lexicon as L
 from sparkloom.functions import text as T
 
 QUALITY_KEYS = ["hit_rate_at_5", "recall_at_5", "ndcg_at_5", "task_success"]
@@ -26,8 +27,11 @@ def token_overlap(pairs: DataFrame, id_col: str, prediction: str, reference: str
 
 
 def scoreable(answer: Column) -> Column:
-    """The answer without citation marks."""
-    return T.strip(F.regexp_replace(answer, r"\s*\[E[0-9]+\]", ""))
+    """The answer without one disclaimer at its end and without citation marks."""
+    cut = answer
+    for note in (n for pair in L.DISCLAIMERS.values() for n in pair if n):
+        cut = F.when(answer.endswith(note), F.substring(answer, F.lit(1), F.length(answer) - len(note))).otherwise(cut)
+    return T.strip(F.regexp_replace(cut, r"\s*\[E[0-9]+\]", ""))
 
 
 def faithfulness(answers: DataFrame, contexts: DataFrame, id_col: str = "query_id") -> DataFrame:
@@ -140,3 +144,77 @@ def match_cases(queries: DataFrame, cases: DataFrame) -> DataFrame:
 def embedding_cost(provider: Column, tokens: Column) -> Column:
     """0.20 USD a million tokens if hosted, nothing if local."""
     return F.when(provider == "local", 0.0).otherwise(F.round(tokens / 1_000_000 * 0.20, 8))
+
+
+def answer_metrics(answers: DataFrame, references: DataFrame) -> DataFrame:
+    """Best reference by F1, and whether any is the same: answers (query_id, answer), references (query_id, reference)."""
+    pairs = answers.select("query_id", scoreable(F.col("answer")).alias("answer")).join(references, "query_id").withColumn("pair", F.struct("query_id", "reference"))
+    scores = token_overlap(pairs.dropDuplicates(["pair"]), "pair", "answer", "reference")
+    same = lambda c: F.array_join(T.tokens(F.col(c)), " ")
+    exact = pairs.groupBy("query_id").agg(F.max((same("answer") == same("reference")).cast("double")).alias("exact_match"))
+    order = F.struct(F.col("token_f1"), F.col("pair.reference"))
+    best = scores.groupBy(F.col("pair.query_id").alias("query_id")).agg(F.max_by(F.struct("token_precision", "token_recall", "token_f1"), order).alias("m"))
+    return best.join(exact, "query_id").select("query_id", "exact_match", "m.*")
+
+
+def anchor_relevance(results: DataFrame, cases: DataFrame) -> DataFrame:
+    """case_id, rank, relevance of results by their case's anchors: source, document and page agree, the section holds the expected one, the text one of the anchors."""
+    met = results.join(cases, "case_id")
+    words = lambda c: F.array_join(T.tokens(c), " ")
+    place = (F.col("source_id") == F.col("expected_source_id")) & (F.col("document_name") == F.col("expected_document_name")) & (F.col("page_number") == F.col("expected_page"))
+    section = (F.coalesce("expected_section", F.lit("")) == "") | F.contains(words(F.col("section_title")), words(F.col("expected_section")))
+    anchor = F.exists("text_anchors", lambda a: F.contains(words(F.col("text")), words(a)))
+    good = F.col("expect_evidence") & F.coalesce(place & section & anchor, F.lit(False))
+    return met.select("case_id", "rank", F.when(good, "relevant").otherwise("not_relevant").alias("relevance"))
+
+
+def relevance_grades(results: DataFrame, items: DataFrame) -> DataFrame:
+    """query_id, rank, grade: the best grade of the judged items that a result matches, by chunk id or, for items without one, by place (blanks match all).
+
+    An item that names another chunk still counts where the place agrees and the
+    text holds one of its anchors.  Two equi-joins instead of a nested loop: by
+    chunk id, and by query for the few items that a query has.
+    """
+    by_id = results.join(items.where("coalesce(chunk_id, '') <> ''").select("query_id", "chunk_id", "relevance_grade"), ["query_id", "chunk_id"]).select("query_id", "rank", F.col("relevance_grade").alias("grade"))
+    i = items.select("query_id", *(F.col(c).alias(f"i_{c}") for c in ("chunk_id", "source_id", "document_name", "page_number", "relevance_grade", "anchors")))
+    met = results.join(i, "query_id")
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).isin("", "0")
+    place = F.lit(True)
+    for c in ("source_id", "document_name", "page_number"):
+        place = place & (blank(f"i_{c}") | (F.col(f"i_{c}") == F.col(c)))
+    words = lambda c: F.array_join(T.tokens(c), " ")
+    anchored = F.exists(F.coalesce("i_anchors", F.array().cast("array<string>")), lambda a: F.contains(words(F.col("text")), words(a)))
+    by_place = met.where(place & (blank("i_chunk_id") | anchored)).select("query_id", "rank", F.col("i_relevance_grade").alias("grade"))
+    best = by_id.unionByName(by_place).groupBy("query_id", "rank").agg(F.max("grade").alias("grade"))
+    return results.select("query_id", "rank").join(best, ["query_id", "rank"], "left").select("query_id", "rank", F.coalesce("grade", F.lit(0)).alias("grade"))
+
+
+def task_results(traces: DataFrame, cases: DataFrame) -> DataFrame:
+    """case_id, rule, passed for each rule that a case names; unknown rules have null.
+
+    traces: case_id, status, answer, citations, sources, generation_provider,
+    retrieval_count; cases: case_id, task_pass_rules, expected_status,
+    required_claims, expected_sources, accepted.
+    """
+    met = traces.join(cases, "case_id").withColumn("rule", F.explode(F.when(F.size("task_pass_rules") > 0, F.col("task_pass_rules")).otherwise(F.array(F.lit("expected_status")))))
+    said = F.array_join(T.tokens(F.col("answer")), " ")
+    count = lambda tokens, t: F.size(F.filter(tokens, lambda x: x == t))
+    covered = lambda claim: F.forall(F.array_distinct(T.tokens(claim)), lambda t: count(T.tokens(claim), t) <= count(T.tokens(F.col("answer")), t))
+    rules = {
+        "expected_status": (F.col("status") == F.col("expected_status")) | (F.col("expected_status") == "ready") & F.col("status").isin("ok", "ok_with_fallback"),
+        "required_claims_present": (F.size("required_claims") > 0) & F.forall("required_claims", covered),
+        "certified_citation_present": (F.coalesce("citations", F.lit("")) != "") & F.arrays_overlap("sources", "expected_sources"),
+        "generation_not_called": F.col("generation_provider") == "not_called",
+        "retrieval_not_called": F.coalesce("retrieval_count", F.lit(0)) == 0,
+        "structured_fields_present": T.strip(F.col("answer")) != "",
+        "answer_contains_accepted_value": F.exists("accepted", lambda a: F.contains(said, F.array_join(T.tokens(a), " "))),
+    }
+    passed = F.lit(None).cast("boolean")
+    for name, value in rules.items():
+        passed = F.when(F.col("rule") == name, F.coalesce(value, F.lit(False))).otherwise(passed)
+    return met.select("case_id", "rule", passed.alias("passed"))
+
+
+def task_success(results: DataFrame) -> DataFrame:
+    """case_id and whether all rules that apply passed; null if none applies."""
+    return results.groupBy("case_id").agg(F.bool_and("passed").alias("task_success"))

@@ -105,8 +105,12 @@ def stage_evidence(corpus: DataFrame, queries: DataFrame, catalog: DataFrame, k:
     history = F.coalesce("history", F.array().cast("array<string>"))
     asked = queries.withColumn("status", gate_status(F.col("query"), F.exists(history, lambda h: F.length(T.strip(h)) >= 8), history, F.lit(False)))
     rewritten = C.rewrite(F.col("query"), F.try_element_at(history, F.lit(-1)), F.size(history) > 0)
-    asked = asked.withColumns({"rewritten": rewritten, "category": C.route(rewritten, F.lit("all"))})
-    found = enrich(retrieve(corpus, asked.where("status is null").select("query_id", "query_vector"), k, threshold), catalog)
+    asked = asked.withColumn("rewritten", rewritten).withColumn("category", C.route(F.col("rewritten"), F.lit("all")))
+    open_questions = asked.where("status is null")
+    found = enrich(retrieve(corpus, open_questions.select("query_id", "query_vector"), k, threshold), catalog)
+    # evidence must name the condition that the question names
+    named = found.join(open_questions.select("query_id", C.evidence_groups(F.col("query")).alias("__groups")), "query_id")
+    found = named.where(C.matches_directly(F.col("__groups"), F.concat_ws(" ", "section_title", "text"))).drop("__groups")
     best = found.groupBy("query_id").agg(
         F.max("score").alias("best"),
         F.sort_array(F.collect_list(F.when(is_certified(F.col("source_id"), F.col("source_url")), F.struct("rank", "id", "score", "document_name", "source_id", "source_url")))).alias("chunks"),

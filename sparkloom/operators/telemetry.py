@@ -127,3 +127,35 @@ def profile_catalog(chunks: DataFrame, expected: int, accepted: list[int]) -> Da
     full = F.col("documents") >= expected
     status = F.when(full & F.col("dimension").isin(accepted), "ready").when(full, "awaiting_acceptance").when(F.col("chunks") > 0, "ingesting").otherwise("pending")
     return n.withColumn("status", status)
+
+
+def with_generation_totals(traces: DataFrame, prices: dict[str, tuple[float, float]]) -> DataFrame:
+    """Token totals (the provider's own if it reports them), cost in USD to eight decimals, failures and fallbacks.
+
+    traces: query_tokens, context_tokens, answer_tokens, usage struct<input, output,
+    total>, provider, attempts array<string> of statuses; prices per million
+    input and output tokens by provider; the extractive provider costs nothing.
+    """
+    told = F.coalesce(F.col("usage.total"), F.lit(0)) > 0
+    rows = traces.withColumns({
+        "input_tokens": F.when(told, F.col("usage.input")).otherwise(F.col("query_tokens") + F.col("context_tokens")), "output_tokens": F.when(told, F.col("usage.output")).otherwise(F.col("answer_tokens")),
+        "provider_failure_count": F.size(F.filter("attempts", lambda a: a == "error")),
+    })
+    cost = F.when(F.col("provider") == "extractive", 0.0)
+    for name, (given, made) in prices.items():
+        cost = cost.when(F.col("provider") == name, F.round(F.col("input_tokens") / 1e6 * given + F.col("output_tokens") / 1e6 * made, 8))
+    fallback = (F.col("provider_failure_count") > 0) & F.col("provider").isin("groq", "vercel_gateway", "extractive")
+    return rows.withColumns({"total_tokens": F.when(told, F.col("usage.total")).otherwise(F.col("input_tokens") + F.col("output_tokens")), "estimated_cost_usd": cost, "fallback_count": fallback.cast("int")})
+
+
+def report_markdown(rows: DataFrame, columns: list[str]) -> str:
+    """A small result as a Markdown table; meant for reports of a few rows, which it brings to the driver."""
+    body = [[str(r[c]) for c in columns] for r in rows.select(*columns).limit(1000).collect()]
+    return "\n".join("| " + " | ".join(cells) + " |" for cells in (columns, ["---"] * len(columns), *body))
+
+
+def quota_snapshot(used: dict[str, Column], limits: dict[str, int]) -> list[Column]:
+    """Utilisation (four decimals), what remains and the alert of each budget, as columns."""
+    share = {k: F.round(used[k] / limits[k], 4) if limits[k] else F.lit(0.0) for k in limits}
+    left = [F.greatest(F.lit(0), F.lit(limits[k]) - used[k]).alias(f"{k}_remaining") for k in limits]
+    return [*(v.alias(f"{k}_utilization") for k, v in share.items()), *left, alert(list(share.values())).alias("alert")]

@@ -14,7 +14,7 @@ _UNIT = "v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, sqrt(list_inner_p
 
 
 def _pairs(where: str) -> str:
-    return f"p AS (SELECT q.vec_id AS query_id, c.vec_id AS id, c.label, round(1.0::DOUBLE - list_inner_product(q.e, c.e) / (q.n * c.n), 6) AS distance FROM v q JOIN v c ON true WHERE {where})"
+    return f"p AS (SELECT q.vec_id AS query_id, c.vec_id AS id, c.label, round(1.0::DOUBLE - list_inner_product(q.e, c.e) / (q.n * c.n), 6) + 0.0::DOUBLE AS distance FROM v q JOIN v c ON true WHERE {where})"
 
 
 def _queries(t, where: str):
@@ -23,7 +23,7 @@ def _queries(t, where: str):
 
 def _shown(found):
     """Distances to six decimals: the engines differ in the last bits of sums."""
-    distance = F.round("distance", 6)
+    distance = F.round("distance", 6) + 0.0  # no negative zeros
     return found.select("query_id", "id", distance.alias("distance"), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - distance)), 3).alias("score"))
 
 

@@ -181,3 +181,56 @@ def test_streamed_reservations(spark, tmp_path):
     live = spark.readStream.schema("key string, event_id long, ts timestamp, input_tokens long").parquet(f"{tmp_path}/in")
     got = {r.event_id: r.allowed for r in streams.drain(streams.reservations(live, 2, 1000), "reserved", "append", f"{tmp_path}/ck").collect()}
     assert got == {0: True, 1: True, 2: False, 3: True, 4: True, 5: False, 6: True, 7: True}
+
+
+def test_table_excerpts(spark):
+    text = "Indicator | Insulin therapy in adults | Daily doses were adjusted by weekly fasting glucose over the whole study period | Other | x"
+    frame = spark.createDataFrame([(text, ["insulin", "therapy"])], "t string, terms array<string>")
+    got = frame.select(answers.table_excerpt(F.col("t"), F.col("terms")).alias("x")).first().x
+    assert got == "Insulin therapy in adults: Daily doses were adjusted by weekly fasting glucose over the whole study period."
+    assert frame.select(answers.table_excerpt(F.lit("no table"), F.col("terms")).alias("x")).first().x is None
+
+
+def test_layout_rules(spark):
+    from sparkloom.operators import layout
+
+    spans = [("d", 1, 0, 0, 0, 0.0, 0.0, 10.0, 5.0, 20.0, False, "Big Title"), ("d", 1, 1, 0, 0, 0.0, 10.0, 10.0, 15.0, 10.0, True, "Sub"), ("d", 1, 2, 0, 0, 0.0, 20.0, 10.0, 30.0, 10.0, False, "Body"), ("d", 1, 2, 0, 1, 0.0, 20.0, 10.0, 30.0, 10.0, False, "text"), ("d", 1, 2, 1, 0, 0.0, 20.0, 10.0, 30.0, 10.0, False, "line"), ("d", 1, 3, 0, 0, 0.0, 40.0, 10.0, 50.0, 10.0, False, "cell")]
+    schema = "document_name string, page_number int, block int, line int, span int, x0 double, y0 double, x1 double, y1 double, size double, bold boolean, text string"
+    tables = spark.createDataFrame([("d", 1, 0.0, 39.0, 10.0, 51.0)], "document_name string, page_number int, x0 double, y0 double, x1 double, y1 double")
+    got = [(r.elem_idx, r.content_type, r.section_title, r.subsection_title, r.content) for r in layout.elements(spark.createDataFrame(spans, schema), tables).orderBy("elem_idx").collect()]
+    assert got == [(0, "heading", "Big Title", "", "Big Title"), (1, "heading", "", "Sub", "Sub"), (2, "text", "", "", "Body text\nline")]
+
+
+def test_blank_texts_and_questions(spark):
+    from sparkloom.operators import embedding
+
+    rows = embedding.embed(spark.createDataFrame([(1, " "), (2, "a b")], "id int, text string")).collect()
+    assert all(abs(sum(x * x for x in r.embedding) - 1) < 1e-5 for r in rows)
+    with pytest.raises(Exception, match="blank"):
+        embedding.embed_queries(spark.createDataFrame([(" ",)], "query string")).collect()
+
+
+def test_engine_answers_from_its_corpus(spark):
+    from sparkloom.plans.engine import Engine
+
+    text = "Insulin therapy lowers the glucose level of most adults within a few weeks of careful daily treatment."
+    elements = spark.createDataFrame([("d.txt", 0, "text", "", "", 3, text), ("e.txt", 0, "text", "References", "", 1, "insulin therapy glucose adults " * 5)], "document_name string, elem_idx long, content_type string, section_title string, subsection_title string, page_number int, content string")
+    catalog = spark.createDataFrame([(n, f"s{n}", "https://x", "p", "2025", True) for n in ("d.txt", "e.txt")], "document_name string, source_id string, source_url string, publisher string, publication_date string, enabled boolean")
+    engine = Engine.ingest(elements, catalog)
+    asked = spark.createDataFrame([(1, "insulin therapy glucose adults treatment", []), (2, "I have chest pain", [])], "query_id int, query string, history array<string>")
+    got = {r.query_id: (r.status, r.answer) for r in engine.answer(asked, threshold=0.1).collect()}
+    assert got[1][0] == "ready" and got[1][1].startswith(f"- {text} [E1] (Page 3)") and got[1][1].endswith("medical decisions.*")
+    assert got[2] == ("safety_blocked", None)
+    assert engine.audit(64).count() == 2
+
+
+def test_generation_totals(spark):
+    frame = spark.createDataFrame([(10, 20, 30, None, "hosted", ["ok"]), (10, 20, 30, (5, 6, 11), "extractive", ["error", "ok"])], "query_tokens long, context_tokens long, answer_tokens long, usage struct<input:long,output:long,total:long>, provider string, attempts array<string>")
+    got = [(r.total_tokens, r.estimated_cost_usd, r.fallback_count) for r in telemetry.with_generation_totals(frame, {"hosted": (1.0, 2.0)}).collect()]
+    assert got == [(60, pytest.approx(9e-05), 0), (11, 0.0, 1)]
+
+
+def test_review_issues(spark):
+    cases = spark.createDataFrame([("a", "q", "en", "s"), ("a", "q", "en", "s"), ("b", "", "xx", "zz"), ("c", "سؤال", "en", None)], "case_id string, query string, language string, source_id string")
+    got = {(r.case_id, r.issue) for r in sinks.review_issues(cases, spark.createDataFrame([("s",)], "source_id string")).collect()}
+    assert got == {("a", "duplicate_case_id"), ("b", "missing_query"), ("b", "unknown_language"), ("b", "unknown_source"), ("c", "language_mismatch")}

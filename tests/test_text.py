@@ -131,3 +131,24 @@ def test_running_lines_go(spark):
 
 def test_chunk_ids(spark):
     assert one(spark, T.chunk_id(F.lit("A file-name.v2.pdf"), F.lit(3), F.lit(7))) == "A_file_name_v2_p3_c7"
+
+
+def test_hints_replace_the_question(spark):
+    say = lambda q: one(spark, C.rewrite(F.col("q"), F.lit(""), F.lit(False)), q=q)
+    assert say("How much was spent on care in 2024?") == "Over USD 1 trillion was spent on diabetes in 2024; 12% of global health expenditure"
+    assert say("كم عدد البالغين في 2024 وفي 2050") == "589 million adults aged 20 79 living with diabetes in 2024; adults living with diabetes projected 853 million by 2050"
+
+
+def test_evidence_must_name_the_condition(spark):
+    meets = lambda q, e: one(spark, C.matches_directly(C.evidence_groups(F.col("q")), F.col("e")), q=q, e=e)
+    assert meets("treatment of type 1", "Type 1 diabetes needs insulin") and not meets("treatment of type 1", "type 2 only")
+    assert not meets("risk factors for type 2", "type 2 and risk factor") and meets("risk factors for type 2", "Risk factors for  type 2 diabetes are")
+    assert meets("anything", "at all")
+
+
+@pytest.mark.parametrize(
+    ("text", "expected"),
+    [("the cat and the dog are in the house of the king", "en"), ("le chat et la souris sont dans la maison pour une nuit", "fr"), ("der Hund und die Katze sind nicht auf dem Dach", "de"), ("el perro y los gatos en la casa con una flor para el rey", "es"), ("short", "en"), ("هذا هو السؤال عن العلاج في المنزل", "ar")],
+)
+def test_languages(spark, text, expected):
+    assert one(spark, C.language(F.col("t")), t=text) == expected
