@@ -38,12 +38,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df once and return it as read back: later plans start from the files."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path  # for drop()
     return out
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores: for costly work on a table of few files."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(4 * cores)
+
+
 def drop(df: DataFrame) -> None:
     """Remove a table that materialize() made and that no later plan reads."""
     _remove(df.sparkSession, df.scratch_path)

@@ -36,7 +36,7 @@ UNIGRAM, BPE = 1, 2
 #: Penalty of an unknown character in a unigram model, below the lowest score.
 UNKNOWN_PENALTY = 10.0
 #: Chunks remembered by a worker, twice: about 250 bytes each.
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 300_000
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, object]]:
@@ -129,7 +129,7 @@ class Transducer:
         key = (left + 1) * len(self.pieces) + right
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > 1_000_000:
                 self.pairs.clear()
             parts = [self.pieces[right][0]] if left < 0 else [self.pieces[left][0], self.pieces[right][0]]
             known = self.pairs[key] = self._merge("".join(parts)) == parts
@@ -254,18 +254,39 @@ def _model(spark, path: str | None):
     return hashlib.sha256(raw).hexdigest(), spark.sparkContext.broadcast(raw)
 
 
-def encode(docs: DataFrame, model: str | None = None, text_col: str = "text", out_col: str = "ids") -> DataFrame:
-    """docs with the piece ids of the text; a null text has null ids, an empty one none. All rows and columns stay; a column of the new one's name is replaced."""
+#: Rows whose lists of ids are held at a time.
+SLICE_ROWS = 256
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i in range(0, b.num_rows, SLICE_ROWS):
+            yield b.slice(i, SLICE_ROWS)
+
+
+def encode(docs: DataFrame, model: str | None = None, text_col: str = "text", out_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
+    """docs with the piece ids of the text and, if asked for, the text that they decode to.
+
+    A null text has null ids, an empty one none.  All rows and columns stay; a
+    column of a new one's name is replaced.
+    """
     key, raw = _model(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = _transducer(key, raw.value)
-        for b in batches:
+        for b in _slices(batches):
             ids = [None if (x := v.as_py()) is None else t.encode(x) for v in b.column(text_col)]
-            yield b.append_column(out_col, pa.array(ids, pa.list_(pa.int32())))
+            rest = b.select([c for c in b.schema.names if c not in new])
+            rest = rest.append_column(out_col, pa.array(ids, pa.list_(pa.int32())))
+            if decoded_col:
+                rest = rest.append_column(decoded_col, pa.array([None if x is None else t.decode(x) for x in ids], pa.string()))
+            yield rest
 
-    rest = docs.drop(out_col)
-    return rest.mapInArrow(run, StructType([*rest.schema.fields, StructField(out_col, ArrayType(IntegerType()))]))
+    new = {out_col, decoded_col}
+    fields = [f for f in docs.schema.fields if f.name not in new] + [StructField(out_col, ArrayType(IntegerType()))]
+    if decoded_col:
+        fields.append(StructField(decoded_col, StringType()))
+    return docs.mapInArrow(run, StructType(fields))
 
 
 def decode(tokens: DataFrame, model: str | None = None, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -274,7 +295,7 @@ def decode(tokens: DataFrame, model: str | None = None, ids_col: str = "ids", ou
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = _transducer(key, raw.value)
-        for b in batches:
+        for b in _slices(batches):
             texts = [None if (x := v.as_py()) is None else t.decode(x) for v in b.column(ids_col)]
             yield b.append_column(out_col, pa.array(texts, pa.string()))
 
