@@ -174,11 +174,11 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     labels = near_duplicates(docs, id_col, text_col)
     keep = labels.where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
     named = docs.join(keep, docs[id_col] == keep["__keep"], "left_semi").dropDuplicates([id_col])
-    nameless = labels.where("component_id is null").select("fingerprint").distinct()
+    nameless = labels.where("component_id is null").select(F.col("fingerprint").alias("__print")).distinct()
     if nameless.isEmpty():
         return named
     # rows without an id: one for each fingerprint that only such rows carry
-    prints = fingerprints(docs.where(F.col(id_col).isNull()).select(F.monotonically_increasing_id().alias("doc_id"), F.col(text_col).alias("text")))
-    orphans = docs.where(F.col(id_col).isNull()).withColumn("__row", F.monotonically_increasing_id()).join(prints.withColumnRenamed("doc_id", "__row"), "__row")
-    orphans = orphans.withColumn("__fp", F.lower(F.lpad(F.hex("fp"), 16, "0"))).join(nameless.withColumnRenamed("fingerprint", "__fp"), "__fp", "left_semi")
-    return named.unionByName(orphans.dropDuplicates(["__fp"]).select(docs.columns))
+    orphans = docs.where(F.col(id_col).isNull()).withColumn("__row", F.xxhash64(*docs.columns))
+    prints = fingerprints(orphans, "__row", text_col).select(F.col("doc_id").alias("__row"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("__print")).distinct()
+    kept = orphans.join(prints, "__row").join(nameless, "__print", "left_semi").dropDuplicates(["__print"])
+    return named.unionByName(kept.select(docs.columns))

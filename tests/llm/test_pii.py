@@ -1,0 +1,95 @@
+from __future__ import annotations
+
+import hashlib
+import re
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from sparkloom.llm import pii as P
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def brute(text):
+    out = [("email", *m.span()) for m in EMAIL.finditer(text)]
+    out += [("ip", *m.span()) for m in IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    out += [("card", *m.span()) for m in CARD.finditer(text) if 12 <= len(digits(m[0])) <= 19 and P.luhn(digits(m[0]))]
+    out += [("phone", *m.span()) for m in PHONE.finditer(text) if 9 <= len(digits(m[0])) <= 15]
+    return sorted(out, key=lambda s: (s[1], P.KINDS.index(s[0]), s[2]))
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="aZ09@.+-() \né", max_size=60))
+def test_base_spans_match_the_patterns(text):
+    assert P.base_spans(text) == brute(text)
+
+
+def test_base_spans_in_documents(docs):
+    texts = [r.text for r in docs.collect()]
+    got = {r.doc_id: r for r in P.find_spans(docs).collect()}
+    for row, text in zip(docs.collect(), texts):
+        spans = brute(text)
+        digest = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        assert got[row.doc_id].base_sha256 == hashlib.sha256(digest.encode()).hexdigest()
+        assert got[row.doc_id].n_email == sum(s[0] == "email" for s in spans)
+        assert not spans or set(digest.split(",")) <= set(got[row.doc_id].spans.split(","))
+
+
+def brute_decode(text, base):
+    """Best set of candidate segments by trying all."""
+    from itertools import combinations
+
+    cands = []
+    for pattern, kinds in P._CANDIDATES:
+        for m in pattern.finditer(text):
+            if m.end() - m.start() <= P.MAX_SPAN and all(m.end() <= lo or hi <= m.start() for _, lo, hi in base):
+                for k in kinds:
+                    score = sum(P.POTENTIALS[k].get(n, 0.0) * v for n, v in P._features(k, text, *m.span()))
+                    if score > 0:
+                        cands.append((k, *m.span(), score))
+    best = 0.0
+    for n in range(len(cands) + 1):
+        for pick in combinations(cands, n):
+            spans = sorted((lo, hi) for _, lo, hi, _ in pick)
+            if all(a[1] <= b[0] for a, b in zip(spans, spans[1:])):
+                best = max(best, sum(s for *_, s in pick))
+    return best
+
+
+def test_model_adds_what_patterns_miss():
+    text = "Call me at (851) 555-9673 or mail jane [at] example [dot] org, ip 2001:0db8:85a3:0000:0000:8a2e:0370:7334."
+    added = P.decode(text, P.base_spans(text))
+    assert {k for k, _, _ in added} == {"phone", "email", "ip"}
+    score = sum(sum(P.POTENTIALS[k].get(n, 0.0) * v for n, v in P._features(k, text, lo, hi)) for k, lo, hi in added)
+    assert abs(score - brute_decode(text, P.base_spans(text))) < 1e-9
+    for lo, hi in ((lo, hi) for _, lo, hi in added):
+        assert all(hi <= a or b <= lo for _, a, b in P.base_spans(text))
+
+
+def test_clean_text_stays_clean():
+    for text in ["version 1.2.3 of 2024-01-02 costs 12 345 678", "room 101 555 1234 chairs", "a" * 1000, "1" * 5000, "see section 3.4.5.6.7 at home"]:
+        assert P.decode(text, P.base_spans(text)) == []
+
+
+def test_long_runs_take_linear_time():
+    for text in ["1" * 200_000, "a" * 200_000 + "@", "+1" * 50_000, "1." * 100_000, "(" * 100_000]:
+        P.base_spans(text)
+        P.decode(text, [])
+
+
+def test_redaction():
+    assert P.redact_text("mail a@b.co, +1 (851) 555-9673!") == "mail [EMAIL], [PHONE]!"
+    assert P.redact_text("") == ""
+
+
+def test_odd_rows(odd_docs, no_docs):
+    got = P.find_spans(odd_docs).toPandas()
+    assert len(got) == 9 and (got["spans"] == "").all()
+    assert P.redact(odd_docs).collect().count is not None and P.redact(odd_docs).columns == odd_docs.columns
+    assert sum(r.text is None for r in P.redact(odd_docs).collect()) == 2
+    assert P.find_spans(no_docs).count() == 0 and P.redact(no_docs).count() == 0

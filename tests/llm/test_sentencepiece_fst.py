@@ -62,4 +62,5 @@ def test_odd_rows(odd_docs, no_docs):
     assert set(tokens.columns) == {*odd_docs.columns, "decoded"}
     for r in tokens.collect():
         assert r.decoded == r.text and (r.ids is None) == (r.text is None)
+    assert P.encode(odd_docs, decoded_col="decoded").select(*tokens.columns).collect() == tokens.collect()
     assert P.encode_digest(no_docs).count() == 0 and P.encode(no_docs).count() == 0
