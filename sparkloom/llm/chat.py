@@ -39,12 +39,12 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"\\([\s\S])", "$1")
 
 
-def _running(rows: DataFrame, sums: dict[str, str]) -> DataFrame:
+def _running(rows: DataFrame, sums: dict[str, str], by: list[str]) -> DataFrame:
     """Adds for each name the sum of a column over the earlier turns of the conversation, in two levels."""
     parts = rows.groupBy("key", "bucket").agg(*(F.sum(c).alias(f"__{k}") for k, c in sums.items()))
     order = Window.partitionBy("key").orderBy("bucket")
     before = parts.select("key", "bucket", *((F.sum(f"__{k}").over(order) - F.col(f"__{k}")).alias(f"__b_{k}") for k in sums))
-    within = Window.partitionBy("key", "bucket").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("key", "bucket").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
     met = rows.join(before, ["key", "bucket"])
     return met.select(*rows.columns, *((F.col(f"__b_{k}") + F.sum(c).over(within) - F.col(c)).alias(k) for k, c in sums.items()))
 
@@ -60,30 +60,33 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, conv
     text, role = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (text_col, role_col))
     rows = turns.select(F.coalesce(F.col(conv_col).cast("string"), F.lit("")).alias("key"), F.col(turn_col).cast("long").alias("turn"), role.alias("role"), text.alias("text"))
     head = F.concat(F.lit(START), F.regexp_replace(escape(F.col("role")), r"\n", "\\\\\n"), F.lit("\n"))
-    rows = rows.withColumns({"head": head, "body": escape(F.col("text")), "bucket": F.coalesce(F.floor(F.col("turn") / BUCKET), F.lit(-(1 << 62)))})
-    rows = rows.withColumn("tokens", F.ceil((F.length("head") + F.length("body") + len(END)) / CHARS_PER_TOKEN))
-    rows = _running(rows.withColumn("one", F.lit(1).cast("long")), {"at": "one", "begin": "tokens"})
-    system = rows.where("role = 'system'").groupBy("key").agg(F.min(F.struct("at", "tokens", "head", "body")).alias("s"))
-    system = system.select("key", F.col("s.at").alias("s_at"), F.col("s.tokens").alias("s_tokens"), F.col("s.head").alias("s_head"), F.col("s.body").alias("s_body"))
+    body = escape(F.col("text"))
+    tokens = F.ceil((F.length(head) + F.length(body) + len(END)) / CHARS_PER_TOKEN)
+    rows = rows.select("*", F.coalesce(F.floor(F.col("turn") / BUCKET), F.lit(-(1 << 62))).alias("bucket"), tokens.alias("tokens"), F.lit(1).cast("long").alias("one"))
+    rows = _running(rows, {"at": "one", "begin": "tokens"}, ["turn", "role", "text"])
+    rows = materialize(rows.select("key", "bucket", "at", "begin", "tokens", "role", head.alias("head"), body.alias("body")), "chat-turns")
+    # which turns stand in which windows is worked out without their texts
+    narrow = rows.select("key", "bucket", "at", "begin", "tokens", "role")
+    system = narrow.where("role = 'system'").groupBy("key").agg(F.min(F.struct("at", "tokens")).alias("s")).select("key", F.col("s.at").alias("s_at"), F.col("s.tokens").alias("s_tokens"))
     # half of what a window has for new turns
     stride = F.greatest(F.floor((F.lit(budget - history) - F.coalesce("s_tokens", F.lit(0))) / 2), F.lit(1))
-    rows = rows.join(system.select("key", "s_at", "s_tokens"), "key", "left").withColumn("stride", stride)
-    rows = rows.withColumn("long", (F.col("tokens") > F.col("stride")).cast("long"))
-    rows = _running(rows, {"longs": "long"})
-    rows = rows.withColumns({"cell": F.floor(F.col("begin") / F.col("stride")), "run": 2 * F.col("longs") + F.col("long")})
-    rows = materialize(rows.select("key", "at", "begin", "role", "head", "body", "s_at", "cell", "run"), "chat-turns")
-    starts = rows.groupBy("key", "cell", "run").agg(F.min("at").alias("first"), F.min("begin").alias("from"))
-    starts = materialize(starts, "chat-windows")
-    item = lambda kind, at, head, body, target: F.struct(F.lit(kind).alias("kind"), at.alias("at"), head.alias("head"), body.alias("body"), target.alias("target"))
-    new = rows.join(starts, ["key", "cell", "run"]).select("key", "first", item(2, F.col("at"), F.col("head"), F.col("body"), F.col("role") == "assistant").alias("item"))
+    narrow = narrow.join(system, "key", "left").withColumn("stride", stride).withColumn("long", (F.col("tokens") > F.col("stride")).cast("long"))
+    narrow = _running(narrow.select("key", "bucket", "at", "begin", "s_at", "stride", "long"), {"longs": "long"}, ["at"])
+    narrow = narrow.select("key", "at", "begin", "s_at", F.floor(F.col("begin") / F.col("stride")).alias("cell"), (2 * F.col("longs") + F.col("long")).alias("run"))
+    narrow = materialize(narrow, "chat-places")
+    starts = materialize(narrow.groupBy("key", "cell", "run").agg(F.min("at").alias("first"), F.min("begin").alias("from")), "chat-windows")
+    new = narrow.join(starts, ["key", "cell", "run"]).select("key", "at", "first", F.lit(2).alias("kind"))
     # turns that end at most `history` tokens before a window begins: a range join on a grid of that width
     grid = starts.select("key", "first", "from", F.floor(F.col("from") / history).alias("bin"))
-    past = rows.where(F.coalesce(F.col("at") != F.col("s_at"), F.lit(True)))
-    past = past.select("key", "at", "begin", "head", "body", F.explode(F.array(F.floor(F.col("begin") / history), F.floor(F.col("begin") / history) + 1)).alias("bin"))
+    past = narrow.where(F.coalesce(F.col("at") != F.col("s_at"), F.lit(True)))
+    past = past.select("key", "at", "begin", F.explode(F.array(F.floor(F.col("begin") / history), F.floor(F.col("begin") / history) + 1)).alias("bin"))
     near = past.join(grid, ["key", "bin"]).where((F.col("from") > F.col("begin")) & (F.col("from") - F.col("begin") <= history))
-    old = near.select("key", "first", item(1, F.col("at"), F.col("head"), F.col("body"), F.lit(False)).alias("item"))
-    kept = starts.join(system, "key").where(F.col("s_at") < F.col("first")).select("key", "first", item(0, F.col("s_at"), F.col("s_head"), F.col("s_body"), F.lit(False)).alias("item"))
-    every = new.unionByName(old).unionByName(kept).groupBy("key", "first").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    old = near.select("key", "at", "first", F.lit(1).alias("kind"))
+    kept = starts.join(system, "key").where(F.col("s_at") < F.col("first")).select("key", F.col("s_at").alias("at"), "first", F.lit(0).alias("kind"))
+    placed = rows.select("key", "at", "role", "head", "body").join(new.unionByName(old).unionByName(kept), ["key", "at"])
+    target = (F.col("kind") == 2) & (F.col("role") == "assistant")
+    item = F.struct("kind", "at", "head", "body", target.alias("target"))
+    every = placed.groupBy("key", "first").agg(F.sort_array(F.collect_list(item)).alias("items"))
     written = F.transform("items", lambda x: F.concat(x["head"], x["body"], F.lit(END)))
     state = F.struct(F.lit(0).alias("o"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
 
