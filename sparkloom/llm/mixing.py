@@ -14,6 +14,7 @@ and blocks meet in an equi-join on (source, block index).
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -172,7 +173,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         raise ValueError(f"a mix has at most {MAX_SOURCES} sources")
     plan = plan_sources([(r["source"], r["size"]) for r in totals], weights, max_repeat, block_words)
     table = spark.createDataFrame([(s.index, s.name, s.block_words) for s in plan], "s int, source string, block_words int")
-    buckets = -(-sum(r["n"] for r in totals) // 20_000) or 1
+    rows = sum(r["n"] for r in totals)
+    buckets = max(1, rows // max(1000, math.isqrt(rows)))  # as many rows in a bucket as a source has buckets, at scale
     keyed = base.join(table, base.source.eqNullSafe(table.source)).select("doc_id", "text_hash", "copy", "s", "size", "block_words", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(buckets)).alias("bucket"))
     if not sum(s.slots for s in plan):
         return Mix(keyed.withColumn("start", F.lit(0).cast("long")), None, plan, None)

@@ -140,7 +140,7 @@ def _estimate(rows: DataFrame, names: list[str]) -> DataFrame:
     for step in range(STEPS + 1):
         far = rows.join(model, "pool").select("pool", *names, F.least(F.floor(F.log1p(_distance(names)) * 200), F.lit(4000)).alias("d"))
         if step < STEPS:
-            cut = far.groupBy("pool").agg(F.percentile("d", F.lit(SUPPORT)).alias("cut"))
+            cut = materialize(far.groupBy("pool").agg(F.percentile("d", F.lit(SUPPORT)).alias("cut")), "quality-cut")
             near = far.join(cut, "pool").where("d <= cut")
         else:
             near = far.where(F.col("d") <= F.floor(F.log1p(F.lit(NEAR)) * 200))
