@@ -55,7 +55,7 @@ def test_vector_search_blocks_agree(spark, sf, monkeypatch):
 
 
 def test_gates(spark):
-    ask = ["", "I have chest pain", "what dose should i take", "type 5 diabetes", "help", "tell me about the weather", "what does insulin do"]
+    ask = ["", "I have chest pain", "what dose should i take", "type 5 diabetes", "help", "who won the football match yesterday", "what does insulin do"]
     frame = spark.createDataFrame([(q,) for q in ask], "q string")
     none = F.array().cast("array<string>")
     got = [r.s for r in frame.select(retrieval.gate_status(F.col("q"), F.lit(False), none, F.lit(False)).alias("s")).collect()]
