@@ -11,16 +11,23 @@ candidates scores 0 whatever its division, the programme needs to visit the
 candidates' ends only, and the result is that of the programme over all
 positions.
 
-The potentials are set, not fitted: the tables have no marked spans to fit on.
+The potentials are fitted by conditional likelihood on the corpus itself.  No
+table marks spans, so examples are made from base spans of a bounded sample of
+documents (`sample_rows`): each is rewritten in its own surroundings to a form
+that the patterns miss (the segment to find) or to one that only looks like it
+(a wrong check digit, a number without any cue: nothing to find).  A Gaussian
+prior around stated potentials keeps what such examples cannot tell.
 """
 
 from __future__ import annotations
 
 import bisect
 import hashlib
+import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -119,7 +126,8 @@ def _features(kind: str, text: str, lo: int, hi: int) -> Iterator[tuple[str, flo
     yield "all one digit", float(len(set(digits)) == 1)
 
 
-POTENTIALS: dict[str, dict[str, float]] = {
+#: Means of the prior.
+PRIOR: dict[str, dict[str, float]] = {
     "email": {"bias": -2.0, "bracketed at": 3.0, "cue": 2.5, "other cue": -1.0},
     "ip": {"bias": 1.0, "cue": 1.0, "all one digit": -2.0},
     "card": {"bias": -6.0, "luhn": 4.0, "length": 1.5, "cue": 2.0, "separators agree": 1.0, "other cue": -2.0, "all one digit": -6.0},
@@ -127,8 +135,20 @@ POTENTIALS: dict[str, dict[str, float]] = {
 }
 
 
-def decode(text: str, base: list[Span]) -> list[Span]:
-    """Spans that the model adds: the set of segments, clear of each other and of the base spans, that scores most."""
+FEATURES = ["bias", "cue", "other cue", "separators agree", "bracketed at", "luhn", "length", "area in brackets", "two zeros", "touches symbols", "all one digit"]
+SAMPLE_ROWS = 5000
+#: Precision of the prior, and steps of the fit.
+PRECISION, FIT_STEPS = 4.0, 150
+#: Code points kept on either side of a rewritten span.
+AROUND = 50
+
+
+def _weights(potentials: dict[str, dict[str, float]]) -> np.ndarray:
+    return np.array([[potentials[k].get(f, 0.0) for f in FEATURES] for k in KINDS])
+
+
+def _segments(text: str, base: list[Span]) -> list[tuple[int, int, int, list[float]]]:
+    """Candidate segments clear of the base spans: (end, start, kind, features), by end."""
     if not _TRIGGER.search(text):
         return []
     taken = sorted((lo, hi) for _, lo, hi in base)
@@ -137,7 +157,7 @@ def decode(text: str, base: list[Span]) -> list[Span]:
     for _, hi in taken:
         top = max(top, hi)
         reach.append(top)
-    segments = []
+    out = {}
     for pattern, kinds in _CANDIDATES:
         for m in pattern.finditer(text):
             lo, hi = m.span()
@@ -145,10 +165,14 @@ def decode(text: str, base: list[Span]) -> list[Span]:
             if hi - lo > MAX_SPAN or i and reach[i - 1] > lo:
                 continue
             for kind in kinds:
-                score = sum(POTENTIALS[kind].get(name, 0.0) * value for name, value in _features(kind, text, lo, hi))
-                if score > 0:  # a segment below 0 is never better than no segment
-                    segments.append((hi, lo, KINDS.index(kind), score))
-    segments = sorted(set(segments))
+                out[hi, lo, KINDS.index(kind)] = [v for _, v in _features(kind, text, lo, hi)]
+    return [(*k, out[k]) for k in sorted(out)]
+
+
+def decode(text: str, base: list[Span], weights: np.ndarray) -> list[Span]:
+    """Spans that the model adds: the set of segments, clear of each other and of the base spans, that scores most."""
+    # a segment below 0 is never better than no segment
+    segments = [(hi, lo, kind, score) for hi, lo, kind, x in _segments(text, base) if (score := float(weights[kind] @ x)) > 0]
     ends = [s[0] for s in segments]
     best, back = [0.0], [None]  # over the first j segments by end
     for j, (_hi, lo, _kind, score) in enumerate(segments):
@@ -167,17 +191,113 @@ def decode(text: str, base: list[Span]) -> list[Span]:
     return out
 
 
+def _rewrites(kind: str, span: str) -> list[tuple[str, str, bool]]:
+    """Forms of a base span that the patterns miss: (text before, form, it is personal data)."""
+    digits = re.sub("[^0-9]", "", span)
+    if kind == "email":
+        local, domain = span.split("@")
+        spelled = domain.replace(".", " dot ")
+        return [("", f"{local} [at] {domain}", True), ("", f"{local} (at) {domain.replace('.', ' (dot) ')}", True), ("email ", f"{local} at {spelled}", True)]
+    if kind == "ip":
+        groups = [f"{(int(p) * 257 + 4369 * i) & 0xFFFF:x}" for i, p in enumerate(span.split(".") * 2)]
+        return [("", ":".join(groups), True)]
+    if kind == "card":
+        if len(digits) != 16:
+            return []
+        wrong = digits[:-1] + str((int(digits[-1]) + 5) % 10)
+        return [("card ", re.sub("(.{4})(?=.)", rf"\1{mark}", d), d == digits) for d in (digits, wrong) for mark in (".", "_")]
+    own = digits[-10:]
+    spaced = f"{own[:3]} {own[3:6]} {own[6:]}"
+    return [("", f"({own[:3]}) {own[3:6]}-{own[6:]}", True), ("tel ", spaced, True), ("call ", f"00{digits}", True), ("about ", spaced, False), ("", f"{spaced}%", False)] if len(own) == 10 else []
+
+
+Example = list[tuple[int, int, int, list[float], bool]]
+
+
+def examples(text: str) -> list[Example]:
+    """Candidate segments of rewritten surroundings, each with whether it is to be found."""
+    base = base_spans(text)
+    out = []
+    for kind, lo, hi in base:
+        if any(lo < b and a < hi for k, a, b in base if (k, a, b) != (kind, lo, hi)):
+            continue
+        for before, form, personal in _rewrites(kind, text[lo:hi]):
+            head = f"{text[max(0, lo - AROUND) : lo]} {before}"
+            said = f"{head}{form} {text[hi : hi + AROUND]}"
+            gold = (len(head) + len(form), len(head), KINDS.index(kind))
+            found = _segments(said, base_spans(said))
+            if found and (not personal or gold in {s[:3] for s in found}):
+                out.append([(*s, personal and s[:3] == gold) for s in found])
+    return out
+
+
+def _gradient(example: Example, weights: np.ndarray, into: np.ndarray) -> None:
+    """Adds observed minus expected features of one lattice; expectations by the forward and backward sums over sets of disjoint segments."""
+    score = [float(weights[k] @ x) for _, _, k, x, _ in example]
+    ends, n = [s[0] for s in example], len(example)
+    begins = sorted(s[1] for s in example)
+    before = [bisect.bisect_right(ends, s[1]) for s in example]
+    ahead = [0.0]
+    for j in range(n):
+        ahead.append(float(np.logaddexp(ahead[j], ahead[min(before[j], j)] + score[j])))
+    order = sorted(range(n), key=lambda j: example[j][1])
+    after = [0.0] * (n + 1)  # over the segments from the i-th by start on
+    for i in range(n - 1, -1, -1):
+        j = order[i]
+        after[i] = float(np.logaddexp(after[i + 1], score[j] + after[bisect.bisect_left(begins, ends[j])]))
+    for j, (_, _, kind, x, gold) in enumerate(example):
+        p = np.exp(ahead[before[j]] + score[j] + after[bisect.bisect_left(begins, ends[j])] - ahead[n])
+        into[kind] += (gold - p) * np.asarray(x)
+
+
+def fit(found: list[Example], prior: np.ndarray) -> np.ndarray:
+    """Weights that are most probable given examples and prior; equal lattices are taken once with their number."""
+    count: dict[str, int] = {}
+    kept: dict[str, Example] = {}
+    for e in found:
+        at = min(s[1] for s in e)
+        shape = repr([(hi - at, lo - at, k, x, g) for hi, lo, k, x, g in e])
+        count[shape] = count.get(shape, 0) + 1
+        kept[shape] = e
+    weights, total = prior.copy(), sum(count.values())
+    for _ in range(FIT_STEPS if total else 0):
+        step = np.zeros_like(weights)
+        for shape in sorted(count):
+            own = np.zeros_like(weights)
+            _gradient(kept[shape], weights, own)
+            step += count[shape] / total * own
+        weights += step - PRECISION / 100 * (weights - prior)
+    return weights
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> np.ndarray:
+    """Weights fitted on examples from about `sample_rows` documents, chosen by a hash; without examples, the prior."""
+    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"))
+    share = min(1.0, sample_rows / max(rows.count(), 1))
+    chosen = rows.where((F.pmod(F.xxhash64("i", F.lit("pii")), F.lit(1 << 20)) < int(share * (1 << 20))) & F.col("t").rlike("[0-9]"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [json.dumps(e) for t in b.column(0) for e in examples(t.as_py() or "")]
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.string())], ["e"])
+
+    # every example is some hundred bytes, and a document's examples are bounded by its spans
+    lines = sorted(r["e"] for r in chosen.select("t").mapInArrow(run, "e string").collect())
+    return fit([[tuple(s) for s in json.loads(e)] for e in lines], _weights(PRIOR))
+
+
 def _digest(spans: list[Span]) -> str:
     return ",".join(f"{k}:{lo}:{hi}" for k, lo, hi in spans)
 
 
-def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weights: np.ndarray | None = None) -> DataFrame:
     """One row per document: doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (base and added).
 
     Null and empty texts have no spans (spans is empty then); null ids and
     repeated rows keep their rows; other columns are ignored; an empty table
-    gives no rows.
+    gives no rows.  Without weights the model is trained on the documents first.
     """
+    weights = train(docs, id_col, text_col) if weights is None else weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -185,7 +305,7 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             for t in b.column(1):
                 text = t.as_py() or ""
                 base = base_spans(text)
-                every = _sorted(base + decode(text, base))
+                every = _sorted(base + decode(text, base, weights))
                 rows.append([*(sum(s[0] == k for s in base) for k in KINDS), hashlib.sha256(_digest(base).encode()).hexdigest(), _digest(every)])
             columns = list(zip(*rows)) or [[]] * 6
             kinds = [pa.int64()] * 4 + [pa.string()] * 2
@@ -194,12 +314,12 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
-def redact_text(text: str) -> str:
+def redact_text(text: str, weights: np.ndarray) -> str:
     """The text with each span, overlapping ones merged, replaced by its first kind in square brackets."""
     base = base_spans(text)
     out, end = [], 0
     merged: list[list] = []
-    for kind, lo, hi in _sorted(base + decode(text, base)):
+    for kind, lo, hi in _sorted(base + decode(text, base, weights)):
         if merged and lo < merged[-1][2]:
             merged[-1][2] = max(hi, merged[-1][2])
         else:
@@ -210,12 +330,13 @@ def redact_text(text: str) -> str:
     return "".join([*out, text[end:]])
 
 
-def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with personal data in the text replaced; all rows and columns stay, a null text stays null."""
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weights: np.ndarray | None = None) -> DataFrame:
+    """docs with personal data in the text replaced; all rows and columns stay, a null text stays null. Trained as in `find_spans`."""
+    weights = train(docs, id_col, text_col) if weights is None else weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [None if (x := t.as_py()) is None else redact_text(x) for t in b.column(text_col)]
+            texts = [None if (x := t.as_py()) is None else redact_text(x, weights) for t in b.column(text_col)]
             i = b.schema.get_field_index(text_col)
             yield b.set_column(i, b.schema.field(i), pa.array(texts, b.schema.field(i).type))
 

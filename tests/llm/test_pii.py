@@ -40,51 +40,84 @@ def test_base_spans_in_documents(docs):
         assert not spans or set(digest.split(",")) <= set(got[row.doc_id].spans.split(","))
 
 
-def brute_decode(text, base):
-    """Best set of candidate segments by trying all."""
+def disjoint_sets(segments):
     from itertools import combinations
 
-    cands = []
-    for pattern, kinds in P._CANDIDATES:
-        for m in pattern.finditer(text):
-            if m.end() - m.start() <= P.MAX_SPAN and all(m.end() <= lo or hi <= m.start() for _, lo, hi in base):
-                for k in kinds:
-                    score = sum(P.POTENTIALS[k].get(n, 0.0) * v for n, v in P._features(k, text, *m.span()))
-                    if score > 0:
-                        cands.append((k, *m.span(), score))
-    best = 0.0
-    for n in range(len(cands) + 1):
-        for pick in combinations(cands, n):
-            spans = sorted((lo, hi) for _, lo, hi, _ in pick)
+    for n in range(len(segments) + 1):
+        for pick in combinations(range(len(segments)), n):
+            spans = sorted((segments[i][1], segments[i][0]) for i in pick)
             if all(a[1] <= b[0] for a, b in zip(spans, spans[1:])):
-                best = max(best, sum(s for *_, s in pick))
-    return best
+                yield pick
+
+
+PRIOR = P._weights(P.PRIOR)
 
 
 def test_model_adds_what_patterns_miss():
     text = "Call me at (851) 555-9673 or mail jane [at] example [dot] org, ip 2001:0db8:85a3:0000:0000:8a2e:0370:7334."
-    added = P.decode(text, P.base_spans(text))
+    base = P.base_spans(text)
+    added = P.decode(text, base, PRIOR)
     assert {k for k, _, _ in added} == {"phone", "email", "ip"}
-    score = sum(sum(P.POTENTIALS[k].get(n, 0.0) * v for n, v in P._features(k, text, lo, hi)) for k, lo, hi in added)
-    assert abs(score - brute_decode(text, P.base_spans(text))) < 1e-9
+    segments = P._segments(text, base)
+    score = lambda pick: sum(PRIOR[segments[i][2]] @ segments[i][3] for i in pick)
+    places = {(P.KINDS[k], lo, hi): i for i, (hi, lo, k, _) in enumerate(segments)}
+    assert abs(score([places[s] for s in added]) - max(map(score, disjoint_sets(segments)))) < 1e-9
     for lo, hi in ((lo, hi) for _, lo, hi in added):
-        assert all(hi <= a or b <= lo for _, a, b in P.base_spans(text))
+        assert all(hi <= a or b <= lo for _, a, b in base)
+
+
+def test_gradient_is_observed_minus_expected():
+    import random
+
+    import numpy as np
+
+    random.seed(3)
+    for _ in range(20):
+        segments = sorted((lo + random.randint(1, 6), lo, random.randrange(4), [random.random() for _ in P.FEATURES], False) for lo in random.sample(range(12), 5))
+        gold = random.choice([p for p in disjoint_sets(segments) if p])
+        example = [(*s[:4], i in gold) for i, s in enumerate(segments)]
+        weights = np.random.default_rng(1).normal(0, 1, PRIOR.shape)
+        got = np.zeros_like(weights)
+        P._gradient(example, weights, got)
+        feats = lambda pick: sum((np.outer(np.eye(4)[segments[i][2]], segments[i][3]) for i in pick), np.zeros_like(weights))
+        sets = list(disjoint_sets(segments))
+        p = np.exp([np.sum(weights * feats(s)) for s in sets])
+        expected = sum(q * feats(s) for q, s in zip(p / p.sum(), sets))
+        assert np.allclose(got, feats(gold) - expected)
+
+
+def test_training_learns_from_rewritten_spans():
+    texts = [f"some words {i} here mail{i}@mail.example.com then +1 (85{i % 10}) 555-96{i:02d} and 10.0.{i}.7 end" for i in range(40)]
+    found = [e for t in texts for e in P.examples(t)]
+    assert len(found) > 100 and any(not any(s[4] for s in e) for e in found)
+    fitted = P.fit(found, PRIOR)
+
+    def right(weights):
+        n = 0
+        for e in found:
+            score = {s[:3]: float(weights[s[2]] @ s[3]) for s in e}
+            best = max(disjoint_sets(e), key=lambda pick: sum(score[e[i][:3]] for i in pick))
+            n += {e[i][:3] for i in best} == {s[:3] for s in e if s[4]}
+        return n / len(found)
+
+    assert right(fitted) >= max(0.95, right(PRIOR))
+    assert (P.fit([], PRIOR) == PRIOR).all()
 
 
 def test_clean_text_stays_clean():
     for text in ["version 1.2.3 of 2024-01-02 costs 12 345 678", "room 101 555 1234 chairs", "a" * 1000, "1" * 5000, "see section 3.4.5.6.7 at home"]:
-        assert P.decode(text, P.base_spans(text)) == []
+        assert P.decode(text, P.base_spans(text), PRIOR) == []
 
 
 def test_long_runs_take_linear_time():
     for text in ["1" * 200_000, "a" * 200_000 + "@", "+1" * 50_000, "1." * 100_000, "(" * 100_000]:
         P.base_spans(text)
-        P.decode(text, [])
+        P.decode(text, [], PRIOR)
 
 
 def test_redaction():
-    assert P.redact_text("mail a@b.co, +1 (851) 555-9673!") == "mail [EMAIL], [PHONE]!"
-    assert P.redact_text("") == ""
+    assert P.redact_text("mail a@b.co, +1 (851) 555-9673!", PRIOR) == "mail [EMAIL], [PHONE]!"
+    assert P.redact_text("", PRIOR) == ""
 
 
 def test_odd_rows(odd_docs, no_docs):
