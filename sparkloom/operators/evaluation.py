@@ -218,3 +218,28 @@ def task_results(traces: DataFrame, cases: DataFrame) -> DataFrame:
 def task_success(results: DataFrame) -> DataFrame:
     """case_id and whether all rules that apply passed; null if none applies."""
     return results.groupBy("case_id").agg(F.bool_and("passed").alias("task_success"))
+
+
+def run_summary(latencies: DataFrame) -> DataFrame:
+    """Per run of a benchmark (run_id, latency_ms): mean and its 95th percentile, which here is the element floor(0.95 n) - 1 in order; two decimals."""
+    runs = latencies.groupBy("run_id").agg(F.avg("latency_ms").alias("mean_latency_ms"), F.sort_array(F.collect_list("latency_ms")).alias("v"))
+    at = F.greatest(F.floor(F.size("v") * 0.95).cast("int") - 1, F.lit(0))
+    return runs.select("run_id", F.round("mean_latency_ms", 2).alias("mean_latency_ms"), F.round(F.get("v", at), 2).alias("p95_latency_ms"))
+
+
+def experiment_grid(profiles: DataFrame, providers: DataFrame) -> DataFrame:
+    """Every profile with every provider: a handful of rows on both sides."""
+    return profiles.crossJoin(F.broadcast(providers)).withColumn("run_id", F.concat_ws("_", "profile", "provider"))
+
+
+def needs_backfill(traces: DataFrame, version: str) -> DataFrame:
+    """Traces whose metrics an older version computed."""
+    return traces.where(F.coalesce("metric_version", F.lit("")) != version)
+
+
+def stage_measures(metrics: DataFrame, latencies: DataFrame, audit: DataFrame) -> DataFrame:
+    """One row: means of the ranking metrics, nearest-rank 95th percentile of latency, and the audit's totals."""
+    means = metrics.agg(*(F.round(F.avg(c), 6).alias(c) for c in metrics.columns if c != "query_id"))
+    slow = latencies.agg(F.round(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY latency_ms)"), 2).alias("retrieval_p95_ms"))
+    totals = audit.agg(F.count("*").alias("verified_documents"), F.sum("chunks").alias("chunks"), F.sum("invalid_vectors").alias("invalid_vector_count"))
+    return means.crossJoin(slow).crossJoin(totals)  # one row each

@@ -131,3 +131,27 @@ def engine_answers(t):
     catalog = names.select("document_name", F.col("document_name").alias("source_id"), F.concat(F.lit("https://example.org/"), "document_name").alias("source_url"), F.lit("p").alias("publisher"), F.lit("2025").alias("publication_date"), F.lit(True).alias("enabled"))
     asked = t.benchmark.limit(10).select(F.col("item_id").alias("query_id"), F.concat(F.lit("insulin "), "text").alias("query"), F.array().cast("array<string>").alias("history"))
     return Engine.ingest(elements, catalog).answer(asked, threshold=0.0)
+
+
+@query("""SELECT event_type AS run_id, round(avg(value), 2) AS mean_latency_ms, round(list_sort(list(value))[greatest(floor(count(*) * 0.95)::INT - 1, 0) + 1], 2) AS p95_latency_ms FROM events GROUP BY 1""")
+def evl_run_summary(t):
+    return evaluation.run_summary(t.events.select(F.col("event_type").alias("run_id"), F.col("value").alias("latency_ms")))
+
+
+@query("SELECT p.source AS profile, l.lang AS provider, p.source || '_' || l.lang AS run_id FROM (SELECT DISTINCT source FROM documents) p, (SELECT DISTINCT lang FROM documents) l")
+def evl_experiment_grid(t):
+    return evaluation.experiment_grid(t.documents.select(F.col("source").alias("profile")).distinct(), t.documents.select(F.col("lang").alias("provider")).distinct())
+
+
+@query("""SELECT round(avg(toxic), 6) AS hit, round((SELECT quantile_disc(value, 0.95) FROM events), 2) AS retrieval_p95_ms, (SELECT count(DISTINCT label) FROM embeddings) AS verified_documents, (SELECT count(*) FROM embeddings) AS chunks, 0 AS invalid_vector_count FROM labels""")
+def evl_stage_measures(t):
+    from sparkloom.operators import vectors
+
+    metrics = t.labels.select(F.col("doc_id").alias("query_id"), F.col("toxic").alias("hit"))
+    return evaluation.stage_measures(metrics, t.events.select(F.col("value").alias("latency_ms")), vectors.width_audit(t.embeddings, "label", 64))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'treatment' WHEN doc_id % 3 = 1 THEN 'nutrition' ELSE 'general' END AS category FROM documents")
+def cls_document_category(t):
+    name = F.when(F.col("doc_id") % 3 == 0, "WHO Clinical-Guide.pdf").when(F.col("doc_id") % 3 == 1, "food atlas 2020").otherwise("other")
+    return t.documents.select("doc_id", classify.document_category(name, {"clinical": "treatment", "food": "nutrition", "atlas": "prevention"}).alias("category"))
