@@ -3,30 +3,89 @@ from __future__ import annotations
 import re
 
 import corpus_pipeline
-from sparkloom.llm import pii, simhash
-
-
-def test_stages_hand_on_the_columns_of_documents(spark, sf, docs):
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "near duplicates", "personal data", "source mixing", "sentencepiece"]
-    now, before = docs, docs.count()
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        now = stage(spark, now, sf)
-        assert now.columns == docs.columns and now.dtypes == docs.dtypes, name
-        rows = now.collect()
-        now = spark.createDataFrame(rows, docs.schema)
-        assert rows and (name == "source mixing" or len(rows) <= before)
-        before = len(rows)
-        assert all(r.n_chars == len(r.text) for r in rows) or name in ("quality rules", "near duplicates")
-        if name == "near duplicates":
-            prints = [simhash.simhash(r.text.encode()) for r in rows]
-            assert all(bin(a ^ b).count("1") > 2 for i, a in enumerate(prints) for b in prints[:i])
-        if name == "personal data":
-            assert not any(pii.base_spans(re.sub(r"\[(EMAIL|IP|CARD|PHONE)\]", " ", r.text)) for r in rows)
+from sparkloom.llm import mixing, pii, quality, sentencepiece_fst, simhash
+
+STAGES = dict(corpus_pipeline.STAGES)
+
+
+def written(spark, frame, schema):
+    """A stage's result as the next one reads it."""
+    return spark.createDataFrame(frame.collect(), schema)
+
+
+def kept_by_brute_force(rows):
+    """Smallest id of each group of fingerprints at 2 or fewer differing bits."""
+    prints = {r.doc_id: simhash.simhash((r.text or "").encode()) for r in rows}
+    group = {i: i for i in prints}
+
+    def find(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    ids = sorted(prints)
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            if bin(prints[a] ^ prints[b]).count("1") <= 2:
+                low, high = sorted((find(a), find(b)))
+                group[high] = low
+    return {find(i) for i in ids}
+
+
+def test_each_stage_matches_brute_force(spark, sf, docs):
+    assert list(STAGES) == ["quality rules", "near duplicates", "personal data", "source mixing", "sentencepiece"]
+    good = STAGES["quality rules"](spark, docs, sf)
+    assert good.dtypes == docs.dtypes
+    verdict = {r.doc_id: r.kept for r in quality.quality(docs).collect()}
+    rows = good.collect()
+    assert {r.doc_id for r in rows} == {i for i, k in verdict.items() if k} and len(rows) == sum(verdict.values())
+
+    good = written(spark, good, docs.schema)
+    single = STAGES["near duplicates"](spark, good, sf)
+    assert single.dtypes == docs.dtypes
+    texts = {r.doc_id: r.text for r in rows}
+    left = single.collect()
+    assert sorted(r.doc_id for r in left) == sorted(kept_by_brute_force(rows)) and all(r.text == texts[r.doc_id] for r in left)
+
+    single = written(spark, single, docs.schema)
+    clean = STAGES["personal data"](spark, single, sf)
+    assert clean.dtypes == docs.dtypes
+    weights = pii.train(single)
+    for r in clean.collect():
+        text = texts[r.doc_id]
+        spans = sorted({(lo, hi, k) for k, lo, hi in (*pii.base_spans(text), *pii.decode(text, pii.base_spans(text), weights))}, key=lambda s: (s[0], pii.KINDS.index(s[2])))
+        out, end = "", 0
+        for lo, hi, kind in spans:
+            if lo >= end:
+                out += f"{text[end:lo]}[{kind.upper()}]"
+            end = max(end, hi)
+        assert r.text == out + text[end:] and r.n_chars == len(r.text)
+
+    clean = written(spark, clean, docs.schema)
+    mix = STAGES["source mixing"](spark, clean, sf)
+    assert mix.dtypes == docs.dtypes
+    own = {r.doc_id: r.text for r in clean.collect()}
+    taken = {r.doc_id: r.taken for r in mixing.taken(clean).collect()}
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t)
+    got: dict[int, int] = {}
+    for r in mix.collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + len(words(r.text))
+        here = iter(words(own[r.doc_id]))
+        assert all(w in here for w in words(r.text)) and r.n_chars == len(r.text)  # words of the document, in order
+    assert got == {i: n for i, n in taken.items() if n}
+
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_fst.default_model())
+    mix = written(spark, mix, docs.schema)
+    texts_in = sorted((r.doc_id, r.text) for r in mix.collect())
+    tokens = STAGES["sentencepiece"](spark, mix, sf).collect()
+    assert sorted((r.doc_id, r.decoded) for r in tokens) == texts_in
+    assert all(r.ids == lib.encode(r.decoded) and r.n_tokens == len(r.ids) for r in tokens)
 
 
 def test_run(spark, sf):
-    out = corpus_pipeline.run(spark, sf)
-    rows = out.collect()
+    rows = corpus_pipeline.run(spark, sf).collect()
     assert rows and all(r.n_tokens == len(r.ids) and r.n_chars == len(r.decoded) for r in rows)
 
 
