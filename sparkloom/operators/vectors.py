@@ -60,7 +60,7 @@ def vector_topk(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "id
     k = max(0, min(1000, k))
     unit = corpus.select(F.col(id_col).alias("id"), l2_normalize(as_double(F.col(vector_col))).alias("__v")).where("__v is not null")
     asked = queries.select("query_id", l2_normalize(as_double(F.col("query_vector"))).alias("__q")).where("__q is not null")
-    blocks = max(1, -(-asked.limit(100 * BROADCAST_QUERIES).count() // BROADCAST_QUERIES))
+    blocks = max(1, -(-asked.count() // BROADCAST_QUERIES))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
     out = None
     for i in range(blocks):
@@ -83,7 +83,12 @@ def assign_noise(rows: DataFrame, label_col: str = "label", noise: int = -1, id_
     centre = centroids(rows.where(F.col(label_col) != noise), label_col, vector_col, 12).select(F.col(label_col).alias("c_label"), "centroid")
     lost = rows.where(F.col(label_col) == noise).select(id_col, as_double(F.col(vector_col)).alias("v"))
     gap = F.aggregate(F.zip_with("v", "centroid", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    near = lost.join(F.broadcast(centre), F.size("v") == F.size("centroid")).groupBy(id_col).agg(F.min(F.struct(F.round(gap, 9).alias("gap"), "c_label")).alias("best"))
+    blocks, best = max(1, -(-centre.count() // BROADCAST_QUERIES)), None
+    for i in range(blocks):  # centroids in blocks of bounded size, each broadcast
+        part = centre if blocks == 1 else centre.where(F.pmod(F.xxhash64("c_label"), F.lit(blocks)) == i)
+        near = lost.join(F.broadcast(part), F.size("v") == F.size("centroid")).groupBy(id_col).agg(F.min(F.struct(F.round(gap, 9).alias("gap"), "c_label")).alias("best"))
+        best = near if best is None else best.unionByName(near)
+    near = best.groupBy(id_col).agg(F.min("best").alias("best")) if blocks > 1 else best
     kept = rows.where(F.col(label_col) != noise).select(id_col, label_col)
     return kept.unionByName(near.select(id_col, F.col("best.c_label").alias(label_col)))
 
