@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,22 +23,74 @@ def lexical_terms(query: Column, most: int = 12) -> Column:
     return F.slice(F.array_distinct(F.filter(found, lambda t: ~F.array_contains(stop, t) & (t.rlike("^[0-9]+$") | (F.length(t) >= 4)))), 1, most)
 
 
+def _best_rows(questions, k: int):
+    """Local top k of each query over the rows of a task: one pass of an Aho-Corasick automaton over each text, whatever the number of terms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        asked = questions.value  # [(query_id, terms)]
+        automaton = ahocorasick.Automaton()
+        by_term: dict[str, list[int]] = {}
+        for n, (_, terms) in enumerate(asked):
+            for t in terms:
+                by_term.setdefault(t, []).append(n)
+        for t, ns in by_term.items():
+            automaton.add_word(t, (t, ns))
+        if not by_term:
+            return
+        automaton.make_automaton()
+        order = lambda r: (-r[0], r[1] is not None, -(r[1] or 0.0), r[2])
+        held: list[list[tuple]] = [[] for _ in asked]
+        least = [0.0] * len(asked)
+        kind = None
+        for b in batches:
+            kind = b.schema.field(0).type
+            for i in range(b.num_rows):
+                text = b.column(1)[i].as_py()
+                found = {t: ns for _, (t, ns) in automaton.iter(text)} if text else {}
+                hits: dict[int, int] = {}
+                for ns in found.values():
+                    for n in ns:
+                        hits[n] = hits.get(n, 0) + 1
+                for n, count in hits.items():
+                    share = count / len(asked[n][1])
+                    if share >= least[n]:
+                        own = held[n]
+                        own.append((share, b.column(2)[i].as_py(), b.column(0)[i].as_py()))
+                        if len(own) >= 4 * k + 16:
+                            own.sort(key=order)
+                            del own[k:]
+                            least[n] = own[-1][0]
+        rows = [(n, *r) for n, own in enumerate(held) for r in sorted(own, key=order)[:k]]
+        if rows:
+            n, share, quality, ids = zip(*rows)
+            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int32()), pa.array(ids, kind), pa.array(share, pa.float64()), pa.array(quality, pa.float64())], ["n", "id", "coverage", "q"])
+
+    return run
+
+
 def lexical_topk(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_id", text_col: str = "text", quality_col: str = "quality_score") -> DataFrame:
     """Best rows by the share of a query's terms that the text contains: query_id, id, coverage, score, distance, rank.
 
-    Ties go to the higher quality (unknown first), then the smaller id.  Each
-    distinct term is looked for once per text, whatever the number of queries;
-    queries are broadcast in blocks of bounded size.
+    Ties go to the higher quality (unknown first), then the smaller id.  Terms
+    match as substrings, which tokens cannot answer, so each text passes once
+    through an automaton of all terms; tasks return only their k best rows of
+    each query.  Queries are sent to the tasks in blocks of bounded size.
     """
+    spark = corpus.sparkSession
     asked = queries.select("query_id", lexical_terms(F.col("query")).alias("terms")).where(F.size("terms") > 0)
-    rows = corpus.select(F.col(id_col).alias("id"), F.lower(text_col).alias("__text"), F.col(quality_col).alias("__q"))
+    rows = corpus.select(F.col(id_col).alias("id"), F.lower(text_col).alias("text"), F.col(quality_col).cast("double").alias("q"))
+    kinds = dict(rows.dtypes)
     blocks = max(1, -(-asked.count() // BROADCAST_QUERIES))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("coverage"), F.desc_nulls_first("__q"), "id"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("coverage"), F.desc_nulls_first("q"), "id"))
     out = None
     for i in range(blocks):
         part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-        hit = F.size(F.filter("terms", lambda t: F.contains(F.col("__text"), t))) / F.size("terms")
-        found = rows.join(F.broadcast(part)).select("query_id", "id", "__q", hit.alias("coverage")).where("coverage > 0").withColumn("rank", rank).where(F.col("rank") <= k)
+        known = [(r["query_id"], list(r["terms"])) for r in part.collect()]
+        names = spark.createDataFrame([(n, x) for n, (x, _) in enumerate(known)], f"n int, query_id {dict(queries.dtypes)['query_id']}")
+        local = rows.mapInArrow(_best_rows(spark.sparkContext.broadcast(known), max(k, 1)), f"n int, id {kinds['id']}, coverage double, q double")
+        found = local.join(F.broadcast(names), "n").withColumn("rank", rank).where(F.col("rank") <= k)
         out = found if out is None else out.unionByName(found)
     score = F.round(0.5 + 0.5 * F.col("coverage"), 4)
     return out.select("query_id", "id", "coverage", score.alias("score"), F.round(1 - score, 4).alias("distance"), "rank")
