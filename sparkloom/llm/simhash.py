@@ -14,11 +14,17 @@ A cell with more than `dense` fingerprints is not paired up: its members are
 linked through shared one-bit neighbours instead (two fingerprints differ in
 at most 2 bits exactly if some value is within 1 bit of both), 65 rows for
 each, which gives the same components.  No pair is lost and none is capped.
+
+`deduplicate`, the pipeline's stage, is about similar texts, not fingerprints:
+edited copies with a Jaccard similarity of 0.8 differ in more bits than a grid
+can join.  It finds candidates by bands of minima and compares their shingle
+sets exactly.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +38,10 @@ from sparkloom.llm.scratch import drop, materialize
 MASK64 = (1 << 64) - 1
 CHUNK = 1 << 15
 DENSE = 48
+#: Bands of minima of near_copies: two sets of Jaccard similarity 0.8 share none of them with probability (1 - 0.8**ROWS)**BANDS, 5e-8.
+BANDS, ROWS = 32, 4
+_DRAWN = np.random.Generator(np.random.Philox(11)).integers(0, 2**64, (2, BANDS * ROWS), dtype=np.uint64)
+_FACTORS, _SHIFTS, _MIX = _DRAWN[0] | np.uint64(1), _DRAWN[1], np.uint64(0x9E3779B97F4A7C15)
 
 
 def simhash(text: bytes, words: int = 3, seed: int = 42) -> int:
@@ -166,19 +176,102 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without near copies: of each component the row with the smallest doc_id stays, with all its columns.
+def _shingles(text: bytes, words: int) -> set[bytes]:
+    found = text.lower().split()
+    if len(found) < words:
+        return {b" ".join(found)} if found else set()
+    return set(map(b" ".join, zip(*(found[i:] for i in range(words)))))
+
+
+def _bands(hashes: np.ndarray) -> np.ndarray:
+    """Keys of the bands of a set of shingle hashes: each mixes ROWS minima, every one under a hash order of its own."""
+    low = np.full(BANDS * ROWS, MASK64, np.uint64)
+    for i in range(0, len(hashes), 1024):
+        low = np.minimum(low, (hashes[i : i + 1024, None] * _FACTORS + _SHIFTS).min(axis=0))
+    low = (low ^ low >> np.uint64(29)) * _FACTORS[::-1]  # factors differ, so places and bands are told apart
+    key = low.reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64) * _MIX
+    return (key ^ key >> np.uint64(31)).view(np.int64)
 
-    Where rows share that doc_id, one of them stays.  A component whose doc_ids are all null keeps one row of them.
+
+def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
+    """(doc_id, row, print, bands): row is a hash of the text, print one of the text's set of shingles; bands is empty where there is no word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh64_intdigest
+        for b in batches:
+            prints, bands = [], []
+            for t in b.column(1).cast(pa.large_binary()):
+                found = _shingles(t.as_py() or b"", words)
+                hashes = np.unique(np.fromiter((digest(x, 42) for x in found), np.uint64, len(found)))
+                prints.append(_signed(xxhash.xxh3_64_intdigest(hashes.tobytes())))
+                bands.append(_bands(hashes) if len(hashes) else [])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(prints, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "row", "print", "bands"])
+
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long"), text, F.xxhash64(text)).mapInArrow(run, "doc_id long, row long, print long, bands array<long>")
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of prints whose sets of shingles have at least that Jaccard similarity, counted exactly."""
+    share = Fraction(str(similarity))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = []
+            for x, y in zip(batch.column(2).cast(pa.large_binary()), batch.column(3).cast(pa.large_binary())):
+                x, y = _shingles(x.as_py(), words), _shingles(y.as_py(), words)
+                both = len(x & y)
+                near.append(both * share.denominator >= share.numerator * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays(batch.select(["a", "b"]).filter(pa.array(near, pa.bool_())).columns, ["a", "b"])
+
+    side = lambda n: texts.select(F.col("print").alias(n), F.col("text").alias(f"text_{n}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
+    return both.mapInArrow(run, "a long, b long")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row per document: doc_id, row (a hash of the text), root; documents of one component have the same root.
+
+    Components are those of the pairs of sets of `words`-word shingles of at
+    least that Jaccard similarity.  Equal sets collapse to one print.  Prints
+    that share a band are candidates and their sets are compared exactly: first
+    each print with the smallest of its band, then the pairs of a band that are
+    in different components by then.  No band is capped.  Null and empty texts
+    are one group; rows that repeat stay; an empty table gives no rows.
+    """
+    sets = materialize(shingle_sets(docs, id_col, text_col, words), "copies-sets")
+    distinct = materialize(sets.groupBy("print").agg(F.min("row").alias("row"), F.max("bands").alias("bands")), "copies-distinct")
+    placed = distinct.select(F.explode("bands").alias("band"), "print")
+    least = placed.groupBy("band").agg(F.min("print").alias("a"), F.max("print").alias("z")).where("a <> z").select("band", "a")
+    crowd = materialize(placed.join(least, "band"), "copies-bands")  # bands of two prints or more
+    wanted = crowd.select("print").distinct().join(distinct, "print").select("print", "row")
+    text = F.col(text_col).cast("string")
+    read = docs.select(F.xxhash64(text).alias("row"), text.alias("text"))
+    texts = materialize(read.join(wanted, "row").dropDuplicates(["print"]).select("print", "text"), "copies-texts")
+
+    stars = materialize(crowd.where("a <> print").select("a", F.col("print").alias("b")).distinct(), "copies-stars")
+    linked = materialize(_similar(stars, texts, words, similarity), "copies-links")
+    by_root = lambda roots: F.coalesce(roots["root"], F.col("print"))
+    roots = connected_components(linked)
+    member = materialize(crowd.join(roots, crowd["print"] == roots["node"], "left").select("band", "print", by_root(roots).alias("root")), "copies-members")
+    mixed = member.groupBy("band").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("band")
+    open_ = member.join(mixed, "band", "left_semi")
+    other = open_.select("band", F.col("print").alias("b"), F.col("root").alias("root_b"))
+    pairs = open_.join(other, "band").where("root < root_b").select(F.least("print", "b").alias("a"), F.greatest("print", "b").alias("b")).distinct()
+    rest = materialize(_similar(pairs.join(stars, ["a", "b"], "left_anti"), texts, words, similarity), "copies-links")
+    roots = materialize(connected_components(linked.unionByName(rest)), "copies-roots")
+    for done in (distinct, crowd, texts, stars, member):
+        drop(done)
+    return sets.join(roots, sets["print"] == roots["node"], "left").select("doc_id", "row", by_root(roots).alias("root"))
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The documents without near copies: of each component of `near_copies` the row with the smallest doc_id stays, with all its columns.
+
+    A component whose doc_ids are all null keeps one row of them.
     """
-    labels = near_duplicates(docs, id_col, text_col)
-    keep = labels.where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    named = docs.join(keep, docs[id_col] == keep["__keep"], "left_semi").dropDuplicates([id_col])
-    nameless = labels.where("component_id is null").select(F.col("fingerprint").alias("__print")).distinct()
-    if nameless.isEmpty():
-        return named
-    # rows without an id: one for each fingerprint that only such rows carry
-    orphans = docs.where(F.col(id_col).isNull()).withColumn("__row", F.xxhash64(*docs.columns))
-    prints = fingerprints(orphans, "__row", text_col).select(F.col("doc_id").alias("__row"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("__print")).distinct()
-    kept = orphans.join(prints, "__row").join(nameless, "__print", "left_semi").dropDuplicates(["__print"])
-    return named.unionByName(kept.select(docs.columns))
+    key = lambda doc_id, row: F.xxhash64(doc_id.isNull(), doc_id, row)
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")
+    keep = near_copies(docs, id_col, text_col, words, similarity).groupBy("root").agg(F.min(order).alias("m")).select(key(F.col("m.doc_id"), F.col("m.row")).alias("__keep"))
+    own = key(F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string")))
+    return docs.withColumn("__own", own).join(keep, F.col("__own") == F.col("__keep"), "left_semi").dropDuplicates(["__own"]).drop("__own")

@@ -82,6 +82,38 @@ def test_deduplicate_keeps_one_of_each(odd_docs, no_docs):
     assert S.deduplicate(no_docs).count() == 0
 
 
+def test_deduplicate_finds_edited_copies(spark):
+    """Against exact Jaccard similarities of five-word shingle sets, near the threshold on either side."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for g in range(40):
+        words = [f"w{int(x)}" for x in rng.integers(0, 500, 60 + 6 * g)]
+        rows.append(words)
+        for edits in (1, 2, 1 + g // 4):
+            copy = list(words)
+            for at in rng.integers(0, len(copy), edits):
+                copy[at] = f"edit{int(rng.integers(0, 10**6))}"
+            rows.append(copy)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in rows]
+    group = list(range(len(rows)))
+
+    def find(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    links = 0
+    for i, a in enumerate(sets):
+        for j in range(i + 1, len(sets)):
+            both = len(a & sets[j])
+            if 5 * both >= 4 * (len(a) + len(sets[j]) - both):
+                low, high = sorted((find(i), find(j)))
+                group[high], links = low, links + 1
+    assert links > 60 and len({find(i) for i in group}) > 45  # some copies are near, some are not
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in S.deduplicate(docs).collect()) == sorted({find(i) for i in range(len(rows))})
+
+
 def test_chain_of_links(spark):
     chain = [(i, i + 1) for i in range(60)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
