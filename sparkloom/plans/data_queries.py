@@ -48,6 +48,19 @@ def vec_category_or_general(t):
     return _shown(vectors.vector_topk(rows.where(vectors.category_filter("nutrition")), _queries(t, "vec_id % 100 = 0"), 5, "vec_id"))
 
 
+@query(f"WITH {_UNIT}, {_pairs('q.vec_id % 50 = 0')} {_top(10)}")
+def vec_topk_batched_whole(t):
+    """`vec_topk_batched` for the whole set of queries."""
+    return _shown(vectors.vector_topk(t.embeddings, _queries(t, "vec_id % 50 = 0"), 10, "vec_id"))
+
+
+@query(f"WITH {_UNIT}, {_pairs('q.vec_id % 50 = 0 AND c.label IN (3, 0)')} {_top(5)}")
+def vec_category_or_general_whole(t):
+    """`vec_category_or_general` for the whole set of queries."""
+    rows = t.embeddings.withColumn("category", F.when(F.col("label") == 0, "general").when(F.col("label") == 3, "nutrition").otherwise("treatment"))
+    return _shown(vectors.vector_topk(rows.where(vectors.category_filter("nutrition")), _queries(t, "vec_id % 50 = 0"), 5, "vec_id"))
+
+
 @query(f"""WITH {_UNIT}, {_pairs('q.vec_id % 50 = 0')}, a AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS r FROM p),
 b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY r) AS r2 FROM a WHERE r <= 10 AND round(1.0::DOUBLE - distance, 4) >= 0.30 AND label <> 9)
 SELECT query_id, id, distance, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1.0::DOUBLE - distance)), 3) AS score FROM b WHERE r2 <= 5""")
@@ -384,6 +397,12 @@ def fpr_corpus_hash(t):
     return fingerprints.corpus_hash(files)
 
 
+@query("""SELECT sha256(string_agg(line, chr(10) ORDER BY lower(source)) || chr(10)) AS corpus_hash FROM (SELECT source, source || chr(0) || sha256(string_agg(text, chr(10) ORDER BY doc_id)) AS line FROM documents GROUP BY 1)""")
+def fpr_corpus_hash_whole(t):
+    """`fpr_corpus_hash` of all documents: the texts of a source pass by in order and are never held together."""
+    return fingerprints.corpus_hash(fingerprints.joined_digests(t.documents, "source", "doc_id", "text"))
+
+
 @query("SELECT source AS document_name, count(*) AS n_chunks, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY 1")
 def fpr_index_manifest(t):
     return fingerprints.index_manifest(t.documents.withColumnRenamed("source", "document_name"), "n_chars")
