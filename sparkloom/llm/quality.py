@@ -27,8 +27,9 @@ SYMBOL = r"[#*$%&|<>]"
 MIN_WORDS = 50
 #: Statistics are counted in steps of this.
 STEP = 0.001
-#: Smallest standard deviation of each statistic, in its own unit.
-FLOORS = {"word_length": 0.05, "symbols": 0.25, "dup_lines": 0.25, "repeats": 0.25}
+#: Smallest standard deviation of each statistic, in its own unit.  FAR must be in reach of each one alone: in a pool that
+#: has none, symbols of 0.18 a word, and shares of 0.18 of duplicate lines or repeated words, are outliers.
+FLOORS = {"word_length": 0.05, "symbols": 0.1, "dup_lines": 0.1, "repeats": 0.1}
 #: Share of a group's rows that the estimate must fit, and rows a group needs.
 SUPPORT, MIN_GROUP = 0.75, 50
 STEPS = 3

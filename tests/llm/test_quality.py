@@ -67,6 +67,21 @@ def test_distances_match_a_slow_estimate(spark):
     assert set(got[~got["kept"]].index) == {i for i in range(0, 240, 40)}
 
 
+def test_each_statistic_rejects_on_its_own(spark):
+    """Documents of a clean pool, but for one statistic."""
+    rng = np.random.default_rng(5)
+    rows = [["w" * int(rng.integers(2, 9)) + str(i) for i in range(120)] for _ in range(100)]
+    lines = list(rows[0])
+    lines[1::2] = ["wwwww000"] * 60  # half of the lines are the same, no window is repeated
+    texts = ["\n".join(r) for r in rows] + ["\n".join(lines)]
+    texts.append(" ".join(w + "*" * (i % 3 == 0) for i, w in enumerate(rows[2])))  # a symbol at a third of the words
+    texts.append(" ".join(rows[3][:60] + rows[3][:24] + rows[3][60:96]))  # 40% of the words are in repeats
+    frame = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    got = Q.quality(frame).toPandas().set_index("doc_id")
+    assert not got["base_failed"].any()
+    assert set(got[~got["kept"]].index) == {100, 101, 102}
+
+
 def test_odd_rows(odd_docs, no_docs):
     got = Q.quality(odd_docs).toPandas()
     assert len(got) == 9
