@@ -7,7 +7,10 @@ batches.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
+from math import inf
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -71,99 +74,111 @@ def _atoms(text: str, limit: int) -> Iterator[str]:
             todo += [(p, level + 1) for p in reversed(pieces)] if len(pieces) > 1 else [(part, level + 1)]
 
 
-def _packed(parts: Iterator[str], limit: int) -> list[str]:
-    out: list[str] = []
-    for p in parts:
-        if out and len(out[-1]) + len(p) <= limit:
-            out[-1] += p
-        else:
-            out.append(p)
+def _runs(sizes: list[int], limit: int, glue: int | list[int] = 0, counted: bool = True, below: float = inf) -> list[tuple[int, int]]:
+    """Ranges [i, j) of neighbours that one chunk takes, as long as they fit in `limit`; empty units begin no range.
+
+    Unit k has glue[k] before it unless it begins its range (counted=False: the
+    glue right before a unit isn't held against it).  A unit over the limit
+    stands alone, and so does one of `below` or more that begins a range.
+    """
+    glues = glue if isinstance(glue, list) else [glue] * len(sizes)
+    ends = list(accumulate(g + n for g, n in zip(glues, sizes)))  # as if all units were laid out in a row
+    reach = ends if counted else [e - g for e, g in zip(ends, glues)]
+    out, i = [], 0
+    while i < len(sizes):
+        j = i + 1
+        if sizes[i]:
+            if sizes[i] < below:
+                j = max(j, bisect_right(reach, ends[i] - sizes[i] + limit, j))
+            out.append((i, j))
+        i = j
     return out
 
 
-def _tail(text: str, size: int) -> str:
-    """The last `size` characters, from the word that they begin in."""
-    if len(text) <= size:
-        return text
+def _lead(text: str, size: int, word: str) -> str:
+    """The last `size` characters; "whole": from the word that they begin in, "next": from the first word that begins in them."""
     cut = len(text) - size
-    return text[text.rfind(" ", 0, cut + 1) + 1 or cut :]
+    if cut <= 0:
+        return text
+    if word == "whole":
+        return text[text.rfind(" ", 0, cut + 1) + 1 or cut :]
+    start = text.find(" ", cut) + 1 if word == "next" else 0
+    return text[start if 0 < start < len(text) else cut :]
 
 
-def _with_overlap(chunks: list[str], limit: int, overlap: int, lossy: bool) -> list[str]:
+def _with_leads(chunks: list[str], overlap: int, word: str, limit: float = inf, tail: float | None = 0) -> list[str]:
+    """Each chunk after the first begins with the end of the one before.
+
+    What is over the limit then goes from the chunk's end, at its last blank if
+    more than the share `tail` of the room is left by that; with tail=None the
+    lead is shortened instead and nothing is lost.
+    """
     if overlap <= 0:
         return chunks
     out = chunks[:1]
-    for before, chunk in zip(chunks, chunks[1:]):
-        lead = _tail(before, overlap)
+    for lead, chunk in zip((_lead(c, overlap, word) for c in chunks), chunks[1:]):
         room = limit - len(lead)
-        if len(chunk) > room:
-            if room <= 0:
-                lead = ""
-            elif lossy:
-                short = chunk[:room]
-                chunk = short[: short.rfind(" ")] if short.rfind(" ") > 0 else short
-            else:
-                lead = lead[max(0, len(lead) - max(0, limit - len(chunk))) :] if len(chunk) < limit else ""
+        if room <= 0:
+            lead = ""
+        elif len(chunk) > room and tail is None:
+            lead = lead[len(lead) - max(0, limit - len(chunk)) :]
+        elif len(chunk) > room:
+            blank = chunk.rfind(" ", 0, room)
+            chunk = chunk[: blank if blank > tail * room else room]
         out.append(lead + chunk)
     return out
 
 
-def _without_crumbs(chunks: list[str], limit: int, least: int) -> list[str]:
-    """Chunks under `least` join the next, the last one the one before, where that fits."""
-    out: list[str] = []
-    small = ""
-    for chunk in chunks:
-        if small and len(small) + len(chunk) <= limit:
-            small += chunk
-            continue
-        if small:
-            out.append(small)
-            small = ""
-        if len(chunk) < least:
-            small = chunk
-        else:
-            out.append(chunk)
-    if small:
-        if out and len(out[-1]) + len(small) <= limit:
-            out[-1] += small
-        else:
-            out.append(small)
+def _grown(chunks: list[str], limit: int, least: int, joiner: str) -> list[str]:
+    """Chunks under `least` grow by those after them as long as they fit; one at the end joins the chunk before it, where that fits."""
+    ranges = _runs([len(c) for c in chunks], limit, len(joiner), below=least)
+    out = [joiner.join(chunks[i:j]) for i, j in ranges]
+    if len(out) > 1 and len(chunks[ranges[-1][0]]) < least and len(out[-2]) + len(joiner) + len(out[-1]) <= limit:
+        out[-2:] = [joiner.join(out[-2:])]
     return out
 
 
+def _checked(text: str | None, size: int, overlap: int) -> bool:
+    """There is something to split."""
+    if overlap >= size:
+        raise ValueError("overlap must be less than size")
+    return bool(text and text.strip())
+
+
+def _stripped(chunks: list[str]) -> list[str]:
+    return [c for c in map(str.strip, chunks) if c]
+
+
 def split_text(text: str | None, size: int = 2000, overlap: int = 200, least: int = 100, lossy: bool = True) -> list[str]:
     """Chunks of about `size` characters along paragraphs, lines, sentences, clauses and words.
 
     Each chunk after the first repeats the end of the one before.  As in the
     behaviour this must match, a chunk that would grow too long by that loses
-    its end (lossy=False shortens what is repeated instead).
+    its end; lossy=False shortens what is repeated instead, so that every
+    character but the separators is in some chunk.
     """
-    if overlap >= size:
-        raise ValueError("overlap must be less than size")
-    if not text or not text.strip():
+    if not _checked(text, size, overlap):
         return []
     plain, hidden = _hide_blocks(text)
-    chunks = [_show_blocks(c, hidden) for c in _packed(_atoms(plain, size), size)]
-    chunks = _without_crumbs(_with_overlap(chunks, size, overlap, lossy), size, least)
-    return [c.strip() for c in chunks if c.strip()]
-
-
-def _joined_up_to(parts: list[str], joiner: str, limit: int) -> Iterator[str]:
-    """Neighbours joined while they fit; a part over the limit stands alone."""
-    held = ""
-    for p in parts:
-        longer = f"{held}{joiner}{p}" if held else p
-        if len(longer) <= limit:
-            held = longer
+    atoms = list(_atoms(plain, size))
+    own = [_show_blocks("".join(atoms[i:j]), hidden) for i, j in _runs([len(a) for a in atoms], size)]
+    return _stripped(_grown(_with_leads(own, overlap, "whole", size, 0 if lossy else None), size, least, ""))
+
+
+def _slices(text: str, limit: int) -> Iterator[str]:
+    """Slices of at most `limit` characters between separators, coarse ones first; the separator between two slices goes."""
+    todo = [(text, 0)]
+    while todo:
+        part, level = todo.pop()
+        if len(part) <= limit or level == len(SEPARATORS):
+            yield from (part[i : i + limit] for i in range(0, len(part), limit))
             continue
-        if held:
-            yield held
-        held = p
-        if len(p) > limit:
-            yield p
-            held = ""
-    if held:
-        yield held
+        mark = SEPARATORS[level][0]
+        if mark.strip():  # only blank marks may follow one another
+            part = mark.join(filter(None, part.split(mark)))
+        sizes = [len(u) for u in part.split(mark)]
+        ends = list(accumulate(n + len(mark) for n in sizes))  # each one mark past its unit
+        todo += [(part[ends[i] - len(mark) - sizes[i] : ends[j - 1] - len(mark)], level + 1) for i, j in reversed(_runs(sizes, limit, len(mark)))]
 
 
 def split_budgeted(text: str | None, size: int = 500, overlap: int = 50, least: int = 50) -> list[str]:
@@ -172,54 +187,11 @@ def split_budgeted(text: str | None, size: int = 500, overlap: int = 50, least:
     Parts are joined again by the mark that split them; what is repeated begins
     at a word; neighbours under `least` are joined by a space.
     """
-    if overlap >= size:
-        raise ValueError("overlap must be less than size")
-    if not text or not text.strip():
+    if not _checked(text, size, overlap):
         return []
     plain, hidden = _hide_blocks(text)
-    budget, own, todo = size - overlap, [], [(plain, 0)]
-    while todo:
-        part, level = todo.pop()
-        if len(part) <= budget:
-            own.append(part)
-        elif level == len(SEPARATORS):
-            own += [part[i : i + budget] for i in range(0, len(part), budget)]
-        else:
-            mark = SEPARATORS[level][0]
-            parts = [p for p in part.split(mark) if p or not mark.strip()]
-            todo += [(p, level + 1) for p in reversed(list(_joined_up_to(parts, mark, budget)))]
-    own = [_show_blocks(c, hidden) for c in own]
-    out = own[:1]
-    for before, chunk in zip(own, own[1:]):
-        if overlap <= 0:
-            out.append(chunk)
-            continue
-        lead = before
-        if len(before) > overlap:
-            word = before.find(" ", len(before) - overlap)
-            lead = before[word + 1 :] if 0 <= word < len(before) - 1 else before[len(before) - overlap :]
-        room = size - len(lead)
-        if len(chunk) > room:
-            cut = chunk[:room].rfind(" ")
-            chunk = chunk[:cut] if cut > room * 0.7 else chunk[:room]
-        out.append(lead + chunk)
-    merged: list[str] = []
-    small = ""
-    for chunk in out:
-        if small and len(small) + 1 + len(chunk) <= size:
-            small = f"{small} {chunk}"
-            continue
-        if small:
-            merged.append(small)
-        small = chunk if len(chunk) < least else ""
-        if not small:
-            merged.append(chunk)
-    if small:
-        if merged and len(merged[-1]) + len(small) + 1 <= size:
-            merged[-1] = f"{merged[-1]} {small}"
-        else:
-            merged.append(small)
-    return [c.strip() for c in merged if c.strip()]
+    own = [_show_blocks(s, hidden) for s in _slices(plain, size - overlap)]
+    return _stripped(_grown(_with_leads(own, overlap, "next", size, 0.7), size, least, " "))
 
 
 def split_paragraphs(text: str | None, size: int = 500, overlap: int = 50) -> list[str]:
@@ -227,30 +199,17 @@ def split_paragraphs(text: str | None, size: int = 500, overlap: int = 50) -> li
     if not text:
         return []
     plain, hidden = _hide_blocks(text, PARAGRAPH_BLOCKS, PARAGRAPH_PLACEHOLDER)
-    done: list[str] = []
-    held = ""
-
-    def fits(unit: str, joiner: str) -> bool:
-        nonlocal held
-        if len(held) + len(unit) > size:
-            return False
-        held = f"{held}{joiner}{unit}" if held else unit
-        return True
-
+    groups: list[list[tuple[str, str]]] = [[]]  # (joiner, unit); a long paragraph begins a group of its own
     for para in re.split(r"\n\n+", plain):
-        if fits(para, "\n\n"):
-            continue
-        done.append(held)
-        held = "" if len(para) > size else para
-        if len(para) > size:
-            for sentence in re.split(r"(?<=[.!?؟])\s+", para):
-                if not fits(sentence, " "):
-                    done.append(held)
-                    held = sentence
-    chunks = [_show_blocks(c, hidden) for c in (*done, held) if c]
-    if overlap > 0:
-        chunks = chunks[:1] + [a[-overlap:] + b for a, b in zip(chunks, chunks[1:])]
-    return [c.strip() for c in chunks if c.strip()]
+        if len(para) <= size:
+            groups[-1].append(("\n\n", para))
+        else:
+            groups.append([(" ", s) for s in re.split(r"(?<=[.!?؟])\s+", para)])
+    own = []
+    for units in groups:
+        for i, j in _runs([len(u) for _, u in units], size, [len(m) for m, _ in units], counted=False):
+            own.append(_show_blocks(units[i][1] + "".join(m + u for m, u in units[i + 1 : j]), hidden))
+    return _stripped(_with_leads(own, overlap, "cut"))
 
 
 def chunk_column(text: Column, splitter: str = "recursive", **options) -> Column:

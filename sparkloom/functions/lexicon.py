@@ -167,3 +167,8 @@ LANGUAGE_WORDS = {
     "es": ["el", "los", "las", "de", "que", "y", "en", "por", "una", "con", "para", "su", "al", "lo", "del"],
     "ar": ["في", "من", "على", "إلى", "هذا", "التي", "عن", "أن", "مع", "هو", "ما", "لا", "كان", "هل", "كيف"],
 }
+
+# --- fixed values: marks of citations in answers, header cells of tables that are no answer, providers that stand in for the first one ---
+CITATION_MARK = r"(?:\[|【)[^\]】]{0,40}?\bE\s*(\d+)[^\]】]*(?:\]|】)"
+TABLE_HEADERS = ["subdomain", "indicator"]
+FALLBACK_PROVIDERS = ["groq", "vercel_gateway", "extractive"]

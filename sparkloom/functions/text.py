@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import lexicon as L
 
+# --- fixed values: patterns of white space, control characters and page markers ---
 SPACE = r"(?U)\s"
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
 PAGE_MARKER = r"(?U)\s*[|·•\-–—]\s*[0-9IVXLCDM]{1,5}$"
@@ -72,6 +73,7 @@ def chunk_id(document: Column, page: Column, index: Column) -> Column:
 
 def core_score(c: Column) -> Column:
     """Heuristic quality in 0..1: short, numeric, noisy and letter-poor texts rank low, else more words rank higher."""
+    # --- fixed values: patterns and thresholds of this score ---
     t = strip(c)
     n = F.length(t)
     noise = F.aggregate(F.regexp_extract_all(t, F.lit(r"[|\-=_•·~*#^]{3,}"), F.lit(0)), F.lit(0), lambda a, x: a + F.length(x))
@@ -88,6 +90,7 @@ def core_score(c: Column) -> Column:
 
 def signal_score(c: Column) -> Column:
     """Length, letters and domain signals weighed 0.4, 0.4 and 0.2; three decimals."""
+    # --- fixed values: patterns and weights of this score ---
     signals = F.regexp_count(c, F.lit(r"(?i)\b(theorem|equation|process|analysis)\b")) + F.regexp_count(c, F.lit(r"[0-9]+[.,][0-9]+|[0-9]+%")) + F.regexp_count(c, F.lit(r"[=<>+\-*/]"))
     plain = F.length(F.regexp_replace(c, r"(?U)[^\p{L}\s]", "")) / F.length(c)
     score = F.least(word_count(c) / 100, F.lit(1.0)) * 0.4 + plain * 0.4 + F.least(signals / 5, F.lit(1.0)) * 0.2

@@ -45,7 +45,7 @@ def trim_excerpt(c: Column, limit: int = EXCERPT_CHARS) -> Column:
 
 def table_excerpt(text: Column, terms: Column) -> Column:
     """The table cell that shares most terms, with the cell after it; null if the text has no table, no cell fits or the excerpt is short."""
-    cells = F.filter(F.transform(F.split(text, r"\|"), clean_sentence), lambda c: (c != "") & ~c.rlike("^[-: ]+$") & ~F.lower(c).isin("subdomain", "indicator"))
+    cells = F.filter(F.transform(F.split(text, r"\|"), clean_sentence), lambda c: (c != "") & ~c.rlike("^[-: ]+$") & ~F.lower(c).isin(L.TABLE_HEADERS))
     shared = lambda c: F.size(F.array_intersect(F.array_distinct(T.tokens(c)), terms))
     best = F.array_max(F.transform(cells, lambda c, i: F.struct(shared(c).alias("n"), (-i).alias("i"))))
     head, detail = F.get(cells, -best["i"]), F.coalesce(F.get(cells, 1 - best["i"]), F.lit(""))
@@ -103,7 +103,7 @@ def label_for_prompt(document: Column, section: Column, subsection: Column, page
     return F.concat(F.lit("["), head, F.lit("]\n"), text)
 
 
-_MARK = re.compile(r"(?:\[|【)[^\]】]{0,40}?\bE\s*(\d+)[^\]】]*(?:\]|】)", re.I)
+_MARK = re.compile(L.CITATION_MARK, re.I)
 
 
 def normalize_citations(answer: Column, evidence_count: Column) -> Column:

@@ -144,13 +144,13 @@ def with_generation_totals(traces: DataFrame, prices: dict[str, tuple[float, flo
     cost = F.when(F.col("provider") == "extractive", 0.0)
     for name, (given, made) in prices.items():
         cost = cost.when(F.col("provider") == name, F.round(F.col("input_tokens") / 1e6 * given + F.col("output_tokens") / 1e6 * made, 8))
-    fallback = (F.col("provider_failure_count") > 0) & F.col("provider").isin("groq", "vercel_gateway", "extractive")
+    fallback = (F.col("provider_failure_count") > 0) & F.col("provider").isin(L.FALLBACK_PROVIDERS)
     return rows.withColumns({"total_tokens": F.when(told, F.col("usage.total")).otherwise(F.col("input_tokens") + F.col("output_tokens")), "estimated_cost_usd": cost, "fallback_count": fallback.cast("int")})
 
 
 def report_markdown(rows: DataFrame, columns: list[str]) -> str:
-    """A small result as a Markdown table; meant for reports of a few rows, which it brings to the driver."""
-    body = [[str(r[c]) for c in columns] for r in rows.select(*columns).limit(1000).collect()]
+    """A small result as a Markdown table; meant for reports of a few rows, which pass through the driver one partition at a time."""
+    body = [[str(r[c]) for c in columns] for r in rows.select(*columns).toLocalIterator()]
     return "\n".join("| " + " | ".join(cells) + " |" for cells in (columns, ["---"] * len(columns), *body))
 
 
