@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import io
 import random
@@ -41,6 +42,53 @@ def test_salvage_finds_every_whole_record_after_damage():
     assert sum(hi - lo for lo, hi, _ in gaps) == sum(len(parts[i]) for i in hit)
 
 
+def packed(parts: list[bytes]) -> bytes:
+    return gzip.compress(b"".join(parts))
+
+
+def test_salvage_inside_a_member():
+    """Damage before compression: the member is whole, one of its records is not."""
+    for hurt in ("body", "length", "line", "header"):
+        parts = [record(i, f"page {i} ".encode() * 50, compress=False) for i in range(5)]
+        parts[2] = {
+            "body": parts[2].replace(b"page 2 page", b"page 9 page", 1),
+            "length": parts[2].replace(b"Content-Length: 350", b"Content-Length: 990"),
+            "line": parts[2].replace(b"WARC/1.1", b"WARCx1.1"),
+            "header": parts[2].replace(b"X-Page-ID: 2", b"X-Page-ID: 7"),
+        }[hurt]
+        for raw in (b"".join(parts), packed(parts), packed(parts) + record(9, b"next")):
+            records, gaps = read(raw)
+            assert [int(r.headers["x-page-id"]) for r in records][:4] == [0, 1, 3, 4], hurt
+            assert len(gaps) == 1 and (raw[:2] != b"WA" or gaps[0][:2] == (sum(map(len, parts[:2])), sum(map(len, parts[:3]))))
+
+
+def test_what_precedes_a_cut_is_kept():
+    random.seed(7)
+    parts = [record(i, random.randbytes(9000), compress=False) for i in range(6)]
+    raw = packed(parts)
+    records, gaps = read(raw[: len(raw) * 2 // 3])
+    assert [int(r.headers["x-page-id"]) for r in records] == [0, 1, 2] and len(gaps) == 1
+    hurt = bytearray(raw)
+    hurt[len(raw) // 2 + 2000] ^= 0x55  # the bytes of record 3
+    records, gaps = read(bytes(hurt) + record(8, b"later"))
+    assert {int(r.headers["x-page-id"]) for r in records} >= {0, 1, 2, 8} and 3 not in {int(r.headers["x-page-id"]) for r in records}
+    assert gaps and gaps[0][0] == 0
+
+
+def test_long_members_are_read_in_pieces(monkeypatch):
+    monkeypatch.setattr(W, "HELD_BYTES", 1 << 12)
+    parts = [record(i, f"page {i} ".encode() * 500, compress=False) for i in range(40)]
+    records, gaps = read(packed(parts) + record(40, b"one"))
+    assert [int(r.headers["x-page-id"]) for r in records] == list(range(41)) and gaps == []
+
+
+def test_http_messages_are_unwrapped():
+    body = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n<p>\r\n\r\n</p>"
+    raw = W.write_record({"WARC-Type": "response", "Content-Type": "application/http; msgtype=response", "WARC-Payload-Digest": f"sha1:{W.payload_digest(b'<p>' + bytes([13, 10, 13, 10]) + b'</p>')}"}, body)
+    (one,), gaps = read(raw)
+    assert W.payload_of(one) == b"<p>\r\n\r\n</p>" and not gaps
+
+
 def test_truncated_and_foreign_bytes():
     raw = b"garbage" + record(1, b"one") + b"\x00" * 70_000 + record(2, b"two") + record(3, b"three")[:-10]
     records, gaps = read(raw)
