@@ -44,6 +44,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A name for a column that df lacks, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over at least as many partitions as there are cores: for costly work on a table of few files."""
     cores = df.sparkSession.sparkContext.defaultParallelism

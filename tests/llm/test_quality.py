@@ -36,35 +36,95 @@ def test_counts_match_brute_force(docs):
     assert (got["base_failed"] == failed).all() and not got[got["base_failed"]]["kept"].any()
 
 
-def slow_estimate(x):
-    """The concentration steps in plain arithmetic."""
-    floor = np.diag([(Q.FLOORS[k] / Q.STEP) ** 2 for k in Q.FLOORS])
-    q = np.percentile(x, [25, 50, 75], axis=0)
-    centre, cov = q[1], np.diag(((q[2] - q[0]) / 1.349) ** 2) + floor
-    dist = lambda: np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(cov), x - centre)
-    for step in range(Q.STEPS + 1):
-        d = np.minimum(np.floor(np.log1p(dist()) * 200), 4000)
-        near = x[d <= (np.percentile(d, 100 * Q.SUPPORT) if step < Q.STEPS else np.floor(np.log1p(Q.NEAR) * 200))]
-        centre, cov = near.mean(axis=0), np.cov(near.T, bias=True) + floor
-    return dist()
+FLOOR = np.diag([(Q.FLOORS[k] / Q.STEP) ** 2 for k in Q.FLOORS])
+
+
+def squared(x, centre, cov):
+    return np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(cov), x - centre)
+
+
+def least_determinant(x, starts=300, seed=0):
+    """Minimum covariance determinant by random starts, each concentrated until it stays."""
+    rng, best = np.random.default_rng(seed), None
+    for _ in range(starts):
+        own = x[rng.choice(len(x), 6, replace=False)]
+        size = np.inf
+        while True:
+            centre, cov = own.mean(axis=0), np.cov(own.T, bias=True) * 1.4866 + FLOOR
+            if len(own) > 6:  # the determinant of the few first rows is no rival
+                now = np.linalg.slogdet(cov)[1]
+                if now > size - 1e-9:
+                    break
+                size = now
+            d = squared(x, centre, cov)
+            own = x[np.log1p(d) // (1 / Q.BINS) <= np.sort(np.log1p(d) // (1 / Q.BINS))[int(np.ceil(0.75 * len(x))) - 1]]
+        if best is None or size < best[0] - 1e-9:
+            best = size, centre, cov
+    return best
+
+
+def reweighted(x, starts=300):
+    _, centre, cov = least_determinant(x, starts)
+    near = x[squared(x, centre, cov) <= 11.143]
+    return squared(x, near.mean(axis=0), np.cov(near.T, bias=True) * 1.0645 + FLOOR)
+
+
+def as_rows(spark, x, pool="p"):
+    import pandas as pd
+
+    return spark.createDataFrame(pd.DataFrame({"pool": pool, **dict(zip(Q.FLOORS, x.T.astype("int64")))}))
+
+
+def model_of(row):
+    factor = np.zeros((4, 4))
+    for i in range(4):
+        for j in range(i + 1):
+            factor[i, j] = row[f"l{i}{j}"]
+    return np.array([row[f"c{i}"] for i in range(4)]), factor @ factor.T
+
+
+def test_normal_data_loses_what_the_cutoff_promises(spark):
+    rng = np.random.default_rng(3)
+    mix = rng.normal(0, 1, (4, 4))
+    x = np.round(rng.normal(0, 1, (60_000, 4)) @ mix * 4000)
+    centre, cov = model_of(Q._estimate(as_rows(spark, x), list(Q.FLOORS)).first())
+    assert 0.0007 < (squared(x, centre, cov) > Q.FAR).mean() < 0.0013  # one in a thousand
+
+
+@pytest.mark.parametrize("share", [0.0, 0.1, 0.2])
+def test_determinant_is_as_small_as_that_of_many_random_starts(spark, share):
+    rng = np.random.default_rng(int(share * 10))
+    x = rng.normal(0, 1, (400, 4)) @ rng.normal(0, 1, (4, 4)) * 900
+    x[: int(share * 400)] = rng.normal(0, 200, (int(share * 400), 4)) + [4000, 0, -9000, 3000]
+    x = np.round(x)
+    centre, cov = model_of(Q._least(as_rows(spark, x), list(Q.FLOORS)).first())
+    size, _, _ = least_determinant(x)
+    assert np.linalg.slogdet(cov)[1] <= size + 0.02
+    d = squared(x, *model_of(Q._estimate(as_rows(spark, x), list(Q.FLOORS)).first()))
+    assert (d[: int(share * 400)] > Q.FAR).all() and (d[int(share * 400) :] > Q.FAR).mean() < 0.02
+
+
+def vectors(own):
+    x = np.c_[np.log(own["word_chars"] / own["n_words"]), np.sqrt(own["n_symbols"] / own["n_words"]), np.sqrt(own["n_dup_lines"] / 1), np.sqrt(own["n_repeat_words"] / own["n_words"])]
+    return np.floor(x / Q.STEP + 0.5)
 
 
 def test_distances_match_a_slow_estimate(spark):
     rng = np.random.default_rng(8)
     rows = []
-    for i in range(240):
+    for i in range(270):
         words = ["w" * int(k) for k in rng.integers(2, 9, 80)]
         if i % 40 == 0:
             words = [w + "***" for w in words]
-        rows.append((i, " ".join(f"{w}{j}" for j, w in enumerate(words)), "en", "s" if i % 2 else "t"))
+        rows.append((i, " ".join(f"{w}{j}" for j, w in enumerate(words)), "en", "small" if i >= 240 else "s" if i % 2 else "t"))
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     got = Q.quality(frame).toPandas().set_index("doc_id").sort_index()
-    for part in (0, 1):
-        own = got[got.index % 2 == part]
-        x = np.c_[np.log(own["word_chars"] / own["n_words"]), np.sqrt(own["n_symbols"] / own["n_words"]), np.sqrt(own["n_dup_lines"] / 1), np.sqrt(own["n_repeat_words"] / own["n_words"])]
-        d = slow_estimate(np.floor(x / Q.STEP + 0.5))
-        assert np.allclose(own["distance"], d, rtol=1e-4, atol=1e-4)
-    assert set(got[~got["kept"]].index) == {i for i in range(0, 240, 40)}
+    pools = {"s": (got.index < 240) & (got.index % 2 == 1), "t": (got.index < 240) & (got.index % 2 == 0), "small": got.index >= 240}
+    for name, own in pools.items():
+        counted = got if name == "small" else got[own]  # a small pair is judged by its language
+        d = reweighted(vectors(counted))
+        assert np.allclose(got[own]["distance"], d[own[: len(got)]] if name == "small" else d, rtol=1e-3, atol=1e-3), name
+    assert set(got[~got["kept"]].index) == set(range(0, 270, 40))
 
 
 def test_each_statistic_rejects_on_its_own(spark):
@@ -89,6 +149,8 @@ def test_odd_rows(odd_docs, no_docs):
         assert tuple(got[got["doc_id"] == row][COUNTS].iloc[0]) == brute(text)
     kept = Q.keep_good(odd_docs)
     assert kept.columns == odd_docs.columns and kept.count() == int(got["kept"].sum())
+    clash = odd_docs.selectExpr("*", "1 AS key", "2 AS own", "3 AS __key", "4 AS pool", "5 AS n")
+    assert Q.keep_good(clash).columns == clash.columns and Q.keep_good(clash).count() == kept.count()
     assert Q.quality(no_docs).count() == 0 and Q.keep_good(no_docs).count() == 0
 
 
