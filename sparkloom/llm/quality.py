@@ -39,6 +39,8 @@ FLOORS = {"word_length": 0.05, "symbols": 0.1, "dup_lines": 0.1, "repeats": 0.1}
 SUPPORT, MIN_GROUP = 0.75, 50
 #: Steps of every start, and of the best one at most (the determinant falls with each; some ten do).
 FIRST_STEPS, LAST_STEPS = 2, 40
+#: Change of the logarithm of the root of a determinant below which it stays: a tenth of a percent of a standard deviation in each statistic.
+SAME = 4e-3
 #: Squared distances: the reweighting step's (0.975 quantile of chi-squared, 4 degrees), and the verdict's (0.999 quantile).
 NEAR, NEAR_SHARE = 11.143, 0.975
 FAR = 18.467
@@ -181,7 +183,7 @@ def _concentrated(rows: DataFrame, model: DataFrame, names: list[str]) -> DataFr
 
 
 def _least(rows: DataFrame, names: list[str]) -> DataFrame:
-    """The estimate of least determinant that concentration reaches, for each pool."""
+    """The estimate of least determinant that concentration reaches, for each pool; it stays when no determinant falls by more than `SAME`."""
     model = materialize(_starts(rows, names), "quality-model")
     for step in range(FIRST_STEPS + LAST_STEPS):
         if step == FIRST_STEPS:
@@ -189,7 +191,7 @@ def _least(rows: DataFrame, names: list[str]) -> DataFrame:
             model = model.join(least, ["pool", "start"])
         better = materialize(_concentrated(rows, model, names), "quality-model")
         sizes = model.select("pool", "start", F.col("size").alias("was"))
-        going = better.join(sizes, ["pool", "start"]).where(F.abs(F.col("size") - F.col("was")) > 1e-6).limit(1).count()
+        going = better.join(sizes, ["pool", "start"]).where(F.abs(F.col("size") - F.col("was")) > SAME).limit(1).count()
         model = better
         if step >= FIRST_STEPS and not going:
             break
