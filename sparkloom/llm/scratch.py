@@ -11,7 +11,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -52,6 +53,14 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def sampled(rows: DataFrame, draw: Column, wanted: int) -> DataFrame:
+    """About `wanted` of the rows, those with the smallest values of a 64-bit hash; all of them if there are no more. Any share can be drawn, however small."""
+    total = rows.count()
+    if total <= wanted:
+        return rows
+    return rows.where(draw < F.lit((wanted << 64) // total - (1 << 63)))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over at least as many partitions as there are cores: for costly work on a table of few files."""
     cores = df.sparkSession.sparkContext.defaultParallelism

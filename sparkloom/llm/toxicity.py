@@ -1,281 +1,311 @@
 """Toxicity by class-conditional Kneser-Ney models of words, symbol by symbol.
 
-Texts become words over 32 symbols (a-z, five classes of other characters, a
-boundary).  An event is a symbol, or the word's end, after all of its word
-before it.  A shared interpolated Kneser-Ney model, in which a symbol depends
-on up to four before it, is estimated over both classes, its lower orders from
-continuation counts.  Each class discounts its own counts of events and gives
-the discounted mass to the shared model:
+A text's words (parts between white space, lower case, without marks at their
+ends) are spelled between boundaries.  An event is a symbol, or the word's end,
+after the ORDER - 1 symbols before it.  A shared interpolated Kneser-Ney model
+is estimated over both classes, its lower orders from continuation counts.
+Each class discounts its own counts of events and gives the discounted mass to
+the shared model:
 
     p_c(s | h) = max(n_c(hs) - D, 0) / n_c(h) + (sum over t of min(n_c(ht), D)) / n_c(h) * p(s | h)
 
 so an expression that a class has hardly seen is scored by the shared backoff
-counts and weighs neither way.  A text's evidence is its log-likelihood ratio,
-normalised by length; a logistic curve, fitted on labelled rows that the
-models have not seen, turns it into a score.
-
-Counts are gathered over all labelled training rows.  Events are hashed to
-2**22 buckets, which bounds what the driver holds and what is broadcast,
-whatever the corpus.  Only the calibration is fitted on a bounded sample
-(about `calibration_rows` rows, chosen by a hash of their id).
+counts and weighs neither way.  P_c(w) is the product over a word's symbols.
+An ordinary text draws its words from P_0, a toxic one a share SHARE of them
+from P_1 and the others from P_0 too; the text's evidence is the log-likelihood
+ratio of the two, divided by its number of words:
+
+    mean over words of log(1 - SHARE + SHARE * P_1(w) / P_0(w)).
+
+A logistic curve over its logarithm, fitted on labelled rows that the models
+have not seen, turns the evidence into a score.
+
+Counts are gathered over all labelled training rows and kept as a table that
+grows with them; events that neither class has seen more often than D have the
+ratio of anything unseen after their context and need no row.  Nothing of the
+models comes to the driver but sums for the discounts.  For scoring, texts are
+packed in blocks as counts of words; the words of all blocks meet the events in
+joins, and each block gets back a ratio for each of its words.  Only the curve
+is fitted on a bounded sample (about `calibration_rows` rows, chosen by a hash
+of their id).
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.scratch import materialize
+from sparkloom.llm.scratch import materialize, sampled
 
-BITS = 5
-ORDER = 5
-EVENT_BITS = 22
-EVENTS = 1 << EVENT_BITS
+ORDER = 8
 #: Absolute discount of a class's own counts: what a class has seen this often or less is left to the shared counts.
-CLASS_DISCOUNT = 2.0
-#: Symbols of a word whose places are told apart.
-PLACES = 64
+CLASS_DISCOUNT = 3.0
+#: Share of its words that a toxic text is taken to draw from the toxic model.
+SHARE = 1 / 300
+#: Code points of a word; longer ones are cut into pieces of that length, all of which count.
+MAX_WORD = 64
+#: Characters and documents of a block, whose words are looked up together; a longer text is a block of its own.
+BLOCK_CHARS, BLOCK_DOCS = 1 << 22, 4096
 #: Label rows up to which the labels are broadcast instead of joined by a shuffle: about 16 MB.
 BROADCAST_LABELS = 1_000_000
 CALIBRATION_ROWS = 20_000
-#: A word whose log-likelihood ratio is beyond this counts as evidence of its own.
-WORD_MARGIN = 3.0
-
-
-def _symbols() -> np.ndarray:
-    at = np.arange(0x110000)
-    out = (27 + at % 5).astype(np.uint32)
-    out[:128] = 0
-    out[97:123] = np.arange(1, 27)
-    out[65:91] = np.arange(1, 27)
-    for lo, hi in ((0x80, 0xC0), (0x2000, 0x2070), (0x3000, 0x3004)):  # punctuation and spaces
-        out[lo:hi] = 0
+#: Ratios are kept in whole millionths, so that sums don't depend on the order of rows.
+UNIT = 1e6
+EDGE = "\n"
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»“”„‘’‚…–—·•、。！？"
+
+
+def words(text: str) -> list[str]:
+    """The words of a text, in order."""
+    out = []
+    for part in text.lower().split():
+        w = part.strip(_MARKS)
+        if len(w) <= MAX_WORD:
+            if w:
+                out.append(w)
+        else:
+            out += (w[i : i + MAX_WORD] for i in range(0, len(w), MAX_WORD))
     return out
 
 
-_TABLE: list[np.ndarray] = []
-_PLACED = np.random.Generator(np.random.Philox(7)).integers(0, 2**64, (PLACES, 1 << BITS), dtype=np.uint64)
+def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words with their counts in each class, summed up over many texts."""
+    held = Counter(), Counter()
 
+    def flush() -> Iterator[pa.RecordBatch]:
+        for toxic, counts in enumerate(held):
+            names, n = list(counts), list(counts.values())
+            zero = [0] * len(n)
+            for i in range(0, len(n), 50_000):
+                part = slice(i, i + 50_000)
+                yield pa.RecordBatch.from_arrays([pa.array(names[part], pa.string()), pa.array((zero, n)[1 - toxic][part], pa.int64()), pa.array((zero, n)[toxic][part], pa.int64())], ["word", "n0", "n1"])
+            counts.clear()
 
-def _bucket(prefix: np.ndarray) -> np.ndarray:
-    x = (prefix ^ prefix >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
-    return (x >> np.uint64(64 - EVENT_BITS)).astype(np.int64)
-
-
-def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all texts, one after the other: each symbol's event, the event before it in its word, and its code
-    (itself in the low bits, its predecessors in the word above it); then where each text begins.
-
-    Runs of non-letters are one boundary.
-    """
-    if not _TABLE:
-        _TABLE.append(_symbols())
-    joined = "\n".join(texts) + "\n"
-    s = _TABLE[0][np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
-    keep = s != 0
-    keep[1:] |= s[:-1] != 0
-    lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
-    begin = np.r_[0, np.cumsum(lengths)[:-1]]
-    upto = np.r_[0, np.cumsum(keep)]
-    s = s[keep]
-    code, inside = s.copy(), np.ones(len(s), bool)
-    for j in range(1, ORDER):
-        before = np.zeros_like(s)
-        before[j:] = s[:-j]
-        code |= np.where(inside, before, 0) << np.uint32(BITS * j)
-        inside &= before != 0
-    first = np.ones(len(s), bool)
-    first[1:] = s[:-1] == 0
-    at = np.arange(len(s))
-    start = np.maximum.accumulate(np.where(first, at, 0))
-    total = np.cumsum(_PLACED[np.minimum(at - start, PLACES - 1), s])
-    head = np.where(start > 0, total[start - 1], np.uint64(0)) if len(s) else total
-    event = _bucket(total - head)
-    parent = np.empty_like(event)
-    parent[1:] = event[:-1]
-    parent[first] = 0
-    return event, parent, code.astype(np.int64), upto[begin]
-
-
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Events with the event before, the code, and how often each class has them, summed up per task."""
-
-    def merged(parts: list[tuple]) -> tuple:
-        event, parent, code, n0, n1 = (np.concatenate(x) for x in zip(*parts))
-        keys, first, at = np.unique(event, return_index=True, return_inverse=True)
-        return keys, parent[first], code[first], *(np.bincount(at, n, len(keys)).astype(np.int64) for n in (n0, n1))
-
-    parts = [(np.empty(0, np.int64),) * 5]
     for b in batches:
-        toxic = b.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
-        texts = [t or "" for t in b.column("text").to_pylist()]
-        for i in range(0, len(texts), 256):
-            event, parent, code, begin = encode(texts[i : i + 256])
-            label = np.repeat(toxic[i : i + 256], np.diff(np.r_[begin, len(code)]))
-            keys, first, at = np.unique(event, return_index=True, return_inverse=True)
-            parts.append((keys, parent[first], code[first], np.bincount(at, 1 - label, len(keys)).astype(np.int64), np.bincount(at, label, len(keys)).astype(np.int64)))
-        if sum(len(x[0]) for x in parts) > 2_000_000:
-            parts = [merged(parts)]
-    columns = merged(parts)
-    for i in range(0, len(columns[0]), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in columns], ["event", "parent", "code", "n0", "n1"])
-
-
-def _discount(counts: np.ndarray) -> float:
-    once, twice = (counts == 1).sum(), (counts == 2).sum()
-    return float(once / (once + 2 * twice)) if once else 0.5
-
-
-def _shared(codes: np.ndarray, counts: np.ndarray, order: int = ORDER) -> np.ndarray:
-    """Interpolated Kneser-Ney probability of each code's symbol given its context."""
-    if order == 0:
-        return np.full(len(codes), 2.0**-BITS)
-    context, at = np.unique(codes >> BITS, return_inverse=True)
-    lower, where, kinds = np.unique(codes & ((1 << BITS * (order - 1)) - 1), return_inverse=True, return_counts=True)
-    below = _shared(lower, kinds, order - 1)[where] if order > 1 else np.full(len(codes), 2.0**-BITS)
-    d = _discount(counts)
-    total, types = np.bincount(at, counts, len(context)), np.bincount(at, minlength=len(context))
-    return np.maximum(counts - d, 0) / total[at] + d * types[at] / total[at] * below
-
-
-def _ratio(events: DataFrame) -> np.ndarray:
-    """By event, then by event before: log p_1 - log p_0 of counted events (NaN for others), and of anything else after an event.
-
-    What both classes have seen no more often than the discount has the same
-    ratio as what they haven't seen.  So only the other events, their contexts
-    and the shared model's counts (at most 2**25 codes) come to the driver.
+        for text, toxic in zip(b.column("text"), b.column("toxic").to_pylist()):
+            held[toxic].update(words(text.as_py() or ""))
+            if len(held[0]) + len(held[1]) > 500_000:
+                yield from flush()
+    yield from flush()
+
+
+def _spelled(word: Column) -> Column:
+    return F.concat(F.lit(EDGE * (ORDER - 1)), word, F.lit(EDGE))
+
+
+def _events(word: Column) -> Column:
+    """An array of the word's events, each the symbol with those before it."""
+    return F.transform(F.sequence(F.lit(1), F.length(word) + 1), lambda i: F.substring(_spelled(word), i, F.lit(ORDER)))
+
+
+def _shared(grams: DataFrame) -> DataFrame:
+    """gram and p, the shared model's probability of its last symbol; grams has each full event with its count n."""
+    levels = {ORDER: grams.select("gram", "n")}
+    for order in range(ORDER - 1, 0, -1):
+        longer = levels[order + 1]
+        levels[order] = materialize(longer.groupBy(F.substring("gram", 2, order).alias("gram")).agg(F.count("*").alias("n")), "toxicity-level")
+    p = None
+    for order in range(1, ORDER + 1):
+        level = levels[order]
+        once, twice, total, kinds = level.agg(F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2), F.sum("n"), F.count("*")).first()
+        d = once / (once + 2 * twice) if once else 0.5
+        if p is None:
+            p = level.select("gram", (F.greatest(F.col("n") - d, F.lit(0.0)) / float(total or 1) + d * kinds / float(total or 1) / (kinds + 1)).alias("p"))
+            continue
+        after = level.groupBy(F.substring("gram", 1, order - 1).alias("context")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+        lower = p.select(F.col("gram").alias("lower"), F.col("p").alias("below"))
+        met = level.join(after, F.substring("gram", 1, order - 1) == F.col("context")).join(lower, F.substring("gram", 2, order - 1) == F.col("lower"))
+        p = met.select("gram", ((F.greatest(F.col("n") - d, F.lit(0.0)) + d * F.col("kinds") * F.col("below")) / F.col("total")).alias("p"))
+    return p
+
+
+def ratios(counts: DataFrame) -> DataFrame:
+    """(key, value): log p_1 - log p_0, in millionths, of events seen more often than the discount, and for contexts (one symbol shorter) of anything else after them, if not 0.
+
+    counts has word, n0 and n1.
     """
+    grams = counts.select(F.explode(_events(F.col("word"))).alias("gram"), "n0", "n1").groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    grams = materialize(grams.withColumn("n", F.col("n0") + F.col("n1")), "toxicity-grams")
     d = F.lit(CLASS_DISCOUNT)
-    often = (F.col("n0") > d) | (F.col("n1") > d)
-    fetch = lambda df: [c.to_numpy() for c in df.toArrow().columns]
-    code, n = fetch(events.groupBy("code").agg(F.sum(F.col("n0") + F.col("n1")).alias("n")).orderBy("code"))
-    shared = _shared(code, n)
+    context = F.substring("gram", 1, ORDER - 1)
     sums = [f(c).cast("double").alias(f"{k}{c[1]}") for c in ("n0", "n1") for k, f in (("t", F.sum), ("f", lambda c: F.sum(F.least(F.col(c), d))))]
-    context, t0, f0, t1, f1 = fetch(events.groupBy("parent").agg(*sums).where("t0 > f0 OR t1 > f1"))
-    table = np.zeros((2, EVENTS), np.float32)
-    table[0] = np.nan
-    logs, total, weight = [], np.ones(EVENTS), np.ones(EVENTS)
-    event, parent, own_code, n0, n1 = fetch(events.where(often).select("event", "parent", "code", "n0", "n1"))
-    p = shared[np.searchsorted(code, own_code)]
-    for n, t, f in ((n0, t0, f0), (n1, t1, f1)):
-        total[context], weight[context] = np.maximum(t, 1), np.where(t > 0, f / np.maximum(t, 1), 1.0)
-        own = np.maximum(n - CLASS_DISCOUNT, 0) / total[parent]
-        logs.append(np.log(own + weight[parent] * p))
-        table[1] += np.log(weight) if len(logs) == 2 else -np.log(weight)
-    table[0, event] = logs[1] - logs[0]
-    return table.astype(np.float16)
-
-
-def features(texts: list[str], table: np.ndarray) -> np.ndarray:
-    """Per text: ratio per symbol, roots of the share of telling words and of their evidence per word; 0 where there is no word."""
-    out = np.zeros((len(texts), 3))
-    if not texts:
-        return out
-    event, parent, code, begin = encode(texts)
-    if not len(code):
-        return out
-    llr = table[0, event].astype(np.float64)
-    unseen = np.flatnonzero(np.isnan(llr))
-    llr[unseen] = table[1, parent[unseen]]
-    ends = (code & ((1 << BITS) - 1)) == 0
-    sums = np.cumsum(llr)
-    at = np.flatnonzero(ends)
-    words = np.diff(np.r_[0.0, sums[at]])
-    real = (code[at] >> BITS) & ((1 << BITS) - 1) != 0  # a boundary that ends a word
-    words = np.where(real, words, 0.0)
-    nth = np.searchsorted(at, np.r_[begin, len(code)])
-    upto = lambda x: np.r_[0.0, np.cumsum(x)]
-    diff = lambda x, i: np.diff(upto(x)[i])
-    symbols, n = np.diff(np.r_[begin, len(code)]), diff(real, nth)
-    has = n > 0
-    out[has, 0] = diff(words, nth)[has] / symbols[has]
-    out[has, 1] = np.sqrt(diff(words > WORD_MARGIN, nth)[has] / n[has])
-    out[has, 2] = np.sqrt(np.maximum(diff(np.clip(words - WORD_MARGIN, 0, 6), nth)[has], 0) / n[has])
-    return out
+    contexts = materialize(grams.groupBy(context.alias("context")).agg(*sums).where("t0 > f0 OR t1 > f1"), "toxicity-contexts")
+    rest = lambda c: F.when(F.col(f"t{c}") > 0, F.col(f"f{c}") / F.col(f"t{c}")).otherwise(1.0)
+    own = lambda c: F.greatest(F.col(f"n{c}") - d, F.lit(0.0)) / F.greatest(F.col(f"t{c}"), F.lit(1.0))
+    often = grams.where((F.col("n0") > d) | (F.col("n1") > d)).join(_shared(grams), "gram").join(contexts, context == F.col("context"))
+    log = lambda c: F.log(own(c) + rest(c) * F.col("p"))
+    whole = lambda x: F.round(x * UNIT).cast("long").alias("value")
+    seen = often.select(F.col("gram").alias("key"), whole(log(1) - log(0)))
+    unseen = contexts.select(F.col("context").alias("key"), whole(F.log(rest(1)) - F.log(rest(0)))).where("value <> 0")
+    return materialize(seen.unionByName(unseen), "toxicity-ratios")
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents as packed counts of their block's words, and the words of each block with their places."""
+    base, block = TaskContext.get().partitionId() << 32, 0
+    place: dict[str, int] = {}
+    rows: list[tuple] = []
+    chars = 0
+    types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.string()]
+    names = ["block", "doc_id", "held_out", "n_words", "kinds", "packed", "place", "word"]
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+        every = list(place)
+        for i in range(0, len(every), 50_000):
+            part = every[i : i + 50_000]
+            none = [None] * len(part)
+            yield pa.RecordBatch.from_arrays([pa.array([base + block] * len(part)), *(pa.array(none, t) for t in types[1:6]), pa.array(range(i, i + len(part)), pa.int32()), pa.array(part)], names)
+        place.clear()
+        rows.clear()
 
-
-def _in_blocks(texts: list[str], table: np.ndarray) -> np.ndarray:
-    """Features of many texts, a few at a time so that the arrays stay small."""
-    return np.concatenate([np.zeros((0, 3)), *(features(texts[i : i + 64], table) for i in range(0, len(texts), 64))])
+    for b in batches:
+        for doc_id, held_out, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+            counts = Counter(words(text.as_py() or ""))
+            at = np.array([[place.setdefault(w, len(place)), n] for w, n in counts.items()], np.int32).reshape(-1, 2)
+            at = at[np.argsort(at[:, 0])]
+            raw = np.r_[np.diff(at[:, 0], prepend=0), at[:, 1]].astype(np.int32).tobytes()
+            rows.append((base + block, doc_id, held_out, sum(counts.values()), len(at), pa.compress(raw, "zstd", asbytes=True) if raw else b"", None, None))
+            chars += len(text.as_py() or "")
+            if chars >= BLOCK_CHARS or len(rows) >= BLOCK_DOCS:
+                yield from flush()
+                block, chars = block + 1, 0
+    yield from flush()
+
+
+def word_ratios(vocabulary: DataFrame, model: DataFrame) -> DataFrame:
+    """(word, ratio): log P_1 - log P_0, in millionths, of each word of the vocabulary, where it is not 0."""
+    event = F.explode(_events(F.col("word")))
+    path = vocabulary.select("word").distinct().select("word", event.alias("event"))
+    seen, after = (model.select(F.col("key").alias(k), F.col("value").alias(f"{k}_value")) for k in ("event", "context"))
+    known = path.join(seen, "event", "left").join(after, F.substring("event", 1, ORDER - 1) == F.col("context"), "left")
+    value = F.coalesce("event_value", "context_value", F.lit(0))
+    return known.groupBy("word").agg(F.sum(value).alias("ratio")).where("ratio <> 0")
+
+
+def _weigh(docs: pa.Table, ratio: pa.Table) -> pa.Table:
+    """Evidence of one block's documents."""
+    place = ratio.column("place").to_numpy()
+    gain = np.full(int(place.max()) + 1 if len(place) else 0, 0.0)
+    gain[place] = ratio.column("ratio").to_numpy() / UNIT
+    gain = np.log1p(SHARE * np.expm1(np.minimum(gain, 500.0)))
+    nothing = math.log1p(SHARE * math.expm1(0.0))
+    evidence = []
+    for n, kinds, packed in zip(docs.column("n_words").to_pylist(), docs.column("kinds").to_pylist(), docs.column("packed")):
+        if not n:
+            evidence.append(0.0)
+            continue
+        raw = np.frombuffer(pa.decompress(packed.as_py(), decompressed_size=8 * kinds, codec="zstd", asbytes=True), np.int32)
+        at, counts = np.cumsum(raw[:kinds]), raw[kinds:]
+        known = at < len(gain)
+        evidence.append(float((gain[at[known]] * counts[known]).sum() + nothing * counts[~known].sum()) / n)
+    return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "evidence": pa.array(evidence, pa.float64())})
+
+
+def remainder(id_col: str) -> Column:
+    """crc32 of the id as text, modulo 5; null for a null id."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5
 
 
-def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 60) -> tuple[np.ndarray, np.ndarray]:
-    """Logistic regression by Newton steps: scale of the features and weights, the last of which is the offset."""
-    scale = np.maximum(x.std(axis=0), 1e-6)
-    z = np.c_[x / scale, np.ones(len(x))]
-    w = np.zeros(z.shape[1])
-    penalty = np.diag(np.r_[np.full(x.shape[1], ridge), 1e-6])
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        h = (z * (p * (1 - p))[:, None]).T @ z / len(z) + penalty
-        step = np.linalg.solve(h, z.T @ (y - p) / len(z) - penalty @ w)
-        w += step / max(1.0, np.abs(step).max() / 3)
-        if np.abs(step).max() < 1e-8:
+def evidence(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, held_out, evidence) for each row; 0 for texts without a word."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(remainder(id_col) == 0, F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    schema = "block long, doc_id long, held_out boolean, n_words long, kinds int, packed binary, place int, word string"
+    packed = materialize(rows.mapInArrow(_pack, schema), "toxicity-blocks")
+    vocabulary = packed.where("word is not null").select("block", "place", "word")
+    found = vocabulary.join(word_ratios(vocabulary, model), "word").select(F.col("block").alias("of_block"), "place", "ratio")
+    texts = packed.where("word is null").select("block", "doc_id", "held_out", "n_words", "kinds", "packed")
+    return texts.groupBy("block").cogroup(found.groupBy("of_block")).applyInArrow(_weigh, "doc_id long, held_out boolean, evidence double")
+
+
+@dataclass(frozen=True)
+class Curve:
+    """score = 1 / (1 + exp(-(slope * (x - middle)))), where x = log(evidence + FLOOR)."""
+
+    slope: float
+    middle: float
+
+
+#: Added to the evidence before its logarithm is taken: that of a text in which nothing points either way.
+FLOOR = 1e-4
+
+
+def _place(x: np.ndarray) -> np.ndarray:
+    return np.log(np.maximum(x, 0) + FLOOR)
+
+
+def fit_curve(x: np.ndarray, toxic: np.ndarray) -> Curve:
+    """The middle lies where most rows fall on their own side (between two rows; of equally good places the middle one); the slope there is the most likely one."""
+    if not 0 < toxic.sum() < len(toxic):  # nothing to calibrate on
+        return Curve(1.0, math.log(SHARE))
+    z = _place(x)
+    order = np.argsort(z, kind="stable")
+    z, y = z[order], toxic[order].astype(float)
+    right = np.r_[0, np.cumsum(1 - y)] + np.r_[np.cumsum(y[::-1])[::-1], 0]  # rows on their side if the cut lies before row i
+    cuts = np.flatnonzero((np.r_[True, z[1:] > z[:-1], True]) & (np.arange(len(z) + 1) > 0) & (np.arange(len(z) + 1) < len(z)))
+    if not len(cuts):
+        return Curve(1.0, float(z[0]) + 1.0)
+    best = cuts[right[cuts] == right[cuts].max()]
+    at = best[len(best) // 2]
+    middle, slope = float(z[at - 1] + z[at]) / 2, 1.0
+    for _ in range(100):  # Newton steps with a weak prior that keeps separable samples finite
+        p = 1 / (1 + np.exp(-np.clip(slope * (z - middle), -30, 30)))
+        gradient = ((y - p) * (z - middle)).sum() - 0.1 * slope
+        step = gradient / ((p * (1 - p) * (z - middle) ** 2).sum() + 0.1)
+        slope = min(50.0, max(0.1, slope + max(-1.0, min(1.0, step))))
+        if abs(step) < 1e-9:
             break
-    return scale, w
+    return Curve(slope, middle)
 
 
-def remainder(id_col: str):
-    """crc32 of the id as text, modulo 5; null for a null id."""
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5
+def _marked(labels: DataFrame, label_col: str) -> DataFrame:
+    """One row for each labelled id that may be learned from."""
+    usable = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull() & (remainder("doc_id") != 0))
+    return usable.groupBy(F.col("doc_id").cast("long").alias("id")).agg((F.max(label_col) > 0).cast("int").alias("toxic"))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", calibration_rows: int = CALIBRATION_ROWS) -> dict:
-    """The models, from labelled rows whose remainder is not 0: counts from remainders 1 to 3, calibration from 4."""
-    marked = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull() & (remainder("doc_id") != 0))
-    marked = marked.groupBy(F.col("doc_id").alias("__id")).agg((F.max(label_col) > 0).cast("int").alias("toxic"))
-    small = labels.count() <= BROADCAST_LABELS
-    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text"))
-    rows = texts.join(F.broadcast(marked) if small else marked, "__id").withColumn("part", remainder("__id"))
-    counted = rows.where("part < 4").select("text", "toxic").mapInArrow(_counts, "event long, parent long, code long, n0 long, n1 long")
-    events = counted.groupBy("event").agg(F.min("parent").alias("parent"), F.min("code").alias("code"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    table = _ratio(materialize(events, "toxicity-events"))
-    # evidence is measured where the texts are; the driver gets three numbers and a label for each chosen row
-    sent = docs.sparkSession.sparkContext.broadcast({"table": table})
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = _in_blocks([t or "" for t in b.column("text").to_pylist()], sent.value["table"])
-            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in x.T), b.column("toxic")], ["x0", "x1", "x2", "toxic"])
-
-    held = rows.where("part = 4")
-    n = held.count()
-    share = min(1.0, calibration_rows / max(n, 1))
-    chosen = held.where(F.pmod(F.xxhash64("__id"), F.lit(1 << 20)) < int(share * (1 << 20))).select("text", "toxic")
-    found = chosen.mapInArrow(measure, "x0 double, x1 double, x2 double, toxic int").toPandas().to_numpy(float).reshape(-1, 4)
-    x, y = found[:, :3], found[:, 3]
-    if 0 < y.sum() < len(y):
-        scale, w = _fit(x, y)
-    else:  # nothing to calibrate on: the evidence speaks for itself
-        scale, w = np.ones(3), np.array([10.0, 0.0, 0.0, -1.0])
-    return {"table": table, "scale": scale, "w": w}
-
-
-def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted.
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """The models' ratios, from all labelled rows of remainders 1 to 3."""
+    marked = _marked(labels, label_col).where(remainder("id") != 4)
+    small = labels.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = texts.join(F.broadcast(marked) if small else marked, "id").select("text", "toxic")
+    counted = rows.mapInArrow(_class_counts, "word string, n0 long, n1 long")
+    return ratios(counted.groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
 
-    Null and empty texts have no evidence and get the score of no evidence.  A
-    null doc_id is not held out.  Repeated rows each have their row; other
-    columns are ignored; an empty table gives no rows.
-    """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        for b in batches:
-            x = _in_blocks([t or "" for t in b.column("text").to_pylist()], m["table"])
-            z = np.c_[x / m["scale"], np.ones(len(x))] @ m["w"]
-            got = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(got)], ["doc_id", "held_out", "score"])
+def calibrate(found: DataFrame, labels: DataFrame, label_col: str = "toxic", calibration_rows: int = CALIBRATION_ROWS) -> Curve:
+    """The curve, from a sample of the labelled rows of remainder 4; found is `evidence` of them (and maybe of others)."""
+    marked = _marked(labels, label_col).where(remainder("id") == 4)
+    chosen = sampled(marked, F.xxhash64("id"), calibration_rows)
+    rows = found.join(chosen, F.col("doc_id") == F.col("id")).select("evidence", "toxic").toPandas()
+    return fit_curve(rows["evidence"].to_numpy(float), rows["toxic"].to_numpy(int))
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(remainder(id_col) == 0, F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
+def score(found: DataFrame, curve: Curve) -> DataFrame:
+    """doc_id, held_out, score, predicted of rows of `evidence`."""
+    x = F.log(F.greatest(F.col("evidence"), F.lit(0.0)) + FLOOR)
+    p = 1 / (1 + F.exp(-F.lit(curve.slope) * (x - F.lit(curve.middle))))
+    return found.select("doc_id", "held_out", p.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
-def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """Train on the labelled rows and score every document; see `train` and `score`."""
-    return score(docs, train(docs, labels, **options))
+
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", calibration_rows: int = CALIBRATION_ROWS) -> DataFrame:
+    """Train on the labelled rows and score every document: doc_id, held_out, score, predicted.
+
+    Null and empty texts have no evidence and get the score of no evidence.  A
+    null doc_id is not held out.  Repeated rows each have their row; a label
+    given more than once is toxic if one of them is; other columns are ignored;
+    an empty table gives no rows; without labels every text gets the score of
+    no evidence.
+    """
+    found = materialize(evidence(docs, train(docs, labels, id_col, text_col, label_col), id_col, text_col), "toxicity-evidence")
+    return score(found, calibrate(found, labels, label_col, calibration_rows))
