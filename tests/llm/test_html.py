@@ -26,8 +26,72 @@ def test_article_without_the_rest(spark):
 def test_copies_and_shared_paragraphs_keep_their_text(spark):
     page = fill("A", "same", "")
     assert len(set(text_of(spark, *[page] * 12))) == 1 and text_of(spark, *[page] * 12)[0].startswith("A\n\nsame")
-    pages = [fill(f"T{i}", "shared paragraph", f" {i}") for i in range(12)]
-    assert all("shared paragraph" in t for t in text_of(spark, *pages))
+    pages = [fill(f"T{i}", "shared paragraph" if i % 2 else f"own {i}", f" {i}") for i in range(12)]
+    assert sum("shared paragraph" in t for t in text_of(spark, *pages)) == 6
+
+
+def test_template_constants_go_in_articles_too(spark):
+    """A notice that alignment finds on every page of a host, in no list of names."""
+    pages = [f"<body><article><h1>T{i}</h1><div class=xyz><p>Read our terms before you go on</p></div><p>Story {i} {'word ' * (i + 9)}</p></article></body>" for i in range(12)]
+    assert text_of(spark, *pages) == [f"T{i}\n\nStory {i} {('word ' * (i + 9)).strip()}" for i in range(12)]
+
+
+def test_layouts_of_a_host_are_kept_apart(spark):
+    """Pages of two templates: neither is measured by the other's pages."""
+    story = lambda i: f"<body><div class=a><h1>T{i}</h1><p>Story {i} {'word ' * (i + 9)}</p></div><div class=b><p>Same below all stories of this site</p></div></body>"
+    table = lambda i: "<body><table>" + "".join(f"<tr><td>cell {i} {k}</td><td>{i * k}</td></tr>" for k in range(12)) + "</table></body>"
+    got = text_of(spark, *(story(i) if i % 2 else table(i) for i in range(40)))
+    for i, text in enumerate(got):
+        assert ("Same below" not in text) and text.startswith(f"T{i}\n\nStory {i}" if i % 2 else f"cell {i} 0")
+
+
+def test_marks_do_not_empty_pages(spark):
+    body = "<h1>Title {i}</h1>" + "".join(f"<p>Paragraph {k} of page {{i}} with some words that make it long enough.</p>" for k in range(6))
+    for start, end in (("<form id=aspnet>", "</form>"), ("<div class='post-with-sidebar'>", "</div>"), ("<div class=share-price-report>", "</div>"), ("<div class=has-sidebar><aside>x</aside>", "</div>")):
+        pages = [f"<html><body><nav>Home</nav>{start}{body.format(i=i)}{end}<footer>us</footer></body></html>" for i in range(3)]
+        for i, text in enumerate(text_of(spark, *pages)):
+            assert text.startswith(f"Title {i}\n\nParagraph 0") and text.count("Paragraph") == 6 and "Home" not in text and "us" not in text.split("\n\n"), start
+    login = "<body><form><label>Name</label><p>Log in here please</p></form></body>"
+    assert text_of(spark, login) == [""]
+
+
+def test_deep_markup_loses_nothing(spark):
+    deep = "<body><div><article><p>before</p>" + "<div>" * 300 + "<nav>menu</nav>deep" + "</div>" * 300 + "<p>after</p></article></div></body>"
+    mixed = "<body><article><p>before</p>" + "<div><section>" * 300 + "deep" + "</section></div>" * 300 + "<p>after</p></article></body>"
+    assert text_of(spark, deep, mixed) == ["before\n\ndeep\n\nafter"] * 2
+
+
+def test_wide_levels_are_aligned_exactly(monkeypatch):
+    import random
+
+    random.seed(3)
+    wide = lambda: "".join(random.choice(["<p>x</p>", "<ul><li>a</ul>", "<h2>h</h2>", "<div class=b><p>y</p></div>"]) for _ in range(60))
+    for _ in range(5):
+        a, b = H.Page(wide()).sign(), H.Page(wide()).sign()
+        want = slow_match(a.root, b.root)
+        assert H.tree_match(a.root, b.root, {}) == want
+        monkeypatch.setattr(H, "TABLE_CELLS", 50)  # in halves
+        assert H.tree_match(a.root, b.root, {}) == want
+        monkeypatch.undo()
+
+
+def test_extraction_matches_the_plain_rules(spark, sf):
+    """Regions and constants by plain loops over all pages of a host, with every reference."""
+    rows = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    got = {r.page_id: r.text for r in H.main_text(spark.read.parquet(f"{sf}/pages.parquet")).collect()}
+    by_host: dict[str, list] = {}
+    for r in rows:
+        by_host.setdefault(r.url.split("/")[2], []).append((r.page_id, r.html, H.Page(r.html).sign()))
+    for pages in by_host.values():
+        for page_id, html, page in pages:
+            others = [p for i, h, p in pages if h != html]
+            constant = set.intersection(*(H.template_blocks(page, o) for o in others)) if len(others) >= 5 else set()
+            text: dict[str, int] = {}
+            for i, (holder, t, outside) in enumerate(page.blocks):
+                if not outside and i not in constant:
+                    text[H._place(holder)] = text.get(H._place(holder), 0) + len(t)
+            best = max(text, key=text.get)  # every page of this table has its paragraphs in one element
+            assert got[page_id] == "\n\n".join(t for i, (h, t, o) in enumerate(page.blocks) if not o and i not in constant and H._place(h) == best)
 
 
 def test_wrapper_finds_content_without_an_article(spark):
