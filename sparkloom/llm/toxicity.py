@@ -23,11 +23,13 @@ have not seen, turns the evidence into a score.
 Counts are gathered over all labelled training rows and kept as a table that
 grows with them; events that neither class has seen more often than D have the
 ratio of anything unseen after their context and need no row.  Nothing of the
-models comes to the driver but sums for the discounts.  For scoring, texts are
-packed in blocks as counts of words; the words of all blocks meet the events in
-joins, and each block gets back a ratio for each of its words.  Only the curve
-is fitted on a bounded sample (about `calibration_rows` rows, chosen by a hash
-of their id).
+models comes to the driver but sums for the discounts, and the events' ratios
+while they are few: then (BROADCAST_EVENTS) they are broadcast and each text is
+scored where it is read.  Beyond, texts are packed in blocks as counts of
+words; the words of all blocks meet the events in joins, and each block gets
+back a ratio for each of its words.  Both ways give the same evidence.  Only
+the curve is fitted on a bounded sample (about `calibration_rows` rows, chosen
+by a hash of their id).
 """
 
 from __future__ import annotations
@@ -53,7 +55,11 @@ SHARE = 1 / 300
 #: Code points of a word; longer ones are cut into pieces of that length, all of which count.
 MAX_WORD = 64
 #: Characters and documents of a block, whose words are looked up together; a longer text is a block of its own.
-BLOCK_CHARS, BLOCK_DOCS = 1 << 22, 4096
+BLOCK_CHARS, BLOCK_DOCS = 1 << 24, 1 << 14
+#: Events up to which the models are broadcast: 30 MB sent, some 200 MB in a Python worker.
+BROADCAST_EVENTS = 2_000_000
+#: Words whose gain a worker remembers.
+CACHED_WORDS = 400_000
 #: Label rows up to which the labels are broadcast instead of joined by a shuffle: about 16 MB.
 BROADCAST_LABELS = 1_000_000
 CALIBRATION_ROWS = 20_000
@@ -216,9 +222,43 @@ def remainder(id_col: str) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5
 
 
+def _gain(ratio: float) -> float:
+    return math.log1p(SHARE * math.expm1(min(ratio / UNIT, 500.0)))
+
+
+def _direct(sent):
+    """Evidence of texts where they are read; sent is a broadcast of the events' ratios."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        value = sent.value.get
+        known: dict[str, float] = {}
+
+        def gain(word: str) -> float:
+            s, total = f"{EDGE * (ORDER - 1)}{word}{EDGE}", 0
+            for j in range(len(word) + 1):
+                v = value(s[j : j + ORDER])
+                total += value(s[j : j + ORDER - 1], 0) if v is None else v
+            if len(known) >= CACHED_WORDS:
+                known.clear()
+            known[word] = _gain(total)
+            return known[word]
+
+        for b in batches:
+            out = []
+            for text in b.column("text"):
+                counts = Counter(words(text.as_py() or ""))
+                out.append(sum(n * (known[w] if w in known else gain(w)) for w, n in counts.items()) / max(1, sum(counts.values())))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(out, pa.float64())], ["doc_id", "held_out", "evidence"])
+
+    return run
+
+
 def evidence(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, evidence) for each row; 0 for texts without a word."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(remainder(id_col) == 0, F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    if model.limit(BROADCAST_EVENTS + 1).count() <= BROADCAST_EVENTS:
+        sent = docs.sparkSession.sparkContext.broadcast(dict(zip(*(c.to_pylist() for c in model.select("key", "value").toArrow().columns))))
+        return rows.mapInArrow(_direct(sent), "doc_id long, held_out boolean, evidence double")
     schema = "block long, doc_id long, held_out boolean, n_words long, kinds int, packed binary, place int, word string"
     packed = materialize(rows.mapInArrow(_pack, schema), "toxicity-blocks")
     vocabulary = packed.where("word is not null").select("block", "place", "word")

@@ -81,7 +81,9 @@ def test_words():
     assert X.words("a" * 150) == ["a" * 64, "a" * 64, "a" * 22]
 
 
-def test_evidence_matches_the_plain_formulas(spark, monkeypatch):
+@pytest.mark.parametrize("events", [10**6, 0])
+def test_evidence_matches_the_plain_formulas(spark, monkeypatch, events):
+    monkeypatch.setattr(X, "BROADCAST_EVENTS", events)  # broadcast, or joined
     monkeypatch.setattr(X, "BLOCK_DOCS", 64)
     rows, labels = corpus(300)
     rows += [(1000, ""), (1001, "???"), (1002, "zorgxyz 1d1ot 中文 " + "q" * 200)]
