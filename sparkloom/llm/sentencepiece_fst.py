@@ -1,27 +1,34 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-A model file is compiled to three transducers: the normaliser (a dummy prefix
-and the space mark), the pieces, and byte fallback for characters that no piece
-covers.  An input is composed with them lazily: the states of the composition
-are positions of the normalised text (with the piece that led there), its arcs
-the pieces that end at a position, and the tropical-semiring shortest path from
-the first position to the last is the encoding.
-
-Arc weights follow the model's type.  In a unigram model an arc weighs minus
-its piece's score.  A byte-pair model's encoding is not the path of largest
-score; but a sequence of pieces is what merging yields exactly if every pair
-of neighbours is (merging the two's joined text gives the two back).  So each
-arc weighs 0 if its piece may follow the one before it and infinity if not: one
-path of finite weight is left, and it is the model's encoding.
-
-No piece has the space mark behind another character, so the transducer
-starts anew at each run of marks that follows a word; the paths of such chunks are joined,
-and those of chunks met before are remembered.
+A model file is compiled to transducers, tables of states with arcs by symbol:
+the normaliser (the model's character map, a state of its trie for each byte
+read; white space states for the dummy prefix, repeated spaces and the space
+mark), the pieces (a trie whose accepting states put out a piece and go back to
+the start) and byte fallback (an arc for every character that no piece covers,
+putting out its bytes).  An input is composed with them lazily: the normaliser
+is deterministic, so its composition with an input is one string; states of the
+composition with the pieces are pairs of a position and a state of the piece
+trie, with the piece that led to the position, and the tropical-semiring
+shortest path from the first position to the last is the encoding.
+
+Arc weights follow the model's type.  In a unigram model a piece weighs minus
+its score.  A byte-pair model's encoding is not the path of largest score; but
+a sequence of pieces is what merging yields exactly if every pair of neighbours
+is (merging the two's joined text gives the two back).  So the pieces are
+composed with one more machine, whose states are the pieces and whose arcs
+weigh 0 if a piece may follow another and infinity if not: one path of finite
+weight is left, and it is the model's encoding.  User-defined pieces are read
+before anything else, whatever stands around them.
+
+Where no piece has the space mark behind another character, the composition
+passes its first state anew at each run of marks that follows a word; the paths
+of such chunks are joined, and those of chunks met before are remembered.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 from collections.abc import Iterator
 
@@ -69,6 +76,69 @@ def _fields(raw: bytes) -> Iterator[tuple[int, object]]:
             yield key >> 3, struct.unpack("<f" if kind == 5 else "<d", raw[at - size : at])[0]
 
 
+class Trie:
+    """A transducer of strings: next[state] gives the state after a symbol, final[state] what is put out there (-1: nothing)."""
+
+    def __init__(self, strings: dict[str, int]):
+        self.next: list[dict[str, int]] = [{}]
+        self.final: list[int] = [-1]
+        for string, out in strings.items():
+            state = 0
+            for symbol in string:
+                to = self.next[state].get(symbol)
+                if to is None:
+                    to = self.next[state][symbol] = len(self.next)
+                    self.next.append({})
+                    self.final.append(-1)
+                state = to
+            self.final[state] = out
+
+
+class CharacterMap:
+    """A model's map of character sequences, as it stands in the file: a double-array trie over bytes and the strings that its states put out."""
+
+    def __init__(self, raw: bytes):
+        size = struct.unpack_from("<I", raw)[0]
+        self.units = struct.unpack_from(f"<{size // 4}I", raw, 4)
+        self.strings = raw[4 + size :]
+
+    def longest(self, text: bytes, at: int) -> tuple[bytes, int] | None:
+        """Output and length of the longest sequence of the map that stands at a place."""
+        units, found = self.units, None
+        step = lambda u: (u >> 10) << ((u & 512) >> 6)
+        state = step(units[0])
+        for i in range(at, len(text)):
+            state ^= text[i]
+            unit = units[state] if state < len(units) else 0
+            if unit & 0x800000FF != text[i]:
+                break
+            state ^= step(unit)
+            if unit >> 8 & 1:
+                lo = units[state] & 0x7FFFFFFF
+                found = self.strings[lo : self.strings.index(b"\0", lo)], i + 1 - at
+        return found
+
+    def apply(self, text: str) -> str:
+        """The text with each longest sequence replaced; characters outside the map stay."""
+        raw, out, at = text.encode("utf-8", "surrogatepass"), [], 0
+        while at < len(raw):
+            found = self.longest(raw, at)
+            if found:
+                out.append(found[0])
+                at += found[1]
+            else:
+                end = at + 1
+                while end < len(raw) and raw[end] & 0xC0 == 0x80:
+                    end += 1
+                out.append(raw[at:end])
+                at = end
+        return b"".join(out).decode("utf-8", "surrogatepass")
+
+
+#: Stretches that a character map may change: anything beyond letters, digits and marks of ASCII, and a character before it, which it may combine with.
+_MAPPED = re.compile(r"[!-~]?[^!-~]+")
+
+
 class Transducer:
     """Encoder and decoder compiled from the bytes of a model file."""
 
@@ -84,27 +154,44 @@ class Transducer:
                 trainer = dict(_fields(value))
             elif number == 3:
                 normalizer = dict(_fields(value))
-        if normalizer.get(2):
-            raise ValueError("models with a character map aren't supported")
+        self.map = CharacterMap(normalizer[2]) if normalizer.get(2) else None
+        plain = self.map is None or all(self.map.apply(chr(c)) == chr(c) for c in range(33, 127))
+        self.mapped = _MAPPED if plain else re.compile(r"[\s\S]+")  # a map that folds case changes letters too
         self.kind = trainer.get(3, UNIGRAM)
+        if self.kind not in (UNIGRAM, BPE):
+            raise ValueError("word and character models aren't supported")
         self.add_prefix, self.squeeze, self.escape = (bool(normalizer.get(k, 1)) for k in (3, 4, 5))
-        self.ids = {p: i for i, (p, _, kind) in enumerate(self.pieces) if kind in (NORMAL, USER)}
+        self.ids = {p: i for i, (p, _, kind) in enumerate(self.pieces) if kind == NORMAL}
+        self.user = {p: i for i, (p, _, kind) in enumerate(self.pieces) if kind == USER}
+        self.split = re.compile("|".join(map(re.escape, sorted(self.user, key=len, reverse=True)))) if self.user else None
         self.bytes = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(self.pieces) if kind == BYTE}
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.unknown = next((i for i, (_, _, kind) in enumerate(self.pieces) if kind == UNKNOWN), 0)
         self.score = [s for _, s, _ in self.pieces]
         self.chunked = not any(MARK in p.lstrip(MARK) for p in self.ids)
         self.lowest = min((s for p, s, k in self.pieces if k == NORMAL), default=0.0) - UNKNOWN_PENALTY
-        #: Arcs of the piece transducer: what a string leads to is a piece's id, or -1 within pieces.
-        self.arcs = {p[:i]: -1 for p in self.ids for i in range(1, len(p) + 1)} | self.ids
+        self.trie = Trie(self.ids)
         self.pairs: dict[int, bool] = {}
         self.recent: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
         self.raw = [bytes([self.byte_of[i]]) if k == BYTE else " ⁇ ".encode() if k == UNKNOWN else b"" if k == CONTROL else p.encode() for i, (p, _, k) in enumerate(self.pieces)]
 
+    def _mapped(self, text: str) -> str:
+        if self.map is None:
+            return text
+        if not self.split:
+            return self.mapped.sub(lambda m: self.map.apply(m[0]), text)
+        out, at = [], 0  # user-defined pieces are not normalised
+        for m in self.split.finditer(text):
+            out += [self.mapped.sub(lambda m: self.map.apply(m[0]), text[at : m.start()]), m[0]]
+            at = m.end()
+        return "".join([*out, self.mapped.sub(lambda m: self.map.apply(m[0]), text[at:])])
+
     def normalise(self, text: str) -> str:
+        """What the normaliser's transducers put out for a text."""
         if not text:
             return ""
+        text = self._mapped(text)
         if self.squeeze:
             text = " ".join(x for x in text.split(" ") if x)
         if self.add_prefix and text:
@@ -137,7 +224,8 @@ class Transducer:
 
     def _bpe_path(self, chunk: str) -> list[int]:
         """Ids along the only path of finite weight. A character without a piece is an arc of its own, -1 minus its code point."""
-        n, arcs, pairs, width = len(chunk), self.arcs, self.pairs, len(self.pieces)
+        n, pairs, width = len(chunk), self.pairs, len(self.pieces)
+        after, final = self.trie.next, self.trie.final
         begin = [-1] * (n + 1)
         last = [-1] * (n + 1)
         begin[0] = 0
@@ -145,43 +233,58 @@ class Transducer:
             if begin[lo] < 0:
                 continue
             left = last[lo] if last[lo] >= 0 else -1  # nothing merges across a character without a piece
-            for hi in range(lo + 1, n + 1):
-                at = arcs.get(chunk[lo:hi])
-                if at is None:
-                    if hi == lo + 1:
-                        begin[hi], last[hi] = lo, -1 - ord(chunk[lo])
+            state, hi = 0, lo
+            while hi < n:
+                state = after[state].get(chunk[hi])
+                if state is None:
                     break
+                hi += 1
+                at = final[state]
                 if at >= 0 and begin[hi] < 0:
                     fits = pairs.get((left + 1) * width + at)
                     if fits if fits is not None else self._follows(left, at):
                         begin[hi], last[hi] = lo, at
-        out = []
-        while n:
-            out.append(last[n])
-            n = begin[n]
-        return out[::-1]
+            if begin[lo + 1] < 0 and chunk[lo] not in self.ids:  # a character that only begins longer pieces
+                begin[lo + 1], last[lo + 1] = lo, -1 - ord(chunk[lo])
+        return self._back(begin, last)
 
     def _unigram_path(self, chunk: str) -> list[int]:
         """Ids along the path of least weight."""
-        n, arcs = len(chunk), self.arcs
+        n, after, final = len(chunk), self.trie.next, self.trie.final
         weight = [0.0] + [float("inf")] * n
         begin, last = [0] * (n + 1), [-1] * (n + 1)
         for lo in range(n):
-            for hi in range(lo + 1, n + 1):
-                at = arcs.get(chunk[lo:hi])
-                known = at is not None and at >= 0
-                if known or hi == lo + 1:
-                    total = weight[lo] - (self.score[at] if known else self.lowest)
+            state, hi, single = 0, lo, False
+            while hi < n and (state := after[state].get(chunk[hi])) is not None:
+                hi += 1
+                at = final[state]
+                if at >= 0:
+                    single |= hi == lo + 1
+                    total = weight[lo] - self.score[at]
                     if total < weight[hi]:
-                        weight[hi], begin[hi], last[hi] = total, lo, at if known else -1 - ord(chunk[lo])
-                if at is None:
-                    break
-        out = []
+                        weight[hi], begin[hi], last[hi] = total, lo, at
+            if not single and weight[lo] - self.lowest < weight[lo + 1]:
+                weight[lo + 1], begin[lo + 1], last[lo + 1] = weight[lo] - self.lowest, lo, -1 - ord(chunk[lo])
+        return self._back(begin, last)
+
+    @staticmethod
+    def _back(begin: list[int], last: list[int]) -> list[int]:
+        out, n = [], len(begin) - 1
         while n:
             out.append(last[n])
             n = begin[n]
         return out[::-1]
 
+    def _covered(self, path: list[int]) -> Iterator[int]:
+        """The path with byte fallback; without bytes, a run of unknown characters is one unknown piece."""
+        before = 0
+        for p in path:
+            if p >= 0:
+                yield p
+            elif self.bytes or before >= 0:
+                yield from self._fallback(-1 - p)
+            before = p
+
     def _fallback(self, code: int) -> list[int]:
         """Ids for a character without a piece."""
         if self.bytes:
@@ -192,7 +295,7 @@ class Transducer:
         out = self.older.get(chunk)
         if out is None:
             path = self._bpe_path(chunk) if self.kind == BPE else self._unigram_path(chunk)
-            out = tuple(path) if min(path) >= 0 else tuple(i for p in path for i in ([p] if p >= 0 else self._fallback(-1 - p)))
+            out = tuple(path) if min(path) >= 0 else tuple(self._covered(path))
         if len(chunk) <= 64:
             if len(self.recent) >= CACHE_CHUNKS:
                 self.older, self.recent = self.recent, {}
@@ -202,6 +305,16 @@ class Transducer:
     def encode(self, text: str) -> list[int]:
         """Piece ids of the text."""
         text = self.normalise(text)
+        if not self.split:
+            return self._stretch(text)
+        out, at = [], 0
+        for m in self.split.finditer(text):
+            out += [*self._stretch(text[at : m.start()]), self.user[m[0]]]
+            at = m.end()
+        return out + self._stretch(text[at:])
+
+    def _stretch(self, text: str) -> list[int]:
+        """Ids of a normalised text without user-defined pieces."""
         if not text:
             return []
         if not self.chunked:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import struct
 
 import pytest
 
@@ -27,27 +28,82 @@ def test_ids_equal_the_library(both, docs):
         assert ours.decode(ours.encode(t)) == lib.decode(lib.encode(t))
 
 
-def test_shortest_path_of_a_unigram_model(both):
-    from itertools import combinations
+def varint(n):
+    out = b""
+    while n > 127:
+        out, n = out + bytes([n & 127 | 128]), n >> 7
+    return out + bytes([n])
 
-    ours, _ = both
-    uni = P.Transducer.__new__(P.Transducer)
-    uni.__dict__ = dict(ours.__dict__)
+
+def message(number, value):
+    if isinstance(value, bytes):
+        return varint(number << 3 | 2) + varint(len(value)) + value
+    if isinstance(value, float):
+        return varint(number << 3 | 5) + struct.pack("<f", value)
+    return varint(number << 3) + varint(value)
+
+
+def model(pieces, kind, charsmap=b"", prefix=1, squeeze=1):
+    """A model file's bytes; pieces are (text, score, type)."""
+    out = b"".join(message(1, message(1, p.encode()) + message(2, float(s)) + message(3, k)) for p, s, k in pieces)
+    out += message(2, message(3, kind) + (message(35, 1) if any(k == P.BYTE for _, _, k in pieces) else b""))
+    return out + message(3, (message(2, charsmap) if charsmap else b"") + message(3, prefix) + message(4, squeeze) + message(5, 1))
+
+
+SPECIAL = [("<unk>", 0.0, P.UNKNOWN), ("<s>", 0.0, P.CONTROL), ("</s>", 0.0, P.CONTROL)]
+
+
+def same_as_library(raw, texts):
+    import sentencepiece
+
+    ours, lib = P.Transducer(raw), sentencepiece.SentencePieceProcessor(model_proto=raw)
+    for t in texts:
+        assert ours.encode(t) == lib.encode(t), (t, lib.encode(t, out_type=str))
+
+
+def texts(alphabet, n=200, seed=3):
+    rng = random.Random(seed)
+    return ["", " ", "  a  b "] + ["".join(rng.choices(alphabet, k=rng.randint(1, 40))) for _ in range(n)]
+
+
+def test_shortest_paths_of_unigram_models():
     rng = random.Random(2)
-    pieces = ["a", "b", "c", "ab", "bc", "abc", "ca", "cab"]
-    uni.score = [rng.uniform(-5, -1) for _ in pieces]
-    ids = {p: i for i, p in enumerate(pieces)}
-    uni.arcs, uni.lowest = {p[:i]: -1 for p in pieces for i in range(1, len(p) + 1)} | ids, -20.0
-    for text in ("abcabc", "cabab", "bbca", "abxca"):
-        best = float("inf")
-        for n in range(len(text)):
-            for cuts in combinations(range(1, len(text)), n):
-                parts = [text[i:j] for i, j in zip((0, *cuts), (*cuts, len(text)))]
-                if all(p in ids or len(p) == 1 for p in parts):
-                    best = min(best, sum(-uni.score[ids[p]] if p in ids else 20.0 for p in parts))
-        got = uni._unigram_path(text)
-        assert "".join(pieces[i] if i >= 0 else chr(-1 - i) for i in got) == text
-        assert sum(-uni.score[i] if i >= 0 else 20.0 for i in got) == pytest.approx(best)
+    parts = ["a", "b", "c", "ab", "bc", "abc", "ca", "cab", "▁", "▁a", "▁ab", "é", "cé", "a▁b"]
+    for trial in range(8):
+        pieces = SPECIAL + [(p, rng.uniform(-5, -1), P.NORMAL) for p in parts if p != "b" or trial % 2]
+        same_as_library(model(pieces, P.UNIGRAM), texts("abc éz"))
+
+
+def test_bytes_instead_of_the_unknown_piece():
+    pieces = SPECIAL + [(f"<0x{b:02X}>", 0.0, P.BYTE) for b in range(256)] + [(p, -i - 1.0, P.NORMAL) for i, p in enumerate(["ab", "bc", "▁a", "a", "b", "▁"])]
+    same_as_library(model(pieces, P.BPE), texts("abc é漢😀"))
+
+
+def test_user_defined_pieces_come_first():
+    merges = ["ab", "abc", "▁a", "cd", "a", "b", "c", "d", "▁"]
+    pieces = SPECIAL + [("<user>", 0.0, P.USER), ("bcd", 0.0, P.USER)] + [(p, -i - 1.0, P.NORMAL) for i, p in enumerate(merges)]
+    same_as_library(model(pieces, P.BPE), [*texts("abcd "), "a<user>b", "<user>", "x abcd<user><user> bcd", "abcdbcd"])
+
+
+def test_character_maps(both, docs):
+    """The map that the library makes of a public normalisation, put into the public model."""
+    import sentencepiece
+
+    if not hasattr(sentencepiece, "SentencePieceNormalizer"):
+        pytest.skip("this version of the library has no normaliser")
+    for rule in ("nmt_nfkc", "nfkc_cf"):
+        made = sentencepiece.SentencePieceNormalizer(rule_name=rule)
+        spec = dict(P._fields(dict(P._fields(made.serialized_model_proto()))[3]))
+        ours, _ = both
+        raw = model([(p, s, k) for p, s, k in ours.pieces], P.BPE, charsmap=spec[2], squeeze=0)
+        tricky = ["ﬁ ½ İ ℡ ①", "e\u0301 A\u030a が\u3099 ｶﾞ", "ＡＢＣ　ｄ", "\u200b\ufeffx\u00a0y\tz\n", "한글 각", "Straße GROSS", "a\u0300b"]
+        same_as_library(raw, tricky + [r.text for r in docs.limit(60).collect()] + texts("aé\u0301ﬁ １漢\u3099か ", 100))
+
+
+def test_trie_states():
+    t = P.Trie({"ab": 7, "abc": 8, "b": 9})
+    state = t.next[t.next[0]["a"]]["b"]
+    assert t.final[state] == 7 and t.final[t.next[state]["c"]] == 8 and t.final[t.next[0]["a"]] == -1
 
 
 def test_round_trip_of_the_table(docs):
