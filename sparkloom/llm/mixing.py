@@ -5,7 +5,8 @@ number of words.  An output of as many words as the input is a row of slots,
 one block each, cut into shards.  Every shard draws how many of its slots each
 source gets from a multinomial whose weights are the targets; a source whose
 budget of slots is used up leaves its surplus draws to those with a deficit,
-so that the totals meet the targets.  The k-th slot of a source takes block
+so that the totals meet the targets: what these lack is dealt to the last
+shards in a pseudorandom order, so that they are mixes as well.  The k-th slot of a source takes block
 `permutation_pass(k mod n)` with pass = k div n: each pass uses every block of
 the source once, in a pseudorandom order of its own (a keyed Feistel network),
 so no block is used more often than the passes begun, three at most.  Slots
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.scratch import materialize
+from sparkloom.llm.scratch import fresh, materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -34,8 +35,8 @@ BLOCK_WORDS = 128
 #: Blocks that a source has at least, if it has as many words: small sources get shorter blocks.
 MIN_BLOCKS = 256
 SHARD_SLOTS = 1024
-#: Sources that one mix may have; the table of sources is held by the driver and each task.
-MAX_SOURCES = 100_000
+#: Sources up to which their table is broadcast, some 10 MB. The driver and the tasks that draw hold a hundred bytes for each source, however many there are.
+BROADCAST_SOURCES = 100_000
 
 
 @dataclass(frozen=True)
@@ -119,15 +120,21 @@ def _draws(plan: list[Source], shards: int, seed: int):
     return run
 
 
-def _place(plan: list[Source]):
+def _place(plan: list[Source], shards: int, lacking: int, seed: int):
+    """Blocks of slots, and shards of those that are dealt after all draws: the rank-th of them goes where a permutation takes it."""
     blocks = np.array([s.blocks for s in plan], dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s, k = b.column("s").to_numpy(), b.column("k").to_numpy()
+            s, k, rank, shard = (b.column(c).to_numpy() for c in ("s", "k", "rank", "shard"))
             n = blocks[s]
             block = permute(s, k // n, k % n, n) if len(s) else k
-            yield pa.RecordBatch.from_arrays([b.column("shard"), b.column("s"), b.column("k"), pa.array(block)], ["shard", "s", "k", "block"])
+            late = np.flatnonzero(rank >= 0)
+            if len(late):
+                same = np.full(len(late), 1)
+                shard = shard.copy()
+                shard[late] = shards + permute(same * len(blocks), same * seed, rank[late], same * lacking) // SHARD_SLOTS
+            yield pa.RecordBatch.from_arrays([pa.array(shard), b.column("s"), b.column("k"), pa.array(block)], ["shard", "s", "k", "block"])
 
     return run
 
@@ -140,14 +147,19 @@ def _slots(spark, plan: list[Source], seed: int) -> DataFrame:
     tasks = max(1, min(shards, 4 * spark.sparkContext.defaultParallelism))
     drawn = materialize(spark.range(0, shards, 1, tasks).mapInPandas(_draws(plan, shards, seed), "shard long, s int, n long"), "mix-draws")
     placed = _offsets(drawn.withColumn("bucket", F.floor(F.col("shard") / 4096)), "s", "bucket", ["shard"], "n")
-    # a source's draws beyond its slots lapse; what others lack is drawn in shards of its own at the end
-    used = placed.join(limit, "s").select("shard", "s", F.col("start").alias("lo"), F.least(F.col("start") + F.col("n"), "slots").alias("hi")).where("lo < hi")
-    got = drawn.groupBy("s").agg(F.sum("n").alias("got"))
-    lacking = limit.join(got, "s", "left").select("s", F.coalesce("got", F.lit(0)).alias("lo"), F.col("slots").alias("hi")).where("lo < hi")
-    steps = lacking.select("s", "hi", F.explode(F.sequence("lo", F.col("hi") - 1, F.lit(SHARD_SLOTS).cast("long"))).alias("lo"))
-    more = steps.select((F.lit(shards) + F.floor(F.col("lo") / SHARD_SLOTS)).alias("shard"), "s", "lo", F.least("hi", F.col("lo") + SHARD_SLOTS).alias("hi"))
-    rows = used.unionByName(more).select("shard", "s", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("k"))
-    return rows.mapInArrow(_place(plan), "shard long, s int, k long, block long")
+    # a source's draws beyond its slots lapse; what others lack is ranked over all of them, one source after the other
+    used = placed.join(limit, "s").select("shard", "s", F.col("start").alias("lo"), F.least(F.col("start") + F.col("n"), "slots").alias("hi"), F.lit(None).cast("long").alias("ahead")).where("lo < hi")
+    got = {r["s"]: r["got"] for r in drawn.groupBy("s").agg(F.sum("n").alias("got")).collect()}  # a row for each source
+    more, lacking = [], 0
+    for source in plan:
+        lo = min(got.get(source.index, 0), source.slots)
+        for at in range(lo, source.slots, SHARD_SLOTS):
+            more.append((0, source.index, at, min(source.slots, at + SHARD_SLOTS), lacking + at - lo))
+        lacking += source.slots - lo
+    rows = used.unionByName(spark.createDataFrame(more, "shard long, s int, lo long, hi long, ahead long"))
+    rank = F.coalesce(F.col("ahead") + F.col("k") - F.col("lo"), F.lit(-1))
+    rows = rows.select("*", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("k")).select("shard", "s", "k", rank.alias("rank"))
+    return rows.mapInArrow(_place(plan, shards, max(lacking, 1), seed), "shard long, s int, k long, block long")
 
 
 @dataclass
@@ -168,9 +180,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     # equal rows are numbered, so that each has a place of its own
     counted = rows.groupBy("doc_id", "source", "text_hash", "size").agg(F.count("*").alias("n"))
     base = materialize(counted.select("doc_id", "source", "text_hash", "size", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy")), "mix-sizes")
-    totals = base.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"a mix has at most {MAX_SOURCES} sources")
+    totals = base.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()  # a row for each source
     plan = plan_sources([(r["source"], r["size"]) for r in totals], weights, max_repeat, block_words)
     table = spark.createDataFrame([(s.index, s.name, s.block_words) for s in plan], "s int, source string, block_words int")
     rows = sum(r["n"] for r in totals)
@@ -188,7 +198,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def _uses(m: Mix) -> DataFrame:
     times = m.slots.groupBy("s", "block").agg(F.count("*").alias("uses"))
-    return m.pieces.join(times, ["s", "block"]).select("doc_id", "text_hash", "copy", "s", "start", "lo", "hi", "uses")
+    return m.pieces.join(times, ["s", "block"]).select("doc_id", "text_hash", "copy", "s", "start", "size", "lo", "hi", "uses")
 
 
 def taken(docs: DataFrame, **options) -> DataFrame:
@@ -208,7 +218,8 @@ def taken(docs: DataFrame, **options) -> DataFrame:
         got = _uses(m).groupBy("s", "start").agg(F.sum((F.col("hi") - F.col("lo")) * F.col("uses")).cast("long").alias("taken"))
         some, none = m.docs.where("size > 0"), m.docs.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
         counted = some.join(got, ["s", "start"], "left").withColumn("taken", F.coalesce("taken", F.lit(0))).select("doc_id", "s", "size", "taken").unionByName(none.select("doc_id", "s", "size", "taken"))
-    return counted.join(F.broadcast(about), "s").select("doc_id", "size", "source_size", "target", "taken")  # at most MAX_SOURCES rows
+    about = F.broadcast(about) if len(m.plan) <= BROADCAST_SOURCES else about
+    return counted.join(about, "s").select("doc_id", "size", "source_size", "target", "taken")
 
 
 def _spans(parts: list[dict], size: int) -> list[list[tuple[int, int]]]:
@@ -226,16 +237,19 @@ def _spans(parts: list[dict], size: int) -> list[list[tuple[int, int]]]:
 
 
 def _texts(columns: list[str], text_col: str):
+    """Rows (the columns, then a document's size and parts) as the texts that its parts make."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word = re.compile(WORD)
         for b in batches:
             at, texts = [], []
-            for i, (text, parts) in enumerate(zip(b.column(text_col), b.column("__parts"))):
+            sizes, every = b.column(len(columns)), b.column(len(columns) + 1)
+            for i, (text, parts) in enumerate(zip(b.column(columns.index(text_col)), every)):
                 text, parts = text.as_py() or "", parts.as_py()
                 starts = None
                 for runs in _spans(parts, len(text)):
                     whole = len(runs) == 1 and runs[0][0] == 0
-                    if whole and runs[0][1] == b.column("__size")[i].as_py():
+                    if whole and runs[0][1] == sizes[i].as_py():
                         texts.append(text)
                     else:
                         if starts is None:
@@ -250,19 +264,26 @@ def _texts(columns: list[str], text_col: str):
 
 
 def mixed_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The mix as documents, with all columns of docs.
+    """The mix as documents, with all columns of docs, whatever their names.
 
     A document that the mix takes c times gives c rows; one of which some blocks
     are taken keeps the words of those, in order; one of which none is taken
-    goes.  Texts without a word are never taken.
+    goes.  Null and empty texts and those without a word are never taken; null
+    ids and sources are as any other; of rows that repeat each has a place of
+    its own (told apart by their other columns, so reruns agree); an empty table
+    gives no rows.  Texts are shuffled once.
     """
     m = mix(docs, id_col, text_col, source_col, **options)
     if m.slots is None:
         return docs.limit(0)
-    parts = _uses(m).groupBy("doc_id", "text_hash", "copy").agg(F.collect_list(F.struct("lo", "hi", "uses")).alias("__parts"), F.max("hi").alias("__top"))
-    sizes = m.docs.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("copy").alias("__copy"), F.col("size").alias("__size"))
-    wanted = parts.join(sizes, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")) & (F.col("copy") == F.col("__copy"))).select("__id", "__hash", "__copy", "__size", "__parts")
+    key, nth, items = (fresh(docs, n) for n in ("key", "nth", "items"))
+    same = lambda doc_id, text_hash: F.xxhash64(doc_id.isNull(), doc_id, text_hash)
+    parts = _uses(m).groupBy("doc_id", "text_hash", "copy", "size").agg(F.collect_list(F.struct("lo", "hi", "uses")).alias("parts"))
+    wanted = parts.groupBy(same(F.col("doc_id"), F.col("text_hash")).alias(key)).agg(F.collect_list(F.struct("copy", "size", "parts")).alias(items))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.withColumn("__h", F.xxhash64(text, F.col(source_col))).withColumn("__c", F.row_number().over(Window.partitionBy(id_col, "__h").orderBy(id_col)))
-    met = rows.join(wanted, rows[id_col].eqNullSafe(wanted["__id"]) & (F.col("__h") == F.col("__hash")) & (F.col("__c") == F.col("__copy")))
-    return met.select(*docs.columns, "__size", "__parts").mapInArrow(_texts(docs.columns, text_col), docs.schema)
+    keyed = docs.withColumn(key, same(F.col(id_col), F.xxhash64(text, F.col(source_col))))
+    numbered = keyed.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))))
+    met = numbered.join(wanted, key)
+    own = F.get(F.filter(items, lambda x: x["copy"] == F.col(nth)), F.lit(0))
+    taken_ = met.select(*(F.col(f"`{c}`") for c in docs.columns), own["size"].alias(key), own["parts"].alias(items)).where(F.col(items).isNotNull())
+    return taken_.mapInArrow(_texts(docs.columns, text_col), docs.schema)

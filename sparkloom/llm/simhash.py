@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.components import connected_components
-from sparkloom.llm.scratch import drop, materialize
+from sparkloom.llm.scratch import drop, fresh, materialize
 
 MASK64 = (1 << 64) - 1
 CHUNK = 1 << 15
@@ -145,8 +145,7 @@ def links(distinct: DataFrame, dense: int = DENSE) -> DataFrame:
     cell = _cell(F.col("fp"))
     steps = F.array(*(F.lit(s << 4 * i) for i in range(16) for s in (1, -1)), F.lit(0))
     placed = distinct.select("fp", cell.alias("at")).select(F.explode(F.transform(steps, lambda d: F.col("at") + d)).alias("cell"), "fp")
-    n = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = materialize(placed.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(_cell_links(dense), "a long, b long"), "simhash-links")
+    found = materialize(placed.repartition("cell").sortWithinPartitions("cell").mapInArrow(_cell_links(dense), "a long, b long"), "simhash-links")
     verified = found.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     flips = F.array(*(F.lit(_signed(1 << i)) for i in range(64)), F.lit(0))
     crowded = found.where("b is null").select("a").distinct()
@@ -194,7 +193,7 @@ def _bands(hashes: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
-    """(doc_id, row, print, bands): row is a hash of the text, print one of the text's set of shingles; bands is empty where there is no word."""
+    """(doc_id, row, rest, print, bands): row is a hash of the text, rest one of all columns, print one of the text's set of shingles; bands is empty where there is no word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh64_intdigest
@@ -205,10 +204,15 @@ def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 hashes = np.unique(np.fromiter((digest(x, 42) for x in found), np.uint64, len(found)))
                 prints.append(_signed(xxhash.xxh3_64_intdigest(hashes.tobytes())))
                 bands.append(_bands(hashes) if len(hashes) else [])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(prints, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "row", "print", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(prints, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "row", "rest", "print", "bands"])
 
     text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).cast("long"), text, F.xxhash64(text)).mapInArrow(run, "doc_id long, row long, print long, bands array<long>")
+    return docs.select(F.col(id_col).cast("long"), text.alias("text"), F.xxhash64(text).alias("row"), _whole(docs).alias("rest")).mapInArrow(run, "doc_id long, row long, rest long, print long, bands array<long>")
+
+
+def _whole(docs: DataFrame) -> Column:
+    """A hash of all columns."""
+    return F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -230,7 +234,7 @@ def _similar(pairs: DataFrame, texts: DataFrame, words: int, similarity: float)
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row per document: doc_id, row (a hash of the text), root; documents of one component have the same root.
+    """One row per document: doc_id, row (a hash of the text), rest (one of all columns), root; documents of one component have the same root.
 
     Components are those of the pairs of sets of `words`-word shingles of at
     least that Jaccard similarity.  Equal sets collapse to one print.  Prints
@@ -262,16 +266,22 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     roots = materialize(connected_components(linked.unionByName(rest)), "copies-roots")
     for done in (distinct, crowd, texts, stars, member):
         drop(done)
-    return sets.join(roots, sets["print"] == roots["node"], "left").select("doc_id", "row", by_root(roots).alias("root"))
+    return sets.join(roots, sets["print"] == roots["node"], "left").select("doc_id", "row", "rest", by_root(roots).alias("root"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The documents without near copies: of each component of `near_copies` the row with the smallest doc_id stays, with all its columns.
-
-    A component whose doc_ids are all null keeps one row of them.
+    """The documents without near copies, with all their columns, whatever their names.
+
+    Of each component of `near_copies` the row with the smallest doc_id stays;
+    ties go by hashes of the text and of all columns, so reruns agree, and of
+    rows that are equal in every column one stays.  Rows that share a doc_id but
+    are no near copies all stay.  Null and empty texts are one component; a
+    component whose doc_ids are all null keeps one row; an empty table stays
+    empty.
     """
-    key = lambda doc_id, row: F.xxhash64(doc_id.isNull(), doc_id, row)
-    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")
-    keep = near_copies(docs, id_col, text_col, words, similarity).groupBy("root").agg(F.min(order).alias("m")).select(key(F.col("m.doc_id"), F.col("m.row")).alias("__keep"))
-    own = key(F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string")))
-    return docs.withColumn("__own", own).join(keep, F.col("__own") == F.col("__keep"), "left_semi").dropDuplicates(["__own"]).drop("__own")
+    own, kept = fresh(docs, "own"), fresh(docs, "kept")
+    key = lambda doc_id, row, rest: F.xxhash64(doc_id.isNull(), doc_id, row, rest)
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row", "rest")
+    keep = near_copies(docs, id_col, text_col, words, similarity).groupBy("root").agg(F.min(order).alias("m")).select(key(F.col("m.doc_id"), F.col("m.row"), F.col("m.rest")).alias(kept))
+    mine = key(F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string")), _whole(docs))
+    return docs.withColumn(own, mine).join(keep, F.col(own) == F.col(kept), "left_semi").dropDuplicates([own]).drop(own)

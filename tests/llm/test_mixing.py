@@ -42,6 +42,65 @@ def test_mix_meets_targets_and_limits(docs):
     assert np.allclose(ordered["target"], M.targets(list(ordered["size"]), list(weights)))
 
 
+def test_taken_matches_brute_force(spark, docs):
+    """Slots and places brought together by plain loops."""
+    more = docs.unionByName(docs.limit(30))
+    m = M.mix(more)
+    slots, places = m.slots.collect(), m.docs.collect()
+    by_source = {}
+    for r in slots:
+        by_source.setdefault(r.s, []).append(r)
+    assert sorted(by_source) == [p.index for p in m.plan if p.slots]
+    taken = {}
+    for p in m.plan:
+        own = by_source[p.index]
+        assert sorted(r.k for r in own) == list(range(p.slots))
+        uses = np.bincount([r.block for r in own], minlength=p.blocks)
+        assert len(uses) == p.blocks and set(uses) <= {p.slots // p.blocks, -(-p.slots // p.blocks)}
+        words = np.repeat(uses, p.block_words)[: p.size]  # how often each word of the source is taken
+        at = 0
+        for r in sorted((r for r in places if r.s == p.index), key=lambda r: (r.start, r["size"])):
+            assert r.start == at  # end to end, in some order
+            at += r["size"]
+            taken.setdefault((r.doc_id, r["size"]), []).append(int(words[r.start : at].sum()))
+        assert at == p.size
+    got = {}
+    for r in M.taken(more).collect():
+        got.setdefault((r.doc_id, r["size"]), []).append(r.taken)
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in taken.items()}
+
+
+def test_every_shard_is_a_mix(spark, monkeypatch):
+    monkeypatch.setattr(M, "SHARD_SLOTS", 64)
+    rows = [(i, "w " * 400, f"s{i % 5}") for i in range(1500)]
+    m = M.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    shards = {}
+    for r in m.slots.collect():
+        shards.setdefault(r.shard, []).append(r.s)
+    drawn = -(-sum(p.slots for p in m.plan) // 64)
+    assert set(shards) >= set(range(drawn))
+    assert all(len(set(x)) >= 3 for k, x in shards.items() if k < drawn * 0.95)
+    late = [x for k, x in sorted(shards.items()) if k >= drawn]
+    assert late and all(len(x) <= 64 for x in late)
+    every = [s for x in late for s in x]
+    common = {s for s in every if every.count(s) >= 0.15 * len(every)}
+    assert all(common <= set(x) for x in late if len(x) == 64)
+
+
+def test_clashing_names_and_repeated_rows(spark):
+    rows = [(1, "a b c d e f g h", "s", 1), (1, "a b c d e f g h", "s", 2), (None, "i j k l", None, 3), (None, "i j k l", None, 4), (2, None, "s", 5)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, key int").selectExpr("*", "key AS `__h`", "1 AS `__parts`", "2 AS nth", "3 AS items", "4 AS `__c`", "5 AS size", "6 AS copy", "7 AS s")
+    want = {}
+    for r in M.taken(frame).collect():
+        want[r.doc_id] = want.get(r.doc_id, 0) + r.taken
+    mixed = M.mixed_text(frame)
+    assert mixed.columns == frame.columns
+    got, runs = {}, [sorted(map(repr, M.mixed_text(frame).collect())) for _ in range(2)]
+    for r in mixed.collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + len(r.text.split())
+    assert runs[0] == runs[1] and got == {k: n for k, n in want.items() if n}
+
+
 def test_mixed_text_holds_the_words_taken(docs):
     got = M.taken(docs).toPandas().set_index("doc_id")["taken"]
     words = M.mixed_text(docs).rdd.map(lambda r: (r.doc_id, len((r.text or "").encode().split()))).collect()

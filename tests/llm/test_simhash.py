@@ -82,6 +82,16 @@ def test_deduplicate_keeps_one_of_each(odd_docs, no_docs):
     assert S.deduplicate(no_docs).count() == 0
 
 
+def test_deduplicate_loses_no_other_document(spark):
+    """Different texts under one id all stay; copies that differ in another column keep the same row in each run."""
+    rows = [(1, f"quite another text number {i} with words of its own {i * 7} and more {i * 11}", "a", i) for i in range(7)]
+    rows += [(2, "one and the same text in two rows", "a", 0), (2, "one and the same text in two rows", "b", 1), (3, "one and the same text in two rows", "a", 2)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, own int").selectExpr("*", "1 AS kept", "2 AS `__own`", "3 AS root", "4 AS band", "5 AS print", "6 AS row", "7 AS rest")
+    runs = [sorted(map(repr, S.deduplicate(frame.repartition(n)).collect())) for n in (1, 5)]
+    assert runs[0] == runs[1] and len(runs[0]) == 8
+    assert S.deduplicate(frame).columns == frame.columns
+
+
 def test_deduplicate_finds_edited_copies(spark):
     """Against exact Jaccard similarities of five-word shingle sets, near the threshold on either side."""
     rng = np.random.default_rng(12)
