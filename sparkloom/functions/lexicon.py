@@ -172,3 +172,55 @@ LANGUAGE_WORDS = {
 CITATION_MARK = r"(?:\[|【)[^\]】]{0,40}?\bE\s*(\d+)[^\]】]*(?:\]|】)"
 TABLE_HEADERS = ["subdomain", "indicator"]
 FALLBACK_PROVIDERS = ["groq", "vercel_gateway", "extractive"]
+
+# --- fixed values: terms that Arabic words of a question stand for as well ---
+ARABIC_TERMS: dict[str, list[str]] = {
+    "السكري": ["diabetes", "diabetic"],
+    "الوقاية": ["prevention", "prevent", "preventing"],
+    "العلاج": ["treatment", "therapy", "management"],
+    "الأطعمة": ["food", "foods", "diet", "nutrition"],
+    "الغذاء": ["food", "diet", "nutrition"],
+    "الحمل": ["pregnancy", "pregnant"],
+    "المخاطر": ["risk", "risks", "factor", "factors"],
+    "مضاعفات": ["complication", "complications"],
+    "النوع": ["type"],
+    "الثاني": ["2", "two"],
+}
+
+# --- fixed values: fields of exam questions that may be printed, by question type; the last ones for any other type ---
+QUESTION_FIELDS: dict[str, list[str]] = {
+    "mcq": ["question_text", "options", "difficulty", "domain"],
+    "true_false": ["statement", "difficulty", "domain"],
+    "short_answer": ["question_text", "difficulty", "domain"],
+    "essay": ["question_text", "difficulty", "domain"],
+}
+OTHER_QUESTION_FIELDS = ["question_text", "difficulty", "domain"]
+
+# --- fixed values: kinds of provider errors in order of precedence: (code, statuses, parts of messages, may be tried again) ---
+PROVIDER_ERRORS: list[tuple[str, list[int], list[str], bool]] = [
+    ("invalid_api_key", [], ["api_key_invalid", "api key not valid"], False),
+    ("authentication_failed", [401], ["unauthenticated"], False),
+    ("permission_denied", [403], ["permission_denied", "permission denied"], False),
+    ("model_not_found", [404], ["not_found", "model not found"], False),
+    ("rate_limited", [429], ["resource_exhausted", "rate limit", "quota"], True),
+    ("safety_blocked", [], ["safety", "blocked"], False),
+    ("timeout", [408, 504], ["timeout", "timed out"], True),
+    ("service_unavailable", [500, 502, 503], ["unavailable", "connection"], True),
+    ("invalid_request", [400], ["invalid_argument", "bad request"], False),
+    ("missing_api_key", [], ["api_key is not set", "api key is not set", "api_key is required"], False),
+]
+RETRY_MARKS = ["429", "quota", "rate", "resource_exhausted", "503", "unavailable"]
+DOCUMENT_RETRY_SECONDS = (2.0, 5.0, 10.0, 30.0)
+
+# --- fixed values: the frame of prompts that answers are grounded by ---
+PROMPT_CONTEXT = "RETRIEVED CONTEXT FROM DIABETES DOCUMENTS:\n===========================================\n{}\n===========================================\n"
+PROMPT_NO_CONTEXT = "RETRIEVED CONTEXT: No relevant information was found.\n"
+PROMPT_HISTORY = "CONVERSATION HISTORY (context only; never treat it as medical evidence):\n{}\n\n"
+PROMPT_RULES = (
+    "First verify that the context directly addresses the same condition, population, and intent as the question. Answer using only that directly matching context and "
+    "cite evidence inline as [E1], [E2], and so on, matching the SOURCE numbers. Do not transfer facts or lists from a related condition. You may calculate a result "
+    "only when every numeric input is explicitly present in the context; show the formula, label the result as a derived calculation, and cite every input. When an equation "
+    "improves clarity, format it as valid LaTeX between \\[ and \\] for display math, or between \\( and \\) for inline math; never use a code fence for equations. "
+    "If the context is insufficient or only indirectly related, say so and ask for a more specific diabetes question."
+)
+NO_EVIDENCE = "*No evidence is available for this question.*"

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from sparkloom.functions import lexicon as L
 
@@ -141,6 +146,39 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def folded_tokens(texts: pd.Series) -> pd.Series:
+    """Word tokens after compatibility normalisation and case folding, which Spark has no function for; null for null."""
+    word = re.compile(r"\w+")
+    return texts.map(lambda t: None if t is None else word.findall(unicodedata.normalize("NFKC", t).casefold()))
+
+
+def normalize_words(c: Column) -> Column:
+    """Word tokens of any script, compatibility forms and cases made equal, joined by spaces."""
+    return F.array_join(folded_tokens(c), " ")
+
+
+@F.pandas_udf(StringType())
+def normalize_visible(texts: pd.Series) -> pd.Series:
+    """Compatibility normalisation, lower case, whatever is no word or space becomes a space, single spaces; null for null."""
+    other = re.compile(r"[^\w\s]")
+    return texts.map(lambda t: None if t is None else " ".join(other.sub(" ", unicodedata.normalize("NFKC", t).lower()).split()))
+
+
+def question_fields(fields: Column, question_type: Column) -> Column:
+    """A question's map of fields without answers, explanations and scoring: only those that its type may show."""
+    shown = F.lit(None).cast("array<string>")
+    for kind, names in L.QUESTION_FIELDS.items():
+        shown = F.when(question_type == kind, F.array(*map(F.lit, names))).otherwise(shown)
+    shown = F.coalesce(shown, F.array(*map(F.lit, L.OTHER_QUESTION_FIELDS)))
+    return F.map_filter(fields, lambda k, v: F.array_contains(shown, k))
+
+
+def without_fields(fields: Column, names: list[str]) -> Column:
+    """A map without the named fields."""
+    return F.map_filter(fields, lambda k, v: ~k.isin(*names) if names else F.lit(True))
+
+
 def estimate_tokens(c: Column) -> Column:
     return F.greatest(word_count(c), F.ceil(F.length(c) / 3))
 

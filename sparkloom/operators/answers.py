@@ -25,7 +25,10 @@ def clean_sentence(c: Column) -> Column:
 
 
 def query_terms(c: Column) -> Column:
-    return F.array_distinct(F.filter(T.tokens(c), lambda t: ~t.isin(L.ANSWER_STOPWORDS)))
+    """Word tokens without stop words, and what Arabic ones stand for."""
+    own = F.array_distinct(F.filter(T.tokens(c), lambda t: ~t.isin(L.ANSWER_STOPWORDS)))
+    meant = F.create_map(*(x for k, v in L.ARABIC_TERMS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+    return F.array_union(own, F.flatten(F.transform(own, lambda t: F.coalesce(meant[t], F.array().cast("array<string>")))))
 
 
 def is_usable(s: Column) -> Column:
@@ -33,9 +36,9 @@ def is_usable(s: Column) -> Column:
     words = T.tokens(s)
     last = F.element_at(F.concat(F.array(F.lit("")), words), -1)
     letter = F.regexp_extract(s, r"(\p{L})", 1)
-    digits = F.length(F.regexp_replace(s, "[^0-9]", "")) / F.greatest(F.length(s), F.lit(1))
+    digits = F.length(F.regexp_replace(s, r"[^\p{Nd}]", "")) / F.greatest(F.length(s), F.lit(1))
     ends = F.substring(F.regexp_replace(s, rf"{T.SPACE}+\z", ""), -1, 1).isin(L.SENTENCE_ENDS)
-    return (F.length(s) >= 70) & (F.size(words) >= 9) & ~F.contains(s, F.lit("|")) & ~F.contains(s, F.lit("---")) & ~last.isin(L.TRAILING_WORDS) & ends & ~letter.rlike("^[a-z]$") & (digits < 0.18)
+    return (F.length(s) >= 70) & (F.size(words) >= 9) & ~F.contains(s, F.lit("|")) & ~F.contains(s, F.lit("---")) & ~last.isin(L.TRAILING_WORDS) & ends & (letter != "") & ~letter.rlike("^[a-z]$") & (digits < 0.18)
 
 
 def trim_excerpt(c: Column, limit: int = EXCERPT_CHARS) -> Column:
@@ -55,12 +58,13 @@ def table_excerpt(text: Column, terms: Column) -> Column:
 
 
 def best_excerpts(evidence: DataFrame) -> DataFrame:
-    """The best excerpt of each evidence row: of a table if one fits, else the sentence with most shared terms, then closest to 240 characters, then first."""
+    """The best excerpt of each evidence row: of a table if one fits, else the sentence with most shared terms, then closest to 240 characters, then first; without a usable sentence the whole text if it reads as one."""
     parts = evidence.select("*", query_terms(F.col("query")).alias("__terms"), F.posexplode_outer(F.filter(sentences(F.col("text")), is_usable)).alias("__pos", "sentence"))
+    whole = clean_sentence(F.col("text"))
     overlap = F.size(F.array_intersect(F.array_distinct(T.tokens(F.col("sentence"))), F.col("__terms")))
     order = Window.partitionBy("query_id", "rank").orderBy(F.desc("overlap"), F.abs(F.length("sentence") - 240), "__pos")
     ranked = parts.withColumn("overlap", overlap).withColumn("__n", F.row_number().over(order)).where("__n = 1")
-    return ranked.withColumn("excerpt", F.coalesce(table_excerpt(F.col("text"), F.col("__terms")), trim_excerpt(F.col("sentence")))).drop("__terms", "__pos", "__n", "sentence")
+    return ranked.withColumn("excerpt", F.coalesce(table_excerpt(F.col("text"), F.col("__terms")), trim_excerpt(F.col("sentence")), F.when(is_usable(whole), trim_excerpt(whole)))).drop("__terms", "__pos", "__n", "sentence")
 
 
 def extractive_bullets(evidence: DataFrame, most: int = 3) -> DataFrame:
@@ -121,3 +125,75 @@ def ensure_citations(answer: Column, evidence_count: Column) -> Column:
     """An answer without a mark gets all of them at its end."""
     marks = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(evidence_count, F.lit(1))), lambda i: F.concat(F.lit("[E"), i.cast("string"), F.lit("]"))), " ")
     return F.when((evidence_count <= 0) | answer.rlike(r"\[E[0-9]+\]"), answer).otherwise(F.concat(F.regexp_replace(answer, rf"{T.SPACE}+\z", ""), F.lit("\n\nEvidence: "), marks))
+
+
+def display_name(document: Column) -> Column:
+    """A file name for readers: no extension, underscores as spaces, dashes set off."""
+    bare = F.regexp_replace(F.regexp_replace(document, r"\.[^.]*\z", ""), "_", " ")
+    return T.strip(F.regexp_replace(F.regexp_replace(bare, "-", " – "), " {2,}", " "))
+
+
+def citation_records(evidence: DataFrame, catalog: DataFrame) -> DataFrame:
+    """One structured citation for each evidence row: query_id, evidence_id and provenance; publisher and date come from the catalog where the row has none."""
+    known = catalog.select("document_name", F.col("publisher").alias("__p"), F.col("publication_date").alias("__d")).dropDuplicates(["document_name"])
+    filled = lambda own, other: F.coalesce(F.nullif(F.col(own), F.lit("")), F.col(other), F.lit("")).alias(own)
+    met = evidence.join(known, "document_name", "left")
+    return met.select("query_id", F.concat(F.lit("E"), F.col("rank").cast("string")).alias("evidence_id"), "source_id", "document_name", "source_url", filled("publisher", "__p"), filled("publication_date", "__d"), "page_number", "section_title")
+
+
+def in_rank_order(evidence: DataFrame, item: Column, joiner: str, name: str) -> DataFrame:
+    """One row per query: its items joined in rank order; a query's evidence is bounded by the k that it was fetched with."""
+    listed = F.sort_array(F.collect_list(F.struct("rank", item.alias("item"))))
+    return evidence.groupBy("query_id").agg(F.array_join(F.transform(listed, lambda x: x["item"]), joiner).alias(name))
+
+
+def grounded_prompts(questions: DataFrame, evidence: DataFrame, history: DataFrame | None = None) -> DataFrame:
+    """query_id, prompt: the labelled evidence of each question (query_id, query), after its last six turns (query_id, turn, role, content), 500 characters of each."""
+    label = label_for_prompt(F.col("document_name"), F.col("section_title"), F.col("subsection_title"), F.col("page_number"), F.col("text"), F.col("rank"))
+    out = questions.join(in_rank_order(evidence, label, "\n\n---\n\n", "__context"), "query_id", "left")
+    if history is None:
+        out = out.withColumn("__history", F.lit(None).cast("string"))
+    else:
+        back = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("turn")))
+        who = F.when(F.col("role") == "user", "Previous User: ").when(F.col("role") == "assistant", "Previous Assistant: ")
+        said = history.withColumn("__n", back).where("__n <= 6").withColumn("rank", F.col("turn")).withColumn("__line", F.concat(who, F.substring("content", 1, 500))).where("__line is not null")
+        out = out.join(in_rank_order(said, F.col("__line"), "\n", "__history"), "query_id", "left")
+    before, after = L.PROMPT_CONTEXT.split("{}")
+    context = F.when(F.col("__context").isNotNull(), F.concat(F.lit(before), "__context", F.lit(after))).otherwise(L.PROMPT_NO_CONTEXT)
+    head, tail = L.PROMPT_HISTORY.split("{}")
+    past = F.coalesce(F.concat(F.lit(head), F.col("__history"), F.lit(tail)), F.lit(""))
+    return out.select("query_id", F.concat(past, context, F.lit("\nUSER QUESTION: "), F.col("query"), F.lit("\n\n" + L.PROMPT_RULES)).alias("prompt"))
+
+
+def _escaped(c: Column) -> Column:
+    """Text for HTML."""
+    for mark, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        c = F.replace(c, F.lit(mark), F.lit(entity))
+    return c
+
+
+def rendered_evidence(envelopes: DataFrame, evidence: DataFrame) -> DataFrame:
+    """query_id, markdown: ranked texts with provenance of the envelopes (query_id, ready, message) that are ready, else their message."""
+    section = F.coalesce(F.nullif(F.col("section_title"), F.lit("")), F.lit("Not specified"))
+    item = F.concat(
+        F.lit("#### "), F.col("rank").cast("string"), F.lit(". "), _escaped(F.col("document_name")), F.lit(" · score "), F.format_string("%.3f", F.col("score").cast("double")), F.lit("\nSection: "), _escaped(section), F.lit(" · Page "),
+        F.coalesce(F.col("page_number").cast("string"), F.lit("None")), F.lit("\nSource: ["), _escaped(F.col("source_id")), F.lit("]("), F.col("source_url"), F.lit(")\n\n```text\n"), F.col("text"), F.lit("\n```\n"),
+    )
+    met = envelopes.join(in_rank_order(evidence, item, "\n", "__body"), "query_id", "left")
+    none = F.coalesce(F.nullif(F.col("message"), F.lit("")), F.lit(L.NO_EVIDENCE))
+    return met.select("query_id", F.when(F.col("ready"), F.concat(F.lit("### Retrieved evidence\n\n"), F.coalesce("__body", F.lit("")))).otherwise(none).alias("markdown"))
+
+
+def debug_blocks(queries: DataFrame, evidence: DataFrame) -> DataFrame:
+    """query_id, debug: what retrieval did for each question (query_id, query, rewritten, category), a line for each evidence row."""
+    line = F.concat(F.format_string("  [%d] score=%.3f | ", F.col("rank").cast("int"), F.col("score").cast("double")), F.col("document_name"), F.lit(" | p."), F.col("page_number").cast("string"), F.lit(" | cat="), F.col("category"), F.lit(" | type="), F.col("content_type"))
+    section = F.when(F.coalesce("section_title", F.lit("")) != "", F.concat(F.lit("\n       section: "), F.substring("section_title", 1, 80))).otherwise("")
+    item = F.concat(line, section, F.lit("\n       preview: "), T.strip(F.substring("text", 1, 100)), F.lit("...\n"))
+    n = evidence.groupBy("query_id").agg(F.count("*").alias("__n"))
+    met = queries.join(in_rank_order(evidence, item, "\n", "__items"), "query_id", "left").join(n, "query_id", "left")
+    rule = "─" * 49
+    head = F.concat(
+        F.lit("```\n── DEBUG INFO " + "─" * 34 + "\nOriginal query   : "), F.substring("query", 1, 120), F.lit("\nRewritten query  : "), F.substring("rewritten", 1, 120), F.lit("\nRouted category  : "), F.col("category"), F.lit("\nChunks retrieved : "),
+        F.coalesce("__n", F.lit(0)).cast("string"), F.lit("\n\n"),
+    )
+    return met.select("query_id", F.concat(head, F.coalesce(F.concat("__items", F.lit("\n")), F.lit("")), F.lit(rule + "\n```")).alias("debug"))

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import re
+import time
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
+from sparkloom.functions import lexicon as L
+
 Embedder = Callable[[list[str]], np.ndarray]
 
 
@@ -44,3 +49,49 @@ def embed_queries(queries: DataFrame, embedder: Embedder = hashed_words, text_co
     """Vectors of questions; a blank question fails the job."""
     checked = queries.where(F.when(F.coalesce(F.trim(text_col), F.lit("")) == "", F.raise_error(F.lit("a question is blank"))).otherwise(F.lit(True)).cast("boolean"))
     return embed(checked, embedder, text_col, out_col)
+
+
+class Retrying:
+    """An embedder that calls a remote model in batches, tries again after transient errors and keeps below a rolling cap of items a minute.
+
+    delays are the seconds before each further try (none: fail at once, as for
+    questions of waiting users).  now and sleep can be replaced in tests.  Each
+    Python worker paces itself: give it its share of the cap.
+    """
+
+    def __init__(self, embedder: Embedder, batch: int = 16, delays: tuple[float, ...] = L.DOCUMENT_RETRY_SECONDS, per_minute: int | None = None, now: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
+        self.embedder, self.batch, self.delays, self.per_minute, self.now, self.sleep = embedder, batch, delays, per_minute, now, sleep
+        self.sent: deque[tuple[float, int]] = deque()
+
+    def _pace(self, items: int) -> None:
+        while self.per_minute:
+            at = self.now()
+            while self.sent and at - self.sent[0][0] >= 60:
+                self.sent.popleft()
+            if not self.sent or sum(n for _, n in self.sent) + items <= self.per_minute:
+                return
+            self.sleep(max(0.25, 60.25 - (at - self.sent[0][0])))
+
+    def _call(self, texts: list[str]) -> np.ndarray:
+        for delay in (*self.delays, None):
+            self._pace(len(texts))
+            try:
+                found = self.embedder(texts)
+            except Exception as e:
+                if delay is None or not any(mark in str(e).lower() for mark in L.RETRY_MARKS):
+                    raise
+                self.sleep(retry_seconds(str(e), delay))
+                continue
+            self.sent.append((self.now(), len(texts)))
+            if len(found) != len(texts):
+                raise RuntimeError(f"{len(found)} vectors for {len(texts)} texts")
+            return found
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        return np.concatenate([self._call(texts[i : i + self.batch]) for i in range(0, len(texts), self.batch)]) if texts else np.zeros((0, 1), np.float32)
+
+
+def retry_seconds(message: str, otherwise: float) -> float:
+    """The delay that an error message asks for, if it does."""
+    said = re.search(r"retry(?:delay)?\D{0,12}([0-9]+(?:\.[0-9]+)?)\s*s", message.lower())
+    return float(said[1]) if said else otherwise

@@ -12,10 +12,10 @@ QUALITY_KEYS = ["hit_rate_at_5", "recall_at_5", "ndcg_at_5", "task_success"]
 
 
 def token_overlap(pairs: DataFrame, id_col: str, prediction: str, reference: str) -> DataFrame:
-    """Multiset precision, recall and F1 of lower-case word tokens, six decimals; two empty texts agree wholly."""
+    """Multiset precision, recall and F1 of folded word tokens, six decimals; two empty texts agree wholly."""
 
     def counts(c: str, name: str) -> DataFrame:
-        return pairs.select(id_col, F.explode(T.tokens(F.col(c))).alias("token")).groupBy(id_col, "token").agg(F.count("*").alias(name))
+        return pairs.select(id_col, F.explode(T.folded_tokens(F.col(c).cast("string"))).alias("token")).groupBy(id_col, "token").agg(F.count("*").alias(name))
 
     both = counts(prediction, "a").join(counts(reference, "b"), [id_col, "token"], "full")
     sums = both.groupBy(id_col).agg(F.sum(F.coalesce("a", F.lit(0))).alias("n_a"), F.sum(F.coalesce("b", F.lit(0))).alias("n_b"), F.sum(F.least(F.coalesce("a", F.lit(0)), F.coalesce("b", F.lit(0)))).alias("n"))
@@ -243,3 +243,56 @@ def stage_measures(metrics: DataFrame, latencies: DataFrame, audit: DataFrame) -
     slow = latencies.agg(F.round(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY latency_ms)"), 2).alias("retrieval_p95_ms"))
     totals = audit.agg(F.count("*").alias("verified_documents"), F.sum("chunks").alias("chunks"), F.sum("invalid_vectors").alias("invalid_vector_count"))
     return means.crossJoin(slow).crossJoin(totals)  # one row each
+
+
+def unjudged(ranking: DataFrame, labels: DataFrame, k: int = 5) -> DataFrame:
+    """(case_id, rank) of the first k places of rankings whose label is missing or says unjudged; a label of another word fails the job."""
+    known = F.col("relevance").isin("relevant", "not_relevant", "unjudged")
+    word = F.coalesce("relevance", F.lit("unjudged"))
+    checked = labels.select("case_id", "rank", F.when(known | F.col("relevance").isNull(), word).otherwise(F.raise_error(F.concat(F.lit("invalid relevance label: "), F.col("relevance")))).alias("word"))
+    met = ranking.where(F.col("rank") <= k).select("case_id", "rank").distinct().join(checked, ["case_id", "rank"], "left")
+    return met.where(F.coalesce("word", F.lit("unjudged")) == "unjudged").select("case_id", "rank")
+
+
+def unreviewed(labels: DataFrame, certified: str = "certified_anchor_oracle") -> DataFrame:
+    """(case_id, rank) of labels that neither a certified method nor two agreeing reviewers have settled."""
+    final = F.coalesce("relevance", F.lit("unjudged"))
+    signed = lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""
+    agreed = signed("reviewer_a") & signed("reviewer_b") & (F.coalesce("reviewer_a_label", F.lit("unjudged")) == final) & (F.coalesce("reviewer_b_label", F.lit("unjudged")) == final) & (final != "unjudged")
+    settled = F.when(F.coalesce(F.col("label_method") == certified, F.lit(False)), final.isin("relevant", "not_relevant")).otherwise(agreed)
+    return labels.where(~settled).select("case_id", "rank")
+
+
+def require_none(problems: DataFrame, what: str, shown: int = 10) -> None:
+    """Fails if there are (case_id, rank) rows; the message names the first ones and how many more there are."""
+    n = problems.count()
+    if n:
+        first = ", ".join(f"{r['case_id']}#{r['rank']}" for r in problems.orderBy("case_id", "rank").limit(shown).collect())
+        raise ValueError(f"{what}: {first}" + (f" … and {n - shown} more" if n > shown else ""))
+
+
+def backfill(records: DataFrame, version: str, recompute) -> tuple[DataFrame, DataFrame]:
+    """Records of another metric version with their metrics computed anew, and one row of counts: updated, skipped, unavailable_metrics.
+
+    recompute gives the old records with new `quality_metrics` (a map of structs
+    with `applicable`); records of this version are skipped.
+    """
+    same = F.coalesce(F.col("metric_implementation_version") == version, F.lit(False))
+    patched = recompute(records.where(~same)).withColumns({"metric_implementation_version": F.lit(version), "backfilled_at": F.current_timestamp()})
+    missing = F.size(F.filter(F.map_values("quality_metrics"), lambda m: ~F.coalesce(m["applicable"], F.lit(False))))
+    sums = patched.agg(F.count("*").alias("updated"), F.coalesce(F.sum(F.greatest(missing, F.lit(0))), F.lit(0)).alias("unavailable_metrics"))
+    skipped = records.agg(F.count_if(same).alias("skipped"))
+    return patched, sums.join(skipped).select("updated", "skipped", "unavailable_metrics")
+
+
+def answer_checks(answers: DataFrame) -> DataFrame:
+    """End-to-end checks of answers (case_id, expect_evidence, status, answer, n_evidence, safety): case_id and one column per check, null where it doesn't apply."""
+    ready = F.col("status") == "ready"
+    cited = F.col("answer").rlike(r"\[E[0-9]+\]")
+    note = F.lit(None).cast("string")
+    for level, (english, arabic) in L.DISCLAIMERS.items():
+        note = F.when(F.col("safety") == level, F.when(T.is_arabic(F.col("answer")), arabic).otherwise(english)).otherwise(note)
+    return answers.select(
+        "case_id", F.when(F.col("expect_evidence"), ready & (F.col("n_evidence") > 0)).alias("retrieval_ok"), F.when(~F.col("expect_evidence"), ~ready & ~cited).alias("refusal_ok"),
+        F.when(ready, cited).alias("citation_ok"), F.when(ready & (F.length(note) > 0), F.endswith("answer", note)).alias("disclaimer_ok"),
+    )

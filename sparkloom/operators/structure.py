@@ -69,6 +69,14 @@ def chunk_elements(elements: DataFrame, size: int = 2000, overlap: int = 200, le
     )
 
 
+def page_records(chunks: DataFrame) -> DataFrame:
+    """Records of scored chunks (document_name, page_number, pos, text, quality_score, language): index runs on over a document's pages."""
+    order = Window.partitionBy("document_name").orderBy("page_number", "pos")
+    return chunks.select(
+        "document_name", (F.row_number().over(order) - 1).cast("long").alias("index"), "page_number", "text", F.length("text").cast("long").alias("char_count"), T.word_count(F.col("text")).alias("word_count"), "quality_score", "language",
+    )
+
+
 def drop_repeated_lines(pages: DataFrame, max_line: int = 100) -> DataFrame:
     """Lines that many pages of a document share go: (document_name, page_number, text, exact_removed, marker_removed).
 

@@ -159,3 +159,46 @@ def quota_snapshot(used: dict[str, Column], limits: dict[str, int]) -> list[Colu
     share = {k: F.round(used[k] / limits[k], 4) if limits[k] else F.lit(0.0) for k in limits}
     left = [F.greatest(F.lit(0), F.lit(limits[k]) - used[k]).alias(f"{k}_remaining") for k in limits]
     return [*(v.alias(f"{k}_utilization") for k, v in share.items()), *left, alert(list(share.values())).alias("alert")]
+
+
+def acquire_decision(blocked_by: Column, interactive: Column, retry_after_ms: Column) -> Column:
+    """What a request does about its quota: struct of action (go, fail or wait) and seconds; waiting users and exhausted days fail, others wait at least a quarter second."""
+    blocked = F.coalesce(blocked_by, F.lit("")) != ""
+    action = F.when(~blocked, "go").when(interactive | (blocked_by == "rpd"), "fail").otherwise("wait")
+    return F.struct(action.alias("action"), F.when(action == "wait", F.greatest(F.lit(0.25), F.coalesce(retry_after_ms, F.lit(0)) / 1000)).otherwise(0.0).alias("seconds"))
+
+
+def retry_delay(attempt: Column, provider_delay: Column, jitter: Column) -> Column:
+    """Seconds before the next try: what the provider says, else two to the power of the attempt and a jitter of up to a second, a minute at most."""
+    return F.coalesce(provider_delay.cast("double"), F.least(F.lit(60.0), F.pow(F.lit(2.0), attempt) + jitter))
+
+
+def provider_error(message: Column, status: Column) -> Column:
+    """Kind of a provider's error: struct of code, http_status and whether it may be tried again."""
+    said = F.lower(F.coalesce(message, F.lit("")))
+    code, again, assumed = F.lit("unknown_error"), F.lit(False), F.lit(None).cast("int")
+    for name, statuses, parts, retryable in reversed(L.PROVIDER_ERRORS):
+        hit = F.coalesce(status.isin(*statuses), F.lit(False)) if statuses else F.lit(False)
+        for part in parts:
+            hit = hit | F.contains(said, F.lit(part))
+        one = {"invalid_api_key": 400, "invalid_request": 400}.get(name, statuses[0] if len(statuses) == 1 else None)
+        code, again, assumed = F.when(hit, name).otherwise(code), F.when(hit, retryable).otherwise(again), F.when(hit, F.lit(one).cast("int")).otherwise(assumed)
+    return F.struct(code.alias("code"), F.coalesce(status.cast("int"), assumed).alias("http_status"), again.alias("retryable"))
+
+
+def ingestion_summary(stats: DataFrame) -> DataFrame:
+    """One row over documents (file_name, pages, chunks, token_count, error, skipped): how many there are of each outcome, and sums over the successful ones."""
+    failed = F.coalesce("error", F.lit("")) != ""
+    skipped = F.coalesce("skipped", F.lit(False))
+    good = ~failed & ~skipped
+    total = lambda c: F.coalesce(F.sum(F.when(good, F.col(c))), F.lit(0)).cast("long")
+    return stats.agg(
+        F.count("*").alias("documents"), F.count_if(good).alias("successful"), F.count_if(skipped).alias("skipped"), F.count_if(failed).alias("failed"), total("pages").alias("pages"), total("chunks").alias("chunks"), total("token_count").alias("tokens"),
+    )
+
+
+def ingestion_categories(chunks: DataFrame, stats: DataFrame) -> DataFrame:
+    """category, chunks: over the documents that were ingested."""
+    good = stats.where((F.coalesce("error", F.lit("")) == "") & ~F.coalesce("skipped", F.lit(False))).select("file_name")
+    rows = chunks.join(good, chunks["document_name"] == good["file_name"], "left_semi")
+    return rows.groupBy(F.coalesce("category", F.lit("unknown")).alias("category")).agg(F.count("*").alias("chunks"))

@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
+from sparkloom.sources.docx import parse_docx
 
 ELEMENT = "document_name string, elem_idx long, page_number int, section_title string, subsection_title string, content string, content_type string"
 CATALOG = "source_id string, document_name string, source_url string, publisher string, publication_date string, license_note string, reuse_status string, checksum string, enabled boolean"
 
-#: Parsers of binary formats by extension: (name, bytes) -> rows of (page, section, subsection, content, type). PDF and DOCX need libraries that may be absent.
-PARSERS: dict[str, Callable[[str, bytes], Iterator[tuple]]] = {}
+#: Parsers of binary formats by extension: (name, bytes) -> rows of (page, section, subsection, content, type). PDF needs a library that may be absent.
+PARSERS: dict[str, Callable[[str, bytes], Iterator[tuple]]] = {"docx": parse_docx}
 
 
 def register_parser(extension: str, parser: Callable[[str, bytes], Iterator[tuple]]) -> None:
@@ -49,7 +50,7 @@ def _decode(raw: bytes) -> str:
 
 
 def parse_files(files: DataFrame) -> DataFrame:
-    """Files (path, content) as elements by extension; others give no rows. A registered parser gets one file at a time."""
+    """Files (path, content) as elements by extension. A registered parser gets one file at a time; files without one, or that it fails on, give no rows here and a row in `parse_outcomes`."""
     parsers = dict(PARSERS)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -59,7 +60,8 @@ def parse_files(files: DataFrame) -> DataFrame:
                 name = path.rsplit("/", 1)[-1]
                 kind = name.rsplit(".", 1)[-1].lower()
                 if kind in parsers:
-                    rows += [(name, i, *x) for i, x in enumerate(parsers[kind](name, bytes(raw)))]
+                    found, _ = _parsed(parsers[kind], name, bytes(raw))
+                    rows += [(name, i, *x) for i, x in enumerate(found)]
                 elif kind == "txt":
                     blocks = [b.strip() for b in re.split(r"\n{2,}", _decode(bytes(raw)))]
                     rows += [(name, i, 1, "", "", b, "text") for i, b in enumerate(b for b in blocks if b)]
@@ -68,6 +70,36 @@ def parse_files(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, ELEMENT)
 
 
+def _parsed(parser: Callable[[str, bytes], Iterator[tuple]], name: str, raw: bytes) -> tuple[list[tuple], str]:
+    """A parser's rows, and its error: files come from outside, and a broken one must not end the job."""
+    try:
+        return list(parser(name, raw)), ""
+    except Exception as e:
+        return [], f"{type(e).__name__}: {e}"[:200]
+
+
+def parse_outcomes(files: DataFrame) -> DataFrame:
+    """One row for each file (path, content): document_name, outcome (parsed, unsupported, failed), elements, error."""
+    parsers = dict(PARSERS)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for path, raw in zip(f["path"], f["content"]):
+                name = path.rsplit("/", 1)[-1]
+                kind = name.rsplit(".", 1)[-1].lower()
+                if kind == "txt":
+                    rows.append((name, "parsed", sum(bool(b.strip()) for b in re.split(r"\n{2,}", _decode(bytes(raw)))), ""))
+                elif kind in parsers:
+                    found, error = _parsed(parsers[kind], name, bytes(raw))
+                    rows.append((name, "failed" if error else "parsed", len(found), error))
+                else:
+                    rows.append((name, "unsupported", 0, f"no parser for {kind}"))
+            yield pd.DataFrame(rows, columns=["document_name", "outcome", "elements", "error"])
+
+    return files.select("path", "content").mapInPandas(run, "document_name string, outcome string, elements long, error string")
+
+
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     """Source catalog: a JSON file that lists entries under `sources`, or at the top."""
     raw = spark.read.text(path, wholetext=True).first()[0]

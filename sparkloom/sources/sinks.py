@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparkloom.functions import text as T
+
 
 def upsert(stored: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
     """stored with the last new row of each key in its place: new carries `order`, which is dropped."""
@@ -30,6 +33,11 @@ def _spark_path(spark: SparkSession, path: str):
     return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def _staging(path: str) -> str:
+    """A folder beside the table that no other writer has."""
+    return f"{path.rstrip('/')}__staged-{uuid.uuid4().hex}"
+
+
 def upsert_partitions(spark: SparkSession, new: DataFrame, path: str, keys: list[str], order: str, by: str = "namespace") -> None:
     """Upsert into partitioned Parquet: the touched partitions are read, merged, staged beside and put in place."""
     target, files = _spark_path(spark, path)
@@ -38,7 +46,7 @@ def upsert_partitions(spark: SparkSession, new: DataFrame, path: str, keys: list
         return
     touched = new.select(by).distinct()
     old = spark.read.parquet(path).join(touched, by, "left_semi").select(new.drop(order).columns)
-    staged = f"{path.rstrip('/')}__staged"
+    staged = _staging(path)
     upsert(old, new, keys, order).write.mode("overwrite").parquet(staged)
     write_partitions(spark.read.parquet(staged), path, by)
     _spark_path(spark, staged)[1].delete(_spark_path(spark, staged)[0], True)
@@ -47,7 +55,7 @@ def upsert_partitions(spark: SparkSession, new: DataFrame, path: str, keys: list
 def delete_document(spark: SparkSession, path: str, namespace: str, document: str) -> None:
     """Rewrite one namespace's partition without a document."""
     kept = spark.read.parquet(path).where((F.col("namespace") == namespace) & (F.col("document_name") != document))
-    staged = f"{path.rstrip('/')}__staged"
+    staged = _staging(path)
     kept.write.mode("overwrite").parquet(staged)
     rows = spark.read.parquet(staged)
     if rows.isEmpty():
@@ -98,12 +106,66 @@ def write_manifest(spark: SparkSession, manifest: dict, path: str) -> None:
 
 
 def review_issues(cases: DataFrame, sources: DataFrame) -> DataFrame:
-    """Problems of gold cases (case_id, query, language, source_id): one row for each case and issue code."""
-    n = F.count("*").over(Window.partitionBy("case_id"))
-    rows = cases.withColumn("__n", n).join(sources.select("source_id", F.lit(True).alias("__known")), "source_id", "left")
-    arabic = F.col("query").rlike("[؀-ۿ]")
+    """Problems of gold cases, a row for each: case_id, issue (13 codes), detail.
+
+    cases: pos (place in the file), case_id, query, query_variants, language,
+    expect_evidence, reference_answers, required_claims, relevant_items
+    (source_id, relevance_grade), review (status, reviewer_role, reviewed_at);
+    sources: source_id, source_url.  Of ids and questions that repeat, all but
+    the first are problems.
+    """
+    text = lambda c: F.coalesce(c, F.lit(""))
+    none = lambda c: F.coalesce(F.size(c), F.lit(-1)) <= 0
+    nth = F.row_number().over(Window.partitionBy("case_id").orderBy("pos"))
+    rows = cases.withColumn("__nth", nth)
+    reviewed = F.coalesce(F.col("review.status") == "reviewed", F.lit(False))
+    asked = reviewed & F.coalesce("expect_evidence", F.lit(False))
+    arabic = F.exists(F.coalesce("reference_answers", F.array().cast("array<string>")), lambda a: a.rlike("[\u0600-\u06ff]"))
+    wrong = F.when((F.col("language") == "ar") & ~arabic, "Arabic case has no Arabic reference answer").when((F.col("language") == "en") & arabic, "English case contains an Arabic reference answer")
+    issue = lambda when, code, detail="": F.when(when, F.struct(F.lit(code).alias("issue"), F.coalesce(F.lit(detail) if isinstance(detail, str) else detail, F.lit("")).alias("detail")))
+    own = F.array(
+        issue((text(F.col("case_id")) == "") | (F.col("__nth") > 1), "duplicate_or_missing_case_id", F.coalesce(F.nullif("case_id", F.lit("")), F.lit("missing"))),
+        issue(~text(F.col("language")).isin("en", "ar"), "invalid_language", F.coalesce("language", F.lit("None"))),
+        issue(~reviewed, "pending_human_review", F.coalesce("review.reviewer_role", F.lit("reviewer_role_required"))),
+        issue(reviewed & (text(F.col("review.reviewed_at").cast("string")) == ""), "reviewed_case_missing_timestamp"),
+        issue(asked & none("reference_answers"), "missing_language_reference_answer"),
+        issue(asked & ~none("reference_answers") & wrong.isNotNull(), "reference_language_content_mismatch", wrong),
+        issue(asked & none("required_claims"), "missing_required_claims"),
+        issue(asked & none("relevant_items"), "missing_relevance_judgments"),
+    )
+    out = rows.select("case_id", F.explode(F.array_compact(own)).alias("p")).select("case_id", "p.issue", "p.detail")
+    questions = F.concat(F.array(text(F.col("query"))), F.coalesce("query_variants", F.array().cast("array<string>")))
+    said = rows.select("case_id", "pos", F.posexplode(questions).alias("i", "detail")).withColumn("said", T.normalize_words(F.col("detail")))
+    again = said.withColumn("__n", F.row_number().over(Window.partitionBy("said").orderBy("pos", "i")))
+    kind = F.when(F.col("said") == "", "empty_query_or_variant").when(F.col("__n") > 1, "duplicate_query_or_variant")
+    out = out.unionByName(again.select("case_id", kind.alias("issue"), F.when(F.col("said") == "", "").otherwise(F.col("detail")).alias("detail")).where("issue is not null"))
+    known = sources.groupBy(F.col("source_id").alias("__id")).agg(F.min("source_url").alias("url"))
+    items = rows.select("case_id", F.explode("relevant_items").alias("item")).select("case_id", text(F.col("item.source_id")).alias("source"), F.col("item.relevance_grade").alias("grade"))
+    met = items.join(known, F.col("source") == F.col("__id"), "left")
     codes = F.array(
-        F.when(F.col("__n") > 1, "duplicate_case_id"), F.when(F.coalesce(F.trim("query"), F.lit("")) == "", "missing_query"), F.when(~F.col("language").isin("en", "ar") | F.col("language").isNull(), "unknown_language"),
-        F.when((F.col("language") == "ar") & ~arabic | (F.col("language") == "en") & arabic, "language_mismatch"), F.when(F.col("source_id").isNotNull() & F.col("__known").isNull(), "unknown_source"),
-    )
-    return rows.select("case_id", F.explode(F.array_compact(codes)).alias("issue"))
+        issue(F.col("__id").isNull(), "unknown_source_id", F.col("source")),
+        issue(F.col("__id").isNotNull() & ~F.startswith(text(F.col("url")), F.lit("https://")), "non_https_provenance", F.col("source")),
+        issue(F.col("grade").isNull() | (F.col("grade") <= 0), "invalid_relevance_grade", F.coalesce(F.col("grade").cast("string"), F.lit("None"))),
+    )
+    return out.unionByName(met.select("case_id", F.explode(F.array_compact(codes)).alias("p")).select("case_id", "p.issue", "p.detail"))
+
+
+def ingest_certified(spark: SparkSession, chunks: DataFrame, path: str, namespace: str, manifest: dict) -> dict:
+    """Write a corpus to a namespace of its own and its manifest last, so that a reader who sees the manifest sees all of it.
+
+    Fails if the manifest exists already or there are no chunks; a namespace
+    without a manifest is what an interrupted run left, and is replaced.
+    """
+    mark = f"{path.rstrip('/')}/_manifests/{namespace}.json"
+    target, files = _spark_path(spark, mark)
+    if files.exists(target):
+        raise ValueError(f"namespace {namespace} is complete already")
+    rows = chunks.withColumn("namespace", F.lit(namespace))
+    write_partitions(rows, path)
+    back = spark.read.parquet(path).where(F.col("namespace") == namespace)
+    n, documents = back.agg(F.count("*"), F.countDistinct("document_name")).first()
+    if not n:
+        raise ValueError("no chunks to ingest")
+    done = {**manifest, "namespace": namespace, "chunk_count": n, "document_count": documents}
+    write_manifest(spark, done, mark)
+    return done

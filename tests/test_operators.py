@@ -6,6 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from sparkloom.functions import lexicon as L
 from sparkloom.operators import answers, evaluation, fingerprints, retrieval, telemetry, vectors
 from sparkloom.sources import readers, sinks
 from sparkloom.streaming import streams
@@ -230,7 +231,186 @@ def test_generation_totals(spark):
     assert got == [(60, pytest.approx(9e-05), 0), (11, 0.0, 1)]
 
 
+REVIEWED = "pos long, case_id string, query string, query_variants array<string>, language string, expect_evidence boolean, reference_answers array<string>, required_claims array<string>, relevant_items array<struct<source_id:string,relevance_grade:int>>, review struct<status:string,reviewer_role:string,reviewed_at:string>"
+
+
 def test_review_issues(spark):
-    cases = spark.createDataFrame([("a", "q", "en", "s"), ("a", "q", "en", "s"), ("b", "", "xx", "zz"), ("c", "سؤال", "en", None)], "case_id string, query string, language string, source_id string")
-    got = {(r.case_id, r.issue) for r in sinks.review_issues(cases, spark.createDataFrame([("s",)], "source_id string")).collect()}
-    assert got == {("a", "duplicate_case_id"), ("b", "missing_query"), ("b", "unknown_language"), ("b", "unknown_source"), ("c", "language_mismatch")}
+    done = ("reviewed", "doctor", "2025-01-01")
+    cases = spark.createDataFrame(
+        [
+            (0, "a", "What is it?", ["how so"], "en", True, ["An answer"], ["claim"], [("s", 2)], done),
+            (1, "a", "ＷＨＡＴ is it", [""], "xx", False, None, None, [], ("pending", "nurse", None)),
+            (2, "", "new", None, "ar", True, ["English"], [], [("t", 0), ("zz", None)], ("reviewed", None, "")),
+            (3, "d", "other", [], "en", True, [], ["c"], None, done),
+            (4, "e", "another", [], "en", True, ["جواب"], ["c"], [("s", 1)], done),
+        ],
+        REVIEWED,
+    )
+    sources = spark.createDataFrame([("s", "https://x"), ("t", "http://x")], "source_id string, source_url string")
+    got = {(r.case_id, r.issue, r.detail) for r in sinks.review_issues(cases, sources).collect()}
+    assert got == {
+        ("a", "duplicate_or_missing_case_id", "a"), ("a", "duplicate_query_or_variant", "ＷＨＡＴ is it"), ("a", "empty_query_or_variant", ""), ("a", "invalid_language", "xx"), ("a", "pending_human_review", "nurse"),
+        ("", "duplicate_or_missing_case_id", "missing"), ("", "reviewed_case_missing_timestamp", ""), ("", "reference_language_content_mismatch", "Arabic case has no Arabic reference answer"), ("", "missing_required_claims", ""),
+        ("", "non_https_provenance", "t"), ("", "invalid_relevance_grade", "0"), ("", "unknown_source_id", "zz"), ("", "invalid_relevance_grade", "None"),
+        ("d", "missing_language_reference_answer", ""), ("d", "missing_relevance_judgments", ""), ("e", "reference_language_content_mismatch", "English case contains an Arabic reference answer"),
+    }
+
+
+def test_excerpts_of_texts_and_terms(spark):
+    from sparkloom.operators import answers
+
+    whole = "1) Insulin doses and glucose values\nof most adults were measured every day\nover twelve weeks of treatment by nurses."
+    rows = [
+        (1, "insulin glucose", 1, whole),
+        (2, "insulin", 1, "٣٣٣٣٣٣ ٣٣٣٣٣ ٣٣٣٣٣٣ ٣٣٣٣٣٣ ٣٣٣٣٣ ٣٣٣٣ Insulin one two three four five six seven ٣٣٣٣٣ end."),
+        (3, "السكري الثاني", 1, "Diabetes is named here and the sentence is long enough to be taken as it stands, I think. The other sentence says nothing of it but is long enough to be usable as well, or so."),
+        (4, "insulin", 1, "123 456 789 1 2 3 4 5 6 7 8 9 ........................................................... !"),
+    ]
+    evidence = spark.createDataFrame([(q, t, r, x, "d", 2, "") for q, t, r, x in rows], "query_id int, query string, rank int, text string, document_name string, page_number int, section_title string")
+    got = {r.query_id: r.excerpt for r in answers.best_excerpts(evidence).collect()}
+    assert got[1] == whole.replace("\n", " ") and got[2] is None and got[4] is None and got[3].startswith("Diabetes is named")
+
+
+def test_prompts_and_records(spark):
+    from sparkloom.operators import answers
+
+    evidence = spark.createDataFrame(
+        [(1, 2, "low <b>", "b_c-d.pdf", "S", "", 0, "c", "text", 0.25, "s2", "https://2", "", None), (1, 1, "top", "a.pdf", "", "U", 7, "c", "text", 0.5, "s1", "https://1", "P", "2025")],
+        "query_id int, rank int, text string, document_name string, section_title string, subsection_title string, page_number int, category string, content_type string, score double, source_id string, source_url string, publisher string, publication_date string",
+    )
+    questions = spark.createDataFrame([(1, "why?"), (2, "how?")], "query_id int, query string")
+    history = spark.createDataFrame([(1, i, "user" if i % 2 else "assistant", f"t{i}" * 300) for i in range(9)] + [(1, 9, "system", "no")], "query_id int, turn int, role string, content string")
+    prompt = {r.query_id: r.prompt for r in answers.grounded_prompts(questions, evidence, history).collect()}
+    assert prompt[1].index("[E1 | a.pdf | Subsection: U | Page 7]\ntop") < prompt[1].index("---\n\n[E2 | b_c-d.pdf | Section: S]\nlow <b>") and "USER QUESTION: why?\n\nFirst verify" in prompt[1]
+    assert prompt[1].count("Previous User: ") == 2 and prompt[1].count("Previous Assistant: ") == 3 and "t3" not in prompt[1] and "Previous User: " + ("t5" * 300)[:500] + "\n" in prompt[1]
+    assert prompt[2].startswith("RETRIEVED CONTEXT: No relevant information was found.\n\nUSER QUESTION: how?")
+    catalog = spark.createDataFrame([("b_c-d.pdf", "Q", "2020")], "document_name string, publisher string, publication_date string")
+    assert [(r.evidence_id, r.publisher, r.publication_date) for r in answers.citation_records(evidence, catalog).orderBy("evidence_id").collect()] == [("E1", "P", "2025"), ("E2", "Q", "2020")]
+    assert [r.n for r in evidence.select(answers.display_name(F.col("document_name")).alias("n")).orderBy("n").collect()] == ["a", "b c – d"]
+    envelopes = spark.createDataFrame([(1, True, ""), (2, False, "none here"), (3, False, None)], "query_id int, ready boolean, message string")
+    shown = {r.query_id: r.markdown for r in answers.rendered_evidence(envelopes, evidence).collect()}
+    assert "#### 1. a.pdf · score 0.500\nSection: Not specified · Page 7\nSource: [s1](https://1)\n\n```text\ntop\n```\n" in shown[1] and "low <b>" in shown[1]
+    assert shown[2] == "none here" and shown[3].startswith("*No evidence")
+    asked = spark.createDataFrame([(1, "why?", "why so?", "c"), (2, "x", "y", "z")], "query_id int, query string, rewritten string, category string")
+    debug = {r.query_id: r.debug for r in answers.debug_blocks(asked, evidence).collect()}
+    assert "Chunks retrieved : 2" in debug[1] and "  [1] score=0.500 | a.pdf | p.7 | cat=c | type=text\n       preview: top..." in debug[1] and "Chunks retrieved : 0" in debug[2]
+
+
+def test_normal_forms(spark):
+    from sparkloom.functions import text as T
+
+    row = spark.createDataFrame([("ＡＢ Straße ½x_1, don't!",)], "t string").select(T.normalize_words(F.col("t")).alias("w"), T.normalize_visible(F.col("t")).alias("v")).first()
+    assert row.w == "ab strasse 1 2x_1 don t" and row.v == "ab straße 1 2x_1 don t"
+
+
+def test_docx_files(spark, tmp_path):
+    import zipfile
+
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    styles = f'<w:styles {w}><w:style w:styleId="H1"><w:name w:val="heading 1"/></w:style><w:style w:styleId="H2"><w:name w:val="Heading 2"/></w:style><w:style w:styleId="H3"><w:name w:val="Heading 3"/></w:style></w:styles>'
+    para = lambda text, style="": f'<w:p>{f"<w:pPr><w:pStyle w:val=\"{style}\"/></w:pPr>" if style else ""}<w:r><w:t>{text}</w:t></w:r></w:p>'
+    body = para("One", "H1") + para("Sub", "H2") + para(" ") + "<w:p><w:r><w:t>a</w:t><w:tab/><w:t>b</w:t></w:r></w:p>" + para("deep", "H3") + para("Two", "H1") + para("end") + f"<w:tbl><w:tr><w:tc>{para('cell')}</w:tc></w:tr></w:tbl>"
+    with zipfile.ZipFile(tmp_path / "f.docx", "w") as z:
+        z.writestr("word/document.xml", f"<w:document {w}><w:body>{body}</w:body></w:document>")
+        z.writestr("word/styles.xml", styles)
+    (tmp_path / "broken.docx").write_bytes(b"PK nonsense")
+    (tmp_path / "scan.pdf").write_bytes(b"%PDF")
+    (tmp_path / "t.txt").write_text("x\n\ny")
+    files = readers.list_files(spark, f"file://{tmp_path}")
+    got = [tuple(r)[3:] for r in readers.parse_files(files).where("document_name = 'f.docx'").orderBy("elem_idx").collect()]
+    assert got == [("One", "", "One", "heading"), ("One", "Sub", "Sub", "heading"), ("One", "Sub", "a\tb", "text"), ("One", "Sub", "deep", "heading"), ("Two", "", "Two", "heading"), ("Two", "", "end", "text")]
+    outcome = {r.document_name: (r.outcome, r.elements) for r in readers.parse_outcomes(files).collect()}
+    assert outcome == {"f.docx": ("parsed", 6), "broken.docx": ("failed", 0), "scan.pdf": ("unsupported", 0), "t.txt": ("parsed", 2)}
+
+
+def test_embedding_tries_again():
+    import numpy as np
+
+    from sparkloom.operators import embedding
+
+    clock, slept, calls = [0.0], [], []
+
+    def sleep(s):
+        slept.append(s)
+        clock[0] += s
+
+    def flaky(texts):
+        calls.append(len(texts))
+        if len(calls) in (2, 3):
+            raise RuntimeError("429 RESOURCE_EXHAUSTED" + (" retryDelay: 7s" if len(calls) == 3 else ""))
+        return np.ones((len(texts), 2))
+
+    make = lambda **more: embedding.Retrying(flaky, now=lambda: clock[0], sleep=sleep, **more)
+    assert make()([f"t{i}" for i in range(40)]).shape == (40, 2) and calls == [16, 16, 16, 16, 8] and slept == [2.0, 7.0]
+    calls[:] = [0]
+    with pytest.raises(RuntimeError, match="429"):
+        make(delays=())(["q"])
+    calls[:], slept[:] = [0] * 9, []
+    make(per_minute=20)([f"t{i}" for i in range(32)])
+    assert slept == [60.25]
+    with pytest.raises(RuntimeError, match="vectors"):
+        embedding.Retrying(lambda t: np.ones((1, 2)))(["a", "b"])
+
+
+def test_quota_decisions_and_errors(spark):
+    rows = spark.createDataFrame([("", False, 0), ("rpm", True, 10), ("rpd", False, 10), ("tpm", False, 100), ("rpm", False, 4000)], "b string, i boolean, ms int")
+    got = [(r.d.action, r.d.seconds) for r in rows.select(telemetry.acquire_decision(F.col("b"), F.col("i"), F.col("ms")).alias("d")).collect()]
+    assert got == [("go", 0.0), ("fail", 0.0), ("fail", 0.0), ("wait", 0.25), ("wait", 4.0)]
+    delays = spark.createDataFrame([(0, None), (3, None), (9, None), (2, 1.5)], "a int, p double").select(telemetry.retry_delay(F.col("a"), F.col("p"), F.lit(0.5)).alias("d"))
+    assert [r.d for r in delays.collect()] == [1.5, 8.5, 60.0, 1.5]
+    errors = [
+        ("API key not valid", None, ("invalid_api_key", 400, False)), ("x", 401, ("authentication_failed", 401, False)), ("PERMISSION_DENIED", None, ("permission_denied", 403, False)), ("Model not found", 500, ("model_not_found", 500, False)),
+        ("quota", None, ("rate_limited", 429, True)), ("blocked", None, ("safety_blocked", None, False)), ("timed out", None, ("timeout", None, True)), ("", 503, ("service_unavailable", 503, True)), ("bad request", None, ("invalid_request", 400, False)),
+        ("API_KEY is not set", None, ("missing_api_key", None, False)), (None, None, ("unknown_error", None, False)),
+    ]
+    frame = spark.createDataFrame([(i, m, s) for i, (m, s, _) in enumerate(errors)], "i int, m string, s int").select("i", telemetry.provider_error(F.col("m"), F.col("s")).alias("e")).orderBy("i")
+    assert [(r.e.code, r.e.http_status, r.e.retryable) for r in frame.collect()] == [e[2] for e in errors]
+
+
+def test_label_gates_and_backfill(spark):
+    ranking = spark.createDataFrame([("a", i) for i in range(1, 8)] + [("b", 1)], "case_id string, rank int")
+    labels = spark.createDataFrame([("a", 1, "relevant"), ("a", 2, "unjudged"), ("a", 3, "not_relevant"), ("a", 4, None)], "case_id string, rank int, relevance string")
+    missing = evaluation.unjudged(ranking, labels)
+    assert {tuple(r) for r in missing.collect()} == {("a", 2), ("a", 4), ("a", 5), ("b", 1)}
+    with pytest.raises(ValueError, match=r"unjudged: a#2, a#4 … and 2 more"):
+        evaluation.require_none(missing, "unjudged", shown=2)
+    evaluation.require_none(missing.limit(0), "unjudged")
+    with pytest.raises(Exception, match="invalid relevance"):
+        evaluation.unjudged(ranking, labels.union(spark.createDataFrame([("b", 1, "maybe")], labels.schema))).collect()
+    review = spark.createDataFrame(
+        [("a", 1, "relevant", "x", "y", "relevant", "relevant", None), ("a", 2, "relevant", "x", "", "relevant", "relevant", None), ("a", 3, "relevant", "x", "y", "relevant", "not_relevant", None), ("a", 4, "not_relevant", None, None, None, None, "certified_anchor_oracle"), ("a", 5, "unjudged", None, None, None, None, "certified_anchor_oracle")],
+        "case_id string, rank int, relevance string, reviewer_a string, reviewer_b string, reviewer_a_label string, reviewer_b_label string, label_method string",
+    )
+    assert sorted(r["rank"] for r in evaluation.unreviewed(review).collect()) == [2, 3, 5]
+    records = spark.createDataFrame([("1", "v1", {"m": (0.5, True), "n": (None, False)}), ("2", "v2", {"m": (0.1, True)}), ("3", None, {})], "id string, metric_implementation_version string, quality_metrics map<string,struct<value:double,applicable:boolean>>")
+    patched, counts = evaluation.backfill(records, "v2", lambda old: old)
+    assert {r.id for r in patched.where("metric_implementation_version = 'v2' AND backfilled_at IS NOT NULL").collect()} == {"1", "3"} and tuple(counts.first()) == (2, 1, 1)
+
+
+def test_certified_ingestion(spark, tmp_path):
+    path = f"file://{tmp_path}/corpus"
+    chunks = spark.createDataFrame([("c1", "d1"), ("c2", "d2")], "chunk_id string, document_name string")
+    done = sinks.ingest_certified(spark, chunks, path, "n1", {"profile": "p"})
+    assert (done["chunk_count"], done["document_count"]) == (2, 2) and readers.read_manifest(spark, f"{path}/_manifests/n1.json") == done
+    with pytest.raises(ValueError, match="complete"):
+        sinks.ingest_certified(spark, chunks, path, "n1", {})
+    sinks.ingest_certified(spark, chunks.limit(1), path, "n2", {})
+    assert spark.read.parquet(path).count() == 3
+    with pytest.raises(ValueError, match="no chunks"):
+        sinks.ingest_certified(spark, chunks.limit(0), path, "n3", {})
+
+
+def test_question_fields(spark):
+    from sparkloom.functions import text as T
+
+    frame = spark.createDataFrame([("mcq", {"question_text": "q", "options": "o", "answer": "a"}), ("new", {"statement": "s", "domain": "d", "options": "o"})], "kind string, m map<string,string>")
+    got = frame.select(T.question_fields(F.col("m"), F.col("kind")).alias("x"), T.without_fields(F.col("m"), ["options"]).alias("y"), T.without_fields(F.col("m"), []).alias("z")).collect()
+    assert [r.x for r in got] == [{"question_text": "q", "options": "o"}, {"domain": "d"}] and [set(r.y) for r in got] == [{"question_text", "answer"}, {"statement", "domain"}] and len(got[0].z) == 3
+
+
+def test_answer_checks(spark):
+    note = L.DISCLAIMERS["diagnosis"][0]
+    rows = [("a", True, "ready", "Yes [E1]" + note, 2, "diagnosis"), ("b", True, "ready", "Yes", 0, "diagnosis"), ("c", False, "out_of_scope", "No.", 0, "safe")]
+    frame = spark.createDataFrame(rows, "case_id string, expect_evidence boolean, status string, answer string, n_evidence int, safety string")
+    got = [tuple(r)[1:] for r in evaluation.answer_checks(frame).orderBy("case_id").collect()]
+    assert got == [(True, None, True, True), (False, None, False, False), (None, True, None, None)]
