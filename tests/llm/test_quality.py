@@ -43,7 +43,7 @@ def squared(x, centre, cov):
     return np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(cov), x - centre)
 
 
-def least_determinant(x, starts=300, seed=0):
+def least_determinant(x, starts=150, seed=0):
     """Minimum covariance determinant by random starts, each concentrated until it stays."""
     rng, best = np.random.default_rng(seed), None
     for _ in range(starts):
@@ -63,7 +63,7 @@ def least_determinant(x, starts=300, seed=0):
     return best
 
 
-def reweighted(x, starts=300):
+def reweighted(x, starts=150):
     _, centre, cov = least_determinant(x, starts)
     near = x[squared(x, centre, cov) <= 11.143]
     return squared(x, near.mean(axis=0), np.cov(near.T, bias=True) * 1.0645 + FLOOR)
