@@ -36,27 +36,14 @@ def vec_topk_cosine(t):
     return _shown(vectors.vector_topk(t.embeddings, _queries(t, "vec_id = 0"), 5, "vec_id"))
 
 
-@query(f"WITH {_UNIT}, {_pairs('q.vec_id % 100 = 0')} {_top(10)}")
-def vec_topk_batched(t):
-    return _shown(vectors.vector_topk(t.embeddings, _queries(t, "vec_id % 100 = 0"), 10, "vec_id"))
-
-
-@query(f"WITH {_UNIT}, {_pairs('q.vec_id % 100 = 0 AND c.label IN (3, 0)')} {_top(5)}")
-def vec_category_or_general(t):
-    """Label 3 in the role of a category, 0 in that of general."""
-    rows = t.embeddings.withColumn("category", F.when(F.col("label") == 0, "general").when(F.col("label") == 3, "nutrition").otherwise("treatment"))
-    return _shown(vectors.vector_topk(rows.where(vectors.category_filter("nutrition")), _queries(t, "vec_id % 100 = 0"), 5, "vec_id"))
-
-
 @query(f"WITH {_UNIT}, {_pairs('q.vec_id % 50 = 0')} {_top(10)}")
-def vec_topk_batched_whole(t):
-    """`vec_topk_batched` for the whole set of queries."""
+def vec_topk_batched(t):
     return _shown(vectors.vector_topk(t.embeddings, _queries(t, "vec_id % 50 = 0"), 10, "vec_id"))
 
 
 @query(f"WITH {_UNIT}, {_pairs('q.vec_id % 50 = 0 AND c.label IN (3, 0)')} {_top(5)}")
-def vec_category_or_general_whole(t):
-    """`vec_category_or_general` for the whole set of queries."""
+def vec_category_or_general(t):
+    """Label 3 in the role of a category, 0 in that of general."""
     rows = t.embeddings.withColumn("category", F.when(F.col("label") == 0, "general").when(F.col("label") == 3, "nutrition").otherwise("treatment"))
     return _shown(vectors.vector_topk(rows.where(vectors.category_filter("nutrition")), _queries(t, "vec_id % 50 = 0"), 5, "vec_id"))
 
@@ -390,16 +377,9 @@ def quota_reservation_replay(t):
     return telemetry.replay_reservations(_requests(t), "model", 3, 600, 40)
 
 
-@query("""SELECT sha256(string_agg(line, chr(10) ORDER BY lower(source)) || chr(10)) AS corpus_hash FROM (SELECT source, source || chr(0) || sha256(string_agg(text, chr(10) ORDER BY doc_id)) AS line FROM documents WHERE doc_id < 100 GROUP BY 1)""")
-def fpr_corpus_hash(t):
-    whole = t.documents.where("doc_id < 100").groupBy("source").agg(F.sort_array(F.collect_list(F.struct("doc_id", "text"))).alias("rows"))
-    files = whole.select(F.col("source").alias("name"), F.sha2(F.array_join(F.transform("rows", lambda r: r["text"]), "\n"), 256).alias("digest"))
-    return fingerprints.corpus_hash(files)
-
-
 @query("""SELECT sha256(string_agg(line, chr(10) ORDER BY lower(source)) || chr(10)) AS corpus_hash FROM (SELECT source, source || chr(0) || sha256(string_agg(text, chr(10) ORDER BY doc_id)) AS line FROM documents GROUP BY 1)""")
-def fpr_corpus_hash_whole(t):
-    """`fpr_corpus_hash` of all documents: the texts of a source pass by in order and are never held together."""
+def fpr_corpus_hash(t):
+    """The texts of a source pass by in order and are never held together."""
     return fingerprints.corpus_hash(fingerprints.joined_digests(t.documents, "source", "doc_id", "text"))
 
 

@@ -56,33 +56,20 @@ def _results(t):
 
 
 _RESULTS = "rs AS (SELECT * FROM (SELECT doc_id % 40 AS query_id, row_number() OVER (PARTITION BY doc_id % 40 ORDER BY doc_id)::INT AS rank, doc_id::VARCHAR AS chunk_id, source AS source_id, lang AS document_name, (doc_id % 3)::INT AS page_number FROM documents) WHERE rank <= 8)"
-_ITEMS = "it AS (SELECT doc_id % 40 AS query_id, CASE WHEN doc_id % 5 <> 1 THEN doc_id::VARCHAR ELSE '' END AS chunk_id, CASE WHEN doc_id % 2 = 0 THEN source ELSE '' END AS source_id, lang AS document_name, CASE WHEN doc_id % 7 = 0 THEN 0 ELSE (doc_id % 3)::INT END AS page_number, (doc_id % 3 + 1)::INT AS grade FROM documents WHERE doc_id < 300)"
+_ITEMS = "it AS (SELECT doc_id % 40 AS query_id, CASE WHEN doc_id % 5 <> 1 THEN doc_id::VARCHAR ELSE '' END AS chunk_id, CASE WHEN doc_id % 2 = 0 THEN source ELSE '' END AS source_id, lang AS document_name, CASE WHEN doc_id % 7 = 0 THEN 0 ELSE (doc_id % 3)::INT END AS page_number, (doc_id % 3 + 1)::INT AS grade FROM documents)"
 
 
-_ALL_ITEMS = _ITEMS.replace(" WHERE doc_id < 300", "")
-
-
-def _grades(t, judged):
-    items = judged.select(
+@query(f"""WITH {_RESULTS}, {_ITEMS} SELECT r.query_id, r.rank, coalesce(max(i.grade), 0)::INT AS grade FROM rs r LEFT JOIN it i ON i.query_id = r.query_id AND
+((i.chunk_id <> '' AND i.chunk_id = r.chunk_id) OR (i.chunk_id = '' AND (i.source_id = '' OR i.source_id = r.source_id) AND i.document_name = r.document_name AND (i.page_number = 0 OR i.page_number = r.page_number))) GROUP BY 1, 2""")
+def evl_relevance_grades(t):
+    """Every document is an item."""
+    items = t.documents.select(
         (F.col("doc_id") % 40).alias("query_id"), F.when(F.col("doc_id") % 5 != 1, F.col("doc_id").cast("string")).otherwise("").alias("chunk_id"), F.when(F.col("doc_id") % 2 == 0, F.col("source")).otherwise("").alias("source_id"),
         F.col("lang").alias("document_name"), F.when(F.col("doc_id") % 7 == 0, 0).otherwise((F.col("doc_id") % 3).cast("int")).alias("page_number"), (F.col("doc_id") % 3 + 1).cast("int").alias("relevance_grade"), F.lit(None).cast("array<string>").alias("anchors"),
     )
     return evaluation.relevance_grades(_results(t), items)
 
 
-@query(f"""WITH {_RESULTS}, {_ITEMS} SELECT r.query_id, r.rank, coalesce(max(i.grade), 0)::INT AS grade FROM rs r LEFT JOIN it i ON i.query_id = r.query_id AND
-((i.chunk_id <> '' AND i.chunk_id = r.chunk_id) OR (i.chunk_id = '' AND (i.source_id = '' OR i.source_id = r.source_id) AND i.document_name = r.document_name AND (i.page_number = 0 OR i.page_number = r.page_number))) GROUP BY 1, 2""")
-def evl_relevance_grades(t):
-    return _grades(t, t.documents.where("doc_id < 300"))
-
-
-@query(f"""WITH {_RESULTS}, {_ALL_ITEMS} SELECT r.query_id, r.rank, coalesce(max(i.grade), 0)::INT AS grade FROM rs r LEFT JOIN it i ON i.query_id = r.query_id AND
-((i.chunk_id <> '' AND i.chunk_id = r.chunk_id) OR (i.chunk_id = '' AND (i.source_id = '' OR i.source_id = r.source_id) AND i.document_name = r.document_name AND (i.page_number = 0 OR i.page_number = r.page_number))) GROUP BY 1, 2""")
-def evl_relevance_grades_whole(t):
-    """`evl_relevance_grades` with every document as an item."""
-    return _grades(t, t.documents)
-
-
 @query(f"WITH {_RESULTS} SELECT query_id AS case_id, rank, CASE WHEN query_id % 4 <> 0 AND source_id = 'src' || query_id % 20 AND document_name = 'en' AND page_number = 1 THEN 'relevant' ELSE 'not_relevant' END AS relevance FROM rs")
 def evl_anchor_relevance(t):
     results = _results(t).withColumnRenamed("query_id", "case_id").withColumns({"section_title": F.lit("The Intro"), "text": F.lit("An anchor, here")})
@@ -122,26 +109,15 @@ def quota_snapshot(t):
     return t.events.select("event_id", *telemetry.quota_snapshot({"rpm": F.col("event_id") % 80}, {"rpm": 100}))
 
 
-def _layout_elements(docs):
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS b FROM documents), k AS (SELECT * FROM l WHERE trim(t) <> '')
+SELECT doc_id::VARCHAR AS document_name, 1 AS page_number, row_number() OVER (PARTITION BY doc_id ORDER BY b) - 1 AS elem_idx, CASE WHEN length(t) < 15 THEN 'heading' ELSE 'text' END AS content_type FROM k""")
+def src_layout_elements(t):
     """Lines in the role of spans: short ones are bold."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("b", "text"))
+    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("b", "text"))
     spans = lines.select(F.col("doc_id").cast("string").alias("document_name"), F.lit(1).alias("page_number"), F.col("b").alias("block"), F.lit(0).alias("line"), F.lit(0).alias("span"), F.lit(0.0).alias("x0"), F.col("b").cast("double").alias("y0"), F.lit(1.0).alias("x1"), (F.col("b") + 1.0).alias("y1"), F.lit(11.0).alias("size"), (F.length("text") < 15).alias("bold"), "text")
     return layout.elements(spans).select("document_name", "page_number", "elem_idx", "content_type")
 
 
-@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS b FROM documents WHERE doc_id < 200), k AS (SELECT * FROM l WHERE trim(t) <> '')
-SELECT doc_id::VARCHAR AS document_name, 1 AS page_number, row_number() OVER (PARTITION BY doc_id ORDER BY b) - 1 AS elem_idx, CASE WHEN length(t) < 15 THEN 'heading' ELSE 'text' END AS content_type FROM k""")
-def src_layout_elements(t):
-    return _layout_elements(t.documents.where("doc_id < 200"))
-
-
-@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS b FROM documents), k AS (SELECT * FROM l WHERE trim(t) <> '')
-SELECT doc_id::VARCHAR AS document_name, 1 AS page_number, row_number() OVER (PARTITION BY doc_id ORDER BY b) - 1 AS elem_idx, CASE WHEN length(t) < 15 THEN 'heading' ELSE 'text' END AS content_type FROM k""")
-def src_layout_elements_whole(t):
-    """`src_layout_elements` of all documents."""
-    return _layout_elements(t.documents)
-
-
 @query()
 def emb_hashed_words(t):
     return embedding.embed(t.benchmark).select("item_id", F.size("embedding").alias("width"))
