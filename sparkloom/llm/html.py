@@ -32,6 +32,8 @@ import html as entities
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +61,7 @@ BELIEVED = {WEAK: 0.34, PLAIN: 0.05}
 #: Characters in paragraphs that an element must hold to be taken for content in spite of its mark.
 PARAGRAPH_CHARS = 200
 _WHOLE = frozenset("html body main article".split())
+_CONTENT = re.compile(r"(^|/)(article|main)(/|$)")
 #: Labels of a path, and levels below which nodes are compared as wholes when trees are matched.
 PATH_LABELS, MATCH_DEPTH = 64, 150
 #: Cells up to which the table of an alignment is kept; longer levels are aligned in halves, in linear space.
@@ -92,8 +95,9 @@ class Node:
         self.size, self.signature = 1, 0
 
 
-def _mark(tag: str, attrs: str, parent: Node) -> tuple[str, int]:
-    """The label, and how surely what is inside is no content."""
+@lru_cache(50_000)
+def _mark(tag: str, attrs: str, heads_content: bool) -> tuple[str, int]:
+    """The label, and how surely what is inside is no content; heads_content: it stands in an article or main."""
     found = {k.lower(): v.strip("\"'").lower() for k, v in _ATTR.findall(attrs)} if attrs else {}
     names = f"{found.get('class', '')} {found.get('id', '')}".split()
     label = f"{tag}.{names[0]}" if found.get("class", "").strip() and tag in ("div", "section", "td", "table", "ul", "ol") else tag
@@ -101,7 +105,7 @@ def _mark(tag: str, attrs: str, parent: Node) -> tuple[str, int]:
         return label, SURE
     if tag in _NEVER:
         return label, SURE
-    if tag == "header" and re.search(r"(^|/)(article|main)(/|$)", parent.path):
+    if tag == "header" and heads_content:
         return label, 0
     if tag in _RARELY or found.get("role") in _ROLES:
         return label, PLAIN
@@ -186,7 +190,8 @@ class Page:
                         shut(up.tag)
             if tag in _VOID or m[3].endswith("/"):
                 continue
-            label, mark = _mark(tag, m[3], node)
+            read = _mark if len(m[3]) <= 400 else _mark.__wrapped__  # attributes may be long, what is remembered not
+            label, mark = read(tag, m[3], tag == "header" and bool(_CONTENT.search(node.path)))
             child = Node(tag, label, node, mark)
             if tag in _BLOCK or child.mark:  # inline elements only matter where they hide their text
                 node.children.append(child)
@@ -273,6 +278,9 @@ def _align(a: list[Node], b: list[Node], memo: dict, depth: int = 0) -> list[tup
     """Pairs of children in order with the largest sum of matches."""
     if not a or not b:
         return []
+    if len(a) == len(b) == 1:
+        w = tree_match(a[0], b[0], memo, depth)
+        return [(a[0], b[0], w)] if w else []
     kinds_a, kinds_b = ({c.signature: c for c in side} for side in (a, b))
     place = {k: i for i, k in enumerate(kinds_b)}
     row_of = {k: np.array([tree_match(x, y, memo, depth) for y in kinds_b.values()]) for k, x in kinds_a.items()}
@@ -329,11 +337,19 @@ def template_blocks(page: Page, reference: Page, memo: dict | None = None) -> se
     stack = [(page.root, reference.root, 0)]
     while stack:
         a, b, depth = stack.pop()
-        texts = Counter(reference.blocks[i][1] for i in b.blocks)
-        for i in a.blocks:
-            if texts[page.blocks[i][1]] > 0:
-                texts[page.blocks[i][1]] -= 1
-                same.add(i)
+        if a.blocks and b.blocks:
+            texts = [reference.blocks[i][1] for i in b.blocks]
+            left = Counter(texts) if len(texts) > 1 else {texts[0]: 1}
+            for i in a.blocks:
+                text = page.blocks[i][1]
+                if left.get(text, 0) > 0:
+                    left[text] -= 1
+                    same.add(i)
+        if not a.children or not b.children:
+            continue
+        if a.signature == b.signature:
+            stack += zip(a.children, b.children, repeat(depth + 1))
+            continue
         front, back = _split_ends(a.children, b.children)
         pairs = [*zip(a.children[:front], b.children[:front]), *(zip(a.children[-back:], b.children[-back:]) if back else ())]
         pairs += ((x, y) for x, y, _ in _align(a.children[front : len(a.children) - back], b.children[front : len(b.children) - back], memo, depth + 1))
