@@ -40,6 +40,8 @@ CHUNK = 1 << 15
 DENSE = 48
 #: Bands of minima of near_copies: two sets of Jaccard similarity 0.8 share none of them with probability (1 - 0.8**ROWS)**BANDS, 5e-8.
 BANDS, ROWS = 32, 4
+#: Keys of rows wanted from a table that are broadcast; more are joined by a shuffle.
+FEW = 1_000_000
 _DRAWN = np.random.Generator(np.random.Philox(11)).integers(0, 2**64, (2, BANDS * ROWS), dtype=np.uint64)
 _FACTORS, _SHIFTS, _MIX = _DRAWN[0] | np.uint64(1), _DRAWN[1], np.uint64(0x9E3779B97F4A7C15)
 
@@ -193,21 +195,22 @@ def _bands(hashes: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
-    """(doc_id, row, rest, print, bands): row is a hash of the text, rest one of all columns, print one of the text's set of shingles; bands is empty where there is no word."""
+    """(doc_id, row, rest, print, n, bands): row is a hash of the text, rest one of all columns, print one of the text's set of n shingles; bands is empty where there is no word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh64_intdigest
         for b in batches:
-            prints, bands = [], []
+            prints, sizes, bands = [], [], []
             for t in b.column(1).cast(pa.large_binary()):
                 found = _shingles(t.as_py() or b"", words)
                 hashes = np.unique(np.fromiter((digest(x, 42) for x in found), np.uint64, len(found)))
                 prints.append(_signed(xxhash.xxh3_64_intdigest(hashes.tobytes())))
+                sizes.append(len(hashes))
                 bands.append(_bands(hashes) if len(hashes) else [])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(prints, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "row", "rest", "print", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(prints, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "row", "rest", "print", "n", "bands"])
 
     text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).cast("long"), text.alias("text"), F.xxhash64(text).alias("row"), _whole(docs).alias("rest")).mapInArrow(run, "doc_id long, row long, rest long, print long, bands array<long>")
+    return docs.select(F.col(id_col).cast("long"), text.alias("text"), F.xxhash64(text).alias("row"), _whole(docs).alias("rest")).mapInArrow(run, "doc_id long, row long, rest long, print long, n long, bands array<long>")
 
 
 def _whole(docs: DataFrame) -> Column:
@@ -215,15 +218,23 @@ def _whole(docs: DataFrame) -> Column:
     return F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
 
 
+def _alike(n: str, m: str, similarity: float) -> Column:
+    """Sets of these sizes can have that Jaccard similarity."""
+    share = Fraction(str(similarity))
+    return F.least(n, m) * share.denominator >= F.greatest(n, m) * share.numerator
+
+
 def _similar(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of prints whose sets of shingles have at least that Jaccard similarity, counted exactly."""
     share = Fraction(str(similarity))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = []
-            for x, y in zip(batch.column(2).cast(pa.large_binary()), batch.column(3).cast(pa.large_binary())):
-                x, y = _shingles(x.as_py(), words), _shingles(y.as_py(), words)
+            near, last, y = [], None, set()
+            for b, x, text in zip(batch.column(1).to_pylist(), batch.column(2).cast(pa.large_binary()), batch.column(3).cast(pa.large_binary())):
+                if b != last:  # rows come sorted by b, mostly
+                    last, y = b, _shingles(text.as_py(), words)
+                x = _shingles(x.as_py(), words)
                 both = len(x & y)
                 near.append(both * share.denominator >= share.numerator * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays(batch.select(["a", "b"]).filter(pa.array(near, pa.bool_())).columns, ["a", "b"])
@@ -237,34 +248,37 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per document: doc_id, row (a hash of the text), rest (one of all columns), root; documents of one component have the same root.
 
     Components are those of the pairs of sets of `words`-word shingles of at
-    least that Jaccard similarity.  Equal sets collapse to one print.  Prints
-    that share a band are candidates and their sets are compared exactly: first
-    each print with the smallest of its band, then the pairs of a band that are
-    in different components by then.  No band is capped.  Null and empty texts
+    least that Jaccard similarity.  Equal sets collapse to one print.  Prints that
+    share a band are candidates if the smaller set has at least that share of
+    the larger one's size, as in any pair so similar; their sets are compared
+    exactly: first each print with the smallest of its band, then the pairs of
+    a band that are in different components by then.  No band is capped.  Null and empty texts
     are one group; rows that repeat stay; an empty table gives no rows.
     """
     sets = materialize(shingle_sets(docs, id_col, text_col, words), "copies-sets")
-    distinct = materialize(sets.groupBy("print").agg(F.min("row").alias("row"), F.max("bands").alias("bands")), "copies-distinct")
-    placed = distinct.select(F.explode("bands").alias("band"), "print")
-    least = placed.groupBy("band").agg(F.min("print").alias("a"), F.max("print").alias("z")).where("a <> z").select("band", "a")
+    distinct = materialize(sets.groupBy("print").agg(F.min("row").alias("row"), F.max("n").alias("n"), F.max("bands").alias("bands")), "copies-distinct")
+    placed = distinct.select(F.explode("bands").alias("band"), "print", "n").repartition("band")  # dealt out once, for the sum and for the join
+    least = placed.groupBy("band").agg(F.min(F.struct("print", "n")).alias("least"), F.max("print").alias("z")).where("least.print <> z")
+    least = least.select("band", F.col("least.print").alias("a"), F.col("least.n").alias("n_a"))
     crowd = materialize(placed.join(least, "band"), "copies-bands")  # bands of two prints or more
-    wanted = crowd.select("print").distinct().join(distinct, "print").select("print", "row")
+    stars = materialize(crowd.where("a <> print").where(_alike("n", "n_a", similarity)).select("a", F.col("print").alias("b")).distinct(), "copies-stars")
+    wanted = materialize(crowd.select("print").distinct().join(distinct, "print").select("print", "row"), "copies-wanted")
     text = F.col(text_col).cast("string")
     read = docs.select(F.xxhash64(text).alias("row"), text.alias("text"))
-    texts = materialize(read.join(wanted, "row").dropDuplicates(["print"]).select("print", "text"), "copies-texts")
-
-    stars = materialize(crowd.where("a <> print").select("a", F.col("print").alias("b")).distinct(), "copies-stars")
+    texts = read.join(F.broadcast(wanted) if wanted.count() <= FEW else wanted, "row").dropDuplicates(["print"])
+    texts = materialize(texts.select("print", "text"), "copies-texts")
     linked = materialize(_similar(stars, texts, words, similarity), "copies-links")
     by_root = lambda roots: F.coalesce(roots["root"], F.col("print"))
     roots = connected_components(linked)
-    member = materialize(crowd.join(roots, crowd["print"] == roots["node"], "left").select("band", "print", by_root(roots).alias("root")), "copies-members")
+    member = materialize(crowd.join(roots, crowd["print"] == roots["node"], "left").select("band", "print", "n", by_root(roots).alias("root")), "copies-members")
     mixed = member.groupBy("band").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("band")
     open_ = member.join(mixed, "band", "left_semi")
-    other = open_.select("band", F.col("print").alias("b"), F.col("root").alias("root_b"))
-    pairs = open_.join(other, "band").where("root < root_b").select(F.least("print", "b").alias("a"), F.greatest("print", "b").alias("b")).distinct()
+    other = open_.select("band", F.col("print").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
+    pairs = open_.join(other, "band").where("root < root_b").where(_alike("n", "n_b", similarity)).select(F.least("print", "b").alias("a"), F.greatest("print", "b").alias("b")).distinct()
     rest = materialize(_similar(pairs.join(stars, ["a", "b"], "left_anti"), texts, words, similarity), "copies-links")
-    roots = materialize(connected_components(linked.unionByName(rest)), "copies-roots")
-    for done in (distinct, crowd, texts, stars, member):
+    known = roots.select(F.col("root").alias("a"), F.col("node").alias("b"))
+    roots = materialize(connected_components(known.unionByName(rest)), "copies-roots")
+    for done in (distinct, crowd, wanted, texts, stars, member):
         drop(done)
     return sets.join(roots, sets["print"] == roots["node"], "left").select("doc_id", "row", "rest", by_root(roots).alias("root"))
 
