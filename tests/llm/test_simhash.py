@@ -124,6 +124,14 @@ def test_deduplicate_finds_edited_copies(spark):
     assert sorted(r.doc_id for r in S.deduplicate(docs).collect()) == sorted({find(i) for i in range(len(rows))})
 
 
+def test_near_copies_agree_beyond_the_broadcast_limit(spark, docs, monkeypatch):
+    """Texts fetched by a shuffle join give the same groups as by a broadcast of their keys."""
+    few = sorted(r.doc_id for r in S.deduplicate(docs).collect())
+    monkeypatch.setattr(S, "FEW", 0)
+    assert sorted(r.doc_id for r in S.deduplicate(docs).collect()) == few
+    assert len(few) < docs.count()
+
+
 def test_chain_of_links(spark):
     chain = [(i, i + 1) for i in range(60)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
