@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import chat, html, mixing, pii, quality, sentencepiece_fst, simhash, topk, toxicity, warc
+from sparkloom.llm import chat, html, mixing, packing, pii, quality, sentencepiece_fst, simhash, topk, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,8 +60,15 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_spans(_table(spark, sf_dir, "documents"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(_table(spark, sf_dir, "documents"))
+
+
+_ALL = (op1_chat, op2_toxicity, op3_sentencepiece, op4_topk, op5_simhash, op6_quality, op7_warc, op8_mixing, op9_html, op10_pii, op11_packing)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_chat, op2_toxicity, op3_sentencepiece, op4_topk, op5_simhash, op6_quality, op7_warc, op8_mixing, op9_html, op10_pii)}
+    return {f.__name__: f for f in _ALL}
 
 
 _OP4 = """
