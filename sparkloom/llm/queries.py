@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import chat, html, mixing, packing, pii, quality, sentencepiece_fst, simhash, topk, toxicity, warc
+from sparkloom.llm import chat, html, mixing, packing, pii, quality, sentencepiece_fst, simhash, topk, toxicity, vectorcodes, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,7 +64,11 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"))
 
 
-_ALL = (op1_chat, op2_toxicity, op3_sentencepiece, op4_topk, op5_simhash, op6_quality, op7_warc, op8_mixing, op9_html, op10_pii, op11_packing)
+def op12_vectorcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.compressed(_table(spark, sf_dir, "embeddings"))
+
+
+_ALL = (op1_chat, op2_toxicity, op3_sentencepiece, op4_topk, op5_simhash, op6_quality, op7_warc, op8_mixing, op9_html, op10_pii, op11_packing, op12_vectorcodes)
 
 
 def queries() -> dict[str, Query]:
@@ -125,5 +129,28 @@ FROM said d LEFT JOIN old o ON o.conv_id = d.conv_id LEFT JOIN kept k ON k.conv_
 """
 
 
+# Two rounds over all entries, without the annuli.
+_NEAREST = """
+{0} AS MATERIALIZED (
+  SELECT r, p, min(d * 64 + k) % 64 AS k, min(d * 64 + k) // 64 AS d, any_value(x) AS x FROM (
+    SELECT r, x.p, k, x.x AS x, list_sum(list_transform(list_zip(x.x, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM cut x JOIN {1} b ON b.p = x.p) GROUP BY r, p)"""
+_MEANS = """
+{0} AS MATERIALIZED (
+  SELECT b.p, b.k, coalesce(m.c, b.c) AS c FROM {1} b LEFT JOIN (
+    SELECT p, k, list((s - ((s % n + n) % n)) // n ORDER BY i) AS c FROM (
+      SELECT p, k, i, sum(x[i])::BIGINT AS s, count(*) AS n FROM (SELECT p, k, x, unnest(range(1, len(x) + 1)) AS i FROM {2}) GROUP BY p, k, i) GROUP BY p, k) m ON m.p = b.p AND m.k = b.k)"""
+_OP12 = f"""
+WITH v AS (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+cut AS MATERIALIZED (SELECT r, p, e[(p * len(e) // 16 + 1):((p + 1) * len(e) // 16)] AS x FROM v, range(16) t(p)),
+b0 AS MATERIALIZED (SELECT p, r - 1 AS k, x AS c FROM cut WHERE r <= 64),
+{_NEAREST.format("a1", "b0")}, {_MEANS.format("b1", "b0", "a1")}, {_NEAREST.format("a2", "b1")}, {_MEANS.format("b2", "b1", "a2")}, {_NEAREST.format("a3", "b2")},
+named AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, k)) AS codebooks_sha256 FROM b2),
+coded AS (SELECT r, string_agg(printf('%02x', k), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a3 GROUP BY r)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM coded JOIN v USING (r), named
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat": _OP1, "op4_topk": _OP4, "op7_warc": _OP7}
+    return {"op1_chat": _OP1, "op4_topk": _OP4, "op7_warc": _OP7, "op12_vectorcodes": _OP12}
