@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import chat, html, mixing, packing, pii, quality, sentencepiece_fst, simhash, topk, toxicity, vectorcodes, warc
+from sparkloom.llm import chat, crosstoken, html, mixing, packing, pii, quality, sentencepiece_fst, simhash, topk, toxicity, vectorcodes, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -68,7 +68,11 @@ def op12_vectorcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectorcodes.compressed(_table(spark, sf_dir, "embeddings"))
 
 
-_ALL = (op1_chat, op2_toxicity, op3_sentencepiece, op4_topk, op5_simhash, op6_quality, op7_warc, op8_mixing, op9_html, op10_pii, op11_packing, op12_vectorcodes)
+def op13_crosstoken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosstoken.aligned(_table(spark, sf_dir, "documents"))
+
+
+_ALL = (op1_chat, op2_toxicity, op3_sentencepiece, op4_topk, op5_simhash, op6_quality, op7_warc, op8_mixing, op9_html, op10_pii, op11_packing, op12_vectorcodes, op13_crosstoken)
 
 
 def queries() -> dict[str, Query]:
