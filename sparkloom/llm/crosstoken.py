@@ -88,9 +88,9 @@ def align(a: DataFrame, b: DataFrame, unit: str = "unit") -> DataFrame:
 # --- documents as words
 
 
-def _dictionaries(raw_a, raw_b):
+def _dictionaries(raw_a, raw_b, ranks: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = wordwise.kept(wordwise.byte_words, raw_a.value, " ", True)
+        a = wordwise.kept(wordwise.byte_words, raw_a.value, " ", True, ranks)
         b = wordwise.kept(wordwise.piece_words, raw_b.value)
         cut = a.cut if a.splits and b.splits else lambda text: [text]
         block = TaskContext.get().partitionId() << 32
@@ -126,16 +126,9 @@ def _dictionaries(raw_a, raw_b):
     return run
 
 
-def _alphabet() -> dict[str, int]:
-    """Characters that byte-level vocabularies write for bytes: printable Latin-1 stands for itself, the rest follows from 256."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [x for x in range(256) if x not in set(shown)]
-    return {chr(x): x for x in shown} | {chr(256 + i): x for i, x in enumerate(rest)}
-
-
 def byte_tokens(raw: bytes) -> list[bytes]:
     """The bytes of each id of a byte-level tokenizer's file."""
-    vocab, of = wordwise.byte_tokenizer(raw).get_vocab(with_added_tokens=True), _alphabet()
+    vocab, of = wordwise.byte_tokenizer(raw).get_vocab(with_added_tokens=True), wordwise.alphabet()
     out = [b""] * (max(vocab.values()) + 1)
     for token, i in vocab.items():
         out[i] = bytes(of[c] for c in token) if all(c in of for c in token) else token.encode()
@@ -148,9 +141,9 @@ def piece_tokens(raw: bytes) -> list[bytes]:
     return [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace(wordwise.MARK, " ").encode() for i in range(model.get_piece_size()) for p in [model.id_to_piece(i)]]
 
 
-def _tokenize(raw_a, raw_b):
+def _tokenize(raw_a, raw_b, ranks: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, second = wordwise.kept(wordwise.byte_words, raw_a.value, " ", True), wordwise.kept(wordwise.piece_words, raw_b.value)
+        first, second = wordwise.kept(wordwise.byte_words, raw_a.value, " ", True, ranks), wordwise.kept(wordwise.piece_words, raw_b.value)
         bytes_a, bytes_b = byte_tokens(raw_a.value), piece_tokens(raw_b.value)
         unit = TaskContext.get().partitionId() << 40
         for batch in batches:
@@ -217,12 +210,14 @@ def aligned(docs: DataFrame, tokenizer: str | None = None, pieces: str | None =
     raw = []
     for path in (tokenizer or default_tokenizer(), pieces or default_model()):
         with open(path, "rb") as f:
-            raw.append(spark.sparkContext.broadcast(f.read()))
+            raw.append(f.read())
+    ranks = wordwise.by_ranks(raw[0])
+    sent = [spark.sparkContext.broadcast(r) for r in raw]
     read = spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
-    cut = materialize(read.mapInArrow(_dictionaries(*raw), f"{_WORDS}, doc_id long, nos array<int>"), "dictionaries")
+    cut = materialize(read.mapInArrow(_dictionaries(*sent, ranks), f"{_WORDS}, doc_id long, nos array<int>"), "dictionaries")
     words = cut.where("word IS NOT NULL").select("block", "no", "word", "n")
     vocabulary = words.groupBy("word").agg(F.sum("n").alias("n"))
-    units = materialize(vocabulary.mapInArrow(_tokenize(*raw), _UNITS), "units")
+    units = materialize(vocabulary.mapInArrow(_tokenize(*sent, ranks), _UNITS), "units")
 
     with _by_unit(spark):
         dealt = units.where("valid").repartition("unit")

@@ -40,12 +40,12 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _tokenize(raw, max_tokens: int, end_id: int, with_ids: bool):
+def _tokenize(raw, ranks: bool, max_tokens: int, end_id: int, with_ids: bool):
     end = np.array([end_id], _IDS).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heads = wordwise.kept(wordwise.byte_words, raw.value, "")
-        words = wordwise.kept(wordwise.byte_words, raw.value, " ")
+        heads = wordwise.kept(wordwise.byte_words, raw.value, "", False, ranks)
+        words = wordwise.kept(wordwise.byte_words, raw.value, " ", False, ranks)
         row = TaskContext.get().partitionId() << 40
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
@@ -88,9 +88,10 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, max_tokens: int = MAX_
     """
     spark = docs.sparkSession
     with open(tokenizer or default_tokenizer(), "rb") as f:
-        raw = spark.sparkContext.broadcast(f.read())
+        model = f.read()
+    raw = spark.sparkContext.broadcast(model)
     read = spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
-    return materialize(read.mapInArrow(_tokenize(raw, max_tokens, end_id, with_ids), _SCHEMA + ", ids array<long>" * with_ids), "pieces")
+    return materialize(read.mapInArrow(_tokenize(raw, wordwise.by_ranks(model), max_tokens, end_id, with_ids), _SCHEMA + ", ids array<long>" * with_ids), "pieces")
 
 
 class Packer:

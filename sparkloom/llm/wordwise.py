@@ -82,6 +82,42 @@ def _byte_level(raw: bytes) -> bool:
     return bool(plain and added and model.get("type") == "BPE" and not model.get("dropout"))
 
 
+def alphabet() -> dict[str, int]:
+    """Characters that byte-level vocabularies write for bytes: printable Latin-1 stands for itself, the rest follows from 256."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [x for x in range(256) if x not in set(shown)]
+    return {chr(x): x for x in shown} | {chr(256 + i): x for i, x in enumerate(rest)}
+
+
+def by_ranks(raw: bytes) -> bool:
+    """Merging by the ranks of joined tokens, as `tiktoken` does, gives the ids of the file's merges.
+
+    It does if ids follow the order of the merges and each token's own
+    characters merge to the two parts that its merge names: in a text, nothing
+    crosses the ends of two neighbours before they are joined, so what is
+    between them merged as it does alone.
+    """
+    said = json.loads(raw)
+    vocab, merges = said["model"].get("vocab", {}), said["model"].get("merges", [])
+    if not _byte_level(raw) or said["model"].get("ignore_merges") or set(alphabet()) - set(vocab):
+        return False
+    pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges]
+    rank = {p: i for i, p in enumerate(pairs)}
+    first = len(vocab) - len(pairs)
+    if len(rank) != len(pairs) or any(vocab.get(a + b) != first + i for i, (a, b) in enumerate(pairs)):
+        return False
+    for pair in pairs:
+        parts = list("".join(pair))
+        while len(parts) > 2:
+            least, at = min((rank.get(p, len(pairs)), i) for i, p in enumerate(zip(parts, parts[1:])))
+            if least == len(pairs):
+                break
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        if tuple(parts) != pair:
+            return False
+    return True
+
+
 def byte_tokenizer(raw: bytes, plain_specials: bool = False):
     """The tokenizer of a file's bytes, for one thread."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -92,8 +128,22 @@ def byte_tokenizer(raw: bytes, plain_specials: bool = False):
     return out
 
 
-def byte_words(raw: bytes, before: str = " ", plain_specials: bool = False) -> Words:
-    """Words of a byte-level tokenizer, encoded with what stands before them. plain_specials: strings of special tokens are ordinary text."""
+def byte_words(raw: bytes, before: str = " ", plain_specials: bool = False, ranks: bool = False) -> Words:
+    """Words of a byte-level tokenizer, encoded with what stands before them.
+
+    plain_specials: strings of special tokens are ordinary text.  ranks: the
+    file has passed `by_ranks`, and the faster library may encode.
+    """
+    if ranks:
+        import public_tokenizers
+        import tiktoken
+
+        said, of = json.loads(raw), alphabet()
+        table = {bytes(map(of.__getitem__, t)): i for t, i in said["model"]["vocab"].items()}
+        added = {t["content"]: t["id"] for t in said.get("added_tokens") or []}
+        coder = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens=added)
+        encode = coder.encode_ordinary if plain_specials or not added else lambda text: coder.encode(text, allowed_special="all")
+        return Words(lambda words: (encode(before + w) for w in words), True)
     model = byte_tokenizer(raw, plain_specials)
     return Words(lambda words: (e.ids for e in model.encode_batch_fast([before + w for w in words], add_special_tokens=False)), _byte_level(raw))
 

@@ -22,18 +22,11 @@ def models():
     return byte, sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
 
 
-def _shown_bytes():
-    """Bytes of the characters in byte-level vocabularies, from the library's own decoder."""
-    from tokenizers import decoders, pre_tokenizers
-
-    return {c: decoders.ByteLevel().decode([c]) for c in pre_tokenizers.ByteLevel.alphabet()}
-
-
 def tokens(models, text):
     """A's and B's (id, end), over the whole text, or None."""
     byte, piece = models
     raw = b" " + text.encode()
-    of = C._alphabet()
+    of = wordwise.alphabet()
     a = [(i, bytes(of[c] for c in byte.id_to_token(i))) for i in byte.encode(" " + text, add_special_tokens=False).ids]
     b = []
     for i in piece.encode(text):
@@ -133,7 +126,7 @@ def test_pieces_of_words_are_those_of_the_text(models, parts):
 def test_tokens_bytes(models):
     with open(public_tokenizers.path("byte_bpe_50k.json"), "rb") as f:
         table = C.byte_tokens(f.read())
-    assert len(set(C._alphabet().values())) == 256
+    assert len(set(wordwise.alphabet().values())) == 256
     for text in ("héllo wörld", " 日本 12"):
         ids = models[0].encode(text, add_special_tokens=False).ids
         assert b"".join(table[i] for i in ids) == text.encode()

@@ -95,10 +95,34 @@ def test_placements_follow_the_rule(seed, size, n):
 @given(st.lists(st.sampled_from([" ", "  ", "\n", "a", "it's", "Über", "日本", " ", "　", "<|endoftext|>", "12", "...", "\t", "é", "\x1c", "x "]), max_size=12))
 def test_words_give_the_ids_of_the_text(model, raw, parts):
     text = "".join(parts)
-    heads, words = wordwise.kept(wordwise.byte_words, raw, ""), wordwise.kept(wordwise.byte_words, raw)
-    first, *rest = words.cut(text)
-    ids = heads.learn([first])[first] + b"".join(map(words.learn(rest).__getitem__, rest))
-    assert np.frombuffer(ids, "<u4").tolist() == model.encode(text, add_special_tokens=False).ids
+    for ranks in (False, True):
+        heads, words = (wordwise.kept(wordwise.byte_words, raw, before, False, ranks) for before in ("", " "))
+        first, *rest = words.cut(text)
+        ids = heads.learn([first])[first] + b"".join(map(words.learn(rest).__getitem__, rest))
+        assert np.frombuffer(ids, "<u4").tolist() == model.encode(text, add_special_tokens=False).ids
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="aeinrst-= .\n'1é日", max_size=40))
+def test_ranks_give_the_ids_of_the_merges(model, raw, text):
+    words = wordwise.kept(wordwise.byte_words, raw, "", False, True)
+    assert [*words.encode([text])][0] == model.encode(text, add_special_tokens=False).ids
+
+
+def test_ranks_are_only_used_where_they_follow_the_merges(raw):
+    import json
+
+    assert wordwise.by_ranks(raw)
+    said = json.loads(raw)
+    merges = said["model"]["merges"]
+    merges[0], merges[1] = merges[1], merges[0]
+    assert not wordwise.by_ranks(json.dumps(said).encode())
+    # "abc" is named as a + bc, yet its characters merge to ab + c first
+    chars = {c: i for i, c in enumerate(wordwise.alphabet())}
+    small = {"pre_tokenizer": {"type": "ByteLevel"}, "model": {"type": "BPE", "vocab": chars | {"ab": 256, "bc": 257, "abc": 258}, "merges": [["a", "b"], ["b", "c"], ["a", "bc"]]}}
+    assert not wordwise.by_ranks(json.dumps(small).encode())
+    small["model"]["merges"][2] = ["ab", "c"]
+    assert wordwise.by_ranks(json.dumps(small).encode())
 
 
 def test_the_cache_forgets_and_stays_right(model, raw, monkeypatch):
