@@ -2,8 +2,8 @@
 
 Tokens are exploded with their positions; a window sums their byte lengths to
 byte ends; an equi-join on unit and end finds the cuts, where a token of both
-sides ends; the running count of cuts before a token is its group's number.
-The two tokens that meet at a cut are linked.
+sides ends; the running count of cuts numbers the groups, each from one cut to
+the next.  The two tokens that meet at a cut are linked.
 
 The unit is the longest stretch that neither tokenizer joins across: a word
 with the space before it (`wordwise`).  Both have a token ending at its last
@@ -19,8 +19,10 @@ holds more; a single longer document is a block of its own.
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 from collections.abc import Iterator
 from contextlib import contextmanager
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm import wordwise
 from sparkloom.llm.packing import default_tokenizer
-from sparkloom.llm.scratch import materialize, spread
+from sparkloom.llm.scratch import drop, materialize, spread
 from sparkloom.llm.sentencepiece_fst import default_model
 
 #: Words of a block's texts, and different ones among them.
@@ -45,56 +47,49 @@ _UNITS = "unit long, word string, n long, valid boolean, a array<int>, a_bytes a
 
 
 @contextmanager
-def _by_unit(spark: SparkSession):
-    """Rows dealt by unit serve joins on unit and end too."""
-    name = "spark.sql.requireAllClusterKeysForCoPartition"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false")
+def _settings(spark: SparkSession):
+    """Rows dealt by unit serve joins on unit and end too; shuffle files go when the table that they served is written."""
+    wanted = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    before = {k: spark.conf.get(k) for k in wanted}
     try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
         yield
     finally:
-        spark.conf.set(name, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def token_ends(units: DataFrame, unit: str, ids: str, sizes: str) -> DataFrame:
-    """unit, pos, id, end: the tokens of each unit's arrays with the byte at which they end."""
+    """unit, pos, id, end: the tokens of each unit's arrays, from position 0, with the byte at which they end."""
     each = units.select(unit, F.posexplode(F.arrays_zip(F.col(ids).alias("id"), F.col(sizes).alias("size"))).alias("pos", "t"))
     so_far = Window.partitionBy(unit).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     return each.select(unit, "pos", F.col("t.id").alias("id"), F.sum("t.size").over(so_far).alias("end"))
 
 
-def _grouped(side: DataFrame, other: DataFrame, unit: str) -> DataFrame:
-    """unit, grp, ids: the side's ids by group; grp is the number of cuts before."""
-    ends = other.select(F.col(unit).alias("_unit"), F.col("end").alias("_end"))
-    met = side.join(ends, (F.col(unit) == F.col("_unit")) & (F.col("end") == F.col("_end")), "left")
-    cut = F.col("_end").isNotNull().cast("long")
-    before = Window.partitionBy(unit).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = met.select(unit, "pos", "id", cut.alias("cut"), F.coalesce(F.sum(cut).over(before), F.lit(0)).alias("grp"))
-    groups = numbered.groupBy(unit, "grp").agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("t"), F.max("cut").alias("closed"))
-    return groups.where("closed = 1").select(unit, "grp", F.col("t.id").alias("ids"))
-
-
 def align(a: DataFrame, b: DataFrame, unit: str = "unit") -> DataFrame:
-    """unit, grp, a, b: groups of tokens between cuts; a and b are ids in order, of the last of which the byte ends agree (the link).
+    """unit, grp, a_from, a_to, b_from, b_to, a, b: for each cut the positions of the tokens since the cut before (both included) and the two linked ids.
 
-    a and b are tables of `token_ends`.  Tokens after the last cut of a unit,
-    which there are only if the two sides' bytes differ, are in no group.
+    a and b are tables of `token_ends`.  grp is the running count of cuts.
+    Tokens after the last cut of a unit, which there are only if the bytes of
+    the two sides differ, are in no group.
     """
-    mine = _grouped(a, b, unit).withColumnRenamed("ids", "a")
-    theirs = _grouped(b, a, unit).select(F.col(unit).alias("_unit"), F.col("grp").alias("_grp"), F.col("ids").alias("b"))
-    return mine.join(theirs, (F.col(unit) == F.col("_unit")) & (F.col("grp") == F.col("_grp"))).select(unit, "grp", "a", "b")
+    theirs = b.select(F.col(unit).alias("_unit"), F.col("end").alias("_end"), F.col("pos").alias("b_to"), F.col("id").alias("b"))
+    cuts = a.join(theirs, (F.col(unit) == F.col("_unit")) & (F.col("end") == F.col("_end")))
+    by_end = Window.partitionBy(unit).orderBy("end")
+    grp = (F.count(F.lit(1)).over(by_end.rowsBetween(Window.unboundedPreceding, 0)) - 1).alias("grp")
+    since = lambda c: F.coalesce(F.lag(c).over(by_end) + 1, F.lit(0))
+    return cuts.select(unit, grp, since("pos").alias("a_from"), F.col("pos").alias("a_to"), since("b_to").alias("b_from"), "b_to", F.col("id").alias("a"), "b")
 
 
 # --- documents as words
 
 
-def _dictionaries(raw_a, raw_b, ranks: bool):
+def _dictionaries(splits: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = wordwise.kept(wordwise.byte_words, raw_a.value, " ", True, ranks)
-        b = wordwise.kept(wordwise.piece_words, raw_b.value)
-        cut = a.cut if a.splits and b.splits else lambda text: [text]
+        cut = wordwise.GAP.split if splits else lambda text: [text]
         block = TaskContext.get().partitionId() << 32
-        numbers: dict[str, int] = {}
+        numbers: dict[str, int] = defaultdict(count().__next__)  # a new word gets the next number
         held: list[tuple[int | None, np.ndarray]] = []
         size = 0
 
@@ -112,14 +107,11 @@ def _dictionaries(raw_a, raw_b, ranks: bool):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py()
                 words = cut(text) if text else []
-                for w in words:
-                    if w not in numbers:
-                        numbers[w] = len(numbers)
                 held.append((doc, np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))))
                 size += len(words)
                 if size >= BLOCK_WORDS or len(numbers) >= BLOCK_DISTINCT:
                     yield out()
-                    numbers, held, size, block = {}, [], 0, block + 1
+                    numbers, held, size, block = defaultdict(count().__next__), [], 0, block + 1
         if held:
             yield out()
 
@@ -197,6 +189,30 @@ def pair_counts(units: DataFrame) -> DataFrame:
     return pairs.withColumn("best", F.col("count") == F.max("count").over(Window.partitionBy("b")))
 
 
+def _aligned_units(units: DataFrame) -> DataFrame:
+    """word, n, n_a, n_b, groups (as text) and links of units that are dealt by unit."""
+    found = align(token_ends(units, "unit", "a", "a_bytes"), token_ends(units, "unit", "b", "b_bytes"))
+    each = found.groupBy("unit").agg(F.array_sort(F.collect_list(F.struct("grp", "a_from", "a_to", "b_from", "b_to", "a", "b"))).alias("g"))
+    ids = lambda side, g: F.array_join(F.slice(side, g[f"{side}_from"] + 1, g[f"{side}_to"] - g[f"{side}_from"] + 1).cast("array<string>"), ",")
+    said = F.transform("g", lambda g: F.concat(ids("a", g), F.lit("|"), ids("b", g)))
+    links = F.transform("g", lambda g: F.struct(g.a.alias("a"), g.b.alias("b")))
+    both = units.select("unit", "word", "n", "a", "b").join(each, "unit")
+    return both.select("unit", "word", "n", F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"), F.array_join(said, ";").alias("groups"), links.alias("links"))
+
+
+_NUMBERS = ("a_b", "links_best", "count_sum")
+
+
+def _scored(rows: DataFrame) -> DataFrame:
+    """word, groups and numbers of aligned units: n_a and n_b in one long, links and best links in another, and the sum of the links' counts."""
+    counts = materialize(pair_counts(rows), "pair-counts")
+    counts = F.broadcast(counts) if counts.count() <= BROADCAST_PAIRS else counts
+    linked = rows.select("unit", F.explode("links").alias("l")).select("unit", F.col("l.a").alias("a"), F.col("l.b").alias("b"))
+    held = linked.join(counts, ["a", "b"]).groupBy("unit").agg(F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("count").alias("count_sum"))
+    pair = lambda x, y: F.shiftleft(F.col(x).cast("long"), 32) + F.col(y).cast("long")
+    return rows.withColumn("n_links", F.size("links")).join(held, "unit").select("word", "groups", pair("n_a", "n_b").alias("a_b"), pair("n_links", "n_best").alias("links_best"), "count_sum")
+
+
 def aligned(docs: DataFrame, tokenizer: str | None = None, pieces: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of each document under two tokenizers.
 
@@ -213,31 +229,21 @@ def aligned(docs: DataFrame, tokenizer: str | None = None, pieces: str | None =
             raw.append(f.read())
     ranks = wordwise.by_ranks(raw[0])
     sent = [spark.sparkContext.broadcast(r) for r in raw]
+    splits = wordwise.byte_words(raw[0]).splits and wordwise.piece_words(raw[1]).splits
     read = spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
-    cut = materialize(read.mapInArrow(_dictionaries(*sent, ranks), f"{_WORDS}, doc_id long, nos array<int>"), "dictionaries")
-    words = cut.where("word IS NOT NULL").select("block", "no", "word", "n")
-    vocabulary = words.groupBy("word").agg(F.sum("n").alias("n"))
-    units = materialize(vocabulary.mapInArrow(_tokenize(*sent, ranks), _UNITS), "units")
-
-    with _by_unit(spark):
-        dealt = units.where("valid").repartition("unit")
-        groups = align(token_ends(dealt, "unit", "a", "a_bytes"), token_ends(dealt, "unit", "b", "b_bytes"))
-        ids = lambda c: F.array_join(F.transform(c, lambda i: i.cast("string")), ",")
-        said = F.concat(ids("a"), F.lit("|"), ids("b"))
-        link = F.struct(F.element_at("a", -1).alias("a"), F.element_at("b", -1).alias("b"))
-        in_order = F.array_sort(F.collect_list(F.struct("grp", said.alias("said"), link.alias("link"))))
-        each = groups.groupBy("unit").agg(F.sum(F.size("a")).alias("n_a"), F.sum(F.size("b")).alias("n_b"), in_order.alias("g"))
-        found = each.select("unit", "n_a", "n_b", F.array_join(F.col("g.said"), ";").alias("groups"), F.col("g.link").alias("links"))
-        rows = materialize(units.select("unit", "word", "n").join(found, "unit"), "aligned-units")
-
-    counts = materialize(pair_counts(rows), "pair-counts")
-    counts = F.broadcast(counts) if counts.count() <= BROADCAST_PAIRS else counts
-    linked = rows.select("unit", F.explode("links").alias("l")).select("unit", F.col("l.a").alias("a"), F.col("l.b").alias("b"))
-    held = linked.join(counts, ["a", "b"]).groupBy("unit").agg(F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("count").alias("count_sum"))
-    pair = lambda x, y: (F.shiftleft(F.col(x).cast("long"), 32) + F.col(y).cast("long"))
-    known = rows.withColumn("n_links", F.size("links")).join(held, "unit").select("word", "groups", pair("n_a", "n_b").alias("a_b"), pair("n_links", "n_best").alias("links_best"), "count_sum")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
-    dictionary = words.select("block", "no", "word").join(known, "word", "left").select("block", "no", "groups", *map(zero, ("a_b", "links_best", "count_sum")))
-    texts = spark.read.schema(cut.schema).parquet(cut.scratch_path).where("word IS NULL").select("block", "doc_id", "nos")
+    cut = materialize(read.mapInArrow(_dictionaries(splits), f"{_WORDS}, doc_id long, nos array<int>"), "dictionaries")
+    words = cut.where("word IS NOT NULL")
+    with _settings(spark):
+        vocabulary = words.groupBy("word").agg(F.sum("n").alias("n"))
+        units = materialize(vocabulary.mapInArrow(_tokenize(*sent, ranks), _UNITS), "units")
+        rows = materialize(_aligned_units(units.where("valid").repartition("unit")), "aligned-units")
+        drop(units)
+        known = materialize(_scored(rows), "scored-units")
+        drop(rows)
+        zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
+        filled = words.select("block", "no", "word").join(known, "word", "left").select("block", "no", "groups", *map(zero, _NUMBERS))
+        dictionary = materialize(filled, "filled")
+        drop(known)
+    texts = cut.where("word IS NULL").select("block", "doc_id", "nos")
     schema = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
     return texts.groupBy("block").cogroup(dictionary.groupBy("block")).applyInArrow(_assemble, schema)

@@ -137,4 +137,4 @@ def test_align_on_any_units(spark):
     rows = [("x", [1, 2, 3], [2, 1, 3], [7, 8, 9], [3, 1, 2]), ("y", [4], [5], [5], [5]), ("z", [1, 1], [1, 1], [6], [3])]
     units = spark.createDataFrame(rows, "doc string, a array<int>, al array<int>, b array<int>, bl array<int>")
     got = C.align(C.token_ends(units, "doc", "a", "al"), C.token_ends(units, "doc", "b", "bl"), "doc").collect()
-    assert sorted((r.doc, r.grp, r.a, r.b) for r in got) == [("x", 0, [1, 2], [7]), ("x", 1, [3], [8, 9]), ("y", 0, [4], [5])]
+    assert sorted((r.doc, r.grp, r.a_from, r.a_to, r.b_from, r.b_to, r.a, r.b) for r in got) == [("x", 0, 0, 1, 0, 0, 2, 7), ("x", 1, 2, 2, 1, 2, 3, 9), ("y", 0, 0, 0, 0, 0, 4, 5)]
