@@ -87,7 +87,7 @@ def align(a: DataFrame, b: DataFrame, unit: str = "unit") -> DataFrame:
 
 def _dictionaries(splits: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = wordwise.GAP.split if splits else lambda text: [text]
+        cut = wordwise.split if splits else lambda text: [text]
         block = TaskContext.get().partitionId() << 32
         numbers: dict[str, int] = defaultdict(count().__next__)  # a new word gets the next number
         held: list[tuple[int | None, np.ndarray]] = []
@@ -107,7 +107,7 @@ def _dictionaries(splits: bool):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py()
                 words = cut(text) if text else []
-                held.append((doc, np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))))
+                held.append((doc, np.array([*map(numbers.__getitem__, words)], np.int32)))
                 size += len(words)
                 if size >= BLOCK_WORDS or len(numbers) >= BLOCK_DISTINCT:
                     yield out()
@@ -136,7 +136,7 @@ def piece_tokens(raw: bytes) -> list[bytes]:
 def _tokenize(raw_a, raw_b, ranks: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, second = wordwise.kept(wordwise.byte_words, raw_a.value, " ", True, ranks), wordwise.kept(wordwise.piece_words, raw_b.value)
-        bytes_a, bytes_b = byte_tokens(raw_a.value), piece_tokens(raw_b.value)
+        bytes_a, bytes_b = byte_tokens(raw_a.value).__getitem__, piece_tokens(raw_b.value).__getitem__
         unit = TaskContext.get().partitionId() << 40
         for batch in batches:
             words = batch.column(0).to_pylist()
@@ -145,7 +145,7 @@ def _tokenize(raw_a, raw_b, ranks: bool):
                 rows: list[list] = [[], [], [], [], []]
                 for w, a, b in zip(some, first.encode(some), second.encode(some)):
                     raw = f" {w}".encode()
-                    x, y = [bytes_a[i] for i in a], [bytes_b[i] for i in b]
+                    x, y = [*map(bytes_a, a)], [*map(bytes_b, b)]
                     same = b"".join(x) == raw == b"".join(y)
                     for column, value in zip(rows, (same, a, [*map(len, x)], b, [*map(len, y)])):
                         column.append(value if same or value is same else [])

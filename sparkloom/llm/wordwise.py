@@ -22,6 +22,8 @@ from collections.abc import Callable, Iterable, Iterator
 
 MARK = "▁"
 GAP = re.compile(r"(?<=\S) (?=\S)")
+#: A space that has white space or an end of the text beside it.
+_ODD = re.compile(r" (?!\S)|(?<!\S) ")
 #: Words in a generation of the cache; two generations are held.
 CACHE_WORDS = 400_000
 #: Longer words are forgotten at once.
@@ -30,6 +32,11 @@ CACHE_CHARS = 64
 STRETCH = 1 << 21
 
 
+def split(text: str) -> list[str]:
+    """The text's words in order, without the single spaces between them."""
+    return GAP.split(text) if _ODD.search(text) else text.split(" ")
+
+
 class Words:
     """Ids of words as little-endian unsigned 32-bit numbers."""
 
@@ -40,8 +47,7 @@ class Words:
         self.long: list[str] = []
 
     def cut(self, text: str) -> list[str]:
-        """The text's words in order, without the single spaces between them."""
-        return GAP.split(text) if self.splits else [text]
+        return split(text) if self.splits else [text]
 
     def learn(self, words: Iterable[str]) -> dict[str, bytes]:
         """A table with the ids of all these words; good until the next call."""

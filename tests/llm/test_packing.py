@@ -95,6 +95,7 @@ def test_placements_follow_the_rule(seed, size, n):
 @given(st.lists(st.sampled_from([" ", "  ", "\n", "a", "it's", "Über", "日本", " ", "　", "<|endoftext|>", "12", "...", "\t", "é", "\x1c", "x "]), max_size=12))
 def test_words_give_the_ids_of_the_text(model, raw, parts):
     text = "".join(parts)
+    assert wordwise.split(text) == wordwise.GAP.split(text)
     for ranks in (False, True):
         heads, words = (wordwise.kept(wordwise.byte_words, raw, before, False, ranks) for before in ("", " "))
         first, *rest = words.cut(text)
