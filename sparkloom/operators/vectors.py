@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,27 +53,97 @@ def category_filter(category: str | None, column: str = "category", known: tuple
     return F.col(column).isin(category, "general")
 
 
+def block_best(qids: pa.Array, q: np.ndarray, ids: pa.Array, x: np.ndarray, k: int, with_self: bool = True, euclidean: bool = False) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """Query ids, ids and distances of each query's k nearest rows of a block; ties to the smaller id, however many there are.
+
+    Distances are cosine distances of unit vectors, or euclidean ones of any.
+    """
+    if euclidean:
+        q_square, x_square = (q * q).sum(axis=1)[:, None], (x * x).sum(axis=1)[None, :]
+        gap = q_square + x_square - 2.0 * (q @ x.T)
+        blur = 1e-10 * (q_square + x_square.max())  # more than the product's rounding
+    else:
+        gap, blur = np.round(1.0 - q @ x.T, 12), 0.0
+    if not with_self:
+        place = pc.index_in(qids, ids).to_numpy(zero_copy_only=False)
+        own = np.flatnonzero(~np.isnan(place.astype(float)))
+        gap[own, place[own].astype(int)] = np.inf
+    if k < gap.shape[1]:
+        rows, cols = np.nonzero(gap <= np.partition(gap, k - 1, axis=1)[:, k - 1 : k] + blur)
+    else:
+        rows, cols = (a.ravel() for a in np.indices(gap.shape))
+    found = gap[rows, cols]
+    if euclidean:  # those near enough are measured anew, from differences
+        for lo in range(0, len(rows), 1 << 16):
+            part = slice(lo, lo + (1 << 16))
+            found[part] = np.where(np.isfinite(found[part]), np.round(np.sqrt(((q[rows[part]] - x[cols[part]]) ** 2).sum(axis=1)), 12), np.inf)
+    return _first_k(qids, ids, rows, cols, found, k)
+
+
+def _first_k(qids: pa.Array, ids: pa.Array, rows: np.ndarray, cols: np.ndarray, gap: np.ndarray, k: int) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """The k smallest gaps of each row, ties by id; infinite ones go."""
+    place = np.empty(len(ids), np.int64)
+    place[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+    order = np.lexsort((place[cols], gap, rows))
+    rows, cols, gap = rows[order], cols[order], gap[order]
+    nth = np.arange(len(rows)) - np.searchsorted(rows, rows, "left")
+    keep = (nth < k) & np.isfinite(gap)
+    return qids.take(pa.array(rows[keep])), ids.take(pa.array(cols[keep])), pa.array(gap[keep])
+
+
+#: Corpus rows and queries of one matrix product.
+BLOCK_ROWS, BLOCK_QUERIES = 4096, 1024
+
+
+def _scan(sent, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes = b.column(1).value_lengths().to_numpy(zero_copy_only=False)
+            for width, (qids, q) in sent.value.items():
+                rows = np.flatnonzero(sizes == width)
+                for lo in range(0, len(rows), BLOCK_ROWS):
+                    some = b.take(pa.array(rows[lo : lo + BLOCK_ROWS]))
+                    x = some.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+                    x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+                    for at in range(0, len(q), BLOCK_QUERIES):
+                        found = block_best(qids.slice(at, BLOCK_QUERIES), q[at : at + BLOCK_QUERIES], some.column(0), x, k)
+                        yield pa.RecordBatch.from_arrays(list(found), ["query_id", "id", "distance"])
+
+    return run
+
+
 def vector_topk(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
     """The k nearest corpus rows by cosine distance of each query (query_id, query_vector): query_id, id, distance, score, rank.
 
-    k is clamped to 0..1000; ties go to the smaller id; rows of another width or
-    of zero length don't match.  The queries are the small side: they are
-    broadcast while there are at most BROADCAST_QUERIES of them, and split in
-    blocks that pass over the corpus one after the other beyond that.  Only
-    unit vectors' dot products are formed per pair.
+    k is clamped to 0..1000; ties go to the smaller id; rows of another width,
+    of zero length or with a null or non-finite component don't match.  Queries
+    are broadcast in blocks of at most BROADCAST_QUERIES, which pass over the
+    corpus one after the other.  A task forms matrix products of bounded blocks
+    and returns the k best of each, so the shuffle carries no pair that could
+    not be a result.
     """
-    k = max(0, min(1000, k))
-    unit = corpus.select(F.col(id_col).alias("id"), l2_normalize(as_double(F.col(vector_col))).alias("__v")).where("__v is not null")
-    asked = queries.select("query_id", l2_normalize(as_double(F.col("query_vector"))).alias("__q")).where("__q is not null")
-    blocks = max(1, -(-asked.count() // BROADCAST_QUERIES))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
+    spark, k = corpus.sparkSession, max(0, min(1000, k))
+    usable = lambda v: v.isNotNull() & F.forall(v, lambda x: x.isNotNull()) & (norm(v) > 0) & (norm(v) < float("inf"))
+    rows = corpus.select(F.col(id_col).alias("id"), as_double(F.col(vector_col)).alias("v")).where(usable(F.col("v")))
+    asked = queries.select("query_id", l2_normalize(as_double(F.col("query_vector"))).alias("v")).where("v IS NOT NULL AND forall(v, x -> x IS NOT NULL AND NOT isnan(x))")
+    schema = f"query_id {asked.schema['query_id'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, distance double"
     out = None
-    for i in range(blocks):
-        part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-        pairs = unit.join(F.broadcast(part), F.size("__v") == F.size("__q"))
-        found = pairs.select("query_id", "id", F.round(F.lit(1.0) - dot(F.col("__v"), F.col("__q")), 12).alias("distance")).withColumn("rank", rank).where(F.col("rank") <= k)
-        out = found if out is None else out.unionByName(found)
-    return out.withColumn("score", distance_to_score(F.col("distance")))
+    if k:
+        held = asked.limit(BROADCAST_QUERIES + 1).toArrow()
+        blocks = 1 if held.num_rows <= BROADCAST_QUERIES else -(-asked.count() // BROADCAST_QUERIES)
+        for i in range(blocks):
+            table = held if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).toArrow()
+            table = table.combine_chunks()
+            widths = pc.list_value_length(table.column("v")).to_numpy()
+            sent = {}
+            for width in map(int, np.unique(widths)):
+                some = table.take(pa.array(np.flatnonzero(widths == width)))
+                sent[width] = some.column("query_id").combine_chunks(), pc.list_flatten(some.column("v")).to_numpy().reshape(-1, width)
+            found = rows.mapInArrow(_scan(spark.sparkContext.broadcast(sent), k), schema)
+            out = found if out is None else out.unionByName(found)
+    out = spark.createDataFrame([], schema) if out is None else out
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
+    return out.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("score", distance_to_score(F.col("distance")))
 
 
 def centroids(rows: DataFrame, by: str, vector_col: str = "embedding", digits: int = 6) -> DataFrame:
