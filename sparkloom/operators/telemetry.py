@@ -53,12 +53,29 @@ def with_delta(rows: DataFrame, value: str, order: list[str], by: list[str]) ->
 
 
 def rolling_usage(events: DataFrame, by: str, ts: str = "ts", requests: str = "request_count", tokens: str = "input_tokens", seconds: int = 60) -> DataFrame:
-    """Requests and tokens of the last `seconds` (lower end excluded), and requests since midnight Pacific time, at each event of a key."""
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    recent = Window.partitionBy(by).orderBy("__us").rangeBetween(-(seconds * 1_000_000 - 1), 0)
-    day = Window.partitionBy(by, "__day").orderBy("__us").rangeBetween(Window.unboundedPreceding, 0)
-    rows = events.withColumns({"__us": micros, "__day": F.date_trunc("day", F.from_utc_timestamp(F.col(ts).cast("timestamp"), PACIFIC))})
-    return rows.withColumns({"rpm_used": F.sum(requests).over(recent), "tpm_used": F.sum(tokens).over(recent), "rpd_used": F.sum(requests).over(day)}).drop("__us", "__day")
+    """Requests and tokens of the last `seconds` (lower end excluded), and requests since midnight Pacific time, at each event of a key.
+
+    Events of one time count for each other.  A key is cut into buckets of
+    `seconds`: an event is in its own and, as one of the past, in the next, and
+    windows run within a bucket.  The day's count is what the bucket has of the
+    day so far and the sum over the day's buckets before.  So a task holds
+    two buckets' events, whatever a key has.
+    """
+    size = seconds * 1_000_000
+    us, day = "__us", "__day"
+    rows = events.withColumns({us: F.unix_micros(F.col(ts).cast("timestamp")), day: F.date_trunc("day", F.from_utc_timestamp(F.col(ts).cast("timestamp"), PACIFIC))})
+    rows = rows.withColumn("__own", F.expr(f"__us div {size}") - (F.col(us) < 0).cast("long"))
+    twice = rows.withColumn("__late", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("__bucket", F.col("__own") + F.col("__late"))
+    recent = Window.partitionBy(by, "__bucket").orderBy(us).rangeBetween(-(size - 1), 0)
+    so_far = Window.partitionBy(by, "__bucket", day).orderBy(us).rangeBetween(Window.unboundedPreceding, 0)
+    mine = F.when(F.col("__late") == 0, F.col(requests))
+    near = twice.withColumns({"rpm_used": F.sum(requests).over(recent), "tpm_used": F.sum(tokens).over(recent), "__today": F.sum(mine).over(so_far)}).where("__late = 0")
+    buckets = rows.groupBy(F.col(by).alias("__by"), F.col("__own").alias("__b"), F.col(day).alias("__d")).agg(F.sum(requests).alias("__n"))
+    before = Window.partitionBy("__by", "__d").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = buckets.select("__by", "__b", "__d", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    met = near.join(earlier, F.col(by).eqNullSafe(F.col("__by")) & (F.col("__own") == F.col("__b")) & (F.col(day) == F.col("__d")), "left")
+    out = met.withColumn("rpd_used", F.when(F.col("__today").isNotNull() | (F.col("__before") > 0), F.coalesce("__today", F.lit(0)) + F.coalesce("__before", F.lit(0))))
+    return out.select(*events.columns, "rpm_used", "tpm_used", "rpd_used")
 
 
 def pacific_day_start(ts: Column) -> Column:
