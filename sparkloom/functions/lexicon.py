@@ -209,9 +209,31 @@ PROVIDER_ERRORS: list[tuple[str, list[int], list[str], bool]] = [
     ("invalid_request", [400], ["invalid_argument", "bad request"], False),
     ("missing_api_key", [], ["api_key is not set", "api key is not set", "api_key is required"], False),
 ]
+#: HTTP status numbers that are read from a message.
+PROVIDER_STATUSES = r"\b(400|401|403|404|408|409|429|500|502|503|504)\b"
+RETRY_HINTS = [r"retry in\s+([0-9]+(?:\.[0-9]+)?)s", r"retryDelay['\"]?\s*:\s*['\"]([0-9]+(?:\.[0-9]+)?)s"]
 RETRY_MARKS = ["429", "quota", "rate", "resource_exhausted", "503", "unavailable"]
 DOCUMENT_RETRY_SECONDS = (2.0, 5.0, 10.0, 30.0)
 
+# --- fixed values: what users are told of a provider's errors, in Arabic and English ---
+PROVIDER_MESSAGES = {
+    "missing_api_key": ("خدمة الذكاء الاصطناعي غير مُعدة حالياً. يرجى المحاولة لاحقاً.", "The AI service is not configured yet. Please try again later."),
+    "invalid_api_key": ("خدمة الذكاء الاصطناعي غير متاحة حالياً. يرجى المحاولة لاحقاً.", "The AI service is temporarily unavailable. Please try again later."),
+    "authentication_failed": ("خدمة الذكاء الاصطناعي غير متاحة حالياً. يرجى المحاولة لاحقاً.", "The AI service is temporarily unavailable. Please try again later."),
+    "permission_denied": ("خدمة الذكاء الاصطناعي غير متاحة حالياً. يرجى المحاولة لاحقاً.", "The AI service is temporarily unavailable. Please try again later."),
+    "model_not_found": ("نموذج الإجابة غير متاح حالياً. يرجى المحاولة لاحقاً.", "The answer model is unavailable right now. Please try again later."),
+    "rate_limited": ("خدمة الذكاء الاصطناعي مشغولة. يرجى المحاولة بعد دقيقة.", "The AI service is busy. Please try again in a minute."),
+    "safety_blocked": ("لا يمكنني المساعدة في هذا الطلب.", "I can’t help with that request."),
+    "timeout": ("استغرقت خدمة الذكاء الاصطناعي وقتاً طويلاً. يرجى المحاولة مجدداً.", "The AI service took too long. Please try again."),
+    "service_unavailable": ("خدمة الذكاء الاصطناعي غير متاحة مؤقتاً. يرجى المحاولة لاحقاً.", "The AI service is temporarily unavailable. Please try again later."),
+    "invalid_request": ("تعذر معالجة هذا الطلب. يرجى إعادة صياغته.", "I couldn’t process that request. Please rephrase it."),
+    "empty_response": ("لم تُرجع خدمة الذكاء الاصطناعي إجابة. يرجى المحاولة مجدداً.", "The AI service returned no answer. Please try again."),
+    "unknown_error": ("حدثت مشكلة مؤقتة. يرجى المحاولة لاحقاً.", "A temporary problem occurred. Please try again later."),
+}
+#: In messages about a search the service's name is replaced, except in these.
+SERVICE_NAMES = (("خدمة الذكاء الاصطناعي", "خدمة البحث"), ("AI service", "knowledge search"))
+SERVICE_NAME_STAYS = ["safety_blocked", "invalid_request"]
+
 # --- fixed values: the frame of prompts that answers are grounded by ---
 PROMPT_CONTEXT = "RETRIEVED CONTEXT FROM DIABETES DOCUMENTS:\n===========================================\n{}\n===========================================\n"
 PROMPT_NO_CONTEXT = "RETRIEVED CONTEXT: No relevant information was found.\n"

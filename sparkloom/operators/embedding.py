@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
+from pyspark.sql.types import ArrayType, FloatType, StringType, StructField, StructType
 
 from sparkloom.functions import lexicon as L
 
@@ -92,6 +92,43 @@ class Retrying:
 
 
 def retry_seconds(message: str, otherwise: float) -> float:
-    """The delay that an error message asks for, if it does."""
-    said = re.search(r"retry(?:delay)?\D{0,12}([0-9]+(?:\.[0-9]+)?)\s*s", message.lower())
-    return float(said[1]) if said else otherwise
+    """The longest delay that an error message asks for and a second more, but no less than `otherwise`."""
+    said = [float(x) for pattern in L.RETRY_HINTS for x in re.findall(pattern, message, re.IGNORECASE)]
+    return max(otherwise, max(said) + 1.0 if said else 0.0)
+
+
+def try_embed(rows: DataFrame, embedder: Embedder = hashed_words, text_col: str = "query", out_col: str = "query_vector", error_col: str = "embedding_error", batch: int = 32) -> DataFrame:
+    """rows with unit vectors of their texts and, where the embedder fails, a null vector and the name of its error.
+
+    A batch that fails is tried text by text, so that only the texts at fault
+    go without.  Blank texts are not embedded (error `blank`).
+    """
+
+    def one_by_one(texts: list[str]) -> Iterator[tuple[np.ndarray | None, str | None]]:
+        try:
+            found = embedder(texts)
+            if len(found) != len(texts):
+                raise RuntimeError(f"{len(found)} vectors for {len(texts)} texts")
+            yield from ((v, None) for v in found)
+        except Exception as e:  # whatever a model's client raises is a value here
+            if len(texts) == 1:
+                yield None, type(e).__name__
+            else:
+                for t in texts:
+                    yield from one_by_one([t])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(text_col).to_pylist()
+            there = [i for i, t in enumerate(texts) if t and t.strip()]
+            out: list[list[float] | None] = [None] * len(texts)
+            why: list[str | None] = ["blank"] * len(texts)
+            for lo in range(0, len(there), batch):
+                some = there[lo : lo + batch]
+                for i, (v, error) in zip(some, one_by_one([texts[i].strip() for i in some])):
+                    size = 0.0 if v is None else float(np.linalg.norm(v))
+                    out[i], why[i] = None if v is None else (np.asarray(v, float) / (size or 1.0)).tolist(), error
+            yield b.append_column(out_col, pa.array(out, pa.list_(pa.float32()))).append_column(error_col, pa.array(why, pa.string()))
+
+    rest = rows.drop(out_col, error_col)
+    return rest.mapInArrow(run, StructType([*rest.schema.fields, StructField(out_col, ArrayType(FloatType())), StructField(error_col, StringType())]))

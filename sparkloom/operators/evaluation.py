@@ -129,16 +129,24 @@ def rollout_checks(previous: DataFrame, candidate: DataFrame) -> DataFrame:
 
 
 def match_cases(queries: DataFrame, cases: DataFrame) -> DataFrame:
-    """query_id to case_id by id, else canonical text, else a variant: exact matches only, the first kind that finds one."""
-    text = lambda c: T.sanitize(F.lower(c))
-    by_id = cases.select(F.col("case_id").alias("key"), F.lit(0).alias("kind"), "case_id")
-    by_text = cases.select(text(F.col("query")).alias("key"), F.lit(1).alias("kind"), "case_id")
-    by_variant = cases.select(F.explode("query_variants").alias("v"), "case_id").select(text(F.col("v")).alias("key"), F.lit(2).alias("kind"), "case_id")
-    keys = queries.select("query_id", F.col("case_id").alias("__id"), text(F.col("query")).alias("__text"))
-    found = keys.join(by_id, F.col("__id") == F.col("key")).select("query_id", "kind", "case_id")
-    found = found.unionByName(keys.join(by_text.unionByName(by_variant), F.col("__text") == F.col("key")).select("query_id", "kind", "case_id"))
-    best = found.groupBy("query_id").agg(F.min(F.struct("kind", "case_id")).alias("m")).select("query_id", F.col("m.case_id").alias("case_id"))
-    return queries.select("query_id").join(best, "query_id", "left")
+    """query_id, case_id and match: the case that a query (query_id, query, case_id) belongs to, and how that was found.
+
+    A case_id that is given decides alone: `explicit_case_id`, or
+    `unknown_case_id` without a case.  Else texts whose words agree, those of a
+    case's query (`canonical_query`) before those of a variant
+    (`reviewed_variant`); else `unlabeled_query`.  Of several cases the
+    smallest id is taken; near matches are none.
+    """
+    given = F.coalesce(F.col("case_id").cast("string"), F.lit("")) != ""
+    keys = queries.select("query_id", "case_id", given.alias("given"), T.normalize_words(F.coalesce("query", F.lit(""))).alias("words"))
+    known = cases.select(F.col("case_id").alias("of"), F.coalesce("query", F.lit("")).alias("text"), F.coalesce("query_variants", F.array().cast("array<string>")).alias("variants"))
+    texts = known.select("of", F.lit(0).alias("kind"), "text").unionByName(known.select("of", F.lit(1).alias("kind"), F.explode("variants").alias("text")))
+    by_text = texts.where("text IS NOT NULL").groupBy(T.normalize_words(F.col("text")).alias("words")).agg(F.min(F.struct("kind", "of")).alias("m"))
+    by_id = known.select("of").distinct()
+    met = keys.join(by_id, F.col("given") & (F.col("case_id") == F.col("of")), "left").join(by_text, "words", "left")
+    match = F.when(F.col("given"), F.when(F.col("of").isNotNull(), "explicit_case_id").otherwise("unknown_case_id"))
+    match = match.when(F.col("m").isNull(), "unlabeled_query").when(F.col("m.kind") == 0, "canonical_query").otherwise("reviewed_variant")
+    return met.select("query_id", F.when(F.col("given"), F.col("of")).otherwise(F.col("m.of")).alias("case_id"), match.alias("match"))
 
 
 def embedding_cost(provider: Column, tokens: Column) -> Column:

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from sparkloom.functions import classify as C
 from sparkloom.functions import lexicon as L
 from sparkloom.functions import text as T
-from sparkloom.operators.vectors import BROADCAST_QUERIES, vector_topk
+from sparkloom.operators.vectors import BROADCAST_QUERIES, category_filter, vector_topk
+from sparkloom.sources.workspace import written
 
 THRESHOLD, SUFFICIENT = 0.30, 0.25
 
@@ -88,10 +89,14 @@ def lexical_topk(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "c
     for i in range(blocks):
         part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
         known = [(r["query_id"], list(r["terms"])) for r in part.collect()]
+        if not known:
+            continue
         names = spark.createDataFrame([(n, x) for n, (x, _) in enumerate(known)], f"n int, query_id {dict(queries.dtypes)['query_id']}")
         local = rows.mapInArrow(_best_rows(spark.sparkContext.broadcast(known), max(k, 1)), f"n int, id {kinds['id']}, coverage double, q double")
         found = local.join(F.broadcast(names), "n").withColumn("rank", rank).where(F.col("rank") <= k)
         out = found if out is None else out.unionByName(found)
+    if out is None:
+        out = spark.createDataFrame([], f"query_id {dict(queries.dtypes)['query_id']}, id {kinds['id']}, coverage double, rank int")
     score = F.round(0.5 + 0.5 * F.col("coverage"), 4)
     return out.select("query_id", "id", "coverage", score.alias("score"), F.round(1 - score, 4).alias("distance"), "rank")
 
@@ -125,6 +130,34 @@ def retrieve(corpus: DataFrame, queries: DataFrame, k: int = 5, threshold: float
     return good.withColumn("rank", again).where(F.col("rank") <= k)
 
 
+def retrieve_routed(corpus: DataFrame, queries: DataFrame, k: int = 5, threshold: float = THRESHOLD, id_col: str = "chunk_id") -> DataFrame:
+    """query_id, id, score, distance, rank, retrieval_mode and the corpus' columns: each question by vector, or by its words where it has no vector.
+
+    queries: query_id, query, query_vector (null where embedding failed) and,
+    optionally, category.  A category admits its own rows and general ones;
+    each category's questions pass over its part of the corpus.  Both ways
+    over-fetch 2k, then drop low scores and bibliographies, then keep k.  Blank
+    questions find nothing.  A corpus without categories is searched whole,
+    without quality scores has unknown ones.
+    """
+    named = F.coalesce("category", F.lit("all")) if "category" in queries.columns else F.lit("all")
+    asked = queries.where(F.length(T.strip(F.coalesce("query", F.lit("")))) > 0).withColumn("category", named)
+    rows = corpus if "quality_score" in corpus.columns else corpus.withColumn("quality_score", F.lit(None).cast("double"))
+    ways = ["all", *(L.CATEGORIES if "category" in corpus.columns else [])]
+    found = None
+    for way in ways:
+        own = F.col("category") == way if way != "all" else ~F.col("category").isin(*ways[1:]) if ways[1:] else F.lit(True)
+        mine, part = asked.where(own), rows.where(category_filter(way))
+        near = vector_topk(part, mine.where("query_vector IS NOT NULL"), 2 * k, id_col).select("query_id", "id", "score", "distance", "rank", F.lit("vector").alias("retrieval_mode"))
+        words = lexical_topk(part, mine.where("query_vector IS NULL"), 2 * k, id_col).select("query_id", "id", "score", "distance", "rank", F.lit("lexical").alias("retrieval_mode"))
+        both = near.unionByName(words)
+        found = both if found is None else found.unionByName(both)
+    met = found.where(F.col("score") >= threshold).join(corpus.withColumnRenamed(id_col, "id"), "id")
+    good = met.where(~C.is_reference_only(F.col("section_title"), F.col("text")))
+    again = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+    return good.withColumn("rank", again).where(F.col("rank") <= k)
+
+
 def sufficient(found: DataFrame) -> DataFrame:
     """query_id and whether the best score is enough."""
     return found.groupBy("query_id").agg((F.max("score") >= SUFFICIENT).alias("sufficient"))
@@ -152,17 +185,20 @@ def gate_status(query: Column, has_context: Column, history: Column, stale: Colu
     )
 
 
-def stage_evidence(corpus: DataFrame, queries: DataFrame, catalog: DataFrame, k: int = 5, threshold: float = THRESHOLD) -> DataFrame:
+def stage_evidence(corpus: DataFrame, queries: DataFrame, catalog: DataFrame, k: int = 5, threshold: float = THRESHOLD, stale: Column | None = None) -> DataFrame:
     """One envelope per question (query_id, query, query_vector, history): status, rewritten query, category and the evidence in order.
 
-    Questions that a gate stops are never searched.
+    Questions that a gate stops are never searched; others are searched in the
+    category that they are routed to, by their words if they have no vector.
+    stale says of a question that its index is out of date.
     """
     history = F.coalesce("history", F.array().cast("array<string>"))
-    asked = queries.withColumn("status", gate_status(F.col("query"), F.exists(history, lambda h: F.length(T.strip(h)) >= 8), history, F.lit(False)))
+    asked = queries.withColumn("status", gate_status(F.col("query"), F.exists(history, lambda h: F.length(T.strip(h)) >= 8), history, F.lit(False) if stale is None else stale))
     rewritten = C.rewrite(F.col("query"), F.try_element_at(history, F.lit(-1)), F.size(history) > 0)
     asked = asked.withColumn("rewritten", rewritten).withColumn("category", C.route(F.col("rewritten"), F.lit("all")))
+    asked = written(asked, "questions")  # the rules are long expressions, which each way of searching would repeat
     open_questions = asked.where("status is null")
-    found = enrich(retrieve(corpus, open_questions.select("query_id", "query_vector"), k, threshold), catalog)
+    found = enrich(retrieve_routed(corpus, open_questions.select("query_id", F.col("rewritten").alias("query"), "query_vector", "category"), k, threshold), catalog)
     # evidence must name the condition that the question names
     named = found.join(open_questions.select("query_id", C.evidence_groups(F.col("query")).alias("__groups")), "query_id")
     found = named.where(C.matches_directly(F.col("__groups"), F.concat_ws(" ", "section_title", "text"))).drop("__groups")

@@ -191,8 +191,9 @@ def retry_delay(attempt: Column, provider_delay: Column, jitter: Column) -> Colu
 
 
 def provider_error(message: Column, status: Column) -> Column:
-    """Kind of a provider's error: struct of code, http_status and whether it may be tried again."""
+    """Kind of a provider's error: struct of code, http_status and whether it may be tried again. A status that is not given is read from the message."""
     said = F.lower(F.coalesce(message, F.lit("")))
+    status = F.coalesce(status.cast("int"), F.nullif(F.regexp_extract(said, L.PROVIDER_STATUSES, 1), F.lit("")).cast("int"))
     code, again, assumed = F.lit("unknown_error"), F.lit(False), F.lit(None).cast("int")
     for name, statuses, parts, retryable in reversed(L.PROVIDER_ERRORS):
         hit = F.coalesce(status.isin(*statuses), F.lit(False)) if statuses else F.lit(False)
@@ -219,3 +220,14 @@ def ingestion_categories(chunks: DataFrame, stats: DataFrame) -> DataFrame:
     good = stats.where((F.coalesce("error", F.lit("")) == "") & ~F.coalesce("skipped", F.lit(False))).select("file_name")
     rows = chunks.join(good, chunks["document_name"] == good["file_name"], "left_semi")
     return rows.groupBy(F.coalesce("category", F.lit("unknown")).alias("category")).agg(F.count("*").alias("chunks"))
+
+
+def provider_message(code: Column, is_arabic: Column, search: Column) -> Column:
+    """What a user is told of an error's code; messages about a search name that service."""
+    said = F.when(F.lit(False), "")
+    for name, both in L.PROVIDER_MESSAGES.items():
+        named = both if name in L.SERVICE_NAME_STAYS else tuple(text.replace(*swap) for text, swap in zip(both, L.SERVICE_NAMES))
+        for arabic in (True, False):
+            mine = (code == name) & (is_arabic if arabic else ~is_arabic)
+            said = said.when(mine & search, named[not arabic]).when(mine, both[not arabic])
+    return said

@@ -131,7 +131,7 @@ def vector_topk(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "id
     if k:
         held = asked.limit(BROADCAST_QUERIES + 1).toArrow()
         blocks = 1 if held.num_rows <= BROADCAST_QUERIES else -(-asked.count() // BROADCAST_QUERIES)
-        for i in range(blocks):
+        for i in range(blocks if held.num_rows else 0):
             table = held if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).toArrow()
             table = table.combine_chunks()
             widths = pc.list_value_length(table.column("v")).to_numpy()

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkloom.operators import ann, density, layout2d, vectors
+from sparkloom.operators import ann, density, embedding, evaluation, layout2d, retrieval, telemetry, vectors
+from sparkloom.functions import lexicon as L
 from sparkloom.plans.data_queries import _UNIT, _pairs, _queries, _shown, _top
-from sparkloom.plans.registry import query
+from sparkloom.plans.registry import query, quoted
 from sparkloom.sources import workspace
 
 
@@ -67,3 +68,60 @@ def vec_layout_kept_neighbours(t):
     pca = vectors.reduce_dimensions(t.embeddings).select("vec_id", "reduced")
     shares = [layout2d.kept_neighbours(near, x).select(F.lit(name).alias("method"), "kept") for name, x in (("layout", plane), ("components", pca))]
     return shares[0].unionByName(shares[1])
+
+
+_WORDS = "array_to_string(regexp_extract_all(replace(lower({0}), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}_]+'), ' ')"
+
+
+@query(f"""WITH q AS (
+  SELECT item_id AS query_id, upper(text) || '!' AS query, CASE item_id % 5 WHEN 0 THEN item_id::VARCHAR WHEN 1 THEN 'gone-' || item_id ELSE '' END AS case_id FROM benchmark
+  UNION ALL SELECT 100000 + item_id, substr(text, 1, 30), '' FROM benchmark UNION ALL SELECT 200000 + doc_id, substr(text, 1, 200), NULL FROM documents),
+c AS (SELECT words, min((kind, id)) AS m FROM (
+  SELECT {_WORDS.format("text")} AS words, 0 AS kind, item_id::VARCHAR AS id FROM benchmark UNION ALL SELECT {_WORDS.format("substr(text, 1, 30)")}, 1, item_id::VARCHAR FROM benchmark) GROUP BY 1),
+k AS (SELECT q.*, m[1] AS kind, m[2] AS of, EXISTS (SELECT 1 FROM benchmark b WHERE b.item_id::VARCHAR = q.case_id) AS known FROM q LEFT JOIN c ON c.words = {_WORDS.format("q.query")})
+SELECT query_id, CASE WHEN coalesce(case_id, '') <> '' THEN CASE WHEN known THEN case_id END ELSE of END AS case_id,
+  CASE WHEN coalesce(case_id, '') <> '' THEN CASE WHEN known THEN 'explicit_case_id' ELSE 'unknown_case_id' END WHEN kind IS NULL THEN 'unlabeled_query' WHEN kind = 0 THEN 'canonical_query' ELSE 'reviewed_variant' END AS match FROM k""")
+def evl_match_cases(t):
+    """Passages as cases, their beginnings as variants; passages shouted, beginnings and documents ask."""
+    item = F.col("item_id").cast("string")
+    start = F.substring("text", 1, 30)
+    cases = t.benchmark.select(item.alias("case_id"), F.col("text").alias("query"), F.array(start).alias("query_variants"))
+    given = F.when(F.col("item_id") % 5 == 0, item).when(F.col("item_id") % 5 == 1, F.concat(F.lit("gone-"), item)).otherwise("")
+    asked = t.benchmark.select(F.col("item_id").alias("query_id"), F.concat(F.upper("text"), F.lit("!")).alias("query"), given.alias("case_id"))
+    asked = asked.unionByName(t.benchmark.select((F.col("item_id") + 100_000).alias("query_id"), start.alias("query"), F.lit("").alias("case_id")))
+    asked = asked.unionByName(t.documents.select((F.col("doc_id") + 200_000).alias("query_id"), F.substring("text", 1, 200).alias("query"), F.lit(None).cast("string").alias("case_id")))
+    return evaluation.match_cases(asked, cases)
+
+
+def _error_sql(column: int) -> str:
+    """CASE over the kinds of errors: their code, status or whether they may be tried again."""
+    out = "CASE"
+    for name, statuses, parts, again in L.PROVIDER_ERRORS:
+        one = {"invalid_api_key": 400, "invalid_request": 400}.get(name, statuses[0] if len(statuses) == 1 else None)
+        value = (quoted(name), f"coalesce(status, {one if one else 'NULL'})", str(again).lower())[column]
+        hits = [f"contains(said, {quoted(p)})" for p in parts] + ([f"coalesce(status IN ({', '.join(map(str, statuses))}), false)"] if statuses else [])
+        out += f" WHEN {' OR '.join(hits)} THEN {value}"
+    return out + f" ELSE {("'unknown_error'", "status", "false")[column]} END"
+
+
+@query(f"""WITH m AS (SELECT doc_id, lower(text) AS said, nullif(regexp_extract(lower(text), '\\b(400|401|403|404|408|409|429|500|502|503|504)\\b', 1), '')::INT AS status, text FROM documents)
+SELECT doc_id, {_error_sql(0)} AS code, ({_error_sql(1)})::INT AS http_status, {_error_sql(2)} AS retryable FROM m""")
+def tel_provider_errors(t):
+    """Texts in the role of messages, without a status: words and numbers in them decide."""
+    e = telemetry.provider_error(F.col("text"), F.lit(None).cast("int"))
+    return t.documents.select("doc_id", e.alias("e")).select("doc_id", "e.*")
+
+
+@query()
+def ret_routed_fallback(t):
+    """Passages ask documents; the model fails for those of an odd length, which are searched by their words."""
+
+    def model(texts):
+        if any(len(x) % 2 for x in texts):
+            raise TimeoutError
+        return embedding.hashed_words(texts)
+
+    corpus = embedding.embed(t.documents.select(F.col("doc_id").alias("chunk_id"), "text", F.lit("").alias("section_title")))
+    asked = embedding.try_embed(t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), model)
+    found = retrieval.retrieve_routed(corpus, asked, 5, 0.0)
+    return found.select("query_id", "id", F.round("score", 3).alias("score"), "rank", "retrieval_mode")

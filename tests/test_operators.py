@@ -337,11 +337,11 @@ def test_embedding_tries_again():
     def flaky(texts):
         calls.append(len(texts))
         if len(calls) in (2, 3):
-            raise RuntimeError("429 RESOURCE_EXHAUSTED" + (" retryDelay: 7s" if len(calls) == 3 else ""))
+            raise RuntimeError("429 RESOURCE_EXHAUSTED" + (" 'retryDelay': '7s', retry in 3s" if len(calls) == 3 else ""))
         return np.ones((len(texts), 2))
 
     make = lambda **more: embedding.Retrying(flaky, now=lambda: clock[0], sleep=sleep, **more)
-    assert make()([f"t{i}" for i in range(40)]).shape == (40, 2) and calls == [16, 16, 16, 16, 8] and slept == [2.0, 7.0]
+    assert make()([f"t{i}" for i in range(40)]).shape == (40, 2) and calls == [16, 16, 16, 16, 8] and slept == [2.0, 8.0]
     calls[:] = [0]
     with pytest.raises(RuntimeError, match="429"):
         make(delays=())(["q"])
@@ -361,7 +361,7 @@ def test_quota_decisions_and_errors(spark):
     errors = [
         ("API key not valid", None, ("invalid_api_key", 400, False)), ("x", 401, ("authentication_failed", 401, False)), ("PERMISSION_DENIED", None, ("permission_denied", 403, False)), ("Model not found", 500, ("model_not_found", 500, False)),
         ("quota", None, ("rate_limited", 429, True)), ("blocked", None, ("safety_blocked", None, False)), ("timed out", None, ("timeout", None, True)), ("", 503, ("service_unavailable", 503, True)), ("bad request", None, ("invalid_request", 400, False)),
-        ("API_KEY is not set", None, ("missing_api_key", None, False)), (None, None, ("unknown_error", None, False)),
+        ("API_KEY is not set", None, ("missing_api_key", None, False)), ("Error 503: try later", None, ("service_unavailable", 503, True)), ("code 5031", None, ("unknown_error", None, False)), (None, None, ("unknown_error", None, False)),
     ]
     frame = spark.createDataFrame([(i, m, s) for i, (m, s, _) in enumerate(errors)], "i int, m string, s int").select("i", telemetry.provider_error(F.col("m"), F.col("s")).alias("e")).orderBy("i")
     assert [(r.e.code, r.e.http_status, r.e.retryable) for r in frame.collect()] == [e[2] for e in errors]
