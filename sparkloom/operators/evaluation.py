@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import lexicon as L
 from sparkloom.functions import text as T
+from sparkloom.operators import percentiles
 
 QUALITY_KEYS = ["hit_rate_at_5", "recall_at_5", "ndcg_at_5", "task_success"]
 
@@ -230,9 +231,9 @@ def task_success(results: DataFrame) -> DataFrame:
 
 def run_summary(latencies: DataFrame) -> DataFrame:
     """Per run of a benchmark (run_id, latency_ms): mean and its 95th percentile, which here is the element floor(0.95 n) - 1 in order; two decimals."""
-    runs = latencies.groupBy("run_id").agg(F.avg("latency_ms").alias("mean_latency_ms"), F.sort_array(F.collect_list("latency_ms")).alias("v"))
-    at = F.greatest(F.floor(F.size("v") * 0.95).cast("int") - 1, F.lit(0))
-    return runs.select("run_id", F.round("mean_latency_ms", 2).alias("mean_latency_ms"), F.round(F.get("v", at), 2).alias("p95_latency_ms"))
+    runs = latencies.groupBy("run_id").agg(F.round(F.avg("latency_ms"), 2).alias("mean_latency_ms"))
+    late = percentiles.exact(latencies, "latency_ms", [0.95], ["run_id"], rank=F.floor).select(F.col("run_id").alias("of"), F.round("value", 2).alias("p95_latency_ms"))
+    return runs.join(late, F.col("run_id").eqNullSafe(F.col("of")), "left").drop("of")
 
 
 def experiment_grid(profiles: DataFrame, providers: DataFrame) -> DataFrame:
@@ -248,7 +249,7 @@ def needs_backfill(traces: DataFrame, version: str) -> DataFrame:
 def stage_measures(metrics: DataFrame, latencies: DataFrame, audit: DataFrame) -> DataFrame:
     """One row: means of the ranking metrics, nearest-rank 95th percentile of latency, and the audit's totals."""
     means = metrics.agg(*(F.round(F.avg(c), 6).alias(c) for c in metrics.columns if c != "query_id"))
-    slow = latencies.agg(F.round(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY latency_ms)"), 2).alias("retrieval_p95_ms"))
+    slow = percentiles.exact(latencies, "latency_ms", [0.95]).agg(F.round(F.max("value"), 2).alias("retrieval_p95_ms"))
     totals = audit.agg(F.count("*").alias("verified_documents"), F.sum("chunks").alias("chunks"), F.sum("invalid_vectors").alias("invalid_vector_count"))
     return means.crossJoin(slow).crossJoin(totals)  # one row each
 

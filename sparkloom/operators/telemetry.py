@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import lexicon as L
+from sparkloom.operators import percentiles
 
 PACIFIC = "America/Los_Angeles"
+RANKS = (0.5, 0.95, 0.99)
 
 
 def nearest_rank(c: Column, p: float) -> Column:
@@ -19,11 +21,13 @@ def report(traces: DataFrame) -> DataFrame:
     """One row: requests, conversations, availability, error rate and latency percentiles of finished traces."""
     done = traces.where("coalesce(status, '') <> 'running'")
     ok = F.coalesce(~F.col("status").isin(L.OPERATIONAL_FAILURES), F.lit(True))
-    ranks = [F.round(nearest_rank("total_ms", p), 2).alias(f"p{int(p * 100)}") for p in (0.5, 0.95, 0.99)]
-    return done.agg(
+    ranks = percentiles.columns(percentiles.exact(done, "total_ms", RANKS), RANKS)
+    summary = done.agg(
         F.count("*").alias("requests"), F.countDistinct(F.nullif("conversation_id", F.lit(""))).alias("conversations"), F.round(F.count_if(ok) / F.nullif(F.count("*"), F.lit(0)), 6).alias("availability"),
-        F.round(F.count_if(~ok) / F.nullif(F.count("*"), F.lit(0)), 6).alias("error_rate"), *ranks,
+        F.round(F.count_if(~ok) / F.nullif(F.count("*"), F.lit(0)), 6).alias("error_rate"),
     )
+    both = summary.withColumn("one", F.lit(1)).join(ranks.withColumn("one", F.lit(1)), "one")  # a row each
+    return both.select(*summary.columns, *(F.round(c, 2).alias(c) for c in ranks.columns))
 
 
 def errors_by_type(traces: DataFrame) -> DataFrame:

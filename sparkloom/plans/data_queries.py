@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import lexicon
 from sparkloom.functions import text as T
-from sparkloom.operators import answers, evaluation, fingerprints, retrieval, telemetry, vectors
+from sparkloom.operators import answers, evaluation, fingerprints, percentiles, retrieval, telemetry, vectors
 from sparkloom.plans.registry import query, sql_list
 
 _UNIT = "v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings)"
@@ -313,7 +313,7 @@ def tel_report_summary(t):
 
 @query("SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY 1")
 def tel_percentiles(t):
-    return t.events.groupBy("event_type").agg(*(telemetry.nearest_rank("value", p).alias(f"p{int(p * 100)}") for p in (0.5, 0.95, 0.99)))
+    return percentiles.columns(percentiles.exact(t.events, "value", telemetry.RANKS, ["event_type"]), telemetry.RANKS, ["event_type"])
 
 
 @query(f"WITH {_TRACES} SELECT status, count(*) AS n FROM tr WHERE status = 'http_error' GROUP BY 1")

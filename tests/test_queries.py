@@ -10,7 +10,7 @@ import os
 import duckdb
 import pytest
 
-from sparkloom.plans import data_queries, extra_queries, mechanism_queries, more_queries, registry, stream_queries, text_queries  # noqa: F401
+from sparkloom.plans import data_queries, extra_queries, measure_queries, mechanism_queries, more_queries, registry, stream_queries, text_queries  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
