@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.scratch import fresh, materialize
+from sparkloom.llm.scratch import fresh, materialize, row_hash
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -282,7 +282,7 @@ def mixed_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wanted = parts.groupBy(same(F.col("doc_id"), F.col("text_hash")).alias(key)).agg(F.collect_list(F.struct("copy", "size", "parts")).alias(items))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = docs.withColumn(key, same(F.col(id_col), F.xxhash64(text, F.col(source_col))))
-    numbered = keyed.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))))
+    numbered = keyed.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(row_hash(docs))))
     met = numbered.join(wanted, key)
     own = F.get(F.filter(items, lambda x: x["copy"] == F.col(nth)), F.lit(0))
     taken_ = met.select(*(F.col(f"`{c}`") for c in docs.columns), own["size"].alias(key), own["parts"].alias(items)).where(F.col(items).isNotNull())

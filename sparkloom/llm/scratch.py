@@ -13,6 +13,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -53,6 +54,23 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def _has_map(kind: DataType) -> bool:
+    match kind:
+        case MapType():
+            return True
+        case ArrayType():
+            return _has_map(kind.elementType)
+        case StructType():
+            return any(_has_map(f.dataType) for f in kind.fields)
+    return False
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns of a row. Maps, which have no hash, are hashed as JSON: in the order of their entries."""
+    spelled = lambda c: F.to_json(F.struct(c), {"ignoreNullFields": "false"})
+    return F.xxhash64(*(spelled(F.col(f"`{f.name}`")) if _has_map(f.dataType) else F.col(f"`{f.name}`") for f in df.schema.fields))
+
+
 def sampled(rows: DataFrame, draw: Column, wanted: int) -> DataFrame:
     """About `wanted` of the rows, those with the smallest values of a 64-bit hash; all of them if there are no more. Any share can be drawn, however small."""
     total = rows.count()

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.components import connected_components
-from sparkloom.llm.scratch import drop, fresh, materialize
+from sparkloom.llm.scratch import drop, fresh, materialize, row_hash
 
 MASK64 = (1 << 64) - 1
 CHUNK = 1 << 15
@@ -210,12 +210,7 @@ def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(prints, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "row", "rest", "print", "n", "bands"])
 
     text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).cast("long"), text.alias("text"), F.xxhash64(text).alias("row"), _whole(docs).alias("rest")).mapInArrow(run, "doc_id long, row long, rest long, print long, n long, bands array<long>")
-
-
-def _whole(docs: DataFrame) -> Column:
-    """A hash of all columns."""
-    return F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
+    return docs.select(F.col(id_col).cast("long"), text.alias("text"), F.xxhash64(text).alias("row"), row_hash(docs).alias("rest")).mapInArrow(run, "doc_id long, row long, rest long, print long, n long, bands array<long>")
 
 
 def _alike(n: str, m: str, similarity: float) -> Column:
@@ -297,5 +292,5 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     key = lambda doc_id, row, rest: F.xxhash64(doc_id.isNull(), doc_id, row, rest)
     order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row", "rest")
     keep = near_copies(docs, id_col, text_col, words, similarity).groupBy("root").agg(F.min(order).alias("m")).select(key(F.col("m.doc_id"), F.col("m.row"), F.col("m.rest")).alias(kept))
-    mine = key(F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string")), _whole(docs))
+    mine = key(F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string")), row_hash(docs))
     return docs.withColumn(own, mine).join(keep, F.col(own) == F.col(kept), "left_semi").dropDuplicates([own]).drop(own)

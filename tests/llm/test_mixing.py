@@ -124,3 +124,13 @@ def test_only_empty_texts(spark):
     got = M.taken(frame).toPandas()
     assert list(got["taken"]) == [0, 0] and list(got["target"]) == [0, 0]
     assert M.mixed_text(frame).count() == 0
+
+
+def test_mixed_text_carries_maps(spark):
+    """Repeated rows that differ in a map alone have places of their own."""
+    rows = [(1, "a b c d e f", "web", {"k": i}) for i in range(2)] + [(2, "g h i j", "books", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, m map<string, int>")
+    got = M.mixed_text(docs).collect()
+    assert got and {r.m["k"] if r.m else None for r in got if r.doc_id == 1} <= {0, 1}
+    assert all(r.m is None for r in got if r.doc_id == 2)
+    assert sum(len(r.text.split()) for r in got) == sum(r.taken for r in M.taken(docs).collect())

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from sparkloom.llm import simhash as S
 from sparkloom.llm.components import connected_components
@@ -136,3 +137,11 @@ def test_chain_of_links(spark):
     chain = [(i, i + 1) for i in range(60)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert set(got.values()) == {0} and len(got) == 61
+
+
+def test_deduplicate_carries_maps(spark):
+    """Maps, also inside structs and arrays, are carried along; rows that differ in a map alone are near copies, equal ones too."""
+    rows = [(1, "one text of some words here", {"a": 1}, ({"b": None},)), (2, "one text of some words here", {"a": 2}, ({"b": 1},)), (3, "another text of other words", None, None), (3, "another text of other words", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, m map<string, int>, s struct<x: map<string, int>>").withColumn("l", F.array("m"))
+    got = sorted(S.deduplicate(docs).collect(), key=lambda r: r.doc_id)
+    assert [(r.doc_id, r.m, r.s and r.s.x, r.l) for r in got] == [(1, {"a": 1}, {"b": None}, [{"a": 1}]), (3, None, None, [None])]
