@@ -1,13 +1,14 @@
-"""Queries: language profiles, stale indexes, percentiles by sketches, sinks and logs."""
+"""Queries: language profiles, stale indexes, percentiles by sketches, sinks, logs, ingestion and a grid of runs."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import classify
-from sparkloom.operators import langid, manifests, percentiles, telemetry
+from sparkloom.operators import grid, langid, manifests, percentiles, telemetry, vectors
 from sparkloom.plans.registry import query
-from sparkloom.sources import logs, workspace
+from sparkloom.sources import ingestion, logs, workspace
 from sparkloom.streaming import streams
 
 
@@ -107,3 +108,56 @@ def snk_fan_out(t):
     read = t.spark.read.schema(streams.EVENTS.replace("timestamp_ntz", "timestamp"))
     both = read.json(f"{root}/log/*").withColumn("sink", F.lit("log")).unionByName(read.parquet(f"{root}/table/*").withColumn("sink", F.lit("table")))
     return both.groupBy("sink", "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+
+
+_PARTS = "list_filter(string_split(text, chr(10)), lambda x: length(x) >= 40)"
+
+
+@query(f"""WITH d AS (SELECT doc_id::VARCHAR AS document_name, text, len({_PARTS}) AS n, doc_id % 10 = 0 AS again FROM documents)
+SELECT document_name, CASE WHEN e OR n = 0 THEN 'failed' ELSE 'completed' END AS status, CASE WHEN e THEN 'extract' WHEN n = 0 THEN 'split' END AS step, CASE WHEN e THEN 'no text' WHEN n = 0 THEN 'nothing left' END AS error,
+  CASE WHEN e THEN 0 ELSE n END AS n, CASE WHEN again OR e OR n = 0 THEN 2 ELSE 1 END AS run FROM (SELECT *, trim(coalesce(text, '')) = '' AS e FROM d)""")
+def src_ingestion_states(t):
+    """Documents in two runs: the second takes those that failed, and one in ten that are forced."""
+    store = workspace.new_path(t.spark, "ingestion")
+    docs = t.documents.select(F.col("doc_id").cast("string").alias("document_name"), "text", (F.col("doc_id") % 10 == 0).alias("again"))
+    steps = [
+        ("extract", lambda r: r.withColumn("error", F.when(F.trim(F.coalesce("text", F.lit(""))) == "", "no text"))),
+        ("split", lambda r: r.select("document_name", F.explode(F.split("text", "\n")).alias("text")).where("length(text) >= 40")),
+    ]
+    ingestion.ingest(docs, steps, store)
+    failed = ingestion.states(t.spark, store).where("status = 'failed'").select("document_name", F.lit(True).alias("failed"))
+    second = docs.join(failed, "document_name", "left").where("again OR failed").drop("failed")
+    ingestion.ingest(second, steps, store, force=True)
+    return ingestion.states(t.spark, store)
+
+
+_WIDTHS = {"whole": 64, "half": 32, "quarter": 16}
+
+
+@query(f"""WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), w(profile, width) AS (VALUES {", ".join(f"('{k}', {n})" for k, n in _WIDTHS.items())}),
+s AS (SELECT profile, q.vec_id AS q, q.label AS wanted, e.vec_id, e.label, row_number() OVER (PARTITION BY profile, q.vec_id ORDER BY list_cosine_distance(q.v[1:width], e.v[1:width]), e.vec_id) AS r FROM w, e q, e WHERE q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id),
+c AS (SELECT profile, q, count(*) FILTER (WHERE label = wanted) AS n FROM s WHERE r <= 5 GROUP BY 1, 2)
+SELECT profile || '_cosine' AS run_id, round(avg(round(n / 5, 4)), 4) AS precision_at_5, round(avg((n > 0)::INT), 4) AS hit_at_5, true AS labels_complete FROM c GROUP BY profile""")
+def evl_grid_results(t):
+    """A grid of vector widths, broken off after its first cell and run again; vectors of the question's label are relevant."""
+    folder = workspace.new_path(t.spark, "grid")
+    asked = t.embeddings.where("vec_id % 50 = 0")
+    label = t.embeddings.select(F.col("vec_id").alias("item"), "label")
+    wanted = asked.select(F.col("vec_id").alias("case_id"), F.col("label").alias("wanted"))
+
+    def evaluate(profile, provider):
+        cut = F.slice("embedding", 1, _WIDTHS[profile])
+        found = vectors.vector_topk(t.embeddings.withColumn("embedding", cut), asked.select(F.col("vec_id").alias("query_id"), cut.alias("query_vector")), 6, "vec_id")
+        others = found.where("id <> query_id")
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+        return others.withColumn("rank", place).where("rank <= 5").select(F.col("query_id").alias("case_id"), "rank", F.col("id").alias("item"), F.lit(1.0).alias("latency_ms"), F.lit(0.0).alias("cost_usd"))
+
+    def judge(rankings):
+        met = rankings.join(label, "item").join(wanted, "case_id")
+        return met.select("case_id", "rank", F.when(F.col("label").eqNullSafe(F.col("wanted")), "relevant").otherwise("not_relevant").alias("relevance"))
+
+    cells = [(profile, "cosine") for profile in _WIDTHS]
+    grid.run_grid(t.spark, cells[:1], evaluate, judge, folder)
+    grid.run_grid(t.spark, cells, evaluate, judge, folder)
+    candidates = grid.results(t.spark, cells, wanted.select("case_id", F.lit(True).alias("expect_evidence")), folder)
+    return candidates.select("run_id", "precision_at_5", "hit_at_5", "labels_complete")
