@@ -6,11 +6,13 @@ Parquet table: a search prunes to the partitions it probes, an upsert rewrites
 those it touches.  Lists of any size are searched in blocks of BLOCK rows, and
 the queries that probe a list in blocks too, each pair of blocks by one matrix
 product in a task of bounded memory.  With as many probes as lists the search
-is exact.
+is exact: it is then one over all pairs, in cells of bounded size, in which no
+query is repeated for each list.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,6 +29,10 @@ MAX_LISTS = 4096
 SAMPLE_PER_LIST = 64
 LLOYD_ROUNDS = 10
 BLOCK = 4096
+#: Vectors of one side of a cell of a search over all pairs: at most this many, and bytes of them.
+CELL_ROWS, CELL_BYTES = 1 << 16, 32 << 20
+#: Distances to centroids, and numbers of repeated vectors, that a task holds at once.
+HELD = 1 << 21
 
 
 @dataclass
@@ -53,6 +59,14 @@ def _usable(rows: DataFrame, id_col: str, vector_col: str, euclidean: bool, widt
     return out if width is None else out.where(F.size("v") == width)
 
 
+def usable(rows: DataFrame, id_col: str, vector_col: str, euclidean: bool = False, width: int | None = None) -> DataFrame:
+    """id and v of the rows with a usable vector of the width (that of the first, if not given)."""
+    unit = _usable(rows, id_col, vector_col, euclidean, width)
+    if width is None and (first := unit.orderBy("id").select(F.size("v")).first()):
+        unit = unit.where(F.size("v") == first[0])
+    return unit
+
+
 def fit_centroids(unit: DataFrame, lists: int | None = None, euclidean: bool = False, seed: int = 42) -> np.ndarray:
     """Centroids by k-means (spherical for unit vectors) on a sample of at most SAMPLE_PER_LIST rows a list; about the root of the number of rows, MAX_LISTS at most."""
     n = unit.count()
@@ -60,13 +74,14 @@ def fit_centroids(unit: DataFrame, lists: int | None = None, euclidean: bool = F
     wanted = SAMPLE_PER_LIST * lists
     draw = F.xxhash64("id", F.lit(seed))
     sample = unit if n <= wanted else unit.where(draw < F.lit((wanted << 64) // n - (1 << 63)))
-    x = np.array([r.v for r in sample.select("v", draw.alias("h")).orderBy("h", "v").select("v").collect()], float)
-    if not len(x):
+    held = sample.select("v", draw.alias("h")).orderBy("h", "v").select("v").toArrow().column("v").combine_chunks()
+    if not len(held):
         return np.zeros((0, 0))
+    x = _matrix(held)
     rng = np.random.default_rng(seed)
     centre = x[rng.choice(len(x), min(lists, len(x)), replace=False)]
     for _ in range(LLOYD_ROUNDS):
-        near = np.argmin(_far(x, centre), axis=1)
+        near = np.concatenate([np.argmin(_far(x[lo : lo + BLOCK], centre), axis=1) for lo in range(0, len(x), BLOCK)])
         total = np.zeros_like(centre)
         np.add.at(total, near, x)
         size = np.bincount(near, minlength=len(centre))[:, None] if euclidean else np.linalg.norm(total, axis=1, keepdims=True)
@@ -86,13 +101,14 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def _nearest_lists(sent, probes: int, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centre = sent.value
-        for b in batches:
-            if not b.num_rows:
-                continue
-            near = _far(_matrix(b.column(1)), centre)
-            take = np.argpartition(near, probes - 1, axis=1)[:, :probes] if probes < near.shape[1] else np.tile(np.arange(near.shape[1]), (len(near), 1))
-            rows = np.repeat(np.arange(len(near)), take.shape[1])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), b.column(1).take(pa.array(rows)), pa.array(take.ravel().astype(np.int32))], [name, "v", "list"])
+        step = max(1, HELD // max(len(centre), probes * centre.shape[1]))
+        for batch in batches:
+            for lo in range(0, batch.num_rows, step):
+                b = batch.slice(lo, step)
+                near = _far(_matrix(b.column(1)), centre)
+                take = np.argpartition(near, probes - 1, axis=1)[:, :probes] if probes < near.shape[1] else np.tile(np.arange(near.shape[1]), (len(near), 1))
+                rows = np.repeat(np.arange(len(near)), take.shape[1])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), b.column(1).take(pa.array(rows)), pa.array(take.ravel().astype(np.int32))], [name, "v", "list"])
 
     return run
 
@@ -107,9 +123,7 @@ def _dealt(unit: DataFrame, centroids: np.ndarray, probes: int = 1) -> DataFrame
 
 def build(rows: DataFrame, path: str, lists: int | None = None, id_col: str = "id", vector_col: str = "embedding", width: int | None = None, euclidean: bool = False) -> Index:
     """Write the index of a table of vectors with unique ids; rows without a usable vector of the width (that of the first, if not given) are left out."""
-    unit = _usable(rows, id_col, vector_col, euclidean, width)
-    if width is None and (first := unit.orderBy("id").select(F.size("v")).first()):
-        unit = unit.where(F.size("v") == first[0])
+    unit = usable(rows, id_col, vector_col, euclidean, width)
     centre = fit_centroids(unit, lists, euclidean)
     spark = rows.sparkSession
     spark.createDataFrame([(i, c.tolist(), euclidean) for i, c in enumerate(centre)], "list int, v array<double>, euclidean boolean").write.mode("overwrite").parquet(f"{path}/centroids")
@@ -145,19 +159,45 @@ def upsert(index: Index, new: DataFrame, order: str, id_col: str = "id", vector_
         workspace.remove(spark, t.path)
 
 
-def _pairs(k: int, with_self: bool, euclidean: bool):
+def _pairs(k: int, with_self: bool, euclidean: bool, best=vectors.block_best):
     def run(_, members: pa.Table, asked: pa.Table) -> pa.Table:
         names = ["query_id", "id", "distance"]
         if not members.num_rows or not asked.num_rows:
             empty = (asked.schema.field("query_id").type, members.schema.field("id").type, pa.float64())
             return pa.table([pa.array([], t) for t in empty], names)
         ids, qids = members.column("id").combine_chunks(), asked.column("query_id").combine_chunks()
-        out = vectors.block_best(qids, _matrix(asked.column("v").combine_chunks()), ids, _matrix(members.column("v").combine_chunks()), k, with_self, euclidean)
+        out = best(qids, _matrix(asked.column("v").combine_chunks()), ids, _matrix(members.column("v").combine_chunks()), k, with_self, euclidean)
         return pa.table(list(out), names)
 
     return run
 
 
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("score", vectors.distance_to_score(F.col("distance")))
+
+
+def all_pairs(stored: DataFrame, asked: DataFrame, k: int, with_self: bool = True, euclidean: bool = False) -> DataFrame:
+    """query_id, id, distance, score, rank: the k nearest of all stored rows (id, v) for each query (query_id, v); vectors are usable and of one width.
+
+    Rows and queries are dealt by hashes over a grid of cells of at most about
+    CELL_ROWS of either, and over enough cells for all cores; a task holds one
+    cell.  A vector goes to one row or column of cells, so what is shuffled
+    grows with the root of the number of cells, and a cell returns k rows a query.
+    """
+    cores = asked.sparkSession.sparkContext.defaultParallelism
+    width = (stored.select(F.size("v").alias("n")).first() or {"n": 1})["n"]
+    most = max(1, min(CELL_ROWS, CELL_BYTES // (8 * max(1, width))))
+    deal = lambda n: max(1, -(-n // most), min(-(-n // BLOCK), math.ceil((2 * cores) ** 0.5)))
+    rows, cols = deal(stored.count()), deal(asked.count())
+    every = lambda n: F.explode(F.array(*(F.lit(i) for i in range(n))) if n <= 64 else F.sequence(F.lit(0), F.lit(n - 1)))
+    members = stored.select(F.pmod(F.xxhash64("id"), F.lit(rows)).cast("int").alias("row"), every(cols).alias("col"), "id", "v")
+    turns = asked.select(every(rows).alias("row"), F.pmod(F.xxhash64("query_id"), F.lit(cols)).cast("int").alias("col"), "query_id", "v")
+    schema = f"query_id {asked.schema['query_id'].dataType.simpleString()}, id {stored.schema['id'].dataType.simpleString()}, distance double"
+    found = members.groupBy("row", "col").cogroup(turns.groupBy("row", "col")).applyInArrow(_pairs(k, with_self, euclidean, vectors.cell_best), schema)
+    return _ranked(found, k)
+
+
 def search(index: Index, queries: DataFrame, k: int, probes: int = 8, id_col: str = "query_id", vector_col: str = "query_vector", with_self: bool = True) -> DataFrame:
     """query_id, id, distance, score, rank: the k nearest rows in the `probes` lists nearest to each query; ties go to the smaller id.
 
@@ -168,9 +208,11 @@ def search(index: Index, queries: DataFrame, k: int, probes: int = 8, id_col: st
     if not index.lists:
         kind = queries.schema[id_col].dataType.simpleString()
         return spark.createDataFrame([], f"query_id {kind}, id {kind}, distance double, rank int, score double")
-    asked = _dealt(_usable(queries, id_col, vector_col, index.euclidean, index.centroids.shape[1]).withColumnRenamed("id", "query_id"), index.centroids, probes)
-    asked = workspace.written(asked, "index-asked")
+    asked = _usable(queries, id_col, vector_col, index.euclidean, index.centroids.shape[1]).withColumnRenamed("id", "query_id")
     stored = index.rows(spark)
+    if probes >= index.lists:
+        return all_pairs(stored.select("id", "v"), asked, k, with_self, index.euclidean)
+    asked = workspace.written(_dealt(asked, index.centroids, probes), "index-asked")
     # blocks of each list, on both sides; at most MAX_LISTS rows
     sizes = {r.list: r.n for r in stored.groupBy("list").agg(F.count("*").alias("n")).collect()}
     wanted = {r.list: r.n for r in asked.groupBy("list").agg(F.count("*").alias("n")).collect()}
@@ -181,8 +223,7 @@ def search(index: Index, queries: DataFrame, k: int, probes: int = 8, id_col: st
     keys = ["list", "sub", "q_sub"]
     schema = f"query_id {asked.schema['query_id'].dataType.simpleString()}, id {stored.schema['id'].dataType.simpleString()}, distance double"
     found = members.groupBy(*keys).cogroup(turns.groupBy(*keys)).applyInArrow(_pairs(k, with_self, index.euclidean), schema)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("score", vectors.distance_to_score(F.col("distance")))
+    return _ranked(found, k)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

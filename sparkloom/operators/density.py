@@ -29,11 +29,15 @@ CHUNK, TAIL = 1_000_000, 200_000
 
 
 def neighbours(rows: DataFrame, k: int, probes: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """u, v, distance: each row's k nearest by euclidean distance, from an index; all of its lists are probed if probes is not given."""
+    """u, v, distance: each row's k nearest by euclidean distance: of all rows, or from the lists of an index that are nearest if probes is given."""
     spark = rows.sparkSession
-    index = ann.build(rows, workspace.new_path(spark, "density-index"), None, id_col, vector_col, euclidean=True)
-    asked = index.rows(spark).select(F.col("id").alias("query_id"), F.col("v").alias("query_vector")) if index.lists else rows.limit(0).select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("query_vector"))
-    found = ann.search(index, asked, k, probes or max(1, index.lists), with_self=False)
+    if probes is None:
+        points = written(ann.usable(rows, id_col, vector_col, euclidean=True), "density-points")
+        found = ann.all_pairs(points, points.withColumnRenamed("id", "query_id"), k, with_self=False, euclidean=True)
+    else:
+        index = ann.build(rows, workspace.new_path(spark, "density-index"), None, id_col, vector_col, euclidean=True)
+        asked = index.rows(spark).select(F.col("id").alias("query_id"), F.col("v").alias("query_vector")) if index.lists else rows.limit(0).select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("query_vector"))
+        found = ann.search(index, asked, k, probes, with_self=False)
     return found.select(F.col("query_id").cast("long").alias("u"), F.col("id").cast("long").alias("v"), "distance", "rank")
 
 
