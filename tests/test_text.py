@@ -152,3 +152,20 @@ def test_evidence_must_name_the_condition(spark):
 )
 def test_languages(spark, text, expected):
     assert one(spark, C.language(F.col("t")), t=text) == expected
+
+
+def test_chunks_are_passed_on_in_parts(spark):
+    """A task holds the chunks of a part of a batch (before: those of all its texts), and all are there, in order."""
+    import pyarrow as pa
+
+    texts = [("word " * 400 + str(i)) for i in range(3000)] + [None, "", " "]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    parts = list(K._chunk_rows(K.split_budgeted, {"size": 500, "overlap": 50})([batch]))
+    assert len(parts) > 4 and max(p.column("chunk").nbytes for p in parts) < 2 * K.HELD_CHARS
+    got = [tuple(r.values()) for p in parts for r in p.to_pylist()]
+    want = [(i, n, c) for i, t in enumerate(texts) for n, c in enumerate(K.split_budgeted(t, size=500, overlap=50))]
+    assert got == want
+    frame = spark.createDataFrame([("a", "one. " * 300), ("b", None)], "key string, body string")
+    rows = K.chunk_documents(frame, "key", "body", size=400, overlap=40)
+    assert rows.dtypes == [("key", "string"), ("pos", "int"), ("chunk", "string")]
+    assert [(r.pos, r.chunk) for r in rows.collect()] == list(enumerate(K.split_text("one. " * 300, size=400, overlap=40)))
