@@ -8,7 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import StringType
 
 from sparkloom.functions import lexicon as L
 
@@ -146,16 +146,16 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def folded_tokens(texts: pd.Series) -> pd.Series:
-    """Word tokens after compatibility normalisation and case folding, which Spark has no function for; null for null."""
+@F.pandas_udf(StringType())
+def normalize_words(texts: pd.Series) -> pd.Series:
+    """Word tokens of any script, compatibility forms and cases made equal, joined by spaces; Spark has no function for that. Null for null."""
     word = re.compile(r"\w+")
-    return texts.map(lambda t: None if t is None else word.findall(unicodedata.normalize("NFKC", t).casefold()))
+    return texts.map(lambda t: None if t is None else " ".join(word.findall(unicodedata.normalize("NFKC", t).casefold())))
 
 
-def normalize_words(c: Column) -> Column:
-    """Word tokens of any script, compatibility forms and cases made equal, joined by spaces."""
-    return F.array_join(folded_tokens(c), " ")
+def folded_tokens(c: Column) -> Column:
+    """The words of `normalize_words`. One string a text comes from Python, which holds a whole batch of them; lists of words would take many times as much."""
+    return F.filter(F.split(normalize_words(c), " "), lambda w: w != "")
 
 
 @F.pandas_udf(StringType())

@@ -169,3 +169,12 @@ def test_chunks_are_passed_on_in_parts(spark):
     rows = K.chunk_documents(frame, "key", "body", size=400, overlap=40)
     assert rows.dtypes == [("key", "string"), ("pos", "int"), ("chunk", "string")]
     assert [(r.pos, r.chunk) for r in rows.collect()] == list(enumerate(K.split_text("one. " * 300, size=400, overlap=40)))
+
+
+def test_folded_words_come_as_one_string(spark):
+    """Python returns one string a text (before: a list of words, many times as large)."""
+    frame = spark.createDataFrame([("Straße ﬁn, ok",), ("",), ("...",), (None,)], "text string")
+    got = [r.w for r in frame.select(T.folded_tokens(F.col("text")).alias("w")).collect()]
+    assert got == [["strasse", "fin", "ok"], [], [], None]
+    plan = frame.select(T.folded_tokens(F.col("text")))._jdf.queryExecution().executedPlan().toString()
+    assert "split(normalize_words(text" in plan or "split(pythonUDF0" in plan
