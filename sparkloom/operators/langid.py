@@ -16,7 +16,7 @@ MAX_LANGUAGES = 300  # with PROFILE, what the table of profiles holds at most
 MIN_CHARS = 20  # shorter texts are taken for DEFAULT
 DEFAULT = "en"
 _REST = r"[^\p{L}\p{M}]+"
-_MEMO = 200_000  # words whose scores a task remembers
+_MEMO, _MEMO_CELLS = 200_000, 1 << 21  # words whose scores a task remembers, and scores in all
 
 
 def _words(text: Column) -> Column:
@@ -97,16 +97,22 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", chars: int |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, memo = shared.value, {}
+        scores = np.zeros((max(1, min(_MEMO, _MEMO_CELLS // (len(m.languages) + 1))), len(m.languages) + 1))  # one table: smaller than an array a word
         for batch in batches:
             names, shares = [], []
             for words in batch.column("__words").cast(pa.large_string()):
-                total = np.zeros(len(m.languages) + 1)
+                total, places = np.zeros(len(m.languages) + 1), []
                 for word in (words.as_py() or "").split():
-                    if word not in memo:
-                        if len(memo) >= _MEMO:
+                    place = memo.get(word)
+                    if place is None:
+                        if len(memo) >= len(scores):
+                            total += scores[places].sum(axis=0)
                             memo.clear()
-                        memo[word] = score(word, m)
-                    total += memo[word]
+                            places = []
+                        place = memo[word] = len(memo)
+                        scores[place] = score(word, m)
+                    places.append(place)
+                total += scores[places].sum(axis=0)
                 if not total[-1]:
                     names.append(DEFAULT)
                     shares.append(None)

@@ -178,3 +178,15 @@ def test_folded_words_come_as_one_string(spark):
     assert got == [["strasse", "fin", "ok"], [], [], None]
     plan = frame.select(T.folded_tokens(F.col("text")))._jdf.queryExecution().executedPlan().toString()
     assert "split(normalize_words(text" in plan or "split(pythonUDF0" in plan
+
+
+def test_languages_agree_when_few_words_are_remembered(spark, sf, monkeypatch):
+    """The table of scores starts anew within a text; its size is bounded by its cells, whatever the number of languages (before: by words alone)."""
+    from sparkloom.operators import langid
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.fit(docs)
+    found = lambda: [(r.doc_id, r.language, r.probability and round(r.probability, 6)) for r in langid.identify(docs, model).orderBy("doc_id").collect()]
+    many = found()
+    monkeypatch.setattr(langid, "_MEMO_CELLS", 3 * (len(model.languages) + 1))
+    assert found() == many and len(many) == docs.count()
