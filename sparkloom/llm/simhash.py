@@ -15,10 +15,10 @@ linked through shared one-bit neighbours instead (two fingerprints differ in
 at most 2 bits exactly if some value is within 1 bit of both), 65 rows for
 each, which gives the same components.  No pair is lost and none is capped.
 
-`deduplicate`, the pipeline's stage, is about similar texts, not fingerprints:
-edited copies with a Jaccard similarity of 0.8 differ in more bits than a grid
-can join.  It finds candidates by bands of minima and compares their shingle
-sets exactly.
+`deduplicate`, the pipeline's stage, keeps one of each group of similar texts.
+It joins fingerprints in the same grid and compares the shingle sets of those
+linked exactly.  Edited copies with a Jaccard similarity of 0.8 differ in more
+bits than a grid can join; bands of minima add these as candidates.
 """
 
 from __future__ import annotations
@@ -53,7 +53,11 @@ def simhash(text: bytes, words: int = 3, seed: int = 42) -> int:
         return 0
     shingles = zip(*(found[i:] for i in range(words))) if len(found) >= words else [found]
     digest, join = xxhash.xxh64_intdigest, b" ".join
-    hashes = np.array([digest(join(s), seed) for s in shingles], dtype=np.uint64)
+    return _majority(np.array([digest(join(s), seed) for s in shingles], dtype=np.uint64))
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes."""
     ones = np.zeros(64, dtype=np.int64)
     for i in range(0, len(hashes), CHUNK):
         bits = np.unpackbits(hashes[i : i + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -184,6 +188,12 @@ def _shingles(text: bytes, words: int) -> set[bytes]:
     return set(map(b" ".join, zip(*(found[i:] for i in range(words)))))
 
 
+def _hashes(text: bytes, words: int) -> np.ndarray:
+    """The hashes of the set of shingles, in order."""
+    found = _shingles(text, words)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in found), np.uint64, len(found)))
+
+
 def _bands(hashes: np.ndarray) -> np.ndarray:
     """Keys of the bands of a set of shingle hashes: each mixes ROWS minima, every one under a hash order of its own."""
     low = np.full(BANDS * ROWS, MASK64, np.uint64)
@@ -195,28 +205,73 @@ def _bands(hashes: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
-    """(doc_id, row, rest, print, n, bands): row is a hash of the text, rest one of all columns, print one of the text's set of n shingles; bands is empty where there is no word."""
+    """(doc_id, row, rest, print, n, fp, bands): row is a hash of the text, rest one of all columns, print one of the text's set of n shingles, fp the set's fingerprint; bands is empty where there is no word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh64_intdigest
+        digest = xxhash.xxh3_64_intdigest
         for b in batches:
-            prints, sizes, bands = [], [], []
+            prints, sizes, fps, bands = [], [], [], []
             for t in b.column(1).cast(pa.large_binary()):
-                found = _shingles(t.as_py() or b"", words)
-                hashes = np.unique(np.fromiter((digest(x, 42) for x in found), np.uint64, len(found)))
-                prints.append(_signed(xxhash.xxh3_64_intdigest(hashes.tobytes())))
+                hashes = _hashes(t.as_py() or b"", words)
+                prints.append(_signed(digest(hashes.tobytes())))
                 sizes.append(len(hashes))
+                fps.append(_signed(_majority(hashes)))
                 bands.append(_bands(hashes) if len(hashes) else [])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(prints, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "row", "rest", "print", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(prints, pa.int64()), pa.array(sizes, pa.int64()), pa.array(fps, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "row", "rest", "print", "n", "fp", "bands"])
 
     text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).cast("long"), text.alias("text"), F.xxhash64(text).alias("row"), row_hash(docs).alias("rest")).mapInArrow(run, "doc_id long, row long, rest long, print long, n long, bands array<long>")
+    return docs.select(F.col(id_col).cast("long"), text.alias("text"), F.xxhash64(text).alias("row"), row_hash(docs).alias("rest")).mapInArrow(run, "doc_id long, row long, rest long, print long, n long, fp long, bands array<long>")
 
 
-def _alike(n: str, m: str, similarity: float) -> Column:
-    """Sets of these sizes can have that Jaccard similarity."""
+def _overlap(own: str, other: str, n: str, m: str, similarity: float) -> Column:
+    """Sets of n and m shingles that have no more in common than the lesser of two counts can have that Jaccard similarity."""
     share = Fraction(str(similarity))
-    return F.least(n, m) * share.denominator >= F.greatest(n, m) * share.numerator
+    return F.least(own, other) * (share.numerator + share.denominator) >= (F.col(n) + F.col(m)) * share.numerator
+
+
+def _fingerprint_pairs(distinct: DataFrame) -> DataFrame:
+    """Pairs (a, b) of prints with whose components those of all fingerprints at 2 or fewer differing bits agree."""
+    heads = materialize(distinct.where("n > 0").groupBy("fp").agg(F.min("print").alias("head")), "copies-heads")
+    head = lambda fp, name: heads.select(F.col("fp").alias(fp), F.col("head").alias(name))
+    near = links(heads.select("fp")).join(head("a", "x"), "a").join(head("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    same = distinct.where("n > 0").join(heads, "fp").where("print <> head").select(F.col("head").alias("a"), F.col("print").alias("b"))
+    return near.unionByName(same)
+
+
+def _rare_shingles(texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(print, n, s, rare): s of a text's n shingles are in other texts too; rare are those of them that come first, by the number of texts, then by hash.
+
+    Two sets of that similarity share more than what is left of either behind
+    `rare`, so they share one of these.  Texts whose s is too small for any
+    partner are left out.
+    """
+    share = Fraction(str(similarity))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(prints: list[int], found: list[np.ndarray]) -> pa.RecordBatch:
+            sizes = np.array([len(x) for x in found], np.int64)
+            columns = np.repeat(np.array(prints, np.int64), sizes), np.repeat(sizes, sizes), np.concatenate(found).view(np.int64)
+            return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["print", "n", "h"])
+
+        for batch in batches:
+            prints, found, held = [], [], 0
+            for p, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary())):
+                prints.append(p)
+                found.append(_hashes(text.as_py(), words))
+                held += len(found[-1])
+                if held >= CHUNK:
+                    yield out(prints, found)
+                    prints, found, held = [], [], 0
+            if found:
+                yield out(prints, found)
+
+    grams = materialize(texts.select("print", "text").mapInArrow(run, "print long, n long, h long").repartition("h"), "copies-grams")
+    common = grams.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
+    met = grams.join(common, "h").groupBy("print").agg(F.max("n").alias("n"), F.count("*").alias("s"), F.sort_array(F.collect_list(F.struct("c", "h"))).alias("rare"))
+    least = F.ceil(F.col("n") * share.numerator / share.denominator).cast("int")
+    out = materialize(met.where(F.col("s") >= least).select("print", "n", "s", F.slice("rare", F.lit(1), F.col("s").cast("int") + 1 - least).alias("rare")), "copies-rare")
+    drop(grams)
+    return out
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -243,37 +298,45 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per document: doc_id, row (a hash of the text), rest (one of all columns), root; documents of one component have the same root.
 
     Components are those of the pairs of sets of `words`-word shingles of at
-    least that Jaccard similarity.  Equal sets collapse to one print.  Prints that
-    share a band are candidates if the smaller set has at least that share of
-    the larger one's size, as in any pair so similar; their sets are compared
-    exactly: first each print with the smallest of its band, then the pairs of
-    a band that are in different components by then.  No band is capped.  Null and empty texts
+    least that Jaccard similarity.  Equal sets collapse to one print.  Candidates
+    are prints whose fingerprints meet in the grid at 2 bits, and each print of a
+    band with the one that shares most of its shingles with other texts; their
+    sets are compared exactly.  Then prints of different components are candidates
+    if they share a shingle before either has too few left for that similarity,
+    the rarest first: sets that differ in what no other text holds never meet.
+    No band or shingle is capped.  Null and empty texts
     are one group; rows that repeat stay; an empty table gives no rows.
     """
     sets = materialize(shingle_sets(docs, id_col, text_col, words), "copies-sets")
-    distinct = materialize(sets.groupBy("print").agg(F.min("row").alias("row"), F.max("n").alias("n"), F.max("bands").alias("bands")), "copies-distinct")
-    placed = distinct.select(F.explode("bands").alias("band"), "print", "n").repartition("band")  # dealt out once, for the sum and for the join
-    least = placed.groupBy("band").agg(F.min(F.struct("print", "n")).alias("least"), F.max("print").alias("z")).where("least.print <> z")
-    least = least.select("band", F.col("least.print").alias("a"), F.col("least.n").alias("n_a"))
-    crowd = materialize(placed.join(least, "band"), "copies-bands")  # bands of two prints or more
-    stars = materialize(crowd.where("a <> print").where(_alike("n", "n_a", similarity)).select("a", F.col("print").alias("b")).distinct(), "copies-stars")
-    wanted = materialize(crowd.select("print").distinct().join(distinct, "print").select("print", "row"), "copies-wanted")
+    distinct = materialize(sets.groupBy("print").agg(F.min("row").alias("row"), F.max("n").alias("n"), F.max("fp").alias("fp"), F.max("bands").alias("bands")), "copies-distinct")
+    prints = materialize(_fingerprint_pairs(distinct), "copies-prints")
+    placed = distinct.select(F.explode("bands").alias("band"), "print").repartition("band")  # dealt out once, for the sum and for the join
+    shared = placed.groupBy("band").agg(F.min("print").alias("a"), F.max("print").alias("z")).where("a <> z").select("band")
+    crowd = materialize(placed.join(shared, "band"), "copies-bands")  # bands of two prints or more
+    met = crowd.select("print").unionByName(prints.select(F.col("a").alias("print"))).unionByName(prints.select(F.col("b").alias("print"))).distinct()
+    wanted = materialize(met.join(distinct, "print").select("print", "row"), "copies-wanted")
     text = F.col(text_col).cast("string")
     read = docs.select(F.xxhash64(text).alias("row"), text.alias("text"))
     texts = read.join(F.broadcast(wanted) if wanted.count() <= FEW else wanted, "row").dropDuplicates(["print"])
     texts = materialize(texts.select("print", "text"), "copies-texts")
-    linked = materialize(_similar(stars, texts, words, similarity), "copies-links")
+    rare = _rare_shingles(texts, words, similarity)
+    open_ = materialize(crowd.join(rare.select("print", "n", "s"), "print"), "copies-open")
+    centre = open_.groupBy("band").agg(F.max(F.struct((F.col("s") / F.col("n")).alias("share"), "print", "n", "s")).alias("c")).select("band", F.col("c.print").alias("a"), F.col("c.n").alias("n_a"), F.col("c.s").alias("s_a"))
+    stars = open_.join(centre, "band").where("a <> print").where(_overlap("s", "s_a", "n", "n_a", similarity)).select("a", F.col("print").alias("b"))
+    tried = materialize(stars.unionByName(prints).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "copies-stars")
+    linked = materialize(_similar(tried, texts, words, similarity), "copies-links")
     by_root = lambda roots: F.coalesce(roots["root"], F.col("print"))
     roots = connected_components(linked)
-    member = materialize(crowd.join(roots, crowd["print"] == roots["node"], "left").select("band", "print", "n", by_root(roots).alias("root")), "copies-members")
-    mixed = member.groupBy("band").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("band")
-    open_ = member.join(mixed, "band", "left_semi")
-    other = open_.select("band", F.col("print").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-    pairs = open_.join(other, "band").where("root < root_b").where(_alike("n", "n_b", similarity)).select(F.least("print", "b").alias("a"), F.greatest("print", "b").alias("b")).distinct()
-    rest = materialize(_similar(pairs.join(stars, ["a", "b"], "left_anti"), texts, words, similarity), "copies-links")
+    first = rare.join(roots, rare["print"] == roots["node"], "left").select("print", "n", "s", by_root(roots).alias("root"), F.posexplode("rare").alias("at", "x"))
+    member = materialize(first.select("x.h", "print", "n", (F.col("s") - F.col("at")).alias("left"), "root"), "copies-members")
+    mixed = member.groupBy("h").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("h")
+    mine = member.join(mixed, "h", "left_semi")
+    other = mine.select("h", F.col("print").alias("b"), F.col("n").alias("n_b"), F.col("left").alias("left_b"), F.col("root").alias("root_b"))
+    pairs = mine.join(other, "h").where("root < root_b").where(_overlap("left", "left_b", "n", "n_b", similarity)).select(F.least("print", "b").alias("a"), F.greatest("print", "b").alias("b")).distinct()
+    rest = materialize(_similar(pairs.join(tried, ["a", "b"], "left_anti"), texts, words, similarity), "copies-links")
     known = roots.select(F.col("root").alias("a"), F.col("node").alias("b"))
     roots = materialize(connected_components(known.unionByName(rest)), "copies-roots")
-    for done in (distinct, crowd, wanted, texts, stars, member):
+    for done in (distinct, prints, crowd, wanted, texts, rare, open_, tried, member):
         drop(done)
     return sets.join(roots, sets["print"] == roots["node"], "left").select("doc_id", "row", "rest", by_root(roots).alias("root"))
 

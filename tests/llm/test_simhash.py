@@ -145,3 +145,60 @@ def test_deduplicate_carries_maps(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, m map<string, int>, s struct<x: map<string, int>>").withColumn("l", F.array("m"))
     got = sorted(S.deduplicate(docs).collect(), key=lambda r: r.doc_id)
     assert [(r.doc_id, r.m, r.s and r.s.x, r.l) for r in got] == [(1, {"a": 1}, {"b": None}, [{"a": 1}]), (3, None, None, [None])]
+
+
+def test_copies_are_linked_by_fingerprints(spark):
+    """The pairs that the stage takes from the grid: components of all fingerprints at 2 or fewer bits."""
+    words = [f"w{i}" for i in range(400)]
+    rows = [" ".join(words[:at] + [f"edit{at}"] + words[at + 1 :]) for at in range(0, 400, 8)] + [" ".join(words), "", "quite another text of a few words"]
+    distinct = S.shingle_sets(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).select("print", "n", "fp").collect()
+    brute = brute_components([r.fp & S.MASK64 for r in distinct if r.n])
+    found = {r.node: r.root for r in connected_components(S._fingerprint_pairs(spark.createDataFrame(distinct))).collect()}
+    groups = {}
+    for r in distinct:
+        if r.n:
+            groups.setdefault(brute[r.fp & S.MASK64], set()).add(found.get(r.print, r.print))
+    assert all(len(g) == 1 for g in groups.values()) and len(set().union(*groups.values())) == len(groups) < len(distinct) - 2
+
+
+def test_half_alike_family_is_not_paired_up(spark, monkeypatch):
+    """120 texts that are one text with four words replaced each: no two are near copies, few are compared."""
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for g in range(120):
+        words = list(base)
+        for at in rng.choice(30, 4, replace=False):
+            words[5 * int(at)] = f"edit{g}x{int(at)}"
+        rows.append((g, " ".join(words)))
+    rows += [(200, " ".join(base)), (201, " ".join(base[:-1] + ["end"]))]
+    compared, similar = [], S._similar
+
+    def counted(pairs, *more):
+        compared.append(pairs.count())
+        return similar(pairs, *more)
+
+    monkeypatch.setattr(S, "_similar", counted)
+    kept = sorted(r.doc_id for r in S.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    sets = [S._shingles(t.encode(), 5) for _, t in rows]
+    group = brute_groups(sets)
+    assert kept == sorted(rows[i][0] for i in group)
+    assert sum(compared) <= 8 * len(rows)
+
+
+def brute_groups(sets):
+    """The first of each group of sets of Jaccard similarity 0.8 or more."""
+    group = list(range(len(sets)))
+
+    def find(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i + 1, len(sets)):
+            both = len(a & sets[j])
+            if 5 * both >= 4 * (len(a) + len(sets[j]) - both):
+                low, high = sorted((find(i), find(j)))
+                group[high] = low
+    return {find(i) for i in group}
