@@ -195,17 +195,52 @@ def retry_delay(attempt: Column, provider_delay: Column, jitter: Column) -> Colu
 
 
 def provider_error(message: Column, status: Column) -> Column:
-    """Kind of a provider's error: struct of code, http_status and whether it may be tried again. A status that is not given is read from the message."""
+    """Kind of a provider's error: struct of code, http_status and whether it may be tried again. A status that is not given is read from the message.
+
+    For long messages in tables see `provider_errors`, which reads each once.
+    """
     said = F.lower(F.coalesce(message, F.lit("")))
-    status = F.coalesce(status.cast("int"), F.nullif(F.regexp_extract(said, L.PROVIDER_STATUSES, 1), F.lit("")).cast("int"))
-    code, again, assumed = F.lit("unknown_error"), F.lit(False), F.lit(None).cast("int")
-    for name, statuses, parts, retryable in reversed(L.PROVIDER_ERRORS):
+    status = F.coalesce(status.cast("int"), _said_status(said))
+    at = _error_kind(said, status)
+    return F.struct(*_error_fields(at, status))
+
+
+def provider_errors(rows: DataFrame, message: str, status: str | None = None) -> DataFrame:
+    """The rows with code, http_status and retryable in place of the message and the status.
+
+    Lower case, the number in the message and the kind are columns of steps of
+    their own, so that each message is read once for each of them.
+    """
+    said, number, kind = "__said", "__number", "__kind"
+    given = F.col(status).cast("int") if status else F.lit(None).cast("int")
+    steps = rows.withColumn(said, F.lower(F.coalesce(message, F.lit(""))))
+    steps = steps.withColumn(number, F.coalesce(given, _said_status(F.col(said))))
+    steps = steps.withColumn(kind, _error_kind(F.col(said), F.col(number)))
+    kept = [F.col(f"`{c}`") for c in rows.columns if c not in (message, status)]
+    return steps.select(*kept, *_error_fields(F.col(kind), F.col(number)))
+
+
+def _said_status(said: Column) -> Column:
+    return F.nullif(F.regexp_extract(said, L.PROVIDER_STATUSES, 1), F.lit("")).cast("int")
+
+
+def _error_kind(said: Column, status: Column) -> Column:
+    """The place of the first kind of error in the list that fits; null if none does."""
+    kind = F.lit(None).cast("int")
+    for at, (_, statuses, parts, _) in reversed(list(enumerate(L.PROVIDER_ERRORS))):
         hit = F.coalesce(status.isin(*statuses), F.lit(False)) if statuses else F.lit(False)
         for part in parts:
             hit = hit | F.contains(said, F.lit(part))
+        kind = F.when(hit, at).otherwise(kind)
+    return kind
+
+
+def _error_fields(kind: Column, status: Column) -> list[Column]:
+    code, again, assumed = F.lit("unknown_error"), F.lit(False), F.lit(None).cast("int")
+    for at, (name, statuses, _, retryable) in enumerate(L.PROVIDER_ERRORS):
         one = {"invalid_api_key": 400, "invalid_request": 400}.get(name, statuses[0] if len(statuses) == 1 else None)
-        code, again, assumed = F.when(hit, name).otherwise(code), F.when(hit, retryable).otherwise(again), F.when(hit, F.lit(one).cast("int")).otherwise(assumed)
-    return F.struct(code.alias("code"), F.coalesce(status.cast("int"), assumed).alias("http_status"), again.alias("retryable"))
+        code, again, assumed = F.when(kind == at, name).otherwise(code), F.when(kind == at, retryable).otherwise(again), F.when(kind == at, F.lit(one).cast("int")).otherwise(assumed)
+    return [code.alias("code"), F.coalesce(status, assumed).alias("http_status"), again.alias("retryable")]
 
 
 def ingestion_summary(stats: DataFrame) -> DataFrame:

@@ -108,8 +108,7 @@ def _error_sql(column: int) -> str:
 SELECT doc_id, {_error_sql(0)} AS code, ({_error_sql(1)})::INT AS http_status, {_error_sql(2)} AS retryable FROM m""")
 def tel_provider_errors(t):
     """Texts in the role of messages, without a status: words and numbers in them decide."""
-    e = telemetry.provider_error(F.col("text"), F.lit(None).cast("int"))
-    return t.documents.select("doc_id", e.alias("e")).select("doc_id", "e.*")
+    return telemetry.provider_errors(t.documents.select("doc_id", "text"), "text")
 
 
 @query()

@@ -365,6 +365,14 @@ def test_quota_decisions_and_errors(spark):
     ]
     frame = spark.createDataFrame([(i, m, s) for i, (m, s, _) in enumerate(errors)], "i int, m string, s int").select("i", telemetry.provider_error(F.col("m"), F.col("s")).alias("e")).orderBy("i")
     assert [(r.e.code, r.e.http_status, r.e.retryable) for r in frame.collect()] == [e[2] for e in errors]
+    rows = telemetry.provider_errors(spark.createDataFrame([(i, m, s) for i, (m, s, _) in enumerate(errors)], "i int, m string, s int"), "m", "s")
+    assert rows.columns == ["i", "code", "http_status", "retryable"] and [tuple(r)[1:] for r in rows.orderBy("i").collect()] == [e[2] for e in errors]
+
+
+def test_provider_errors_read_a_message_once(spark):
+    """Lower case and the number in a message are each in the plan once, whatever the number of kinds."""
+    plan = telemetry.provider_errors(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text"), "text")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") == 1 and plan.count("lower(") == 1
 
 
 def test_label_gates_and_backfill(spark):
