@@ -221,7 +221,7 @@ def provider_errors(rows: DataFrame, message: str, status: str | None = None) ->
 
 
 def _said_status(said: Column) -> Column:
-    return F.nullif(F.regexp_extract(said, L.PROVIDER_STATUSES, 1), F.lit("")).cast("int")
+    return F.regexp_extract(said, L.PROVIDER_STATUSES, 1).try_cast("int")
 
 
 def _error_kind(said: Column, status: Column) -> Column:
