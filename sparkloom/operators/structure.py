@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import classify as C
 from sparkloom.functions import text as T
 from sparkloom.functions.chunking import chunk_column
+from sparkloom.sources.workspace import written
 
 
 def fill_titles(elements: DataFrame) -> DataFrame:
@@ -86,7 +87,7 @@ def drop_repeated_lines(pages: DataFrame, max_line: int = 100) -> DataFrame:
     also cut out where they are glued to other text, if 15 characters or longer.
     """
     lines = pages.select("document_name", "page_number", F.posexplode(F.split("text", "\n")).alias("at", "raw")).withColumn("line", T.strip(F.col("raw")))
-    lines = lines.withColumn("base", F.when((F.length("line") <= max_line), T.page_marker_base(F.col("line"))))
+    lines = written(lines.withColumn("base", T.page_marker_base(F.col("line"))), "page-lines")  # three branches read them
     count = pages.groupBy("document_name").agg(F.count("*").alias("n"))
     # `set(lines)` of a page is over lines as they stand: a line that differs in white space only counts once for each form
     seen = lines.where((F.col("line") != "") & (F.length("line") <= max_line)).select("document_name", "page_number", "raw", "line", "base").distinct()
@@ -95,18 +96,19 @@ def drop_repeated_lines(pages: DataFrame, max_line: int = 100) -> DataFrame:
     marked = marked.where((F.col("n") >= 3) & (F.col("c") >= F.greatest(F.lit(3), F.floor(F.col("n") * 0.25))))
     quoted = F.regexp_replace(F.col("base"), r"([\\.\[\]{}()*+?^$|])", r"\\$1")
     footer = F.concat(quoted, F.lit(r"(?U)\s*(?:[|·•\-–—]\s*[0-9IVXLCDM]{1,5})?"))
-    footers = marked.where(F.length("base") >= 15).groupBy("document_name").agg(F.sort_array(F.collect_list(footer)).alias("footers"))
+    footers = marked.where(F.length("base") >= 15).groupBy("document_name").agg(F.sort_array(F.collect_list(F.struct(footer.alias("pattern"), "base"))).alias("footers"))
     touched = exact.select("document_name").union(marked.select("document_name")).distinct().withColumn("touched", F.lit(True))
     met = (
-        lines.withColumn("base", T.page_marker_base(F.col("line")))
-        .join(exact.select("document_name", "line", F.lit(True).alias("is_exact")), ["document_name", "line"], "left")
+        lines.join(exact.select("document_name", "line", F.lit(True).alias("is_exact")), ["document_name", "line"], "left")
         .join(marked.select("document_name", "base", F.lit(True).alias("is_marked")), ["document_name", "base"], "left")
         .join(footers, "document_name", "left")
         .join(touched, "document_name", "left")
     )
-    cut = F.aggregate(F.coalesce("footers", F.array().cast("array<string>")), F.col("line"), lambda a, p: T.strip(F.regexp_replace(a, p, F.lit(""))))
+    # a pattern is only compiled for a line that holds its base; a column of its own, since it is read more than once
+    cut = F.aggregate("footers", F.col("line"), lambda a, p: F.when(F.contains(a, p["base"]), T.strip(F.regexp_replace(a, p["pattern"], F.lit("")))).otherwise(a))
+    met = met.withColumn("cut", F.coalesce(cut, "line"))
     gone = F.coalesce("is_exact", F.lit(False)) | F.coalesce("is_marked", F.lit(False))
-    new = F.when(F.col("touched").isNull(), F.col("raw")).when(gone, None).otherwise(cut)
+    new = F.when(F.col("touched").isNull(), F.col("raw")).when(gone, None).otherwise(F.col("cut"))
     glued = F.col("touched").isNotNull() & ~gone & (new != F.col("line"))
     kept = F.struct("at", new.alias("new"))
     return met.groupBy("document_name", "page_number").agg(
@@ -119,7 +121,10 @@ def drop_repeated_lines(pages: DataFrame, max_line: int = 100) -> DataFrame:
 def clean_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Cleaned pages that are not empty, and one row of statistics for each document."""
     base = T.dehyphenate(T.normalize(F.col("text")))
-    single = pages.select("document_name", "page_number", T.collapse_blank_lines(T.drop_page_numbers(base)).alias("text"), T.count_page_numbers(base).alias("numbers"), F.length("text").alias("before"))
+    even = pages.select("document_name", "page_number", "text").repartition("document_name", "page_number")  # numbered pages of a large document lie in one partition
+    once = even.select("document_name", "page_number", base.alias("base"), F.length("text").alias("before"))
+    single = once.select("document_name", "page_number", T.collapse_blank_lines(T.drop_page_numbers(F.col("base"))).alias("text"), T.count_page_numbers(F.col("base")).alias("numbers"), "before")
+    single = written(single, "single-pages")
     cleaned = drop_repeated_lines(single).withColumn("text", T.strip_lines(F.col("text")))
     stats = single.join(cleaned.withColumnRenamed("text", "after"), ["document_name", "page_number"]).groupBy("document_name").agg(
         F.count("*").alias("pages_before"), F.count_if(F.col("after") != "").alias("pages_after"), F.sum("before").alias("chars_before"), F.sum(F.length("after")).alias("chars_after"),

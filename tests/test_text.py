@@ -190,3 +190,14 @@ def test_languages_agree_when_few_words_are_remembered(spark, sf, monkeypatch):
     many = found()
     monkeypatch.setattr(langid, "_MEMO_CELLS", 3 * (len(model.languages) + 1))
     assert found() == many and len(many) == docs.count()
+
+
+def test_clean_pages_cleans_a_page_once(spark):
+    """The plan of the statistics reads cleaned pages and their lines from tables; footers glued to other text go as before."""
+    glued = [("d", p, f"Line {p} of its own\nAnnual report of the works | {p}\n{'tail ' * p}Annual report of the works | {p} and more") for p in range(1, 6)]
+    pages = spark.createDataFrame(glued, "document_name string, page_number int, text string")
+    kept, stats = structure.clean_pages(pages)
+    assert [r.text for r in kept.orderBy("page_number").collect()] == [f"Line {p} of its own\n{'tail ' * p} and more" for p in range(1, 6)]
+    row = stats.first()
+    assert (row.pages_before, row.pages_after, row.repeated_boilerplate_lines_removed, row.footer_lines_removed) == (5, 5, 0, 10)
+    assert "translate(" not in stats._jdf.queryExecution().optimizedPlan().toString()
