@@ -21,28 +21,34 @@ Embedder = Callable[[list[str]], np.ndarray]
 
 def hashed_words(texts: list[str], width: int = 64) -> np.ndarray:
     """A deterministic stand-in for a model: signed counts of hashed words."""
-    out = np.zeros((len(texts), width), np.float32)
-    for i, t in enumerate(texts):
-        for w in t.lower().split():
-            h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-            out[i, h % width] += 1 if h >> 63 else -1
-    return out
+    words = [t.lower().split() for t in texts]
+    digest = {w: hashlib.blake2b(w.encode(), digest_size=8).digest() for w in set().union(*words)}
+    h = np.frombuffer(b"".join([digest[w] for some in words for w in some]), "<u8")
+    row = np.repeat(np.arange(len(texts)), [len(some) for some in words])
+    cell = row * width + (h % np.uint64(width)).astype(np.int64)
+    sign = np.where(h >> np.uint64(63), 1.0, -1.0)
+    return np.bincount(cell, sign, len(texts) * width).reshape(len(texts), width).astype(np.float32)
 
 
 def embed(rows: DataFrame, embedder: Embedder = hashed_words, text_col: str = "text", out_col: str = "embedding", batch: int = 32) -> DataFrame:
-    """rows with unit vectors of their texts, in batches; blank texts are embedded as a full stop, zero vectors stay."""
+    """rows with unit vectors of their texts, in batches; blank texts are embedded as a full stop, zero vectors stay.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [t if t and t.strip() else "." for t in b.column(text_col).to_pylist()]
+    The vectors are a column of their own: who doesn't read it doesn't call the
+    model.  It is marked as not deterministic so that filters on it don't call
+    the model a second time.
+    """
+
+    @F.arrow_udf(ArrayType(FloatType()))
+    def vectors(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            texts = [t if t and t.strip() else "." for t in column.to_pylist()]
             parts = [embedder(texts[i : i + batch]) for i in range(0, len(texts), batch)]
             v = np.concatenate(parts) if parts else np.zeros((0, 1), np.float32)
             size = np.linalg.norm(v, axis=1, keepdims=True)
             v = (v / np.where(size > 0, size, 1)).astype(np.float32)
-            yield b.append_column(out_col, pa.array(list(v), pa.list_(pa.float32())))
+            yield pa.array(list(v), pa.list_(pa.float32()))
 
-    rest = rows.drop(out_col)
-    return rest.mapInArrow(run, StructType([*rest.schema.fields, StructField(out_col, ArrayType(FloatType()))]))
+    return rows.drop(out_col).withColumn(out_col, vectors.asNondeterministic()(text_col))
 
 
 def embed_queries(queries: DataFrame, embedder: Embedder = hashed_words, text_col: str = "query", out_col: str = "query_vector") -> DataFrame:

@@ -121,15 +121,24 @@ def lookup(corpus: DataFrame, requests: DataFrame, id_col: str = "chunk_id") ->
     return requests.select("query_id", F.posexplode("ids").alias("pos", id_col)).join(corpus, id_col)
 
 
-def retrieve(corpus: DataFrame, queries: DataFrame, k: int = 5, threshold: float = THRESHOLD, id_col: str = "chunk_id") -> DataFrame:
-    """Vector search that over-fetches 2k, then drops low scores and bibliographies, then keeps k: filters act after the first rank."""
-    found = vector_topk(corpus, queries, 2 * k, id_col).where(F.col("score") >= threshold)
-    met = found.join(corpus.withColumnRenamed(id_col, "id"), "id")
-    good = met.where(~C.is_reference_only(F.col("section_title"), F.col("text")))
+def _best_content(found: DataFrame, corpus: DataFrame, k: int, id_col: str) -> DataFrame:
+    """The first k of each query's found rows that are no bibliographies, with the corpus' columns.
+
+    What was found is written, so that its size is known and the corpus isn't
+    shuffled to meet a few rows.
+    """
+    met = written(found, "found").join(corpus.withColumnRenamed(id_col, "id"), "id")
+    # ranks are above 0; without them the condition would go below the join, to every text of the corpus
+    good = met.where(F.when(F.col("rank") > 0, ~C.is_reference_only(F.col("section_title"), F.col("text"))))
     again = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
     return good.withColumn("rank", again).where(F.col("rank") <= k)
 
 
+def retrieve(corpus: DataFrame, queries: DataFrame, k: int = 5, threshold: float = THRESHOLD, id_col: str = "chunk_id") -> DataFrame:
+    """Vector search that over-fetches 2k, then drops low scores and bibliographies, then keeps k: filters act after the first rank."""
+    return _best_content(vector_topk(corpus, queries, 2 * k, id_col).where(F.col("score") >= threshold), corpus, k, id_col)
+
+
 def retrieve_routed(corpus: DataFrame, queries: DataFrame, k: int = 5, threshold: float = THRESHOLD, id_col: str = "chunk_id") -> DataFrame:
     """query_id, id, score, distance, rank, retrieval_mode and the corpus' columns: each question by vector, or by its words where it has no vector.
 
@@ -152,10 +161,7 @@ def retrieve_routed(corpus: DataFrame, queries: DataFrame, k: int = 5, threshold
         words = lexical_topk(part, mine.where("query_vector IS NULL"), 2 * k, id_col).select("query_id", "id", "score", "distance", "rank", F.lit("lexical").alias("retrieval_mode"))
         both = near.unionByName(words)
         found = both if found is None else found.unionByName(both)
-    met = found.where(F.col("score") >= threshold).join(corpus.withColumnRenamed(id_col, "id"), "id")
-    good = met.where(~C.is_reference_only(F.col("section_title"), F.col("text")))
-    again = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
-    return good.withColumn("rank", again).where(F.col("rank") <= k)
+    return _best_content(found.where(F.col("score") >= threshold), corpus, k, id_col)
 
 
 def sufficient(found: DataFrame) -> DataFrame:

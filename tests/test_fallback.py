@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -61,6 +63,46 @@ def test_a_corpus_without_categories_or_scores(corpus, asked):
     assert {(r.query_id, r.retrieval_mode) for r in found.collect()} == {(1, "vector"), (2, "vector"), (3, "lexical"), (4, "lexical"), (7, "vector")}
 
 
+def test_both_ways_embed_each_text_once(spark, asked, tmp_path):
+    """Searching by words and fetching what was found don't call the corpus' model."""
+    calls = str(tmp_path / "calls")
+
+    def counted(texts):
+        with open(calls, "a") as f:
+            f.write("x" * len(texts))
+        return np.array([[len(t), 1.0] for t in texts])
+
+    rows = spark.createDataFrame([(i, "", f"warm weather {'x' * i}") for i in range(20)], "chunk_id long, section_title string, text string")
+    found = retrieval.retrieve_routed(embedding.embed(rows, counted), asked.drop("category"), 3, 0.0).select("query_id", "id", "rank", "retrieval_mode")
+    assert {(r.query_id, r.retrieval_mode, r["rank"]) for r in found.collect()} == {(q, way, n) for q, way in ((1, "vector"), (2, "vector"), (3, "lexical"), (4, "lexical"), (7, "vector")) for n in (1, 2, 3)}
+    assert (tmp_path / "calls").stat().st_size == 20
+
+
+def test_only_found_rows_are_asked_for_bibliographies(corpus, asked):
+    ways = [retrieval.retrieve_routed(corpus, asked, 3, 0.3), retrieval.retrieve(corpus, asked.where("query_vector IS NOT NULL"), 3, 0.3)]
+    for found in ways:
+        plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        named = [line for line in plan if "^(references|bibliography" in line]
+        assert named and all("Join Inner" in line for line in named)
+        assert 4 not in {r.id for r in found.collect()}
+
+
+def test_hashed_words_are_signed_counts():
+    def by_word(texts, width):
+        out = np.zeros((len(texts), width), np.float32)
+        for i, t in enumerate(texts):
+            for w in t.lower().split():
+                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
+                out[i, h % width] += 1 if h >> 63 else -1
+        return out
+
+    texts = ["a b A c", "", "  ", "ÜBER " * 300 + "x" * 500, "one"]
+    for width in (7, 64):
+        got = embedding.hashed_words(texts, width)
+        assert got.dtype == np.float32 and (got == by_word(texts, width)).all()
+    assert embedding.hashed_words([]).shape == (0, 64)
+
+
 def test_evidence_of_other_categories_is_left_out(spark, corpus):
     """A question that is routed to a category gets its evidence and general one only; a stale index stops it."""
     catalog = spark.createDataFrame([("doc", True, "s", "https://x.org", "p", "2020")], "document_name string, enabled boolean, source_id string, source_url string, publisher string, publication_date string")
