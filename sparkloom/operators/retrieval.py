@@ -134,9 +134,9 @@ def _best_content(found: DataFrame, corpus: DataFrame, k: int, id_col: str) -> D
     return good.withColumn("rank", again).where(F.col("rank") <= k)
 
 
-def retrieve(corpus: DataFrame, queries: DataFrame, k: int = 5, threshold: float = THRESHOLD, id_col: str = "chunk_id") -> DataFrame:
+def retrieve(corpus: DataFrame, queries: DataFrame, k: int = 5, threshold: float = THRESHOLD, id_col: str = "chunk_id", digits: int = 12) -> DataFrame:
     """Vector search that over-fetches 2k, then drops low scores and bibliographies, then keeps k: filters act after the first rank."""
-    return _best_content(vector_topk(corpus, queries, 2 * k, id_col).where(F.col("score") >= threshold), corpus, k, id_col)
+    return _best_content(vector_topk(corpus, queries, 2 * k, id_col, digits=digits).where(F.col("score") >= threshold), corpus, k, id_col)
 
 
 def retrieve_routed(corpus: DataFrame, queries: DataFrame, k: int = 5, threshold: float = THRESHOLD, id_col: str = "chunk_id") -> DataFrame:

@@ -88,3 +88,23 @@ def test_means_just_below_zero(spark, tmp_path):
     rows = [(1, [-0.00001, 1.0, 0.0], 1), (2, [-0.00002, -1.0, 0.00001], 1)]
     got = same_as_sql(spark, tmp_path, "vec_cluster_centroids", "embeddings", rows, "vec_id long, embedding array<float>, label int")
     assert [math.copysign(1, x) for x in got[0].centroid] == [-1, 1, 1]
+
+
+#: Distances from row 0 that are equal to six digits, the smaller id being the farther; and some whose scores are decided by the sixth digit, or by how 0.8735 and 0.29995 are rounded.
+_AS_NEAR = [1 - (0.51 + i * 1e-8) for i in range(12)]
+_BETWEEN = [0.48949975, 0.1265, 0.2515, 0.7000504, 0.70005, 0.3765]
+
+
+@pytest.mark.parametrize("name", ["vec_overfetch_threshold", "vec_topk_batched", "vec_topk_cosine", "vec_category_or_general"])
+@pytest.mark.parametrize("gaps", [_AS_NEAR, _BETWEEN], ids=["ties", "scores"])
+def test_ranks_and_scores_go_by_six_digits(spark, tmp_path, name, gaps):
+    rows = [(0, [1.0, 0.0], 3)] + [(i + 1, [1 - d, math.sqrt(1 - (1 - d) ** 2)], 3) for i, d in enumerate(gaps)]
+    got = same_as_sql(spark, tmp_path, name, "embeddings", rows, "vec_id long, embedding array<double>, label int")
+    if gaps is _AS_NEAR:
+        assert sorted(r.id for r in got) == list(range(len(got))) and len(got) in (5, 10)
+
+
+def test_a_row_without_a_label_is_no_evidence(spark, tmp_path):
+    rows = [(0, [1.0, 0.0], 3), (1, [1.0, 0.1], None), (2, [1.0, 0.2], 9), (3, [1.0, 0.3], 1)]
+    got = same_as_sql(spark, tmp_path, "vec_overfetch_threshold", "embeddings", rows, "vec_id long, embedding array<double>, label int")
+    assert sorted(r.id for r in got) == [0, 3]
