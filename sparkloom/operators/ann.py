@@ -159,14 +159,14 @@ def upsert(index: Index, new: DataFrame, order: str, id_col: str = "id", vector_
         workspace.remove(spark, t.path)
 
 
-def _pairs(k: int, with_self: bool, euclidean: bool, best=vectors.block_best):
+def _pairs(k: int, with_self: bool, euclidean: bool, digits: int, best=vectors.block_best):
     def run(_, members: pa.Table, asked: pa.Table) -> pa.Table:
         names = ["query_id", "id", "distance"]
         if not members.num_rows or not asked.num_rows:
             empty = (asked.schema.field("query_id").type, members.schema.field("id").type, pa.float64())
             return pa.table([pa.array([], t) for t in empty], names)
         ids, qids = members.column("id").combine_chunks(), asked.column("query_id").combine_chunks()
-        out = best(qids, _matrix(asked.column("v").combine_chunks()), ids, _matrix(members.column("v").combine_chunks()), k, with_self, euclidean)
+        out = best(qids, _matrix(asked.column("v").combine_chunks()), ids, _matrix(members.column("v").combine_chunks()), k, with_self, euclidean, digits)
         return pa.table(list(out), names)
 
     return run
@@ -177,7 +177,7 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("score", vectors.distance_to_score(F.col("distance")))
 
 
-def all_pairs(stored: DataFrame, asked: DataFrame, k: int, with_self: bool = True, euclidean: bool = False) -> DataFrame:
+def all_pairs(stored: DataFrame, asked: DataFrame, k: int, with_self: bool = True, euclidean: bool = False, digits: int = 12) -> DataFrame:
     """query_id, id, distance, score, rank: the k nearest of all stored rows (id, v) for each query (query_id, v); vectors are usable and of one width.
 
     Rows and queries are dealt by hashes over a grid of cells of at most about
@@ -194,14 +194,14 @@ def all_pairs(stored: DataFrame, asked: DataFrame, k: int, with_self: bool = Tru
     members = stored.select(F.pmod(F.xxhash64("id"), F.lit(rows)).cast("int").alias("row"), every(cols).alias("col"), "id", "v")
     turns = asked.select(every(rows).alias("row"), F.pmod(F.xxhash64("query_id"), F.lit(cols)).cast("int").alias("col"), "query_id", "v")
     schema = f"query_id {asked.schema['query_id'].dataType.simpleString()}, id {stored.schema['id'].dataType.simpleString()}, distance double"
-    found = members.groupBy("row", "col").cogroup(turns.groupBy("row", "col")).applyInArrow(_pairs(k, with_self, euclidean, vectors.cell_best), schema)
+    found = members.groupBy("row", "col").cogroup(turns.groupBy("row", "col")).applyInArrow(_pairs(k, with_self, euclidean, digits, vectors.cell_best), schema)
     return _ranked(found, k)
 
 
-def search(index: Index, queries: DataFrame, k: int, probes: int = 8, id_col: str = "query_id", vector_col: str = "query_vector", with_self: bool = True) -> DataFrame:
+def search(index: Index, queries: DataFrame, k: int, probes: int = 8, id_col: str = "query_id", vector_col: str = "query_vector", with_self: bool = True, digits: int = 12) -> DataFrame:
     """query_id, id, distance, score, rank: the k nearest rows in the `probes` lists nearest to each query; ties go to the smaller id.
 
-    with_self=False leaves out the row whose id is the query's.  Queries without
+    Cosine distances count to that many digits.  with_self=False leaves out the row whose id is the query's.  Queries without
     a usable vector of the index's width give no rows.
     """
     spark = queries.sparkSession
@@ -211,7 +211,7 @@ def search(index: Index, queries: DataFrame, k: int, probes: int = 8, id_col: st
     asked = _usable(queries, id_col, vector_col, index.euclidean, index.centroids.shape[1]).withColumnRenamed("id", "query_id")
     stored = index.rows(spark)
     if probes >= index.lists:
-        return all_pairs(stored.select("id", "v"), asked, k, with_self, index.euclidean)
+        return all_pairs(stored.select("id", "v"), asked, k, with_self, index.euclidean, digits)
     asked = workspace.written(_dealt(asked, index.centroids, probes), "index-asked")
     # blocks of each list, on both sides; at most MAX_LISTS rows
     sizes = {r.list: r.n for r in stored.groupBy("list").agg(F.count("*").alias("n")).collect()}
@@ -222,7 +222,7 @@ def search(index: Index, queries: DataFrame, k: int, probes: int = 8, id_col: st
     turns = asked.join(blocks, "list").select("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("subs") - F.lit(1).cast("long"))).alias("sub"), F.pmod(F.xxhash64("query_id"), F.col("q_subs")).alias("q_sub"), "query_id", "v")
     keys = ["list", "sub", "q_sub"]
     schema = f"query_id {asked.schema['query_id'].dataType.simpleString()}, id {stored.schema['id'].dataType.simpleString()}, distance double"
-    found = members.groupBy(*keys).cogroup(turns.groupBy(*keys)).applyInArrow(_pairs(k, with_self, index.euclidean), schema)
+    found = members.groupBy(*keys).cogroup(turns.groupBy(*keys)).applyInArrow(_pairs(k, with_self, index.euclidean, digits), schema)
     return _ranked(found, k)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.operators import ann, density, embedding, evaluation, layout2d, retrieval, telemetry, vectors
 from sparkloom.functions import lexicon as L
-from sparkloom.plans.data_queries import _UNIT, _pairs, _queries, _shown, _top
+from sparkloom.plans.data_queries import _DIGITS, _UNIT, _pairs, _queries, _shown, _top
 from sparkloom.plans.registry import query, quoted
 from sparkloom.sources import workspace
 
@@ -19,7 +19,7 @@ def _index(t):
 def vec_index_all_lists(t):
     """The index with all of its lists probed: the exact result."""
     index = _index(t)
-    return _shown(ann.search(index, _queries(t, "vec_id % 50 = 0"), 10, probes=index.lists))
+    return _shown(ann.search(index, _queries(t, "vec_id % 50 = 0"), 10, probes=index.lists, digits=_DIGITS))
 
 
 @query()

@@ -95,7 +95,7 @@ _AS_NEAR = [1 - (0.51 + i * 1e-8) for i in range(12)]
 _BETWEEN = [0.48949975, 0.1265, 0.2515, 0.7000504, 0.70005, 0.3765]
 
 
-@pytest.mark.parametrize("name", ["vec_overfetch_threshold", "vec_topk_batched", "vec_topk_cosine", "vec_category_or_general"])
+@pytest.mark.parametrize("name", ["vec_overfetch_threshold", "vec_index_all_lists", "vec_topk_batched", "vec_topk_cosine", "vec_category_or_general"])
 @pytest.mark.parametrize("gaps", [_AS_NEAR, _BETWEEN], ids=["ties", "scores"])
 def test_ranks_and_scores_go_by_six_digits(spark, tmp_path, name, gaps):
     rows = [(0, [1.0, 0.0], 3)] + [(i + 1, [1 - d, math.sqrt(1 - (1 - d) ** 2)], 3) for i, d in enumerate(gaps)]
