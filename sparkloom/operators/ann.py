@@ -61,7 +61,10 @@ def _usable(rows: DataFrame, id_col: str, vector_col: str, euclidean: bool, widt
 
 def usable(rows: DataFrame, id_col: str, vector_col: str, euclidean: bool = False, width: int | None = None) -> DataFrame:
     """id and v of the rows with a usable vector of the width (that of the first, if not given)."""
-    unit = _usable(rows, id_col, vector_col, euclidean, width)
+    return _of_one_width(_usable(rows, id_col, vector_col, euclidean, width), width)
+
+
+def _of_one_width(unit: DataFrame, width: int | None) -> DataFrame:
     if width is None and (first := unit.orderBy("id").select(F.size("v")).first()):
         unit = unit.where(F.size("v") == first[0])
     return unit
@@ -123,12 +126,13 @@ def _dealt(unit: DataFrame, centroids: np.ndarray, probes: int = 1) -> DataFrame
 
 def build(rows: DataFrame, path: str, lists: int | None = None, id_col: str = "id", vector_col: str = "embedding", width: int | None = None, euclidean: bool = False) -> Index:
     """Write the index of a table of vectors with unique ids; rows without a usable vector of the width (that of the first, if not given) are left out."""
-    unit = usable(rows, id_col, vector_col, euclidean, width)
+    spark, held = rows.sparkSession, workspace.written(_usable(rows, id_col, vector_col, euclidean, width), "index-rows")  # else normalised for each pass
+    unit = _of_one_width(held, width)
     centre = fit_centroids(unit, lists, euclidean)
-    spark = rows.sparkSession
     spark.createDataFrame([(i, c.tolist(), euclidean) for i, c in enumerate(centre)], "list int, v array<double>, euclidean boolean").write.mode("overwrite").parquet(f"{path}/centroids")
     dealt = _dealt(unit, centre) if len(centre) else unit.withColumn("list", F.lit(0))
     dealt.repartition("list").write.mode("overwrite").partitionBy("list").parquet(f"{path}/lists")
+    workspace.remove(spark, held.path)
     return Index(path, centre, euclidean)
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.operators import ann, vectors
+from sparkloom.operators import ann, plane, vectors
 from sparkloom.sources import workspace
 from sparkloom.sources.workspace import written
 
@@ -102,7 +102,7 @@ def _epochs(sent, seed: int, turn: int, epochs: int, total: int):
                     some = drawn[lo : lo + max(64, len(ids))]
                     other = np.where(inside[some, None], y[at[some]], there[some])
                     gap = y[u[some]] - other
-                    square = (gap * gap).sum(axis=1, keepdims=True)
+                    square = gap[..., :1] ** 2 + gap[..., 1:] ** 2
                     near = np.maximum(square, 1e-12)
                     pull = np.where(square > 0, -2 * a * b * near ** (b - 1) / (1 + a * near**b), 0.0)
                     move = np.zeros_like(y)
@@ -111,7 +111,7 @@ def _epochs(sent, seed: int, turn: int, epochs: int, total: int):
                     own = rng.random((len(some), NEGATIVE, 1)) < len(ids) / n
                     far = np.where(own, y[rng.integers(0, len(ids), own.shape[:2])], pool[rng.integers(0, len(pool), own.shape[:2])])
                     gap = y[u[some]][:, None, :] - far
-                    square = (gap * gap).sum(axis=2, keepdims=True)
+                    square = gap[..., :1] ** 2 + gap[..., 1:] ** 2
                     push = np.where(square > 0, 2 * b / ((0.001 + square) * (1 + a * square**b)), 0.0)
                     np.add.at(move, u[some], np.clip(push * gap, -4, 4).sum(axis=1))
                     met = np.maximum(1, np.bincount(u[some], minlength=len(ids)))[:, None]
@@ -137,34 +137,41 @@ def _start(spark, unit: DataFrame) -> DataFrame:
     return first.select("id", placed("a", 1).alias("x0"), placed("b", 2).alias("x1"))
 
 
-def reduce(rows: DataFrame, k: int = 15, min_dist: float = 0.1, rounds: int = 6, epochs: int = 40, probes: int | None = None, seed: int = 42, id_col: str = "vec_id", vector_col: str = "embedding", keep_index: list | None = None) -> DataFrame:
+def reduce(rows: DataFrame, k: int = 15, min_dist: float = 0.1, rounds: int = 6, epochs: int = 40, probes: int | None = None, seed: int = 42, id_col: str = "vec_id", vector_col: str = "embedding", keep_index: list | None = None, keep_near: list | None = None) -> DataFrame:
     """id_col and reduced, two coordinates, of each row with a usable vector.
 
     Ids are unique longs.  Nearness is that of directions (cosine).  Null, zero
     or non-finite vectors and those of another width than the first are left
     out; up to two rows, and rows without neighbours, stay where they begin.
-    keep_index, a list, gets the index, which `transform` needs.
+    keep_index, a list, gets the index, which `transform` needs; keep_near gets
+    the neighbours that the layout rests on: u, v and their cosine distance.
     """
     spark = rows.sparkSession
     index = ann.build(rows, workspace.new_path(spark, "layout-index"), None, id_col, vector_col)
     if keep_index is not None:
         keep_index.append(index)
     if not index.lists:
+        if keep_near is not None:
+            keep_near.append(spark.createDataFrame([], "u long, v long, distance double"))
         return spark.createDataFrame([], f"{id_col} long, reduced array<double>")
     unit = index.rows(spark).select(F.col("id").cast("long").alias("id"), "v", "list")
     found = ann.search(index, unit.select(F.col("id").alias("query_id"), F.col("v").alias("query_vector")), k, probes or index.lists, with_self=False)
-    graph = written(fuzzy_graph(found.select(F.col("query_id").alias("u"), F.col("id").alias("v"), "distance")), "layout-graph")
+    near = written(found.select(F.col("query_id").alias("u"), F.col("id").alias("v"), "distance"), "layout-near")
+    if keep_near is not None:
+        keep_near.append(near)
     n = unit.count()
     sizes = unit.groupBy("list").agg(F.count("*").alias("n")).withColumn("subs", F.ceil(F.col("n") / SHARD))
     if n <= SHARD:
         shards = unit.select("id", F.lit(0).cast("long").alias("shard"))
     else:
         shards = unit.join(F.broadcast(sizes), "list").select("id", (F.col("list").cast("long") * 1_000_000 + F.pmod(F.xxhash64("id"), F.col("subs"))).alias("shard"))
+    # shards stay, so each edge is told its own once
+    graph = written(fuzzy_graph(near).join(shards.withColumnRenamed("id", "u"), "u").select("shard", "u", "v", "p"), "layout-graph")
     places = written(_start(spark, unit).join(shards, "id").select("id", "shard", "x0", "x1"), "layout-places")
     for turn in range(rounds if n > 2 else 0):
         sent = spark.sparkContext.broadcast((_pool(places, seed + turn), n, *curve(min_dist)))
         there = spark.read.schema(places.schema).parquet(places.path)  # columns of its own, for the cogroup
-        ends = graph.join(there.select(F.col("id").alias("v"), "x0", "x1"), "v").join(there.select(F.col("id").alias("u"), "shard"), "u")
+        ends = graph.join(there.select(F.col("id").alias("v"), "x0", "x1"), "v")
         moved = places.groupBy("shard").cogroup(ends.select("shard", "u", "v", "p", "x0", "x1").groupBy("shard"))
         places = written(moved.applyInArrow(_epochs(sent, seed, turn, epochs, rounds * epochs), "id long, shard long, x0 double, x1 double"), "layout-places")
     return places.select(F.col("id").alias(id_col), F.array("x0", "x1").alias("reduced"))
@@ -182,9 +189,7 @@ def transform(index: ann.Index, placed: DataFrame, new: DataFrame, k: int = 15,
 
 
 def kept_neighbours(near: DataFrame, placed: DataFrame, k: int = 15, id_col: str = "vec_id") -> DataFrame:
-    """kept: the share of edges u, v of a neighbour graph that the graph of the reduced rows has too."""
-    from sparkloom.operators import density
-
-    plane = density.neighbours(placed, k, None, id_col, "reduced").select("u", "v", F.lit(1).alias("hit"))
-    met = near.select("u", "v").join(plane, ["u", "v"], "left")
+    """kept: the share of edges u, v of a neighbour graph that the graph of the rows reduced to two coordinates has too."""
+    there = plane.neighbours(placed, k, id_col).select("u", "v", F.lit(1).alias("hit"))
+    met = near.select("u", "v").join(there, ["u", "v"], "left")
     return met.agg(F.round(F.count("hit") / F.count("*"), 4).alias("kept"))

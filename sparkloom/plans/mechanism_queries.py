@@ -62,11 +62,11 @@ def vec_reduce_layout(t):
 
 @query()
 def vec_layout_kept_neighbours(t):
-    """Share of each vector's 15 nearest that are among its 15 nearest in the plane, under the layout and under principal components."""
-    near = density.neighbours(t.embeddings.withColumn("embedding", vectors.l2_normalize(vectors.as_double(F.col("embedding")))), 15)
-    plane = layout2d.reduce(t.embeddings)
+    """Share of each vector's 15 nearest, by direction, that are among its 15 nearest in the plane, under the layout and under principal components."""
+    held = []
+    plane = layout2d.reduce(t.embeddings, keep_near=held)
     pca = vectors.reduce_dimensions(t.embeddings).select("vec_id", "reduced")
-    shares = [layout2d.kept_neighbours(near, x).select(F.lit(name).alias("method"), "kept") for name, x in (("layout", plane), ("components", pca))]
+    shares = [layout2d.kept_neighbours(held[0], x).select(F.lit(name).alias("method"), "kept") for name, x in (("layout", plane), ("components", pca))]
     return shares[0].unionByName(shares[1])
 
 
