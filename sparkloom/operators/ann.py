@@ -198,7 +198,9 @@ def all_pairs(stored: DataFrame, asked: DataFrame, k: int, with_self: bool = Tru
     members = stored.select(F.pmod(F.xxhash64("id"), F.lit(rows)).cast("int").alias("row"), every(cols).alias("col"), "id", "v")
     turns = asked.select(every(rows).alias("row"), F.pmod(F.xxhash64("query_id"), F.lit(cols)).cast("int").alias("col"), "query_id", "v")
     schema = f"query_id {asked.schema['query_id'].dataType.simpleString()}, id {stored.schema['id'].dataType.simpleString()}, distance double"
-    found = members.groupBy("row", "col").cogroup(turns.groupBy("row", "col")).applyInArrow(_pairs(k, with_self, euclidean, digits, vectors.cell_best), schema)
+    # few cells meet in one of many partitions; with as many as cores, one core would get a third of them
+    spread = lambda x: x.repartition(min(4096, 8 * rows * cols), "row", "col").groupBy("row", "col")
+    found = spread(members).cogroup(spread(turns)).applyInArrow(_pairs(k, with_self, euclidean, digits, vectors.cell_best), schema)
     return _ranked(found, k)
 
 
